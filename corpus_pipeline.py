@@ -3,27 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, simhash
+from tidemark.llm import mixing, packing, pii, simhash, toxicity
 from tidemark.llm.shared import materialise, table
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pattern grammar scores as toxic go."""
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     return simhash.deduplicate(docs)
 
 
-def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows."""
+    clean = pii.redact_pii(docs, pii.fit_pii(docs))
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's repetition rate says."""
     return mixing.mix(docs)
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences, with their token ids."""
     return packing.pack(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("mixing", mixing_weights), ("packing", packed)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("simhash", near_duplicates),
+    ("pii", without_personal_data),
+    ("mixing", mixed_sources),
+    ("packing", packed_sequences),
+]
 
 #: SQL cannot express toxicity scores, personal-data spans or packing.
 ORACLE_SQL = None
