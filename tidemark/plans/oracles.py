@@ -1,0 +1,160 @@
+"""The queries of queries.py in DuckDB's dialect, over views of the same Parquet files."""
+
+from __future__ import annotations
+
+from tidemark.functions.text import DEFAULT_OLLAMA_URL, ENCODINGS, LOOPBACK_HOSTS
+from tidemark.operators.accounting import PRICES
+from tidemark.operators.locality import BACKENDS, LOCAL
+from tidemark.plans.queries import CHAT_MODELS, DEFAULTS, EMBEDDING_MODELS, INSTRUCTION, LIBRARY, URLS
+
+CORPUS = "c AS (SELECT e.vec_id AS id, d.text, d.source, CAST(e.embedding AS DOUBLE[]) AS v FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"
+SEED = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS w FROM embeddings WHERE vec_id = 0)"
+
+
+def score(a: str, b: str) -> str:
+    return f"round(greatest(-1.0, least(1.0, list_cosine_similarity({a}, {b}))), 6)"
+
+
+def tokens(c: str) -> str:
+    return rf"CAST(coalesce(len(regexp_extract_all({c}, '\p{{L}}+|\p{{N}}{{1,3}}|[^\s\p{{L}}\p{{N}}]+')), 0) AS BIGINT)"
+
+
+def text(v: str | None) -> str:
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+def slug(c: str) -> str:
+    return f"coalesce(nullif(trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'project')"
+
+
+def case(index: str, values: tuple) -> str:
+    return f"CASE {index} " + " ".join(f"WHEN {i} THEN {text(v)}" for i, v in enumerate(values)) + " END"
+
+
+PRICE_TABLE = "prices(model, input_price, output_price) AS (VALUES " + ", ".join(f"({text(m)}, CAST({i} AS DOUBLE), CAST({'NULL' if o is None else o} AS DOUBLE))" for m, (i, o) in PRICES.items()) + ")"
+LEDGER = f"""ledger AS (SELECT {case("conv_id % 4", CHAT_MODELS)} AS model, CASE WHEN role = 'assistant' THEN 0 ELSE {tokens("text")} END AS input_tokens,
+  CASE WHEN role = 'assistant' THEN {tokens("text")} ELSE 0 END AS output_tokens, conv_id % 4 <> 1 AS billable, conv_id % 7 <> 0 AS counted FROM conversations),
+costs AS (SELECT l.*, input_tokens + output_tokens AS total_tokens, CASE WHEN NOT billable THEN 0.0::DOUBLE
+  ELSE input_tokens / 1000000.0::DOUBLE * p.input_price + CASE WHEN output_tokens > 0 THEN output_tokens / 1000000.0::DOUBLE * p.output_price ELSE 0.0::DOUBLE END END AS cost FROM ledger l LEFT JOIN prices p USING (model))"""
+TOTALS = f"""WITH {PRICE_TABLE}, {LEDGER}, totals AS (SELECT count(*) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens,
+  CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, round(coalesce(sum(cost), 0), 8) AS estimated_cost, count(*) FILTER (billable AND cost IS NULL) AS unpriced_calls, count(*) FILTER (NOT counted) AS uncounted_calls FROM costs)"""
+MESSAGES = "m AS (SELECT conv_id * 1000 + turn AS id, CAST(conv_id AS VARCHAR) AS ref_id, CASE WHEN role = 'system' THEN 'system-init' ELSE 'chat-' || CAST(turn AS VARCHAR) END AS chat_id, role, text AS message FROM conversations)"
+PROJECTS = f"""s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS position FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+p AS (SELECT position, md5(source) AS id, {slug("source")} AS slug, source AS name, {case("CASE WHEN position % 5 < 3 THEN 0 ELSE position % 3 END", EMBEDDING_MODELS)} AS embedding_model FROM s),
+target AS (SELECT embedding_model FROM p GROUP BY 1 ORDER BY count(*) DESC, min(position) LIMIT 1),
+chosen AS (SELECT *, embedding_model = (SELECT embedding_model FROM target) AS included FROM p)"""
+HITS = f"{CORPUS}, {SEED}, hits AS (SELECT {slug('source')} AS project, id, {score('v', 'w')} AS score FROM c, q), {PROJECTS}"
+MERGED = f"WITH {HITS} SELECT project, id, score FROM hits WHERE project IN (SELECT slug FROM chosen WHERE included) ORDER BY score DESC, project, id"
+TOP = f"WITH {CORPUS}, {SEED}, hits AS (SELECT id, text, {score('v', 'w')} AS score FROM c, q ORDER BY score DESC, id LIMIT %d)"
+CONTEXT = "(SELECT string_agg(text, chr(10) ORDER BY score DESC, id) || chr(10) FROM hits)"
+POINTS = "p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), fresh AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, id AS origin, v FROM p WHERE label < 3)"
+URL_TABLE = "u(url) AS (VALUES " + ", ".join(f"({text(x)})" for x in URLS) + ")"
+
+
+def host(c: str) -> str:
+    bare = f"regexp_replace(regexp_replace(regexp_replace({c}, '^[^/]*//', ''), '[/?#].*$', ''), '^.*@', '')"
+    return rf"lower(CASE WHEN starts_with({bare}, '[') THEN regexp_extract({bare}, '^\[([^\]]*)\]', 1) ELSE regexp_replace({bare}, ':.*$', '') END)"
+
+
+def loopback(c: str) -> str:
+    return f"{host(c)} IN ({', '.join(map(text, LOOPBACK_HOSTS))})"
+
+
+def walk(threshold: float, initial: bool, depth: int = 50) -> str:
+    said = "f" if initial else "score"
+    return f"""
+WITH RECURSIVE {CORPUS}, {SEED}, f AS (SELECT id, {score("v", "w")} AS f FROM c, q),
+s AS (SELECT a.id AS src, b.id AS dst, b.text, {score("a.v", "b.v")} AS score FROM c a, c b),
+n AS (SELECT * FROM (SELECT s.*, f.f, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rnk FROM s JOIN f ON f.id = s.dst) WHERE rnk <= 5),
+r AS (SELECT c.id, c.text, f.f FROM c JOIN f USING (id) ORDER BY f.f DESC, c.id LIMIT 1),
+walk(step, cur, seen, document, score) AS (
+  SELECT 1, id, [text], text, f FROM r WHERE f >= {threshold}
+  UNION ALL
+  SELECT w.step + 1, arg_min(n.dst, n.rnk), list_append(any_value(w.seen), arg_min(n.text, n.rnk)), arg_min(n.text, n.rnk), arg_min(n.{said}, n.rnk)
+  FROM walk w JOIN n ON n.src = w.cur AND n.rnk >= 2 AND NOT list_contains(w.seen, n.text) JOIN n h ON h.src = w.cur AND h.rnk = 2 AND h.{said} >= {threshold}
+  WHERE w.step < {depth} GROUP BY w.step HAVING arg_min(n.{said}, n.rnk) >= {threshold}
+)
+SELECT step, document, score FROM walk"""
+
+
+def resolved(field: str) -> str:
+    default = f"nullif({text(DEFAULTS[field])}, '')" if DEFAULTS.get(field) else "NULL"
+    return f"coalesce(nullif({field}, ''), {default}, {text(LIBRARY[field])}) AS {field}"
+
+
+def audit() -> str:
+    spec = "b(role, provider, local, served, default_model) AS (VALUES " + ", ".join(f"({text(r)}, {text(b[0])}, {b[3]}, {b[4]}, {text(b[5])})" for r, bs in BACKENDS.items() for b in bs) + ")"
+    urls = "urls(i, url) AS (VALUES " + ", ".join(f"({i}, {text(u)})" for i, u in enumerate(URLS[:6])) + ")"
+    return f"""
+WITH {spec}, {urls}, pairs AS (SELECT e.provider || '+' || g.provider || '+' || CAST(i AS VARCHAR) AS config, e.provider AS ep, g.provider AS gp, i, coalesce(nullif(url, ''), '{DEFAULT_OLLAMA_URL}') AS url
+  FROM b e, b g, urls WHERE e.role = 'embedding' AND g.role = 'generation'),
+roles AS (SELECT config, 'embedding' AS role, ep AS provider, CASE WHEN i = 1 THEN 'models/bge' END AS model, url FROM pairs
+  UNION ALL SELECT config, 'generation', gp, CASE WHEN i = 2 THEN 'llama3' END, url FROM pairs),
+judged AS (SELECT r.*, b.local AND (NOT b.served OR {loopback("url")}) AS is_local,
+  CASE WHEN NOT b.local THEN 'sends content to a hosted API' WHEN NOT b.served THEN 'runs in this process' WHEN {loopback("url")} THEN 'served from this machine' ELSE 'points at ' || url || ', which is not this machine' END AS reason,
+  CASE WHEN NOT b.local THEN NULL WHEN b.served THEN 'pull ' || coalesce(model, b.default_model, 'the chosen model') || ' into Ollama before disconnecting'
+    WHEN coalesce(contains(model, '/'), false) THEN NULL ELSE 'download ' || coalesce(model, b.default_model, 'the chosen model') || ' once, or pass a path to a copy already on disk' END AS setup
+  FROM roles r JOIN b USING (role, provider))
+SELECT config, bool_and(is_local) AS is_local,
+  CASE WHEN bool_and(is_local) THEN {text(LOCAL)} ELSE 'not local: ' || string_agg(role || ' (' || provider || ') ' || reason, '; ' ORDER BY role) FILTER (NOT is_local) END AS summary,
+  coalesce(string_agg(setup, '; ' ORDER BY role) FILTER (setup IS NOT NULL), '') AS setup
+FROM judged GROUP BY config"""
+
+
+def oracle_sql() -> dict[str, str]:
+    encodings = "CASE " + " ".join(f"WHEN starts_with(model, {text(p)}) THEN {text(e)}" for p, e in sorted(ENCODINGS.items(), key=lambda x: -len(x[0]))) + " ELSE 'o200k_base' END"
+    asked = "asked(model) AS (VALUES " + ", ".join(f"({text(m)})" for m in (*CHAT_MODELS, *EMBEDDING_MODELS)) + ")"
+    norm = "round(sqrt(list_dot_product(v, v)), 6)"
+    return {
+        "cosine_topk": TOP % 10 + " SELECT id, text, score FROM hits",
+        "relatedness_scores": f"WITH {SEED} SELECT vec_id, {score('CAST(embedding AS DOUBLE[])', 'w')} AS relatedness FROM embeddings, q",
+        "topk_threshold": f"WITH {CORPUS}, {SEED} SELECT id, {score('v', 'w')} AS score FROM c, q WHERE {score('v', 'w')} >= 0.2",
+        "embedding_frame": f"WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT CAST(len(v) AS BIGINT) AS width, {norm} AS norm FROM e",
+        "csv_embedding_parse": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 3) AS total FROM embeddings",
+        "collection_upsert": f"WITH {POINTS} SELECT id, origin, {norm} AS norm FROM fresh UNION ALL SELECT id, id AS origin, {norm} AS norm FROM p WHERE id < 300 AND id NOT IN (SELECT id FROM fresh)",
+        "collection_append": f"WITH {POINTS} SELECT id, id AS origin FROM p WHERE id < 300 UNION ALL SELECT id + (SELECT count(*) FROM p WHERE id < 300) AS id, origin FROM fresh",
+        "collection_count": "SELECT count(*) AS points FROM embeddings",
+        "collection_info": "SELECT CAST(label AS VARCHAR) AS collection, 'main' AS vector_name, CAST(max(len(embedding)) AS BIGINT) AS size, 'Cosine' AS distance, count(*) AS points FROM embeddings GROUP BY label",
+        "collection_search": f"WITH {POINTS}, {SEED} SELECT id, {score('v', 'w')} AS score FROM p, q WHERE label = 3 ORDER BY score DESC, id LIMIT 10",
+        "batch_knn": f"WITH {CORPUS}, s AS (SELECT a.id AS src, b.id AS dst, {score('a.v', 'b.v')} AS score FROM c a, c b), n AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INTEGER) AS rnk, dst, score FROM s) SELECT * FROM n WHERE rnk <= 5",
+        "similarity_walk": walk(0.25, False),
+        "similarity_walk_initial": walk(0.0, True),
+        "similarity_walk_threshold": walk(0.33, False),
+        "token_counts": f"SELECT doc_id, {tokens('text')} AS tokens FROM documents",
+        "corpus_tokens": f"SELECT count(*) AS documents, CAST(sum({tokens('text')}) AS BIGINT) AS tokens FROM documents",
+        "embedding_cost": f"WITH {PRICE_TABLE}, t AS (SELECT CAST(sum({tokens('text')}) AS BIGINT) AS tokens FROM documents) SELECT model, tokens, round(tokens / 1000000.0::DOUBLE * input_price, 10) AS cost FROM t, prices WHERE output_price IS NULL",
+        "prompt_cost": f"WITH {PRICE_TABLE}, t AS (SELECT conv_id, turn, {case('conv_id % 4', CHAT_MODELS)} AS model, {tokens('text')} AS tokens FROM conversations WHERE role = 'user') SELECT conv_id, turn, model, tokens, round(tokens / 1000000.0::DOUBLE * input_price, 10) AS cost FROM t LEFT JOIN prices USING (model)",
+        "price_lookup": f"WITH {PRICE_TABLE}, {asked} SELECT model, input_price, output_price, {encodings} AS encoding FROM asked LEFT JOIN prices USING (model)",
+        "priced_models": f"WITH {PRICE_TABLE} SELECT model FROM prices",
+        "embed_batches": f"WITH t AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, {tokens('text')} AS tokens FROM documents) SELECT CAST(position // 100 AS BIGINT) AS batch, count(*) AS n_texts, CAST(sum(tokens) AS BIGINT) AS tokens FROM t GROUP BY 1",
+        "usage_totals": f"{TOTALS} SELECT * FROM totals",
+        "usage_by_model": f"WITH {PRICE_TABLE}, {LEDGER} SELECT model, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM costs GROUP BY model",
+        "usage_record_costs": f"WITH {PRICE_TABLE}, {LEDGER} SELECT model, billable, cost IS NULL AS unpriced, count(*) AS calls, CAST(sum(total_tokens) AS BIGINT) AS tokens, round(sum(cost), 8) AS cost FROM costs GROUP BY ALL",
+        "usage_unpriced": f"{TOTALS} SELECT unpriced_calls FROM totals",
+        "usage_uncounted": f"{TOTALS} SELECT uncounted_calls FROM totals",
+        "usage_summary": f"""{TOTALS} SELECT CASE WHEN calls = 0 THEN 'no provider calls' ELSE concat_ws(', ', CAST(calls AS VARCHAR) || CASE WHEN calls = 1 THEN ' call' ELSE ' calls' END, format('{{:,}} tokens', total_tokens),
+  printf('~$%.4f', estimated_cost) || CASE WHEN unpriced_calls > 0 THEN printf(' (%d unpriced)', unpriced_calls) ELSE '' END, CASE WHEN uncounted_calls > 0 THEN printf('%d not counted', uncounted_calls) END) END AS summary FROM totals""",
+        "conversation_messages": f"WITH {MESSAGES} SELECT ref_id, string_agg(role || ': ' || message, chr(10) ORDER BY id) AS transcript FROM m GROUP BY ref_id",
+        "conversation_index": "SELECT '0' AS id, '2023-11-14 00:00:00' AS created_at UNION ALL SELECT CAST(conv_id AS VARCHAR), strftime(make_timestamp(CAST((conv_id * 60 + 1700000000) * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id <> 0)",
+        "conversation_resume": f"WITH {MESSAGES} SELECT ref_id, string_agg(role || ': ' || message, chr(10) ORDER BY id) AS transcript FROM m WHERE ref_id = '1' GROUP BY ref_id",
+        "conversation_append": f"WITH {MESSAGES} SELECT id, ref_id, chat_id, role FROM m UNION ALL SELECT (SELECT max(id) FROM m) + row_number() OVER (ORDER BY id), ref_id, 'again-' || CAST(id AS VARCHAR), role FROM m WHERE role = 'user'",
+        "conversation_orphans": f"WITH {MESSAGES} SELECT id, ref_id, role FROM m WHERE CAST(ref_id AS INTEGER) % 3 = 0",
+        "distinct_refs": f"WITH {MESSAGES} SELECT DISTINCT ref_id FROM m",
+        "context_concat": "WITH r AS (SELECT source, doc_id, substring(text, 1, 40) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE text IS NOT NULL) SELECT source, coalesce(string_agg(t, ' ' ORDER BY doc_id) FILTER (k <= n // 5), '') AS context FROM r GROUP BY source",
+        "retrieved_context": TOP % 5 + f" SELECT {CONTEXT} AS context",
+        "prompt_assembly": TOP % 5 + f", made AS (SELECT {text(INSTRUCTION)} || ': ' || {CONTEXT} AS prompt) SELECT prompt, {tokens('prompt')} AS tokens FROM made",
+        "nonnull_text": "SELECT doc_id, source FROM documents WHERE text IS NOT NULL",
+        "slugify": f"SELECT doc_id, {slug('substring(text, 1, 60)')} AS slug FROM documents",
+        "settings_resolution": f"WITH {PROJECTS}, x AS (SELECT slug, CASE WHEN position % 2 = 0 THEN embedding_model ELSE '' END AS embedding_model, CASE WHEN position % 3 = 0 THEN 'gpt-4o' END AS generation_model, CASE WHEN position % 4 = 0 THEN 'sqlite' ELSE '' END AS storage_backend FROM p) SELECT slug, {', '.join(map(resolved, LIBRARY))} FROM x",
+        "model_majority": f"WITH {PROJECTS} SELECT embedding_model FROM target",
+        "project_exclusions": f"WITH {PROJECTS} SELECT slug, 'different embedding model' AS reason, embedding_model AS detail FROM chosen WHERE NOT included",
+        "selection_notice": f"WITH {PROJECTS} SELECT CASE WHEN count(*) FILTER (NOT included) = 0 THEN '' ELSE printf('%d of %d projects skipped — different embedding model: %s', count(*) FILTER (NOT included), count(*), string_agg(slug || ' (' || embedding_model || ')', ', ' ORDER BY position) FILTER (NOT included)) END AS notice FROM chosen",
+        "cross_project_merge": MERGED,
+        "cross_project_limit": f"{MERGED} LIMIT 25",
+        "registry_register": f"WITH {PROJECTS} SELECT id, slug, CASE WHEN position % 4 = 0 THEN 'changed' ELSE embedding_model END AS embedding_model FROM p",
+        "registry_find": f"WITH {PROJECTS} SELECT id, slug, embedding_model FROM p WHERE id = 'src3' OR slug = 'src3' ORDER BY position LIMIT 1",
+        "registry_unregister": f"WITH {PROJECTS} SELECT id, slug FROM p WHERE NOT (id = 'src3' OR slug = 'src3')",
+        "locality_audit": audit(),
+        "loopback_hosts": f"WITH {URL_TABLE} SELECT url, {loopback('url')} AS is_loopback FROM u",
+        "base_url": f"WITH {URL_TABLE} SELECT url, regexp_replace(coalesce(nullif(url, ''), '{DEFAULT_OLLAMA_URL}'), '/+$', '') || '/v1' AS base_url FROM u",
+    }

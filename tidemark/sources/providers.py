@@ -1,0 +1,119 @@
+"""Providers of embeddings and generated text, called in Arrow batches on the executors."""
+
+from __future__ import annotations
+
+import hashlib
+from abc import ABC, abstractmethod
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from tidemark.operators.accounting import BATCH
+from tidemark.operators.locality import BACKENDS
+from tidemark.sources.configuration import ENVIRONMENT, MissingSettingError, Settings
+
+# End points that speak the common protocol, and the key of backends that need none.
+BASE_URLS = {"gemini": "https://generativelanguage.googleapis.com/v1beta/openai/", "voyage": "https://api.voyageai.com/v1"}
+DEFAULT_OLLAMA_URL = "http://localhost:11434"
+KEYLESS = "not-needed"
+
+
+class EmbeddingProvider(ABC):
+    """One vector for each text, in order. `local` ones are neither billed nor counted."""
+
+    model = ""
+    local = False
+
+    @abstractmethod
+    def embed(self, texts: list[str]) -> list[list[float]]: ...
+
+    def list_models(self) -> list[str]:
+        raise NotImplementedError
+
+
+class GenerationProvider(ABC):
+    model = ""
+
+    @abstractmethod
+    def generate(self, system: str, user: str) -> str: ...
+
+    def list_models(self) -> list[str]:
+        raise NotImplementedError
+
+
+class HashEmbedder(EmbeddingProvider):
+    """Deterministic vectors from hashed words, for tests and offline use."""
+
+    local = True
+
+    def __init__(self, width: int = 64, model: str = "hash") -> None:
+        self.width, self.model = width, model
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [self._one(t) for t in texts]
+
+    def _one(self, text: str) -> list[float]:
+        v = np.zeros(self.width)
+        for w in text.lower().split():
+            d = hashlib.blake2b(w.encode(), digest_size=8).digest()
+            v[int.from_bytes(d[:4], "big") % self.width] += 1 if d[4] & 1 else -1
+        return v.tolist()
+
+
+def in_requests(provider: EmbeddingProvider, texts: list[str], size: int = BATCH) -> list[list[float]]:
+    """Vectors from requests of at most `size` texts, in order; no texts, no request."""
+    out: list[list[float]] = []
+    for at in range(0, len(texts), size):
+        part = provider.embed(texts[at : at + size])
+        if len(part) != len(texts[at : at + size]):
+            raise ValueError("the provider returned another number of vectors than it was given texts")
+        out += part
+    return out
+
+
+def in_order(indexed: list[tuple[int, list[float]]]) -> list[list[float]]:
+    """The vectors of a reply that numbers them, by number."""
+    return [v for _, v in sorted(indexed, key=lambda x: x[0])]
+
+
+def with_embeddings(df: DataFrame, make: Callable[[], EmbeddingProvider], text: str = "text", column: str = "embedding") -> DataFrame:
+    """`df` with a vector for each text. `make` runs once a task on an executor, so clients and models are never sent."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{column}` array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider = make()
+        for b in batches:
+            vectors = in_requests(provider, [t or "" for t in b.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*b.schema.names, column])
+
+    return df.mapInArrow(run, schema)
+
+
+def connection(role: str, provider: str, settings: Settings) -> tuple[str | None, str]:
+    """Base URL (None: the client's own) and key for a provider; ValueError for one that isn't known for the role."""
+    known = {b[0]: b for b in BACKENDS[role]}
+    if provider not in known:
+        raise ValueError(f"unknown {role} provider {provider!r}; known: {', '.join(sorted(known))}")
+    _, _, key_setting, _, served, *_ = known[provider]
+    url = f"{(settings.ollama_base_url or DEFAULT_OLLAMA_URL).rstrip('/')}/v1" if served else BASE_URLS.get(provider)
+    if key_setting is None:
+        return url, KEYLESS
+    if not getattr(settings, key_setting):
+        raise MissingSettingError(ENVIRONMENT[key_setting], f"the {provider} provider needs it")
+    return url, getattr(settings, key_setting)
+
+
+def model_for(role: str, provider: str, asked: str | None = None, settings: Settings | None = None) -> str:
+    """The model asked for, else the settings', else the backend's own; ValueError where none is chosen."""
+    own = getattr(settings, {"embedding": "openai_embedding_model", "generation": "openai_gpt_model"}[role]) if settings and provider == "openai" else ""
+    model = asked or own or next((b[5] for b in BACKENDS[role] if b[0] == provider), None)
+    if not model:
+        raise ValueError(f"choose a model for {provider}")
+    return model
+
+
+def reply_text(blocks: list[dict]) -> str:
+    """The text of a reply made of blocks: those of type text, joined."""
+    return "".join(b.get("text", "") for b in blocks if b.get("type") == "text")
