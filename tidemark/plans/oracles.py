@@ -110,7 +110,7 @@ def oracle_sql() -> dict[str, str]:
         "relatedness_scores": f"WITH {SEED} SELECT vec_id, {score('CAST(embedding AS DOUBLE[])', 'w')} AS relatedness FROM embeddings, q",
         "topk_threshold": f"WITH {CORPUS}, {SEED} SELECT id, {score('v', 'w')} AS score FROM c, q WHERE {score('v', 'w')} >= 0.2",
         "embedding_frame": f"WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT CAST(len(v) AS BIGINT) AS width, {norm} AS norm FROM e",
-        "csv_embedding_parse": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 3) AS total FROM embeddings",
+        "csv_embedding_parse": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 6) AS total FROM embeddings",
         "collection_upsert": f"WITH {POINTS} SELECT id, origin, {norm} AS norm FROM fresh UNION ALL SELECT id, id AS origin, {norm} AS norm FROM p WHERE id < 300 AND id NOT IN (SELECT id FROM fresh)",
         "collection_append": f"WITH {POINTS} SELECT id, id AS origin FROM p WHERE id < 300 UNION ALL SELECT id + (SELECT count(*) FROM p WHERE id < 300) AS id, origin FROM fresh",
         "collection_count": "SELECT count(*) AS points FROM embeddings",

@@ -92,7 +92,7 @@ def embedding_frame_query(spark: SparkSession, d: str) -> DataFrame:
 
 def csv_embedding_parse(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").select("vec_id", F.to_json(F.transform("embedding", lambda x: F.round(x.cast("double"), 4))).alias("embedding"))
-    return parse_embeddings(e, ["embedding"]).select("vec_id", F.size("embedding").cast("bigint").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    return parse_embeddings(e, ["embedding"]).select("vec_id", F.size("embedding").cast("bigint").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
