@@ -235,16 +235,16 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(prints: DataFrame) -> DataFrame:
-    """Rows (fingerprint, component_id) for the distinct fingerprints of `prints` (doc_id, fingerprint).
+    """Rows (fingerprint, group, component_id) for the distinct fingerprints of `prints` (doc_id, fingerprint).
 
-    component_id is the smallest doc_id of the group (null where a group has null doc_ids only). Equal fingerprints
-    are one node, so exact copies cost one row however many there are.
+    group is the group's smallest fingerprint, component_id its smallest doc_id (null where it has null doc_ids only).
+    Equal fingerprints are one node, so exact copies cost one row however many there are.
     """
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
     groups = connected_components(fingerprint_links(nodes)).withColumnRenamed("node", "fingerprint")
     nodes = nodes.join(groups, "fingerprint", "left").select("fingerprint", "doc_id", F.coalesce("component", "fingerprint").alias("component"))
     smallest = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return nodes.join(smallest, "component").select("fingerprint", "component_id")
+    return nodes.join(smallest, "component").select("fingerprint", F.col("component").alias("group"), "component_id")
 
 
 def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     prints = materialise(with_fingerprints(docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))), "doc_fingerprints")
     groups = near_duplicate_groups(prints)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")
-    kept = prints.join(groups, "fingerprint").groupBy("component_id").agg(F.min(order).alias("kept")).select("kept.h1", "kept.h2")
-    marked = docs.select(*docs.columns, h1.alias("__h1"), h2.alias("__h2"))
-    chosen = marked.join(kept, (F.col("__h1") == F.col("h1")) & (F.col("__h2") == F.col("h2")), "left_semi")
-    return chosen.dropDuplicates(["__h1", "__h2"]).drop("__h1", "__h2")
+    kept = prints.join(groups, "fingerprint").groupBy("group").agg(F.min(order).alias("kept")).select(F.col("kept.h1").alias("__kept1"), F.col("kept.h2").alias("__kept2"))
+    marked = docs.select(*docs.columns, h1.alias("__row1"), h2.alias("__row2"))
+    chosen = marked.join(kept, (F.col("__row1") == F.col("__kept1")) & (F.col("__row2") == F.col("__kept2")), "left_semi")
+    return chosen.dropDuplicates(["__row1", "__row2"]).drop("__row1", "__row2")
