@@ -127,7 +127,9 @@ def _narrow(rows: DataFrame, number: Column, searches: list[Search], tolerance:
     place = None
     for s in searches:
         key = s.key if s.tie is None else "salt"
-        inside = F.col(key).between(s.low, s.high) if s.tie is None else F.col(s.key) == s.tie
+        inside = F.col(key).between(s.low, s.high)
+        if s.tie is not None:
+            inside &= F.col(s.key) == s.tie
         bin_ = F.when(inside, F.expr(f"({key} - {s.low}L) div {s.width}L"))
         place = F.when(F.col("node") == s.node.first, bin_) if place is None else place.when(F.col("node") == s.node.first, bin_)
     bins = rows.select(number.alias("node"), "size", *DIMENSIONS, "salt").select("node", "size", place.alias("bin")).where("bin is not null")
