@@ -96,7 +96,7 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
                     if len(own) >= k:
                         bound[at + i] = np.partition(own, len(own) - k)[len(own) - k]
         blob = packed(ids, row, matrix, bound)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([blob], pa.binary())], names=["part", "block"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([blob], pa.binary())], names=["part", "block"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
