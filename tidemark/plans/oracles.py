@@ -140,7 +140,7 @@ def oracle_sql() -> dict[str, str]:
         "conversation_append": f"WITH {MESSAGES} SELECT id, ref_id, chat_id, role FROM m UNION ALL SELECT (SELECT max(id) FROM m) + row_number() OVER (ORDER BY id), ref_id, 'again-' || CAST(id AS VARCHAR), role FROM m WHERE role = 'user'",
         "conversation_orphans": f"WITH {MESSAGES} SELECT id, ref_id, role FROM m WHERE CAST(ref_id AS INTEGER) % 3 = 0",
         "distinct_refs": f"WITH {MESSAGES} SELECT DISTINCT ref_id FROM m",
-        "context_concat": "WITH r AS (SELECT source, doc_id, substring(text, 1, 40) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE text IS NOT NULL) SELECT source, coalesce(string_agg(t, ' ' ORDER BY doc_id) FILTER (k <= n // 5), '') AS context FROM r GROUP BY source",
+        "context_concat": "WITH r AS (SELECT source, doc_id, substring(text, 1, 40) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) SELECT source, CAST(k // 100 AS BIGINT) AS part, string_agg(t, ' ' ORDER BY doc_id) AS context FROM r WHERE k < n // 5 GROUP BY ALL",
         "retrieved_context": TOP % 5 + f" SELECT {CONTEXT} AS context",
         "prompt_assembly": TOP % 5 + f", made AS (SELECT {text(INSTRUCTION)} || ': ' || {CONTEXT} AS prompt) SELECT prompt, {tokens('prompt')} AS tokens FROM made",
         "nonnull_text": "SELECT doc_id, source FROM documents WHERE text IS NOT NULL",

@@ -223,11 +223,18 @@ def distinct_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_concat(spark: SparkSession, d: str) -> DataFrame:
-    """The first fifth of the texts of each source, in order, joined by spaces."""
-    docs = read(spark, d, "documents").where("text is not null")
-    rows = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("t")))).alias("rows"))
-    part = F.slice("rows", 1, F.greatest(F.floor(F.size("rows") / 5).cast("int"), F.lit(0)))
-    return rows.select("source", F.array_join(F.transform(part, lambda x: x["t"]), " ").alias("context"))
+    """The first fifth of the texts of each source, in order, joined by spaces in parts of a hundred texts.
+
+    Places within a source come from places in the whole table, so a source with a third of all rows is never one
+    task's, and a part is as large as a context can be.
+    """
+    docs = read(spark, d, "documents").where("text is not null and source is not null")
+    placed = with_position(docs.select("source", "doc_id", F.substring("text", 1, 40).alias("t")), "source", "doc_id")
+    sources = placed.groupBy("source").agg(F.min("position").alias("first"), F.count("*").alias("n"))
+    place = F.col("position") - F.col("first")
+    head = placed.join(sources, "source").where(place < F.floor(F.col("n") / 5)).withColumn("part", F.floor(place / 100))
+    rows = head.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("rows"))
+    return rows.select("source", "part", F.array_join(F.transform("rows", lambda x: x["t"]), " ").alias("context"))
 
 
 def retrieved_context(spark: SparkSession, d: str) -> DataFrame:
