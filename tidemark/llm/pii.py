@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import texts_of
+from tidemark.llm.shared import sliced, texts_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "ssn", "iban")
@@ -229,7 +229,7 @@ def fit_pii(docs: DataFrame) -> SpanClassifier:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in texts_of(batch):
                 counts.update((k, v) for k, _, _, _, v in candidates(text))
         rows = list(counts.items())
@@ -265,7 +265,7 @@ def find_pii(docs: DataFrame, model: SpanClassifier) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [spans_of(t, model) for t in texts_of(batch)]
             counts = [[sum(k == i for _, k, _ in b) for b, _ in found] for i in range(len(BASE_KINDS))]
             yield pa.RecordBatch.from_arrays(
@@ -290,7 +290,7 @@ def redact_pii(docs: DataFrame, model: SpanClassifier) -> DataFrame:
     """`docs` with the personal data of `text` replaced; null texts stay null and all other columns pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = pa.array([t if t is None else redacted(t, model) for t in batch.column("text").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import remainder, training_rows
-from tidemark.llm.shared import texts_of
+from tidemark.llm.shared import sliced, texts_of
 from tidemark.llm.trees import BoostedTrees
 
 #: Labelled rows of each class that the trees are fitted on, at most.
@@ -66,7 +66,7 @@ def statistics(text: str) -> list[float]:
 
 
 def _statistics_in_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for t in texts_of(batch)], pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
 
 
@@ -94,7 +94,7 @@ def score_quality(docs: DataFrame, model: BoostedTrees) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([statistics(t) for t in texts_of(batch)], np.float64).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.predict(x))], names=["doc_id", "score"])
 

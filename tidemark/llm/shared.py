@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,17 +51,11 @@ def _remove_written(spark: SparkSession) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def per_batch(f: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """An Arrow mapper that calls `f` on each batch; `f` returns a dict of columns in the order of `schema`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = f(batch)
-                arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip((columns[n] for n in schema.names), schema.types, strict=True)]
-                yield pa.RecordBatch.from_arrays([a.cast(t) if a.type != t else a for a, t in zip(arrays, schema.types, strict=True)], schema=schema)
-
-    return run
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows, so that no more texts than those are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

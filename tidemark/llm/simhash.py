@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import materialise, texts_of
+from tidemark.llm.shared import materialise, sliced, texts_of
 
 SHINGLE = 3
 SEED = 42
@@ -63,7 +63,7 @@ def with_fingerprints(docs: DataFrame, column: str = "fingerprint") -> DataFrame
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f"{', ' if kept else ''}`{column}` bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             values = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(values)], names=[*(f.name for f in kept), column])
 

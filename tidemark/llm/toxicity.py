@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import remainder, training_rows
-from tidemark.llm.shared import texts_of
+from tidemark.llm.shared import sliced, texts_of
 
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.5
@@ -254,7 +254,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "toxicity
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{column}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts = np.array([model.counts(t) for t in texts_of(batch)]).reshape(-1, len(PATTERNS))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(counts))], names=[*batch.schema.names, column])
 
