@@ -27,7 +27,7 @@ from tidemark.llm.shared import sliced, texts_of
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.5
 #: Labelled rows of each class that are learned from, at most, and the longest text (bytes) among them.
-TRAIN_PER_CLASS, TRAIN_LONGEST = 3000, 1 << 15
+TRAIN_PER_CLASS, TRAIN_LONGEST = 3000, 1 << 14
 #: Words on either side of a match that its clause can reach, and unmarked words after which a scope ends.
 REACH, GAP_AFTER = 12, 5
 
@@ -201,11 +201,15 @@ def learn_lexicon(texts: list[str], labels: list[int], least: int = 5, most_clea
 
     clean_words = Counter(w for bag in bags[0] for w in bag)
     common = {w for w, n in clean_words.items() if n > 0.01 * len(bags[0]) + 1}
-    open_ = [i for i, bag in enumerate(bags[1])]
+    # Most features occur once; their hashes are counted first, eight bytes each, so that only the others are kept as text.
+    hashes = [np.array([hash(f) for f in features(bag - common)], np.int64) for bag in bags[1]]
+    values, n = np.unique(np.concatenate(hashes or [np.empty(0, np.int64)]), return_counts=True)
+    frequent = set(values[n >= least].tolist())
     holders: dict[str, list[int]] = defaultdict(list)
-    for i in open_:
-        for f in features(bags[1][i] - common):
-            holders[f].append(i)
+    for i, bag in enumerate(bags[1]):
+        for f in features(bag - common):
+            if hash(f) in frequent:
+                holders[f].append(i)
     holders = {f: ids for f, ids in holders.items() if len(ids) >= least}
     clean: Counter = Counter()
     for bag in bags[0]:
