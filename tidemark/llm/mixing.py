@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import materialise
+
 MOST = 3
 WEIGHTS = (1, 2, 3)
 
@@ -54,11 +56,12 @@ def mixing_plan(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     copies is floor(rate) and one more where a draw seeded by the document's id falls below the fraction; it depends on
     the id, the seed and the source's totals only. Null text: size 0. Null ids share one draw, and so do repeated ids.
-    Sources without words have target 0. The counts of a source are pre-aggregated in each task; the join back on the
-    source may be split where one source is hot.
+    Sources without words have target 0. The counts of a source are pre-aggregated in each task. The targets are written
+    before the join, so Spark knows their size: while they are under its broadcast threshold the documents, and their
+    texts, stay where they are; beyond it both sides are dealt out by source and a hot one is split.
     """
     sized = docs.select("*", word_count(F.col("text")).alias("__size"))
-    targets = source_targets(sized.select("source", F.col("__size").alias("size"))).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
+    targets = materialise(source_targets(sized.select("source", F.col("__size").alias("size"))), "source_targets").select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
     copies = F.floor("__rate") + (uniform(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("bigint")
     return sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("__copies", copies)
 
