@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.shared import texts_of
+from tidemark.llm.shared import sliced, texts_of
 
 CAPACITY = 2048
 END_ID = 1
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None =
             ids_out.clear()
             return pa.RecordBatch.from_arrays(columns, names=[*names, *["ids"] * with_ids])
 
-        for batch in batches:
+        for batch in sliced(batches):
             id_type = batch.column("doc_id").type
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 ids = coder.encode(text) + end
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None =
                 if packer.waiting >= GROUP:
                     for window in packer.windows(STAY):
                         put(window)
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield out()
         for window in packer.windows(0):
             put(window)
