@@ -124,11 +124,13 @@ def _meet(asked: tuple, held: tuple, rotation: np.ndarray, k: int) -> pa.RecordB
     for at in range(0, len(c), STEP):
         part = slice(at, at + STEP)
         slack = 1e-9 * q_norm * c_norm[at] + 1e-6
-        awake = np.flatnonzero(q_norm * c_norm[at] + slack >= bound)
+        # A score held at the least long may stand for any smaller sum, so that bound excludes nothing.
+        least = np.where(bound == np.iinfo(np.int64).min, -np.inf, bound.astype(float))
+        awake = np.flatnonzero(q_norm * c_norm[at] + slack >= least)
         if not len(awake):
             break
         most = rq[awake, :lead] @ rc[part, :lead].T + np.outer(q_rest[awake], c_rest[part]) + slack[awake, None]
-        hopeful = (most >= bound[awake, None]) & (row[None, part] != query_row[awake, None])
+        hopeful = (most >= least[awake, None]) & (row[None, part] != query_row[awake, None])
         live = np.flatnonzero(hopeful.any(1))
         if not len(live):
             continue
