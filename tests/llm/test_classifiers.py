@@ -120,6 +120,17 @@ def test_lexicon_is_learned_from_labels():
     assert any("zorkelqx".startswith(b) for b in beginnings) and not any(t.startswith(b) for t in " ".join(clean).split() for b in beginnings)
 
 
+def test_toxicity_scores_stay_put_when_a_class_is_cut(spark):
+    rnd = random.Random(2)
+    text = lambda toxic: " ".join([*("".join(rnd.choices("abcdefghij", k=6)) for _ in range(12)), *(["you idiot."] if rnd.random() < (0.7 if toxic else 0.1) else [])])
+    rows = [(i, text(i % 10 == 0), int(i % 10 == 0)) for i in range(3000)]
+    docs, labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    whole, cut = (toxicity.fit_toxicity(docs, labels, n) for n in (3000, 300))
+    for t in ("nice weather today", "you idiot."):
+        odds = [float(np.log(p / (1 - p))) for p in (m.score(m.counts(t)[None, :])[0] for m in (whole, cut))]
+        assert abs(odds[0] - odds[1]) < 0.3
+
+
 def test_toxicity_edge_cases(spark):
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (5, None)], "doc_id bigint, toxic int")
     docs = odd(spark)

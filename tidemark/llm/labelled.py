@@ -11,6 +11,18 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds))
 
 
+def labelled_ids(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """doc_id and label outside fold `held`: ids with a null label are left out; an id labelled twice has the larger label."""
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held))
+    return rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
+def sampling_weights(labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> tuple[float, float]:
+    """How many labelled ids a row of training_rows stands for, of class 0 and of class 1; 1 where a class is not cut."""
+    n = {r["label"]: r["count"] for r in labelled_ids(labels, label, folds, held).groupBy("label").count().collect()}
+    return max(n.get(0, 0) / per_class, 1.0), max(n.get(1, 0) / per_class, 1.0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, longest: int | None = None) -> DataFrame:
     """text and label of at most `per_class` labelled documents of each class outside fold `held`, the first by the hash of their id.
 
@@ -18,8 +30,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     `longest` bytes are not learned from. Only ids are chosen before the join, so what is broadcast has at most
     2 * per_class rows of two numbers.
     """
-    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held))
-    rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    rows = labelled_ids(labels, label, folds, held)
     chosen = None
     for kind in (0, 1):
         part = rows.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.labelled import remainder, training_rows
+from tidemark.llm.labelled import remainder, sampling_weights, training_rows
 from tidemark.llm.shared import sliced, texts_of
 
 FOLDS, HELD = 5, 0
@@ -170,15 +170,16 @@ class ToxicityModel:
     def score(self, counts: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.bias + np.log1p(counts) @ self.weights, -500, 500)))
 
-    def fit(self, counts: np.ndarray, y: np.ndarray, rounds: int = 30) -> None:
-        """Newton steps of a logistic regression whose weights are drawn to the prior."""
+    def fit(self, counts: np.ndarray, y: np.ndarray, stands_for: np.ndarray | None = None, rounds: int = 30) -> None:
+        """Newton steps of a logistic regression whose weights are drawn to the prior; a row counts `stands_for` times."""
+        times = np.ones(len(y)) if stands_for is None else stands_for
         x = np.concatenate([np.log1p(counts), np.ones((len(y), 1))], axis=1)
         mean = np.concatenate([PRIOR, [PRIOR_BIAS]])
-        w, strength = mean.copy(), PRIOR_STRENGTH * max(len(y), 50)
+        w, strength = mean.copy(), PRIOR_STRENGTH * max(times.sum(), 50)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            hess = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-            step = np.linalg.solve(hess, x.T @ (y - p) - strength * (w - mean))
+            hess = (x * (times * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
+            step = np.linalg.solve(hess, x.T @ (times * (y - p)) - strength * (w - mean))
             w = w + np.clip(step, -2, 2)
         self.weights, self.bias = w[:-1], float(w[-1])
 
@@ -242,14 +243,16 @@ def learn_lexicon(texts: list[str], labels: list[int], least: int = 5, most_clea
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> ToxicityModel:
     """Lexicon and weights from at most `per_class` labelled rows of each class outside the held-out fold.
 
-    The bias is moved from the sample's share of toxic rows to that of all labelled rows outside the fold. Without
+    Each row weighs as many labelled rows of its class outside the fold as it stands for, so that a score doesn't depend
+    on which class the sample cuts; a mere shift of the bias would leave out that the prior draws it as well. Without
     labels the seed lexicon and the prior weights remain.
     """
     rows = training_rows(docs, labels, "toxic", FOLDS, HELD, per_class, TRAIN_LONGEST).collect()
     texts, y = [r["text"] for r in rows], [r["label"] for r in rows]
     model = ToxicityModel(*learn_lexicon(texts, y))
     if rows:
-        model.fit(np.array([model.counts(t) for t in texts]), np.array(y, float))
+        weights = np.array(sampling_weights(labels, "toxic", FOLDS, HELD, per_class))
+        model.fit(np.array([model.counts(t) for t in texts]), np.array(y, float), weights[y])
     return model
 
 
