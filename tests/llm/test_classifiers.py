@@ -193,6 +193,28 @@ def test_reliabilities_and_further_spans():
     assert pii.redacted(text, model) == "call [PHONE] or password=[SECRET] end [CARD]"
 
 
+SOUND = {(k, (1, 1, c, 1, 1)): 20 for k in pii.KINDS for c in (0, 1)} | {(k, (1, 0, c, 1, 1)): 20 for k in pii.KINDS for c in (0, 1)} | {(k, (-1, -1, 0, -1, -1)): 20 for k in pii.KINDS}
+IBANS = "DE89370400440532013000 GB82WEST12345698765432 FR1420041010050500013M02606 ES9121000418450200051332 BE68539007547034 AT611904300234573201 PL61109010140000071219812874 SE4550000000058398257466 CH9300762011623852957 NL91ABNA0417164300 NO9386011117947 IT60X0542811101000000123456 MT84MALT011000012345MTLCAST001S".split()
+
+
+@pytest.mark.parametrize("iban", IBANS)
+def test_real_ibans_are_found_whole(iban):
+    model, spaced = pii.SpanClassifier(SOUND), " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+    for said in (iban, spaced):
+        for text, expected in ((f"account {said}.", "account [IBAN]."), (f"{said} BIC ABCD", "[IBAN] BIC ABCD"), (f"{said} or {said}", "[IBAN] or [IBAN]")):
+            assert pii.redacted(text, model) == expected
+    assert "[IBAN]" not in pii.redacted(f"account {iban[:2]}{(int(iban[2:4]) + 1) % 100:02}{iban[4:]}.", model)
+
+
+def test_failed_matches_keep_no_candidate_out():
+    model = pii.SpanClassifier(SOUND)
+    assert pii.redacted("call 555-123-4567 2024-01-02", model) == "call [PHONE] 2024-01-02"
+    assert pii.redacted("john [AT] example [DOT] com", model) == pii.redacted("john [at] example [dot] com", model) == "[EMAIL]"
+    assert pii.redacted("é john (At) example (Dot) com", model) == "é [EMAIL]"
+    text = "card 4111 1111 1111 1111 call +1 (319) 555-5132"
+    assert pii.redacted(text, model) == "card [CARD] call [PHONE]" and len(pii.spans_of(text, model)[1]) == 2
+
+
 def test_pii_edge_cases(spark):
     docs = odd(spark)
     model = pii.fit_pii(docs)

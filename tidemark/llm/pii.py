@@ -36,7 +36,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NATIONAL = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7} ?[A-Z0-9]{1,4}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?i)(?:password|passwd|secret|token|api[_-]?key)[ \t]{0,2}[=:][ \t]{0,2}[\"']?([A-Za-z0-9+/_-]{8,})")
 _SECRET_WORDS = ("password", "passwd", "secret", "token", "key")
 _SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]?(?:\(at\)|\[at\])[ ]?[A-Za-z0-9-]+(?:[ ]?(?:\(dot\)|\[dot\]|\.)[ ]?[A-Za-z0-9-]+)+")
@@ -95,6 +95,24 @@ def _quad_ok(s: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p[-4:] if len(p) > 4 else p) <= 255 for p in s.split("."))
 
 
+def _iban_ok(s: str) -> bool:
+    bare = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the IBAN pattern, each up to its last group with which the check holds: what follows may look like a group.
+
+    Where the check holds for none, the whole match is given and the next may begin within it.
+    """
+    at = 0
+    while m := _IBAN.search(text, at):
+        ends = [m.end(), *(i for i in range(m.end() - 1, m.start() + 14, -1) if text[i] == " ")]
+        end = next((e for e in ends if _iban_ok(text[m.start() : e])), None)
+        yield m.start(), end or m.end()
+        at = end or m.start() + 2
+
+
 def base_matches(text: str) -> list[tuple[str, int, int, bool]]:
     """kind, start, end and whether the check holds, of every leftmost non-overlapping match of the four base patterns."""
     found = [("email", a, b, True) for a, b in _emails(text)]
@@ -118,8 +136,8 @@ def further_candidates(text: str) -> Iterator[tuple[str, int, int]]:
     if "-" in text:
         yield from (("ssn", m.start(), m.end()) for m in _SSN.finditer(text))
     yield from (("phone", m.start(), m.end()) for m in _NATIONAL.finditer(text))
-    yield from (("iban", m.start(), m.end()) for m in _IBAN.finditer(text))
-    if "(at)" in text or "[at]" in text:
+    yield from (("iban", a, b) for a, b in _ibans(text))
+    if ("(" in text or "[" in text) and ("(at)" in (low := low or text.lower()) or "[at]" in low):
         yield from (("email", m.start(), m.end()) for m in _SPOKEN.finditer(text))
 
 
@@ -128,7 +146,7 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     s, digits = text[start:end], _digits(text[start:end])
     before = text[max(0, start - CONTEXT) : start].lower()
     if kind == "email":
-        domain = re.split(r"\.|\(dot\)|\[dot\]", s)[-1].strip().lower()
+        domain = re.split(r"\.|\(dot\)|\[dot\]", s.lower())[-1].strip()
         shape = 1 if domain.isalpha() and len(domain) >= 2 else -1
         listed = 1 if domain in TOP_DOMAINS else -1
         sound = 1 if not s.startswith((".", "-")) and ".." not in s and len(s) <= 254 else -1
@@ -157,7 +175,7 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         bare = s.replace(" ", "")
         shape = 1 if 15 <= len(bare) <= 34 else -1
         listed = 0
-        sound = 1 if int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 else -1
+        sound = 1 if _iban_ok(s) else -1
     context = 1 if any(c in before for c in CUES[kind]) else -1 if any(c in before for c in AGAINST) else 0
     beside = text[start - 1 : start] + text[end : end + 1]
     bounded = -1 if any(c.isalnum() or c in "_@/" for c in beside) else 1
@@ -165,13 +183,21 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
-    """kind, start, end, whether it is a base span, votes; further candidates that touch a span of their kind are left out."""
+    """kind, start, end, whether it is a base span, votes of all base matches and further candidates.
+
+    Further candidates that touch a base span, or an earlier further candidate whose check holds, are left out; what
+    fails its check is never accepted, so it keeps nothing out. An IBAN whose check holds stays although some of its
+    digits happen to be a base span.
+    """
     out = [(k, a, b, ok, votes(text, k, a, b)) for k, a, b, ok in base_matches(text)]
-    taken = [(a, b) for k, a, b, *_ in out]
+    taken = [(a, b) for _, a, b, ok, _ in out if ok]
     for k, a, b in further_candidates(text):
-        if all(b <= x or a >= y for x, y in taken):
-            out.append((k, a, b, False, votes(text, k, a, b)))
-            taken.append((a, b))
+        v = votes(text, k, a, b)
+        holds = k == "iban" and v[CHECKSUM] > 0
+        if all(b <= x or a >= y or holds and a <= x and y <= b for x, y in taken):
+            out.append((k, a, b, False, v))
+            if v[CHECKSUM] >= 0:
+                taken.append((a, b))
     return out
 
 
