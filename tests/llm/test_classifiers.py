@@ -131,6 +131,22 @@ def test_toxicity_scores_stay_put_when_a_class_is_cut(spark):
         assert abs(odds[0] - odds[1]) < 0.3
 
 
+def test_lexicon_of_a_table_is_that_of_its_texts(spark, small):
+    rows = read(spark, small, "documents").join(read(spark, small, "labels"), "doc_id").select("text", F.col("toxic").alias("label")).where("text is not null and label is not null")
+    plain = rows.collect()
+    assert toxicity.learn_lexicon_of(rows.repartition(5)) == toxicity.learn_lexicon([r["text"] for r in plain], [r["label"] for r in plain])
+
+
+def test_long_texts_are_learned_from(spark):
+    rnd = random.Random(3)
+    long = lambda: " ".join("".join(rnd.choices("abcdefghij", k=7)) for _ in range(4000))
+    rows = [(i, f"{long()} {'zorkelix' if i % 2 else 'blossom'} {long()}", i % 2) for i in range(60)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    score = [model.score(model.counts(f"{long()} {w} {long()}")[None, :])[0] for w in ("zorkelix", "blossom")]
+    assert score[0] > 0.5 > score[1]
+
+
 def test_toxicity_edge_cases(spark):
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (5, None)], "doc_id bigint, toxic int")
     docs = odd(spark)

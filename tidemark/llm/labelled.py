@@ -23,12 +23,11 @@ def sampling_weights(labels: DataFrame, label: str, folds: int, held: int, per_c
     return max(n.get(0, 0) / per_class, 1.0), max(n.get(1, 0) / per_class, 1.0)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, longest: int | None = None) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> DataFrame:
     """text and label of at most `per_class` labelled documents of each class outside fold `held`, the first by the hash of their id.
 
-    Ids with a null label are left out; an id that is labelled twice counts with the larger label; documents over
-    `longest` bytes are not learned from. Only ids are chosen before the join, so what is broadcast has at most
-    2 * per_class rows of two numbers.
+    Ids with a null label are left out; an id that is labelled twice counts with the larger label. Only
+    ids are chosen before the join, so what is broadcast has at most 2 * per_class rows of two numbers.
     """
     rows = labelled_ids(labels, label, folds, held)
     chosen = None
@@ -36,6 +35,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
         part = rows.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if longest:
-        texts = texts.where(F.octet_length("text") <= longest)
     return texts.join(F.broadcast(chosen), "doc_id").select("text", "label")

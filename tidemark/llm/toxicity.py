@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import remainder, sampling_weights, training_rows
-from tidemark.llm.shared import sliced, texts_of
+from tidemark.llm.shared import materialise, sliced, texts_of
 
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.5
-#: Labelled rows of each class that are learned from, at most, and the longest text (bytes) among them.
-TRAIN_PER_CLASS, TRAIN_LONGEST = 3000, 1 << 14
+#: Labelled rows of each class that are learned from, at most.
+TRAIN_PER_CLASS = 3000
 #: Words on either side of a match that its clause can reach, and unmarked words after which a scope ends.
 REACH, GAP_AFTER = 12, 5
 
@@ -187,6 +187,14 @@ class ToxicityModel:
 _WORD = re.compile(r"[^\W\d_]{4,}").findall
 
 
+def _bag(text: str) -> set[str]:
+    return set(_WORD(text.lower()))
+
+
+def _features(words: set[str]) -> set[str]:
+    return {f"={w}" for w in words} | {w[:n] for w in words for n in PREFIXES if len(w) > n}
+
+
 def learn_lexicon(texts: list[str], labels: list[int], least: int = 5, most_clean: float = 0.01) -> tuple[set[str], set[str]]:
     """(words, beginnings) that mark toxic texts: at most `most_clean` as frequent among the clean, each explaining at least `least` more.
 
@@ -194,29 +202,63 @@ def learn_lexicon(texts: list[str], labels: list[int], least: int = 5, most_clea
     beginning, a longer beginning before a shorter one.
     """
     every = dict(zip(texts, labels, strict=True))
-    bags = {kind: [set(_WORD(t.lower())) for t, k in every.items() if k == kind] for kind in (0, 1)}
-    seeds = {w for w in SEEDS[INSULT].split()}
-
-    def features(words: set[str]) -> set[str]:
-        return {f"={w}" for w in words} | {w[:n] for w in words for n in PREFIXES if len(w) > n}
-
-    clean_words = Counter(w for bag in bags[0] for w in bag)
-    common = {w for w, n in clean_words.items() if n > 0.01 * len(bags[0]) + 1}
-    # Most features occur once; their hashes are counted first, eight bytes each, so that only the others are kept as text.
-    hashes = [np.array([hash(f) for f in features(bag - common)], np.int64) for bag in bags[1]]
-    values, n = np.unique(np.concatenate(hashes or [np.empty(0, np.int64)]), return_counts=True)
-    frequent = set(values[n >= least].tolist())
-    holders: dict[str, list[int]] = defaultdict(list)
+    bags = {kind: [_bag(t) for t, k in every.items() if k == kind] for kind in (0, 1)}
+    held: dict[str, list[int]] = defaultdict(list)
     for i, bag in enumerate(bags[1]):
-        for f in features(bag - common):
-            if hash(f) in frequent:
-                holders[f].append(i)
-    holders = {f: ids for f, ids in holders.items() if len(ids) >= least}
-    clean: Counter = Counter()
-    for bag in bags[0]:
-        clean.update(f for f in features(bag) if f in holders)
+        for f in _features(bag):
+            held[f].append(i)
+    clean = Counter(f for bag in bags[0] for f in _features(bag) if f in held)
     share = len(bags[0]) / max(len(bags[1]), 1)
-    left = {f: set(ids) for f, ids in holders.items() if clean[f] <= most_clean * len(ids) * share}
+    holders = {f: ids for f, ids in held.items() if len(ids) >= least and clean[f] <= most_clean * len(ids) * share}
+    return _chosen(holders, {f for f in holders if not clean[f]}, len(bags[1]), least, lambda ids: {i: bags[1][i] for i in ids})
+
+
+def learn_lexicon_of(rows: DataFrame, least: int = 5, most_clean: float = 0.01) -> tuple[set[str], set[str]]:
+    """learn_lexicon of `rows` (text, label), an equal text with its larger label.
+
+    Executors take whole texts apart. The driver gets the features of enough toxic and few enough clean texts with their
+    holders, and the hashed words of those texts alone that are compared with each other.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 100):
+            bags = pa.array([sorted(_bag(t)) for t in texts_of(batch)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("label"), bags], names=["doc", "label", "words"])
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 100):
+            clean: Counter = Counter()
+            held: dict[str, list[int]] = defaultdict(list)
+            for doc, label, bag in zip(*(batch.column(c).to_pylist() for c in ("doc", "label", "words")), strict=True):
+                if label:
+                    for f in _features(set(bag)):
+                        held[f].append(doc)
+                else:
+                    clean.update(_features(set(bag)))
+            every = list(held.keys() | clean.keys())
+            for at in range(0, len(every), 100_000):
+                part = every[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([clean[f] for f in part], pa.int64()), pa.array([held.get(f, []) for f in part], pa.list_(pa.int64()))], names=["feature", "clean", "docs"])
+
+    one = rows.groupBy(F.xxhash64("text").alias("doc")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
+    bags = materialise(one.mapInArrow(words, "doc bigint, label int, words array<string>"), "toxicity_bags")
+    n = {r["label"]: r["count"] for r in bags.groupBy("label").count().collect()}
+    share = n.get(0, 0) / max(n.get(1, 0), 1)
+    found = bags.mapInArrow(features, "feature string, clean bigint, docs array<bigint>")
+    found = found.groupBy("feature").agg(F.sum("clean").alias("clean"), F.array_sort(F.flatten(F.collect_list("docs"))).alias("docs"))
+    kept = found.where((F.size("docs") >= least) & (F.col("clean") <= most_clean * F.size("docs") * F.lit(share))).collect()
+
+    def hashed(ids: set[int]) -> dict[int, set[int]]:
+        wanted = rows.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "doc bigint")
+        return {r["doc"]: set(r["words"]) for r in bags.join(F.broadcast(wanted), "doc").select("doc", F.transform("words", lambda w: F.xxhash64(w)).alias("words")).collect()}
+
+    return _chosen({r["feature"]: r["docs"] for r in kept}, {r["feature"] for r in kept if not r["clean"]}, n.get(1, 0), least, hashed)
+
+
+def _chosen(holders: dict[str, list[int]], unmixed: set[str], n_toxic: int, least: int, bags_of: Callable[[set[int]], dict[int, set]]) -> tuple[set[str], set[str]]:
+    """(words, beginnings) of the features in `holders`; those in `unmixed` no clean text has, and `bags_of` gives the words of toxic texts."""
+    seeds = {w for w in SEEDS[INSULT].split()}
+    left = {f: set(ids) for f, ids in holders.items()}
     words, beginnings = set(), set()
     while left:
         best = max(left, key=lambda f: (len(left[f]), f[0] == "=", len(f), f))
@@ -228,31 +270,45 @@ def learn_lexicon(texts: list[str], labels: list[int], least: int = 5, most_clea
         left = {f: rest for f, ids in left.items() if len(rest := ids - covered) >= least}
     # Marks that only ever come with others explain nothing more here, but may stand alone elsewhere: those that no
     # clean text has and many unlike toxic texts have (near copies of one text would share all their words).
-    many = max(4 * least, len(bags[1]) // 100)
-    for f in sorted((f for f, ids in holders.items() if len(ids) >= many and not clean[f]), key=lambda f: (-len(holders[f]), f[0] != "=", -len(f), f)):
+    many = max(4 * least, n_toxic // 100)
+
+    def explained(core: str) -> bool:
+        return any(core[:n] in beginnings for n in PREFIXES) or any(x.startswith(core) for x in (*words, *seeds, *beginnings))
+
+    further = [f for f in unmixed if len(holders[f]) >= many and not explained(f.lstrip("="))]
+    bags = bags_of({i for f in further for i in holders[f][:50]}) if further else {}
+    for f in sorted(further, key=lambda f: (-len(holders[f]), f[0] != "=", -len(f), f)):
         core = f.lstrip("=")
-        if any(core[:n] in beginnings for n in PREFIXES) or any(x.startswith(core) for x in (*words, *seeds, *beginnings)):
+        if explained(core):
             continue
         ids = holders[f][:50]
-        alike = [len(bags[1][a] & bags[1][b]) / len(bags[1][a] | bags[1][b]) for a, b in zip(ids, ids[1:], strict=False)]
+        alike = [len(bags[a] & bags[b]) / len(bags[a] | bags[b]) for a, b in zip(ids, ids[1:], strict=False)]
         if sum(alike) < 0.3 * len(alike):
             (words if f[0] == "=" else beginnings).add(core)
     return words | seeds, beginnings
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> ToxicityModel:
-    """Lexicon and weights from at most `per_class` labelled rows of each class outside the held-out fold.
+    """Lexicon and weights from whole texts of at most `per_class` labelled rows of each class outside the held-out fold.
+
+    The texts stay in the shared folder and with the executors; the driver gets features and counts of patterns.
 
     Each row weighs as many labelled rows of its class outside the fold as it stands for, so that a score doesn't depend
     on which class the sample cuts; a mere shift of the bias would leave out that the prior draws it as well. Without
     labels the seed lexicon and the prior weights remain.
     """
-    rows = training_rows(docs, labels, "toxic", FOLDS, HELD, per_class, TRAIN_LONGEST).collect()
-    texts, y = [r["text"] for r in rows], [r["label"] for r in rows]
-    model = ToxicityModel(*learn_lexicon(texts, y))
-    if rows:
+    rows = materialise(training_rows(docs, labels, "toxic", FOLDS, HELD, per_class), "toxicity_sample")
+    model = ToxicityModel(*learn_lexicon_of(rows))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 100):
+            yield pa.RecordBatch.from_arrays([pa.array([model.counts(t).tolist() for t in texts_of(batch)], pa.list_(pa.float64())), batch.column("label")], names=["counts", "label"])
+
+    counted = rows.mapInArrow(count, "counts array<double>, label int").collect()
+    if counted:
+        y = np.array([r["label"] for r in counted])
         weights = np.array(sampling_weights(labels, "toxic", FOLDS, HELD, per_class))
-        model.fit(np.array([model.counts(t) for t in texts]), np.array(y, float), weights[y])
+        model.fit(np.array([r["counts"] for r in counted]), y.astype(float), weights[y])
     return model
 
 
