@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 from itertools import product
@@ -157,3 +158,19 @@ def test_licences(spark):
     own = spark.createDataFrame([("own", "Plain!"), ("void", "...")], "license_id string, text string")
     assert {r["doc_id"]: r["license_id"] for r in licences.scan_licences(spark.createDataFrame(rows, DOCS), own).collect()}[8] == "own"
     assert licences.scan_licences(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("width", [*range(20, 72, 4), 72, 80])
+def test_rewrapped_licences_keep_their_id(spark, width):
+    holders = ("Copyright (c) 2020 Jane Doe", "Copyright 2020, Jane Doe", "copyright © Jane Doe", "Copyright The Tidemark Authors. All rights reserved.", "Copyright: Jane Doe")
+    rows = []
+    for i, (_, text) in enumerate(licences.KNOWN):
+        wrapped = "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False) for p in text.split("\n\n"))
+        rows += [(i, wrapped), *((i, f"{h}\n\n{wrapped}") for h in holders)]
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows) and [r for r in got if r["license_id"] != licences.KNOWN[r["doc_id"]][0]] == []
+
+
+def test_every_known_text_can_match(spark):
+    rows = spark.createDataFrame(licences.KNOWN, "license_id string, text string")
+    assert rows.where(F.length(licences.canonical(F.col("text"))) == 0).count() == 0

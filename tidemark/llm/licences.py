@@ -1,8 +1,8 @@
 """Licence scan by canonical digest lookup, in DataFrame operations alone.
 
-A text is brought to a canonical form (ASCII letters in lower case, copyright lines dropped, punctuation as white
-space, equivalent spellings made one, white space as single spaces) and its SHA-256 is joined with the digests of
-known licence texts. Whole texts match or don't; a licence inside a longer text is not its concern.
+A text is brought to a canonical form (ASCII letters in lower case, lines that name a copyright holder dropped,
+punctuation as white space, equivalent spellings made one, white space as single spaces) and its SHA-256 is joined with
+the digests of known licence texts. Whole texts match or don't; a licence inside a longer text is not its concern.
 """
 
 from __future__ import annotations
@@ -13,7 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that names a copyright holder, with the line break before it.
+#: A line that names a copyright holder, with the line break before it: a year, a sign or a name follows "copyright", not
+#: the rest of a wrapped sentence.
+HOLDER_LINE = (
+    r"(^|\n)[\x20\t]*(copyright(?=[^\n]*[a-z0-9©])(?![\x20\t]*(notices?|holders?|owners?|owned|licen[sc]es?|laws?|statements?|interests?|protection|acts?|claims?|rights?|information"
+    r"|and|or|in|is|as|of|to|on|for|under|from|with|that|this|shall|may)(?![a-z0-9]))(?![a-z0-9])|\(c\)|©|all rights reserved)[^\n]*"
+)
+#: What the SQL takes for such a line: any that begins like one. The two differ only on wrapped sentences.
 COPYRIGHT_LINE = r"(^|\n)[\x20\t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[!-/:-@\[-`{-~‘’“”–—]+"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -79,14 +85,15 @@ KNOWN = (
     ("0BSD", f"{_ISC_GRANT}.\n\n{_ISC_END}"),
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 )
+#: A notice that is empty in canonical form, so that nothing can match it; the SQL lists it and drops it.
+EMPTY_NOTICE = ("LicenseRef-All-Rights-Reserved", "All rights reserved.")
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null is null."""
     low = F.translate(text, UPPER, LOWER)
-    bare = F.regexp_replace(F.regexp_replace(low, COPYRIGHT_LINE, "\n"), PUNCTUATION, " ")
+    bare = F.regexp_replace(F.regexp_replace(low, HOLDER_LINE, "\n"), PUNCTUATION, " ")
     spaced = F.concat(F.lit("  "), F.regexp_replace(bare, BLANKS, "  "), F.lit("  "))
     same = reduce(lambda c, kv: F.replace(c, F.lit(f" {kv[0].replace(' ', '  ')} "), F.lit(f" {kv[1].replace(' ', '  ')} ")), SPELLINGS.items(), spaced)
     return F.trim(F.regexp_replace(same, BLANKS, " "))
@@ -134,7 +141,7 @@ def sql() -> str:
             out = f"replace({out}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
         return f"trim(regexp_replace({out}, '{BLANKS}', ' ', 'g'), ' ')"
 
-    values = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)
+    values = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in (*KNOWN, EMPTY_NOTICE))
     return f"""
 WITH known AS (
   SELECT sha256({form("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {values}) AS v(license_id, text)
