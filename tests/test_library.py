@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import accounting, conversations, locality, projects
 from tidemark.operators.positions import with_position
+from tidemark.plans.offline import OfflineTransport
 from tidemark.sources import configuration as conf
 from tidemark.sources import providers, vectors_csv
 from tidemark.sources.collections import VectorStore
@@ -38,6 +41,17 @@ def test_batches_of_a_hundred(spark):
     assert [(r["n_texts"], r["tokens"]) for r in got] == [(100, 500), (100, 500), (50, 250)]
 
 
+def test_positions_of_a_million_wide_rows(spark, tmp_path):
+    rows = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).alias("k"), F.repeat(F.lit("payload "), 12).alias("wide"), F.col("id"))
+    with_position(rows, "k", start=5).write.parquet(str(tmp_path / "p"))
+    got = spark.read.parquet(str(tmp_path / "p")).agg(F.count("*"), F.count_distinct("position"), F.min("position"), F.max("position")).first()
+    assert tuple(got) == (1_000_000, 1_000_000, 5, 1_000_004)
+    assert with_position(rows, "k").orderBy("position").limit(3).select("k").collect() == rows.orderBy("k").limit(3).select("k").collect()
+    assert with_position(rows.limit(0), "k").count() == 0
+    tied = with_position(spark.range(1000).select(F.lit(1).alias("k"), "id"), "k").collect()
+    assert sorted(r["position"] for r in tied) == list(range(1000))
+
+
 @pytest.mark.parametrize("name, slug", [("  Case   #42  ", "case-42"), ("!!!", "project"), ("Ünïcode Name", "n-code-name"), ("a--b", "a-b"), ("", "project")])
 def test_slugs(spark, name, slug):
     assert one(spark.createDataFrame([(name,)], "n string").select(T.slugify(F.col("n")))) == slug == conf.slug_of(name)
@@ -51,9 +65,9 @@ def test_loopback(spark, url, near):
 def test_locality(spark):
     rows = [("x", "embedding", "ollama", None, "http://box:1"), ("x", "generation", "anthropic", "m", ""), ("y", "embedding", "sentence-transformers", None, ""), ("y", "generation", "ollama", "llama3", "")]
     got = {r["config"]: r for r in locality.audit(spark.createDataFrame(rows, "config string, role string, provider string, model string, base_url string")).collect()}
-    assert got["x"]["summary"] == "not local: embedding (ollama) points at http://box:1, which is not this machine; generation (anthropic) sends content to a hosted API"
+    assert got["x"]["summary"] == "content leaves: embedding (ollama) answered by another host: http://box:1; generation (anthropic) goes to a hosted service"
     assert got["y"]["is_local"] and got["y"]["summary"] == locality.LOCAL
-    assert "pull llama3 into Ollama" in got["y"]["setup"] and "download all-MiniLM-L6-v2 once" in got["y"]["setup"]
+    assert got["y"]["setup"] == "while online, store a copy of all-MiniLM-L6-v2; while online, have the local server load llama3"
 
 
 PROJECTS = "position bigint, id string, slug string, embedding_model string"
@@ -111,13 +125,31 @@ def test_store(spark, tmp_path):
     assert store.collections() == []
 
 
+def test_store_keeps_what_readers_opened_and_one_row_an_id(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "vectors"))
+    store.create("c", 2)
+    store.add("c", [[1, 0], [0, 1]])
+    opened = store.points("c")
+    for i in range(3):
+        store.add("c", [[i, 1]])
+    assert opened.count() == 2
+    store.upsert("c", spark.createDataFrame([(1, [5.0, 5.0], None), (1, [5.0, 5.0], None), (7, [1.0, 1.0], None)], "id bigint, embedding array<double>, payload map<string,string>"))
+    assert sorted(r["id"] for r in store.points("c").collect()) == [0, 1, 7]
+    with pytest.raises(ValueError):
+        store.upsert("c", spark.createDataFrame([(1, [5.0], None)], "id bigint, embedding array<double>, payload map<string,string>"))
+
+
 def test_stream_into_store(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "s"))
     store.create("c", 2)
     schema = "id bigint, embedding array<double>, payload map<string,string>, at bigint"
+    source = lambda: stream_into(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, "c", str(tmp_path / "cp")).awaitTermination(60)
     spark.createDataFrame([(1, [1.0, 0.0], None, 1), (1, [0.0, 1.0], None, 2), (2, [1.0, 1.0], None, 1)], schema).write.parquet(str(tmp_path / "in"))
-    stream_into(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, "c", str(tmp_path / "cp")).awaitTermination(60)
+    source()
     assert {r["id"]: r["embedding"] for r in store.points("c").collect()} == {1: [0.0, 1.0], 2: [1.0, 1.0]}
+    spark.createDataFrame([(1, [9.0, 9.0], None, 1), (2, [2.0, 2.0], None, 3)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    source()
+    assert {r["id"]: r["embedding"] for r in store.points("c").collect()} == {1: [0.0, 1.0], 2: [2.0, 2.0]}
 
 
 def test_csv(spark, tmp_path):
@@ -132,7 +164,7 @@ def test_csv(spark, tmp_path):
         vectors_csv.load_text(spark, "text")
 
 
-def test_configuration(tmp_path, monkeypatch):
+def test_settings(tmp_path, monkeypatch):
     monkeypatch.setenv("OPENAI_API_KEY", "")
     monkeypatch.setenv("QDRANT_PORT", "6333")
     (tmp_path / ".env").write_text("OPENAI_API_KEY='from-file'\n# note\nexport OPENAI_GPT_MODEL=gpt-4o\n")
@@ -140,25 +172,112 @@ def test_configuration(tmp_path, monkeypatch):
     assert (s.openai_api_key, s.openai_gpt_model, s.qdrant_port, s.qdrant_host) == ("from-file", "gpt-4o", 6333, "h")
     with pytest.raises(conf.MissingSettingError):
         s.require("gemini_api_key")
-    home = tmp_path / "home"
-    registry = conf.Registry.load(home)
-    a, b = conf.Project.create("Case A", home), conf.Project.create('B "quoted" \\ name', home)
+    assert conf.Settings.resolve(s) is s
+    with pytest.warns(DeprecationWarning):
+        assert conf.Settings.resolve(str(tmp_path / ".env")).openai_api_key == "from-file"
+    with pytest.raises(TypeError):
+        conf.Settings.resolve(None)
+    monkeypatch.setenv("QDRANT_PORT", "x")
+    with pytest.raises(ValueError):
+        conf.Settings.from_env()
+
+
+def test_projects_and_registry(spark, tmp_path):
+    store = conf.ProjectStore(spark, tmp_path / "home")
+    store.create("Case A", embedding_model="large")
+    store.create('B "quoted" \\ name')
     with pytest.raises(FileExistsError):
-        conf.Project.create("case a", home)
-    registry.register(a)
-    registry.register(b)
-    a = a.with_settings(embedding_model="large", graph_enabled=True)
-    a.save()
-    assert conf.Project.load(b.root).name == 'B "quoted" \\ name'
-    assert conf.Registry.load(home).find("case-a").embedding_model == "" and registry.open("case-a").settings.embedding_model == "large"
-    assert [e.slug for e in conf.Registry.rebuild(home)] == ["b-quoted-name", "case-a"]
-    conf.save_defaults(home, conf.ProjectSettings(generation_model="gpt-4o", semantic_enabled=False))
-    made = a.settings_for(conf.Settings(openai_gpt_model=""), conf.load_defaults(home))
-    assert (made.openai_gpt_model, made.openai_embedding_model) == ("gpt-4o", "large") and made.sql_db_file_path.startswith(str(a.root))
-    assert a.settings.filled_from(conf.load_defaults(home)).semantic_enabled is True
-    assert registry.unregister("case-a") and not registry.unregister("case-a")
+        store.create("case a")
+    with pytest.raises(FileNotFoundError):
+        store.load("none")
+    assert store.paths("case-a")["canon"].is_dir() and store.paths("case-a")["config"].name == "project.toml"
+    store.register("case-a", "b-quoted-name")
+    store.save(store.load("case-a") | {"settings": {"embedding_model": "huge"}})
+    assert store.load("b-quoted-name")["name"] == 'B "quoted" \\ name'
+    assert [r["embedding_model"] for r in store.registry.orderBy("position").collect()] == ["large", ""] and store.open("case-a")["settings"] == {"embedding_model": "huge"}
+    store.register("case-a")
+    assert [r["slug"] for r in store.registry.orderBy("position").collect()] == ["b-quoted-name", "case-a"]
+    assert [r["slug"] for r in store.rebuild().orderBy("position").collect()] == ["b-quoted-name", "case-a"]
+    store.defaults = {"generation_model": "gpt-4o", "embedding_model": "small", "unknown": 1}
+    made = store.settings_for("case-a", conf.Settings())
+    assert (made.openai_gpt_model, made.openai_embedding_model) == ("gpt-4o", "huge") and made.sql_db_file_path.startswith(str(store.paths("case-a")["root"]))
+    assert store.settings_for("b-quoted-name", conf.Settings(openai_gpt_model="mine")).openai_gpt_model == "mine"
+    assert store.choices("b-quoted-name").first()["storage_backend"] == "sqlite"
+    assert store.unregister("case-a", files=True) and not store.unregister("case-a") and not store.paths("case-a")["root"].exists()
     with pytest.raises(KeyError):
-        registry.open("case-a")
+        store.open("case-a")
+
+
+class Stub:
+    """Answers like a server and keeps what it was asked."""
+
+    def __init__(self, usage=True):
+        self.asked, self.usage = [], usage
+
+    def post(self, path, body):
+        self.asked.append((path, body))
+        if path == "embeddings":
+            data = [{"index": i, "embedding": [float(i), 0.2, 0.3]} for i in range(len(body["input"]))]
+            return {"data": data[::-1], **({"usage": {"prompt_tokens": 5 * len(data)}} if self.usage else {})}
+        if path == "messages":
+            return {"content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "STUB "}, {"type": "text", "text": "REPLY"}], "usage": {"input_tokens": 3, "output_tokens": 2}}
+        return {"id": "chatcmpl-stub", "choices": [{"message": {"role": "assistant", "content": "STUB REPLY"}}], "usage": {"prompt_tokens": 11, "completion_tokens": 7, "total_tokens": 18, "extra": None}}
+
+    def get(self, path):
+        return {"data": [{"id": "b"}, {"id": "a"}]}
+
+
+def test_compatible_providers_and_their_use(spark):
+    log, stub, keys = providers.UsageLog(), Stub(), conf.Settings(openai_api_key="k", anthropic_api_key="k", ollama_base_url="http://b:1/")
+    embed = providers.make_provider("embedding", "openai", keys, log=log, transport=stub)
+    vectors = embed.embed(["x"] * 250)
+    assert [v[0] for v in vectors[:101]] == [*map(float, range(100)), 0.0] and len(stub.asked) == 3 and embed.embed([]) == []
+    assert [u.input_tokens for u in log] == [500, 500, 250] and embed.list_models() == ["a", "b"]
+    assert stub.asked[0][1]["model"] == "text-embedding-3-small"
+    chat = providers.make_provider("generation", "openai", keys, "gpt-4o", log, stub)
+    assert chat.generate("s", "u") == "STUB REPLY" and stub.asked[-1][1]["messages"] == [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]
+    claude = providers.make_provider("generation", "anthropic", keys, "some-model", log, stub)
+    assert claude.generate("s", "u") == "STUB REPLY" and stub.asked[-1][1]["max_tokens"] == 16000 and stub.asked[-1][1]["system"] == "s"
+    assert len(log) == 5 and log.uses[-1][2:] == (3, 2, True, True)
+    assert log.summary(spark) == "5 calls, 1,273 tokens, ~$0.0001 (1 unpriced)"
+    silent = providers.UsageLog()
+    providers.make_provider("embedding", "ollama", keys, "m", silent, Stub(usage=False)).embed(["a"])
+    assert silent.uses == [providers.Use("ollama", "m", 0, 0, False, False)]
+    with pytest.raises(NotImplementedError):
+        providers.make_provider("embedding", "gemini", conf.Settings(gemini_api_key="k"), "m", transport=stub).list_models()
+    with pytest.raises(ValueError):
+        providers.make_provider("generation", "openai", keys)
+
+
+def test_local_encoder_is_neither_billed_nor_counted():
+    class Encoder:
+        calls = 0
+
+        def encode(self, texts):
+            self.calls += 1
+            return [[i, i, i] for i in range(len(texts))]
+
+    log, encoder = providers.UsageLog(), Encoder()
+    local = providers.make_provider("embedding", "sentence-transformers", conf.Settings(), log=log, encoder=encoder)
+    assert local.embed(["a", "b"]) == [[0.0] * 3, [1.0] * 3] and local.embed([]) == [] and encoder.calls == 1
+    assert log.uses == [providers.Use("sentence-transformers", "all-MiniLM-L6-v2", 0, 0, False, False)]
+
+
+def test_requests_on_executors_write_a_ledger(spark):
+    texts = with_position(spark.range(250).select("id", F.repeat(F.lit("a"), F.col("id").cast("int")).alias("text")), "id").repartition(7)
+    vectors, ledger = providers.embedded(texts, lambda log: providers.CompatibleEmbedder("text-embedding-3-small", OfflineTransport(), log=log))
+    assert {r["id"]: r["embedding"] for r in vectors.collect()} == {i: [float(i), 0.0] for i in range(250)}
+    assert sorted(r["input_tokens"] for r in ledger.collect()) == [250, 500, 500]
+    said, ledger = providers.generated(spark.createDataFrame([(1, "a"), (2, None)], "k int, prompt string"), lambda log: providers.CompatibleGenerator("gpt-4o", OfflineTransport(), log=log), "s")
+    assert {r["k"]: r["reply"] for r in said.collect()} == {1: "1 characters", 2: "0 characters"} and ledger.count() == 2
+
+
+def test_reply_parts(spark):
+    reply = Stub().post("chat/completions", {})
+    assert providers.reply_message(reply) == ("assistant", "STUB REPLY")
+    assert providers.reply_usage(reply) == {"prompt_tokens": 11, "completion_tokens": 7, "total_tokens": 18} and providers.reply_usage({"usage": None}) == {}
+    row = providers.replies(spark.createDataFrame([(1, json.dumps(reply)), (2, "broken"), (3, '{"choices": []}')], "k int, reply string")).collect()
+    assert [(r["id"], r["role"], r["message"], r["output_tokens"]) for r in row] == [("chatcmpl-stub", "assistant", "STUB REPLY", 7), (None, None, "", 0), (None, None, "", 0)]
 
 
 def test_providers(spark):
@@ -170,8 +289,10 @@ def test_providers(spark):
             return [[float(len(t))] for t in texts]
 
     p = Counting()
-    assert len(providers.in_requests(p, ["x"] * 250)) == 250 and p.calls == 3
-    assert providers.in_requests(p, []) == [] and p.calls == 3
+    assert len(providers.in_requests(p.embed, ["x"] * 250)) == 250 and p.calls == 3
+    assert providers.in_requests(p.embed, []) == [] and p.calls == 3
+    with pytest.raises(ValueError):
+        providers.in_requests(lambda texts: [], ["a"])
     assert providers.in_order([(2, [2.0]), (0, [0.0]), (1, [1.0])]) == [[0.0], [1.0], [2.0]]
     df = providers.with_embeddings(spark.createDataFrame([(1, "abc"), (2, None)], "id int, text string"), Counting)
     assert {r["id"]: r["embedding"] for r in df.collect()} == {1: [3.0], 2: [0.0]}

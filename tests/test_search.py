@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import compare
 from tidemark.functions.vectors import cosine
 from tidemark.operators import search
+from tidemark.plans import oracles, queries
 from tidemark.sources.providers import HashEmbedder
 
 CORPUS = "id bigint, text string, embedding array<double>"
@@ -93,6 +95,58 @@ def test_walk_matches_model(spark, initial, threshold):
     assert np.allclose([r["score"] for r in got], [w[2] for w in want])
 
 
+def test_zero_vectors_match_sql(spark, tmp_path):
+    rnd = random.Random(8)
+    vectors = [(i, [0.0] * 4 if i % 5 == 3 else [rnd.uniform(-1, 1) for _ in range(4)], i % 4) for i in range(60)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    docs = [(i, f"text {i % 50}", f"src{i % 6}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("cosine_topk", "topk_threshold", "relatedness_scores", "collection_search", "batch_knn", "similarity_walk", "similarity_walk_initial", "cross_project_merge", "cross_project_query"):
+        assert compare(spark, queries.queries()[name], oracles.oracle_sql()[name], str(tmp_path)) > 0, name
+
+
+def test_no_first_vector_gives_no_hits(spark, tmp_path):
+    spark.createDataFrame([(1, [1.0, 0.0], 3)], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(1, "t", "s")], "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("cosine_topk", "topk_threshold", "relatedness_scores", "collection_search", "similarity_walk", "cross_project_merge", "cross_project_query"):
+        assert queries.queries()[name](spark, str(tmp_path)).count() == 0, name
+
+
+def test_nearest_neighbours_skip_cells_that_cannot_hold_any(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 16)
+    monkeypatch.setattr(search, "CELLS", 12)
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(12, 6))[:, None, :] * 4 + rng.normal(size=(12, 25, 6)) * 0.2).reshape(-1, 6)
+    df = make(spark, [(i, "", v.tolist()) for i, v in enumerate(x)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(u @ u.T, 6)
+    got = {}
+    for r in search.nearest_neighbours(df, df, 3).collect():
+        got.setdefault(r["src"], []).append((r["rnk"], r["dst"]))
+    for i in range(len(x)):
+        assert [d for _, d in sorted(got[i])] == np.lexsort((np.arange(len(x)), -scores[i]))[:3].tolist()
+
+
+def test_excluded_projects_are_never_asked(spark):
+    rows = [(0, "1", "a", "small"), (1, "2", "b", "large"), (2, "3", "c", "small"), (3, "4", "d", "")]
+    asked = []
+
+    def query(slug):
+        asked.append(slug)
+        return spark.createDataFrame([(1, {"a": 0.9, "c": 0.95}.get(slug, 0.1))], "id bigint, score double")
+
+    hits, selection = search.search_projects(spark.createDataFrame(rows, "position bigint, id string, slug string, embedding_model string"), query, default_model="small")
+    assert [(r["project"], r["score"]) for r in hits.collect()] == [("c", 0.95), ("a", 0.9), ("d", 0.1)] and asked == ["a", "c", "d"]
+    assert selection.where("not included").first()["slug"] == "b"
+
+
+def test_engines(spark):
+    engine = search.FrameEngine(make(spark, [(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0])]))
+    assert [r["id"] for r in engine.search_query([0.0, 2.0], 1).collect()] == [2]
+    with pytest.raises(TypeError):
+        search.SearchEngine()
+
+
 def test_walk_ends_where_rows_end(spark):
     df = make(spark, [(0, "a", [1.0, 0.0])])
     assert [r["document"] for r in search.similarity_walk(df, [1.0, 0.0], 1, 5, 0.1).collect()] == ["a"]

@@ -27,8 +27,18 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in [-1, 1]; NULL for a zero vector, a NULL or vectors of different width."""
-    value = F.try_divide(dot(a, b), norm(a) * norm(b))
-    return F.when(F.size(a) == F.size(b), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    return F.when(F.size(a) == F.size(b), clamped(F.try_divide(dot(a, b), norm(a) * norm(b))))
+
+
+def clamped(value: Column) -> Column:
+    """`value` held within [-1, 1]; NULL and NaN stay without a value (least and greatest alone would skip NULL)."""
+    return F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+
+
+def unit(vector: Column) -> Column:
+    """The vector scaled to length one; NULL for a zero vector or one without a finite length."""
+    length = norm(vector)
+    return F.when((length > 0) & (length < float("inf")), F.transform(vector, lambda x: x / length))
 
 
 def rounded_cosine(a: Column, b: Column, places: int = 6) -> Column:

@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.tables import materialise
+
+#: monotonically_increasing_id() keeps the place within a partition in these low bits.
+PLACE_BITS = 33
+
 
 def with_position(df: DataFrame, *order: str, name: str = "position", start: int = 0) -> DataFrame:
-    """`df` with a bigint from `start` in the given order.
+    """`df` with a bigint from `start` in the given order; ties keep the order of reading.
 
-    Rows are range-partitioned by the order, numbered within their range, and each range starts where the ranges
-    before it end; so no task sees all rows. The window over ranges has one row a partition.
+    The rows are range-partitioned and sorted once, each with its range and its place there, and that table is written:
+    whatever a later plan prunes, coalesces or runs again, ranges stay as they are. Each range starts where the ranges
+    before it end; the driver sees one count a range. Columns of `df` pass through; an empty table has no rows.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__part", before.alias("__before"))
-    local = F.row_number().over(W.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn("__local", local).join(offsets, "__part").withColumn(name, (F.col("__before") + F.col("__local") - 1 + start).cast("bigint")).drop("__part", "__local", "__before")
+    spark = df.sparkSession
+    ranged = df.withColumn("__read", F.monotonically_increasing_id()).repartitionByRange(*order, "__read").sortWithinPartitions(*order, "__read")
+    rows = materialise(ranged.drop("__read").withColumn("__at", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("__at", PLACE_BITS).alias("__part")
+    first, starts = start, []
+    for r in sorted(rows.groupBy(part).agg(F.count("*").alias("n")).collect()):
+        starts.append((r["__part"], first))
+        first += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "__part bigint, __first bigint"))  # a row a partition
+    local = F.col("__at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    numbered = rows.withColumn("__part", F.shiftright("__at", PLACE_BITS)).join(offsets, "__part").withColumn(name, F.col("__first") + local)
+    return numbered.select(*(c for c in df.columns if c != name), name)

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# The library's default embedding model and the reason for leaving a project out.
+# The library's default embedding model, the reason for leaving a project out and the notice of it.
 DEFAULT_EMBEDDING_MODEL = "text-embedding-3-small"
 MISMATCH = "different embedding model"
+NOTICE = f"%d of %d projects skipped — {MISMATCH}: %s"
 
 
 def chosen(*values: Column) -> Column:
@@ -55,7 +56,7 @@ def selection_notice(selection: DataFrame) -> DataFrame:
     named = F.concat(F.col("slug"), F.when(F.col("embedding_model") != "", F.concat(F.lit(" ("), F.col("embedding_model"), F.lit(")"))).otherwise(""))
     gone = F.array_sort(F.collect_list(F.when(~F.col("included"), F.struct("position", named.alias("named")))))
     parts = selection.agg(F.count("*").alias("total"), F.count_if(~F.col("included")).alias("k"), F.array_join(F.transform(gone, lambda x: x["named"]), ", ").alias("list"))
-    return parts.select(F.when(F.col("k") == 0, "").otherwise(F.format_string(f"%d of %d projects skipped — {MISMATCH}: %s", "k", "total", "list")).alias("notice"))
+    return parts.select(F.when(F.col("k") == 0, "").otherwise(F.format_string(NOTICE, "k", "total", "list")).alias("notice"))
 
 
 def register(registry: DataFrame, entries: DataFrame) -> DataFrame:

@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import math
 import pickle
+from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.vectors import as_doubles, cosine, literal, rounded_cosine
+from tidemark.functions.vectors import as_doubles, clamped, cosine, dot, literal, rounded_cosine, unit
+from tidemark.operators.projects import DEFAULT_EMBEDDING_MODEL, chosen, select_projects
+from tidemark.tables import materialise
 
 #: Vectors in one block of a batch search.
 BLOCK = 4096
+#: Sampled vectors that give a batch search its cells and first bounds, and cells at most: what all tasks get.
+SAMPLE, CELLS = 2048, 256
+PLACES = 6
+
+
+class SearchEngine(ABC):
+    """Whatever answers a vector with its nearest rows."""
+
+    @abstractmethod
+    def search_query(self, embedded_query: Sequence[float], top_k: int = 10, **options: object) -> DataFrame: ...
+
+
+class FrameEngine(SearchEngine):
+    """A search engine over one DataFrame (id, text, embedding)."""
+
+    def __init__(self, corpus: DataFrame) -> None:
+        self.corpus = corpus
+
+    def search_query(self, embedded_query: Sequence[float], top_k: int = 10, **options: object) -> DataFrame:
+        return cosine_top_k(self.corpus, embedded_query, top_k, **options)
 
 
 def query_vector(query: str | None, embedding: Sequence[float] | None, embed: Callable[[list[str]], list] | None = None) -> list[float]:
@@ -51,51 +75,119 @@ def above(corpus: DataFrame, vector: Sequence[float], threshold: float) -> DataF
     return scored.where(F.col("score") >= threshold)
 
 
+def _pivots(sample: np.ndarray, most: int) -> np.ndarray:
+    """Rows of `sample` (of length one) spread out: each is the one least like those before it."""
+    chosen_rows, nearest = [0], sample @ sample[0]
+    while len(chosen_rows) < min(most, len(sample)) and nearest.min() < 1 - 1e-9:
+        chosen_rows.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, sample @ sample[chosen_rows[-1]])
+    return sample[chosen_rows]
+
+
+def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ y.T, -1, 1))
+
+
 def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """src, rnk, dst, score: the k rows of `corpus` nearest to each row of `queries` (both: id, embedding).
 
-    Both sides are packed into blocks of at most BLOCK vectors, every pair of blocks is multiplied once, and k rows of
-    each query leave a pair. Nothing is broadcast. Zero, NULL or differently wide vectors have no score.
+    Exact. Rows are filed under the nearest of at most CELLS sampled pivots, whose widest member angle is measured over
+    all rows. Queries go in blocks of like vectors, each with the least of its members' k-th scores within a bounded
+    sample; by the triangle inequality of angles a block asks only cells that can hold a score that high, and blocks and
+    cells meet in an equi-join. What meets is one matrix product, of which k rows a query leave. Ties fall to the
+    smaller dst. Zero, NULL or non-finite vectors have no score; vectors of different widths never meet.
     """
     spark = corpus.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    units = [materialise(df.select("id", unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null").select("id", "u", F.size("u").alias("width")), "unit_vectors") for df in (queries, corpus)]
+    held = units[1]
+    sample: dict[int, list] = {}
+    for r in held.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("width", "u").collect():
+        sample.setdefault(r["width"], []).append(r["u"])
+    first = {w: np.array(v) for w, v in sample.items()}
+    pivots = {w: _pivots(x, CELLS) for w, x in first.items()}
+    counted = held.count()
+    parts = max(1, -(-counted // BLOCK))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            width, rows = b.column("width").to_numpy(), b.column("u").to_pylist()
+            cell, angle = np.full(len(rows), -1, np.int32), np.full(len(rows), math.pi)
+            for w in set(width.tolist()) & pivots.keys():
+                at = np.flatnonzero(width == w)
+                apart = _angles(np.array([rows[i] for i in at]), pivots[w])
+                cell[at], angle[at] = apart.argmin(1), apart.min(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(angle)], names=[*b.schema.names, "cell", "angle"])
+
+    def filed(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(cells, "id bigint, u array<double>, width int, cell int, angle double")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of one width and cell: width, cell, block."""
+        waiting: dict[tuple[int, int], list] = {}
+
+        def out(key: tuple[int, int]) -> pa.RecordBatch:
+            ids, rows = zip(*waiting.pop(key), strict=True)
+            blob = pickle.dumps((np.array(ids, np.int64), np.array(rows)), protocol=5)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([blob], pa.binary())], names=["width", "cell", "block"])
+
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
-                blob = pickle.dumps((part.column("id").to_numpy(zero_copy_only=False), part.column("embedding").to_pylist()), protocol=5)
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([blob], pa.binary())], names=["part", "block"])
+            for i, u, w, c in zip(*(b.column(n).to_pylist() for n in ("id", "u", "width", "cell")), strict=True):
+                waiting.setdefault((w, c), []).append((i, u))
+                if len(waiting[w, c]) == BLOCK:
+                    yield out((w, c))
+        for key in list(waiting):
+            yield out(key)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    by_cell = materialise(filed(held), "cells")
+    reach = {(r["width"], r["cell"]): r["angle"] for r in by_cell.groupBy("width", "cell").agg(F.max("angle").alias("angle")).collect()}
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block of queries for each cell that can hold one of their k nearest."""
         for b in batches:
-            for asked, held in zip(b.column("asked").to_pylist(), b.column("block").to_pylist(), strict=True):
-                yield _nearest(*pickle.loads(asked), *pickle.loads(held), k)
+            for w, blob in zip(b.column("width").to_pylist(), b.column("block").to_pylist(), strict=True):
+                there = [c for v, c in reach if v == w]
+                if not there:
+                    continue
+                x = pickle.loads(blob)[1]
+                centre = x.mean(0) / max(np.linalg.norm(x.mean(0)), 1e-300)
+                own = float(_angles(x, centre[None, :]).max())
+                scores, enough = x @ first[w].T, len(first[w]) >= k > 0
+                bound = float(np.partition(scores, len(first[w]) - k, axis=1)[:, len(first[w]) - k].min()) if enough else -1.0
+                apart = _angles(centre[None, :], pivots[w][there])[0] - own - np.array([reach[w, c] for c in there])
+                live = [c for c, a in zip(there, apart.tolist(), strict=True) if math.cos(max(a, 0.0)) >= bound - 2 * 10.0**-PLACES]
+                yield pa.RecordBatch.from_arrays([pa.array([w] * len(live), pa.int32()), pa.array(live, pa.int32()), pa.array([blob] * len(live), pa.binary())], names=["width", "cell", "asked"])
 
-    def blocks(df: DataFrame) -> DataFrame:
-        rows = df.where(F.col("embedding").isNotNull()).select("id", as_doubles(F.col("embedding")).alias("embedding"))
-        return rows.repartition(parts, "id").mapInArrow(pack, "part int, block binary")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for asked, block in zip(b.column("asked").to_pylist(), b.column("block").to_pylist(), strict=True):
+                yield _nearest(*pickle.loads(asked), *pickle.loads(block), k)
 
-    asked = blocks(queries).select(F.col("block").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    found = asked.join(blocks(corpus), "part").select("asked", "block").mapInArrow(meet, "src bigint, dst bigint, score double")
+    blocks, kinds = "width int, cell int, block binary", "width int, cell int, asked binary"
+    corpus_blocks = by_cell.repartitionByRange(parts, "width", "cell", "id").mapInArrow(pack, blocks)
+    asked = filed(units[0]).repartitionByRange(parts, "width", "cell", "id").mapInArrow(pack, blocks).mapInArrow(ask, kinds)
+    found = asked.join(corpus_blocks, ["width", "cell"]).select("asked", "block").mapInArrow(meet, "src bigint, dst bigint, score double")
     rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
     return found.withColumn("rnk", rank).where(F.col("rnk") <= k).select("src", "rnk", "dst", "score")
 
 
-def _nearest(src: np.ndarray, asked: list, dst: np.ndarray, held: list, k: int) -> pa.RecordBatch:
-    out: list[tuple] = []
-    for width in {len(v) for v in asked} & {len(v) for v in held}:
-        a, b = ([i for i, v in enumerate(side) if len(v) == width] for side in (asked, held))
-        x, y = np.array([asked[i] for i in a], float), np.array([held[i] for i in b], float)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scores = (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
-        scores = np.round(np.clip(scores, -1, 1), 6)
-        for i, row in zip(a, scores, strict=True):
-            good = np.flatnonzero(np.isfinite(row))
-            best = good[np.lexsort((dst[b][good], -row[good]))[:k]]
-            out += [(int(src[i]), int(dst[b[j]]), float(row[j])) for j in best]
-    columns = list(zip(*out, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["src", "dst", "score"])
+def _nearest(src: np.ndarray, x: np.ndarray, dst: np.ndarray, y: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of a block for each query of a block, by matrix product and partition."""
+    out: list[list[np.ndarray]] = [[], [], []]
+    for at in range(0, len(src), 512):
+        scores = np.round(np.clip(x[at : at + 512] @ y.T, -1, 1), PLACES)
+        most = min(k, len(dst))
+        if not most:
+            continue
+        least = np.partition(scores, len(dst) - most, axis=1)[:, len(dst) - most]
+        i, j = np.nonzero(scores >= least[:, None])
+        order = np.lexsort((dst[j], -scores[i, j], i))
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[rank < k], j[rank < k]
+        for column, values in zip(out, (src[at + i], dst[j], scores[i, j]), strict=True):
+            column.append(values)
+    kinds = (np.int64, np.int64, np.float64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, t)) for c, t in zip(out, kinds, strict=True)], names=["src", "dst", "score"])
 
 
 def similarity_walk(corpus: DataFrame, vector: Sequence[float], top_k: int = 5, depth: int = 50, score_threshold: float = 0.85, score_based_on_initial_query: bool = False) -> DataFrame:
@@ -104,30 +196,38 @@ def similarity_walk(corpus: DataFrame, vector: Sequence[float], top_k: int = 5,
     `corpus` has id, text, embedding. Each hop ranks the corpus by the current vector, takes the best row (on later
     hops the one after the row itself) and stops below the threshold; a text already visited gives way to the next of
     the top_k that isn't, which must reach the threshold as well. With `score_based_on_initial_query` the scores tested
-    and reported are those against the first vector, while ranks stay those of the hop. Visits are told by text. A hop
-    is one distributed top-k over the cached corpus that returns top_k rows; hops depend on each other, so they follow
-    one another. Too few rows end the walk.
+    and reported are those against the first vector, while ranks stay those of the hop. Visits are told by text. Rows
+    without a score take no part; a first vector without a length walks nowhere; too few rows end the walk.
+
+    Vectors are scaled to length one once and cached with the score of the first vector where that is asked for; a hop
+    is one dot product a row and a distributed top-k of which top_k rows come back. Hops depend on each other.
     """
     spark = corpus.sparkSession
-    rows = corpus.select("id", "text", as_doubles(F.col("embedding")).alias("embedding")).persist()
-    steps, seen, current = [], set(), list(vector)
+    length = math.sqrt(sum(float(x) * x for x in vector))
+    steps: list[tuple] = []
+    if not 0 < length < math.inf:
+        return spark.createDataFrame(steps, "step int, document string, score double")
+
+    def score(v: Sequence[float]) -> Column:
+        return F.when(F.size("u") == len(v), F.round(clamped(dot(F.col("u"), literal(v))), PLACES))
+
+    current = [float(x) / length for x in vector]
+    rows = corpus.select("id", "text", unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null")
+    said = "first" if score_based_on_initial_query else "score"
+    rows = (rows.withColumn("first", score(current)) if score_based_on_initial_query else rows).persist()
+    seen: set[str | None] = set()
     try:
         for hop in range(depth):
-            ranked = rows.withColumn("first", rounded_cosine(F.col("embedding"), literal(vector)))
-            near = cosine_top_k(ranked, current, top_k).collect()
+            near = rows.withColumn("score", score(current)).where("score is not null").orderBy(F.desc("score"), "id").limit(top_k).collect()
             at = 0 if hop == 0 else 1
-            if len(near) <= at:
-                break
-            score = "first" if score_based_on_initial_query else "score"
-            head = near[at]
-            if head[score] < score_threshold:
+            if len(near) <= at or near[at][said] < score_threshold:
                 break
-            chosen = next((r for r in near[at:] if r["text"] not in seen), None)
-            if chosen is None or chosen[score] < score_threshold:
+            fresh = next((r for r in near[at:] if r["text"] not in seen), None)
+            if fresh is None or fresh[said] < score_threshold:
                 break
-            seen.add(chosen["text"])
-            steps.append((hop + 1, chosen["text"], float(chosen[score])))
-            current = chosen["embedding"]
+            seen.add(fresh["text"])
+            steps.append((hop + 1, fresh["text"], float(fresh[said])))
+            current = fresh["u"]
     finally:
         rows.unpersist()
     return spark.createDataFrame(steps, "step int, document string, score double")
@@ -141,5 +241,29 @@ def merge_project_hits(hits: DataFrame, selected: DataFrame, limit: int | None =
     """
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
-    merged = hits.join(selected.select(F.col("slug").alias("project")), "project", "left_semi").orderBy(F.desc("score"), "project", "id")
+    merged = of_projects(hits, selected).orderBy(F.desc("score"), "project", "id")
     return merged if limit is None else merged.limit(limit)
+
+
+def of_projects(rows: DataFrame, selected: DataFrame) -> DataFrame:
+    """The rows (project, ...) of the projects in `selected` (slug); done before scoring, only these are scored."""
+    return rows.join(selected.select(F.col("slug").alias("project")), "project", "left_semi")
+
+
+#: Runs the search of one project, named by its slug: id, score and what else the hits carry.
+ProjectQuery = Callable[[str], DataFrame]
+
+
+def search_projects(projects: DataFrame, query: ProjectQuery, embedding_model: str | None = None, default_model: str | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Merged hits of all projects that may be searched together, and the selection behind them.
+
+    `projects` has position, id, slug, embedding_model; one that has chosen no model has `default_model`, else the
+    library's. `query` is called once for each included project, in order, and never for an excluded one; the driver
+    sees the slugs. Scores compare because the selection guarantees one model.
+    """
+    model = chosen(F.col("embedding_model"), F.lit(default_model or DEFAULT_EMBEDDING_MODEL))
+    selection = select_projects(projects.withColumn("embedding_model", model), embedding_model)
+    included = selection.where("included").orderBy("position").select("slug")
+    hits = [query(r["slug"]).withColumn("project", F.lit(r["slug"])) for r in included.collect()]
+    empty = projects.sparkSession.createDataFrame([], "id bigint, score double, project string")
+    return merge_project_hits(reduce(DataFrame.unionByName, hits) if hits else empty, included, limit), selection

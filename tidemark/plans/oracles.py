@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from tidemark.functions.text import DEFAULT_OLLAMA_URL, ENCODINGS, LOOPBACK_HOSTS
 from tidemark.operators.accounting import PRICES
-from tidemark.operators.locality import BACKENDS, LOCAL
-from tidemark.plans.queries import CHAT_MODELS, DEFAULTS, EMBEDDING_MODELS, INSTRUCTION, LIBRARY, URLS
+from tidemark.operators.locality import BACKENDS, ELSEWHERE, FETCH, HOSTED, IN_PROCESS, LOCAL, ON_THIS_HOST, PULL
+from tidemark.operators.projects import MISMATCH, NOTICE
+from tidemark.plans.offline import PER_PROMPT, PER_REPLY, PER_TEXT
+from tidemark.plans.queries import CHAT_MODELS, CONTEXT_TEXTS, DEFAULTS, EMBEDDING_MODELS, INSTRUCTION, LIBRARY, URLS
 
 CORPUS = "c AS (SELECT e.vec_id AS id, d.text, d.source, CAST(e.embedding AS DOUBLE[]) AS v FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"
 SEED = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS w FROM embeddings WHERE vec_id = 0)"
 
 
 def score(a: str, b: str) -> str:
-    return f"round(greatest(-1.0, least(1.0, list_cosine_similarity({a}, {b}))), 6)"
+    """The rounded cosine; NULL where a vector is zero, which DuckDB calls NaN."""
+    cosine = f"list_cosine_similarity({a}, {b})"
+    return f"(CASE WHEN NOT isnan({cosine}) THEN round(greatest(-1.0, least(1.0, {cosine})), 6) END)"
 
 
 def tokens(c: str) -> str:
@@ -44,10 +48,10 @@ p AS (SELECT position, md5(source) AS id, {slug("source")} AS slug, source AS na
 target AS (SELECT embedding_model FROM p GROUP BY 1 ORDER BY count(*) DESC, min(position) LIMIT 1),
 chosen AS (SELECT *, embedding_model = (SELECT embedding_model FROM target) AS included FROM p)"""
 HITS = f"{CORPUS}, {SEED}, hits AS (SELECT {slug('source')} AS project, id, {score('v', 'w')} AS score FROM c, q), {PROJECTS}"
-MERGED = f"WITH {HITS} SELECT project, id, score FROM hits WHERE project IN (SELECT slug FROM chosen WHERE included) ORDER BY score DESC, project, id"
-TOP = f"WITH {CORPUS}, {SEED}, hits AS (SELECT id, text, {score('v', 'w')} AS score FROM c, q ORDER BY score DESC, id LIMIT %d)"
+MERGED = f"WITH {HITS} SELECT project, id, score FROM hits WHERE score IS NOT NULL AND project IN (SELECT slug FROM chosen WHERE included) ORDER BY score DESC, project, id"
+TOP = f"WITH {CORPUS}, {SEED}, hits AS (SELECT id, text, {score('v', 'w')} AS score FROM c, q WHERE {score('v', 'w')} IS NOT NULL ORDER BY score DESC, id LIMIT %d)"
 CONTEXT = "(SELECT string_agg(text, chr(10) ORDER BY score DESC, id) || chr(10) FROM hits)"
-POINTS = "p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), fresh AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, id AS origin, v FROM p WHERE label < 3)"
+POINTS = "p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), fresh AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, id AS origin, v FROM p WHERE label = 3)"
 URL_TABLE = "u(url) AS (VALUES " + ", ".join(f"({text(x)})" for x in URLS) + ")"
 
 
@@ -63,8 +67,8 @@ def loopback(c: str) -> str:
 def walk(threshold: float, initial: bool, depth: int = 50) -> str:
     said = "f" if initial else "score"
     return f"""
-WITH RECURSIVE {CORPUS}, {SEED}, f AS (SELECT id, {score("v", "w")} AS f FROM c, q),
-s AS (SELECT a.id AS src, b.id AS dst, b.text, {score("a.v", "b.v")} AS score FROM c a, c b),
+WITH RECURSIVE {CORPUS}, {SEED}, f AS (SELECT id, {score("v", "w")} AS f FROM c, q WHERE {score("v", "w")} IS NOT NULL),
+s AS (SELECT a.id AS src, b.id AS dst, b.text, {score("a.v", "b.v")} AS score FROM c a, c b WHERE {score("a.v", "b.v")} IS NOT NULL),
 n AS (SELECT * FROM (SELECT s.*, f.f, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rnk FROM s JOIN f ON f.id = s.dst) WHERE rnk <= 5),
 r AS (SELECT c.id, c.text, f.f FROM c JOIN f USING (id) ORDER BY f.f DESC, c.id LIMIT 1),
 walk(step, cur, seen, document, score) AS (
@@ -91,12 +95,12 @@ WITH {spec}, {urls}, pairs AS (SELECT e.provider || '+' || g.provider || '+' ||
 roles AS (SELECT config, 'embedding' AS role, ep AS provider, CASE WHEN i = 1 THEN 'models/bge' END AS model, url FROM pairs
   UNION ALL SELECT config, 'generation', gp, CASE WHEN i = 2 THEN 'llama3' END, url FROM pairs),
 judged AS (SELECT r.*, b.local AND (NOT b.served OR {loopback("url")}) AS is_local,
-  CASE WHEN NOT b.local THEN 'sends content to a hosted API' WHEN NOT b.served THEN 'runs in this process' WHEN {loopback("url")} THEN 'served from this machine' ELSE 'points at ' || url || ', which is not this machine' END AS reason,
-  CASE WHEN NOT b.local THEN NULL WHEN b.served THEN 'pull ' || coalesce(model, b.default_model, 'the chosen model') || ' into Ollama before disconnecting'
-    WHEN coalesce(contains(model, '/'), false) THEN NULL ELSE 'download ' || coalesce(model, b.default_model, 'the chosen model') || ' once, or pass a path to a copy already on disk' END AS setup
+  CASE WHEN NOT b.local THEN {text(HOSTED)} WHEN NOT b.served THEN {text(IN_PROCESS)} WHEN {loopback("url")} THEN {text(ON_THIS_HOST)} ELSE {text(ELSEWHERE)} || url END AS reason,
+  CASE WHEN NOT b.local THEN NULL WHEN b.served THEN {text(PULL)} || coalesce(model, b.default_model, 'its model')
+    WHEN coalesce(contains(model, '/'), false) THEN NULL ELSE {text(FETCH)} || coalesce(model, b.default_model, 'its model') END AS setup
   FROM roles r JOIN b USING (role, provider))
 SELECT config, bool_and(is_local) AS is_local,
-  CASE WHEN bool_and(is_local) THEN {text(LOCAL)} ELSE 'not local: ' || string_agg(role || ' (' || provider || ') ' || reason, '; ' ORDER BY role) FILTER (NOT is_local) END AS summary,
+  CASE WHEN bool_and(is_local) THEN {text(LOCAL)} ELSE 'content leaves: ' || string_agg(role || ' (' || provider || ') ' || reason, '; ' ORDER BY role) FILTER (NOT is_local) END AS summary,
   coalesce(string_agg(setup, '; ' ORDER BY role) FILTER (setup IS NOT NULL), '') AS setup
 FROM judged GROUP BY config"""
 
@@ -110,13 +114,13 @@ def oracle_sql() -> dict[str, str]:
         "relatedness_scores": f"WITH {SEED} SELECT vec_id, {score('CAST(embedding AS DOUBLE[])', 'w')} AS relatedness FROM embeddings, q",
         "topk_threshold": f"WITH {CORPUS}, {SEED} SELECT id, {score('v', 'w')} AS score FROM c, q WHERE {score('v', 'w')} >= 0.2",
         "embedding_frame": f"WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT CAST(len(v) AS BIGINT) AS width, {norm} AS norm FROM e",
-        "csv_embedding_parse": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 6) AS total FROM embeddings",
-        "collection_upsert": f"WITH {POINTS} SELECT id, origin, {norm} AS norm FROM fresh UNION ALL SELECT id, id AS origin, {norm} AS norm FROM p WHERE id < 300 AND id NOT IN (SELECT id FROM fresh)",
-        "collection_append": f"WITH {POINTS} SELECT id, id AS origin FROM p WHERE id < 300 UNION ALL SELECT id + (SELECT count(*) FROM p WHERE id < 300) AS id, origin FROM fresh",
+        "csv_embedding_parse": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings",
+        "collection_upsert": f"WITH {POINTS} SELECT id, origin, {norm} AS norm FROM fresh UNION ALL SELECT id, id AS origin, {norm} AS norm FROM p WHERE id NOT IN (SELECT id FROM fresh)",
+        "collection_append": f"WITH {POINTS} SELECT id, id AS origin FROM p UNION ALL SELECT row_number() OVER (ORDER BY id) - 1 + (SELECT count(*) FROM p) AS id, id AS origin FROM p",
         "collection_count": "SELECT count(*) AS points FROM embeddings",
         "collection_info": "SELECT CAST(label AS VARCHAR) AS collection, 'main' AS vector_name, CAST(max(len(embedding)) AS BIGINT) AS size, 'Cosine' AS distance, count(*) AS points FROM embeddings GROUP BY label",
-        "collection_search": f"WITH {POINTS}, {SEED} SELECT id, {score('v', 'w')} AS score FROM p, q WHERE label = 3 ORDER BY score DESC, id LIMIT 10",
-        "batch_knn": f"WITH {CORPUS}, s AS (SELECT a.id AS src, b.id AS dst, {score('a.v', 'b.v')} AS score FROM c a, c b), n AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INTEGER) AS rnk, dst, score FROM s) SELECT * FROM n WHERE rnk <= 5",
+        "collection_search": f"WITH {POINTS}, {SEED} SELECT id, {score('v', 'w')} AS score FROM p, q WHERE label = 3 AND {score('v', 'w')} IS NOT NULL ORDER BY score DESC, id LIMIT 10",
+        "batch_knn": f"WITH {CORPUS}, s AS (SELECT a.id AS src, b.id AS dst, {score('a.v', 'b.v')} AS score FROM c a, c b WHERE {score('a.v', 'b.v')} IS NOT NULL), n AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INTEGER) AS rnk, dst, score FROM s) SELECT * FROM n WHERE rnk <= 5",
         "similarity_walk": walk(0.25, False),
         "similarity_walk_initial": walk(0.0, True),
         "similarity_walk_threshold": walk(0.33, False),
@@ -140,16 +144,22 @@ def oracle_sql() -> dict[str, str]:
         "conversation_append": f"WITH {MESSAGES} SELECT id, ref_id, chat_id, role FROM m UNION ALL SELECT (SELECT max(id) FROM m) + row_number() OVER (ORDER BY id), ref_id, 'again-' || CAST(id AS VARCHAR), role FROM m WHERE role = 'user'",
         "conversation_orphans": f"WITH {MESSAGES} SELECT id, ref_id, role FROM m WHERE CAST(ref_id AS INTEGER) % 3 = 0",
         "distinct_refs": f"WITH {MESSAGES} SELECT DISTINCT ref_id FROM m",
-        "context_concat": "WITH r AS (SELECT source, doc_id, substring(text, 1, 40) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) SELECT source, CAST(k // 100 AS BIGINT) AS part, string_agg(t, ' ' ORDER BY doc_id) AS context FROM r WHERE k < n // 5 GROUP BY ALL",
+        "context_concat": f"WITH r AS (SELECT source, doc_id, text AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) SELECT source, CAST(k // {CONTEXT_TEXTS} AS BIGINT) AS part, string_agg(t, ' ' ORDER BY doc_id) AS context FROM r WHERE k < n // 5 GROUP BY ALL",
         "retrieved_context": TOP % 5 + f" SELECT {CONTEXT} AS context",
         "prompt_assembly": TOP % 5 + f", made AS (SELECT {text(INSTRUCTION)} || ': ' || {CONTEXT} AS prompt) SELECT prompt, {tokens('prompt')} AS tokens FROM made",
         "nonnull_text": "SELECT doc_id, source FROM documents WHERE text IS NOT NULL",
-        "slugify": f"SELECT doc_id, {slug('substring(text, 1, 60)')} AS slug FROM documents",
+        "slugify": f"SELECT doc_id, {slug('text')} AS slug FROM documents",
         "settings_resolution": f"WITH {PROJECTS}, x AS (SELECT slug, CASE WHEN position % 2 = 0 THEN embedding_model ELSE '' END AS embedding_model, CASE WHEN position % 3 = 0 THEN 'gpt-4o' END AS generation_model, CASE WHEN position % 4 = 0 THEN 'sqlite' ELSE '' END AS storage_backend FROM p) SELECT slug, {', '.join(map(resolved, LIBRARY))} FROM x",
         "model_majority": f"WITH {PROJECTS} SELECT embedding_model FROM target",
-        "project_exclusions": f"WITH {PROJECTS} SELECT slug, 'different embedding model' AS reason, embedding_model AS detail FROM chosen WHERE NOT included",
-        "selection_notice": f"WITH {PROJECTS} SELECT CASE WHEN count(*) FILTER (NOT included) = 0 THEN '' ELSE printf('%d of %d projects skipped — different embedding model: %s', count(*) FILTER (NOT included), count(*), string_agg(slug || ' (' || embedding_model || ')', ', ' ORDER BY position) FILTER (NOT included)) END AS notice FROM chosen",
+        "project_exclusions": f"WITH {PROJECTS} SELECT slug, {text(MISMATCH)} AS reason, embedding_model AS detail FROM chosen WHERE NOT included",
+        "selection_notice": f"WITH {PROJECTS} SELECT CASE WHEN count(*) FILTER (NOT included) = 0 THEN '' ELSE printf({text(NOTICE)}, count(*) FILTER (NOT included), count(*), string_agg(slug || ' (' || embedding_model || ')', ', ' ORDER BY position) FILTER (NOT included)) END AS notice FROM chosen",
         "cross_project_merge": MERGED,
+        "cross_project_query": f"WITH {HITS}, best AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, id) AS r FROM hits WHERE score IS NOT NULL) SELECT project, id, score FROM best WHERE r <= 10 AND project IN (SELECT slug FROM chosen WHERE included) ORDER BY score DESC, project, id LIMIT 25",
+        "provider_embeddings": "SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS characters, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS DOUBLE) AS blanks FROM documents",
+        "provider_usage": f"WITH {PRICE_TABLE}, n AS (SELECT count(*) AS n FROM documents) SELECT CAST(ceil(n / 100.0) AS BIGINT) AS calls, CAST({PER_TEXT} * n AS BIGINT) AS input_tokens, 0::BIGINT AS output_tokens, CAST({PER_TEXT} * n AS BIGINT) AS total_tokens, round({PER_TEXT} * n / 1000000.0::DOUBLE * input_price, 8) AS estimated_cost, 0::BIGINT AS unpriced_calls, 0::BIGINT AS uncounted_calls FROM n, prices WHERE model = 'text-embedding-3-small'",
+        "provider_replies": "SELECT conv_id, turn, CAST(length(coalesce(text, '')) AS VARCHAR) || ' characters' AS reply FROM conversations WHERE role = 'user'",
+        "provider_replies_usage": f"SELECT count(*) AS calls, CAST({PER_PROMPT} * count(*) AS BIGINT) AS input_tokens, CAST({PER_REPLY} * count(*) AS BIGINT) AS output_tokens, CAST({PER_PROMPT + PER_REPLY} * count(*) AS BIGINT) AS total_tokens, 0.0::DOUBLE AS estimated_cost, 0::BIGINT AS unpriced_calls, 0::BIGINT AS uncounted_calls FROM conversations WHERE role = 'user'",
+        "completion_fields": "SELECT conv_id, turn, 'chatcmpl-' || CAST(conv_id AS VARCHAR) AS id, role, coalesce(text, '') AS message, CAST(CASE WHEN turn % 2 = 0 THEN 11 ELSE 0 END AS BIGINT) AS input_tokens, CAST(CASE WHEN turn % 2 = 0 THEN turn ELSE 0 END AS BIGINT) AS output_tokens FROM conversations",
         "cross_project_limit": f"{MERGED} LIMIT 25",
         "registry_register": f"WITH {PROJECTS} SELECT id, slug, CASE WHEN position % 4 = 0 THEN 'changed' ELSE embedding_model END AS embedding_model FROM p",
         "registry_find": f"WITH {PROJECTS} SELECT id, slug, embedding_model FROM p WHERE id = 'src3' OR slug = 'src3' ORDER BY position LIMIT 1",

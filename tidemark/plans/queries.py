@@ -16,12 +16,18 @@ from tidemark.operators import locality as L
 from tidemark.operators import projects as P
 from tidemark.operators import search as S
 from tidemark.operators.positions import with_position
+from tidemark.plans.offline import OfflineTransport
+from tidemark.sources import providers as V
 from tidemark.sources.collections import append_points, upsert_points
-from tidemark.sources.vectors_csv import embedding_frame, parse_embeddings
+from tidemark.sources.configuration import Settings
+from tidemark.sources.vectors_csv import embedding_frame, read_embeddings_csv
+from tidemark.tables import new_path, table as read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CHAT_MODELS = ("gpt-4o", "gpt-4o-mini", "gpt-4.1", "gpt-99-unreleased")
 EMBEDDING_MODELS = ("text-embedding-3-large", "text-embedding-3-small", "nomic-embed-text")
+#: Texts in one part of a context.
+CONTEXT_TEXTS = 20
 INSTRUCTION = "Summarise the following passages"
 DEFAULTS = {"embedding_model": "text-embedding-3-large", "generation_model": "", "storage_backend": "parquet"}
 LIBRARY = {"embedding_model": "text-embedding-3-small", "generation_model": "", "storage_backend": "sqlite"}
@@ -29,7 +35,7 @@ URLS = ("http://localhost:11434", "127.0.0.1:11434", "http://[::1]:11434/", "htt
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+    return read_table(spark, d, name)
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +45,9 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_vector(spark: SparkSession, d: str) -> list[float]:
-    return list(read(spark, d, "embeddings").where("vec_id = 0").select(as_doubles(F.col("embedding")).alias("v")).first()["v"])
+    """The vector all single searches start from; empty, so that it scores nothing, where the table has no vec_id 0."""
+    row = read(spark, d, "embeddings").where("vec_id = 0").select(as_doubles(F.col("embedding")).alias("v")).first()
+    return list(row["v"] or []) if row else []
 
 
 def picked(values: tuple, index: Column) -> Column:
@@ -77,8 +85,8 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relatedness_scores(spark: SparkSession, d: str) -> DataFrame:
-    first = literal(seed_vector(spark, d))
-    return read(spark, d, "embeddings").select("vec_id", rounded_cosine(as_doubles(F.col("embedding")), first).alias("relatedness"))
+    seed, e = seed_vector(spark, d), read(spark, d, "embeddings")
+    return (e if seed else e.limit(0)).select("vec_id", rounded_cosine(as_doubles(F.col("embedding")), literal(seed)).alias("relatedness"))
 
 
 def topk_threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -91,8 +99,11 @@ def embedding_frame_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def csv_embedding_parse(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings").select("vec_id", F.to_json(F.transform("embedding", lambda x: F.round(x.cast("double"), 4))).alias("embedding"))
-    return parse_embeddings(e, ["embedding"]).select("vec_id", F.size("embedding").cast("bigint").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    """The vectors, written to CSV as list literals and scanned again."""
+    path = new_path(spark, "csv")
+    read(spark, d, "embeddings").select("vec_id", F.to_json(as_doubles(F.col("embedding"))).alias("embedding")).write.csv(path, header=True, escape='"')
+    e = read_embeddings_csv(spark, path, ["embedding"])
+    return e.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.size("embedding").cast("bigint").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
@@ -100,16 +111,18 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collection_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """All points as a collection, into which those of one label go again, numbered from 0."""
     p = _points(spark, d)
-    new = with_position(p.where("label < 3").select(F.col("id").alias("origin"), "embedding"), "origin", name="id")
-    old = p.where("id < 300").select("id", F.col("id").alias("origin"), "embedding")
+    new = with_position(p.where("label = 3").select(F.col("id").alias("origin"), "embedding"), "origin", name="id")
+    old = p.select("id", F.col("id").alias("origin"), "embedding")
     return upsert_points(old, new.select("id", "origin", "embedding")).select("id", "origin", F.round(norm(F.col("embedding")), 6).alias("norm"))
 
 
 def collection_append(spark: SparkSession, d: str) -> DataFrame:
+    """All points as a collection, after which all of them go again."""
     p = _points(spark, d)
-    old = p.where("id < 300").select("id", F.col("id").alias("origin"))
-    new = with_position(p.where("label < 3").select(F.col("id").alias("origin")), "origin", name="id").select("id", "origin")
+    old = p.select("id", F.col("id").alias("origin"))
+    new = with_position(p.select(F.col("id").alias("origin")), "origin", name="id").select("id", "origin")
     return append_points(old, new, old.count())
 
 
@@ -223,18 +236,18 @@ def distinct_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_concat(spark: SparkSession, d: str) -> DataFrame:
-    """The first fifth of the texts of each source, in order, joined by spaces in parts of a hundred texts.
+    """The first fifth of the texts of each source, whole and in order, joined by spaces in parts of CONTEXT_TEXTS texts.
 
     Places within a source come from places in the whole table, so a source with a third of all rows is never one
-    task's, and a part is as large as a context can be.
+    task's. Only places are numbered and cut; whole texts are moved once, to their part.
     """
     docs = read(spark, d, "documents").where("text is not null and source is not null")
-    placed = with_position(docs.select("source", "doc_id", F.substring("text", 1, 40).alias("t")), "source", "doc_id")
+    placed = with_position(docs.select("source", "doc_id", "text"), "source", "doc_id")
     sources = placed.groupBy("source").agg(F.min("position").alias("first"), F.count("*").alias("n"))
     place = F.col("position") - F.col("first")
-    head = placed.join(sources, "source").where(place < F.floor(F.col("n") / 5)).withColumn("part", F.floor(place / 100))
-    rows = head.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("rows"))
-    return rows.select("source", "part", F.array_join(F.transform("rows", lambda x: x["t"]), " ").alias("context"))
+    head = placed.join(sources, "source").where(place < F.floor(F.col("n") / 5)).withColumn("part", F.floor(place / CONTEXT_TEXTS))
+    rows = head.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("rows"))
+    return rows.select("source", "part", F.array_join(F.transform("rows", lambda x: x["text"]), " ").alias("context"))
 
 
 def retrieved_context(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +266,7 @@ def nonnull_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", T.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return read(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 def settings_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -278,18 +291,31 @@ def selection_notice(spark: SparkSession, d: str) -> DataFrame:
     return P.selection_notice(P.select_projects(projects(spark, d)))
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    scored = corpus(spark, d).withColumn("score", rounded_cosine(F.col("embedding"), literal(seed_vector(spark, d))))
-    return scored.select(T.slugify(F.col("source")).alias("project"), "id", "score")
+def _scored(rows: DataFrame, seed: list[float]) -> DataFrame:
+    """project, id, score of the rows (source, id, embedding) that have a score."""
+    return rows.withColumn("score", rounded_cosine(F.col("embedding"), literal(seed))).where("score is not null").select("project", "id", "score")
 
 
 def cross_project(limit: int | None) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return S.merge_project_hits(_hits(spark, d), P.select_projects(projects(spark, d)).where("included"), limit)
+        selected = P.select_projects(projects(spark, d)).where("included")
+        rows = S.of_projects(corpus(spark, d).withColumn("project", T.slugify(F.col("source"))), selected)
+        return S.merge_project_hits(_scored(rows, seed_vector(spark, d)), selected, limit)
 
     return query
 
 
+def cross_project_query(spark: SparkSession, d: str) -> DataFrame:
+    """A callable searches each included project for its best; excluded ones are never asked."""
+    seed = seed_vector(spark, d)
+    rows = corpus(spark, d).withColumn("project", T.slugify(F.col("source")))
+
+    def best(slug: str) -> DataFrame:
+        return S.cosine_top_k(rows.where(F.col("project") == slug), seed, 10).select("id", "score")
+
+    return S.search_projects(projects(spark, d), best, limit=25)[0].select("project", "id", "score")
+
+
 def registry_register(spark: SparkSession, d: str) -> DataFrame:
     p = projects(spark, d)
     return P.register(p, p.where("position % 4 = 0").withColumn("embedding_model", F.lit("changed"))).select("id", "slug", "embedding_model")
@@ -320,6 +346,46 @@ def base_url(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(u,) for u in URLS], "url string").select("url", T.compatible_base_url(F.col("url")).alias("base_url"))
 
 
+def _embedded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    texts = with_position(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return V.embedded(texts, lambda log: V.make_provider("embedding", "openai", Settings(openai_api_key="offline"), log=log, transport=OfflineTransport()))
+
+
+def provider_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """All documents embedded in requests of a hundred."""
+    return _embedded(spark, d)[0].select(F.col("id").alias("doc_id"), F.col("embedding")[0].alias("characters"), F.col("embedding")[1].alias("blanks"))
+
+
+def provider_usage(spark: SparkSession, d: str) -> DataFrame:
+    """What those requests cost, from the ledger that the provider wrote."""
+    return A.usage_totals(_embedded(spark, d)[1])
+
+
+def _generated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    asked = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("prompt"))
+    make = lambda log: V.make_provider("generation", "ollama", Settings(), "llama3", log, OfflineTransport())
+    return V.generated(asked, make, INSTRUCTION)
+
+
+def provider_replies(spark: SparkSession, d: str) -> DataFrame:
+    """A reply to each message of a user."""
+    return _generated(spark, d)[0].select("conv_id", "turn", "reply")
+
+
+def provider_replies_usage(spark: SparkSession, d: str) -> DataFrame:
+    """What the replies cost: a local backend isn't billed, but counted."""
+    return A.usage_totals(_generated(spark, d)[1])
+
+
+def completion_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Completions, kept as JSON, taken apart into id, role, message and counts."""
+    c = read(spark, d, "conversations")
+    message = F.struct("role", F.col("text").alias("content"))
+    usage = F.when(F.col("turn") % 2 == 0, F.struct(F.lit(11).alias("prompt_tokens"), F.col("turn").alias("completion_tokens")))
+    raw = F.to_json(F.struct(F.concat(F.lit("chatcmpl-"), F.col("conv_id").cast("string")).alias("id"), F.array(F.struct(message.alias("message"))).alias("choices"), usage.alias("usage")))
+    return V.replies(c.select("conv_id", "turn", raw.alias("reply"))).drop("reply")
+
+
 def unique_ids(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.unique_id().alias("unique_id"))
 
@@ -333,7 +399,8 @@ def queries() -> dict[str, Query]:
         cosine_topk, relatedness_scores, topk_threshold, csv_embedding_parse, collection_upsert, collection_append, collection_count, collection_info, collection_search, batch_knn,
         token_counts, corpus_tokens, embedding_cost, prompt_cost, price_lookup, priced_models, embed_batches, usage_totals, usage_by_model, usage_record_costs, usage_unpriced, usage_uncounted, usage_summary,
         conversation_messages, conversation_index, conversation_resume, conversation_append, conversation_orphans, distinct_refs, context_concat, retrieved_context, prompt_assembly, nonnull_text,
-        settings_resolution, model_majority, project_exclusions, selection_notice, registry_register, registry_find, registry_unregister, locality_audit, loopback_hosts, base_url, unique_ids, random_sample,
+        settings_resolution, model_majority, project_exclusions, selection_notice, registry_register, registry_find, registry_unregister, locality_audit, loopback_hosts, base_url, unique_ids, random_sample, cross_project_query,
+        provider_embeddings, provider_usage, provider_replies, provider_replies_usage, completion_fields,
     )
     named = {"embedding_frame": embedding_frame_query, "slugify": slugs, "cross_project_merge": cross_project(None), "cross_project_limit": cross_project(25)}
     walks = {"similarity_walk": walk(0.25, False), "similarity_walk_initial": walk(0.0, True), "similarity_walk_threshold": walk(0.33, False)}

@@ -1,7 +1,8 @@
 """A vector store on Parquet: named collections of points with payloads.
 
 A collection is a directory of versions; every write makes a new version and then moves the pointer, a one-line file,
-so readers see the old version or the new one whole and a failed write leaves nothing visible.
+so readers see the old version or the new one whole and a failed write leaves nothing visible. The last KEEP versions
+stay, so a reader that opened one goes on reading it while others write; older ones are deleted.
 """
 
 from __future__ import annotations
@@ -13,14 +14,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.search import cosine_top_k
+from tidemark.operators.search import SearchEngine, cosine_top_k
 
-POINTS = "id bigint, embedding array<double>, payload map<string,string>"
+#: A point; `at` is when its source said it, where the source says so.
+POINTS = "id bigint, embedding array<double>, payload map<string,string>, at bigint"
+KEEP = 4
+
+
+def once(points: DataFrame) -> DataFrame:
+    """One row of each id: the one with the greatest `at` if there is such a column, ties by the hash of the vector.
+
+    An aggregate, so that an id that is repeated without end is combined in each task first.
+    """
+    others = [c for c in points.columns if c != "id"]
+    order = F.struct(*(["at"] if "at" in others else []), F.xxhash64(*([c for c in others if not c.startswith("payload")] or ["id"])))
+    return points.groupBy("id").agg(F.max_by(F.struct(*others), order).alias("__row")).select("id", *(F.col(f"__row.{c}").alias(c) for c in others))
 
 
 def upsert_points(old: DataFrame, new: DataFrame) -> DataFrame:
-    """`new` and what `old` has besides its ids."""
-    return new.unionByName(old.join(new.select("id"), "id", "left_anti"))
+    """`new`, one row an id, and what `old` has besides its ids."""
+    return once(new).unionByName(old.join(new.select("id"), "id", "left_anti"))
 
 
 def append_points(old: DataFrame, new: DataFrame, count: int) -> DataFrame:
@@ -28,7 +41,7 @@ def append_points(old: DataFrame, new: DataFrame, count: int) -> DataFrame:
     return old.unionByName(new.withColumn("id", F.col("id") + count))
 
 
-class VectorStore:
+class VectorStore(SearchEngine):
     """Collections below `root`, any folder that Spark's file systems reach."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -54,10 +67,10 @@ class VectorStore:
 
     def _commit(self, name: str, points: DataFrame, config: dict) -> None:
         version = f"v-{uuid.uuid4().hex}"
-        points.select("id", "embedding", "payload").write.parquet(self._file(name, version))
-        old = config.get("version")
-        self._write(self._file(name, "collection.json"), json.dumps(config | {"version": version}))
-        if old:
+        points.select("id", "embedding", "payload", "at").write.parquet(self._file(name, version))
+        versions = [*config.get("versions", []), version]
+        self._write(self._file(name, "collection.json"), json.dumps(config | {"versions": versions[-KEEP:]}))
+        for old in versions[:-KEEP]:
             self._fs.delete(self._path(self._file(name, old)), True)
 
     def collections(self) -> list[str]:
@@ -67,7 +80,7 @@ class VectorStore:
 
     def info(self, name: str) -> dict:
         """collection, vector_name, size, distance."""
-        return {k: v for k, v in self._config(name).items() if k != "version"}
+        return {k: v for k, v in self._config(name).items() if k != "versions"}
 
     def create(self, name: str, vector_size: int, vector_name: str = "main") -> None:
         """A new, empty collection; one of that name is replaced."""
@@ -78,34 +91,50 @@ class VectorStore:
         self._fs.delete(self._path(self._file(name)), True)
 
     def points(self, name: str) -> DataFrame:
-        return self.spark.read.schema(POINTS).parquet(self._file(name, self._config(name)["version"]))
+        return self.spark.read.schema(POINTS).parquet(self._file(name, self._config(name)["versions"][-1]))
 
     def count(self, name: str) -> int:
         return self.points(name).count()
 
-    def _points_from(self, name: str, vectors: Sequence[Sequence[float]], payload: Sequence[dict] | None) -> DataFrame:
-        size = self._config(name)["size"]
+    def _points_from(self, vectors: Sequence[Sequence[float]], payload: Sequence[dict] | None) -> DataFrame:
         if payload and len(payload) != len(vectors):
             raise ValueError(f"{len(vectors)} vectors, but {len(payload)} payloads")
-        if any(len(v) != size for v in vectors):
-            raise ValueError(f"vectors of collection {name!r} have {size} components")
-        rows = [(i, [float(x) for x in v], {k: str(x) for k, x in payload[i].items()} if payload else None) for i, v in enumerate(vectors)]
+        rows = [(i, [float(x) for x in v], {k: str(x) for k, x in payload[i].items()} if payload else None, None) for i, v in enumerate(vectors)]
         return self.spark.createDataFrame(rows, POINTS)
 
+    def _fitting(self, name: str, points: DataFrame) -> DataFrame:
+        """Points with the columns of POINTS; ValueError if a vector is NULL or hasn't the collection's width."""
+        size = self._config(name)["size"]
+        whole = points.select("id", "embedding", "payload", *(["at"] if "at" in points.columns else [F.lit(None).cast("bigint").alias("at")]))
+        if whole.where(F.col("embedding").isNull() | (F.size("embedding") != size)).head(1):
+            raise ValueError(f"vectors of collection {name!r} have {size} components")
+        return whole
+
     def add(self, name: str, vectors: Sequence[Sequence[float]], payload: Sequence[dict] | None = None) -> None:
         """Points with ids from 0: points of the same ids are overwritten, later ones stay."""
-        self.upsert(name, self._points_from(name, vectors, payload))
+        self.upsert(name, self._points_from(vectors, payload))
 
     def append(self, name: str, vectors: Sequence[Sequence[float]], payload: Sequence[dict] | None = None) -> None:
         """Points with ids from the present count on."""
-        self._commit(name, append_points(self.points(name), self._points_from(name, vectors, payload), self.count(name)), self._config(name))
+        new = self._fitting(name, self._points_from(vectors, payload))
+        self._commit(name, append_points(self.points(name), new, self.count(name)), self._config(name))
 
-    def upsert(self, name: str, points: DataFrame) -> None:
-        """Points by id, from a distributed table (id, embedding, payload)."""
-        self._commit(name, upsert_points(self.points(name), points), self._config(name))
+    def upsert(self, name: str, points: DataFrame, newest: bool = False) -> None:
+        """Points by id, from a distributed table (id, embedding, payload and perhaps at); of a repeated id one counts.
+
+        With `newest`, a point stays as it is where its own `at` is greater than the new one's.
+        """
+        new, old = self._fitting(name, points), self.points(name)
+        if newest:
+            later = old.where("at is not null").select("id", F.col("at").alias("__at"))
+            new = once(new).join(later, "id", "left").where("__at is null or at >= __at").drop("__at")
+        self._commit(name, upsert_points(old, new), self._config(name))
 
     def search(self, vector: Sequence[float], top_k: int = 10, collection_name: str | None = None) -> DataFrame:
         """id, payload, score of the nearest points."""
         if not collection_name:
             raise ValueError("a collection name is needed")
         return cosine_top_k(self.points(collection_name), vector, top_k).select("id", "payload", "score")
+
+    def search_query(self, embedded_query: Sequence[float], top_k: int = 10, **options: object) -> DataFrame:
+        return self.search(embedded_query, top_k, **options)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.sources.collections import VectorStore
@@ -13,11 +11,12 @@ from tidemark.sources.collections import VectorStore
 def stream_into(points: DataFrame, store: VectorStore, name: str, checkpoint: str) -> StreamingQuery:
     """Starts a query that upserts a stream of (id, embedding, payload, at) by id; of one id the latest `at` counts.
 
-    A micro-batch that runs again after a failure writes the same points, so the outcome is that of one run.
+    `at` is kept with the point, so a row that arrives late, in whatever micro-batch, overwrites nothing newer. A
+    micro-batch that runs again after a failure writes the same points, so the outcome is that of one run.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        last = F.row_number().over(W.partitionBy("id").orderBy(F.desc("at")))
-        store.upsert(name, batch.withColumn("__last", last).where("__last = 1").select("id", "embedding", "payload"))
+        if batch.head(1):
+            store.upsert(name, batch, newest=True)
 
     return points.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
