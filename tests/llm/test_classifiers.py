@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import pii, quality, toxicity
+from tidemark.llm.labelled import training_rows
 from tidemark.llm.trees import BoostedTrees
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -76,6 +78,19 @@ def test_quality_edge_cases(spark):
     assert quality.score_quality(empty, quality.fit_quality(empty, labels.limit(0))).count() == 0
 
 
+def test_blank_texts_have_statistics_like_others():
+    x = [dict(zip(quality.STATISTICS, quality.statistics(t), strict=True)) for t in (" " * 5000, "a" * 5000, "")]
+    assert x[0]["bytes"] == x[1]["bytes"] == pytest.approx(np.log1p(5000)) and x[0]["blanks"] == 1.0 and not any(x[2].values())
+
+
+def test_a_hot_id_is_one_training_row(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(5000)] + [(i, f"other {i}") for i in range(2, 30)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id bigint, toxic int")
+    got = training_rows(docs, labels, "toxic", 5, 0, 5).collect()
+    assert len(got) == 10 and len({r["text"] for r in got}) == 10
+    assert training_rows(docs.limit(0), labels, "toxic", 5, 0, 5).count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark, small):
     docs = read(spark, small, "documents")
     scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read(spark, small, "labels")))
@@ -231,6 +246,28 @@ def test_failed_matches_keep_no_candidate_out():
     assert pii.redacted(text, model) == "card [CARD] call [PHONE]" and len(pii.spans_of(text, model)[1]) == 2
 
 
+def test_many_spans_take_linear_time():
+    model = pii.SpanClassifier(SOUND)
+    record = "call 555-123-4567 or password=b7db7aa4a5fcc78305; mail a.b@c.de from 10.20.30.40, "
+    took = []
+    for n in (5_000, 25_000):
+        began = time.perf_counter()
+        base, every = pii.spans_of(record * n, model)
+        took.append(time.perf_counter() - began)
+        assert len(base) == 2 * n and len(every) == 4 * n
+    assert took[1] < 15 * took[0]
+
+
+def test_traits_tell_what_votes_do_not():
+    same = (1, 1, 0, 1, 1)
+    seen = {("secret", same, (2, 1, 2)): 50, ("secret", (1, 1, 1, 1, 1), (2, 1, 2)): 50, ("secret", (-1, -1, -1, 1, -1), (0, 0, 0)): 200}
+    model = pii.SpanClassifier(seen)
+    assert model.accepts("secret", same, (2, 1, 2)) and not model.accepts("secret", (-1, -1, -1, 1, -1), (0, 0, 0))
+    sure = [float((model.features(np.array([same]), np.array([t])) @ model.weights["secret"])[0]) for t in ((2, 1, 2), (0, 0, 0))]
+    assert sure[0] > sure[1]
+    assert pii.traits('x = "abc1"', 5, 9) == (0, 0, 2) and pii.traits("a 123456789012", 2, 14) == (1, 2, 1)
+
+
 def test_pii_edge_cases(spark):
     docs = odd(spark)
     model = pii.fit_pii(docs)

@@ -24,15 +24,17 @@ def sampling_weights(labels: DataFrame, label: str, folds: int, held: int, per_c
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> DataFrame:
-    """text and label of at most `per_class` labelled documents of each class outside fold `held`, the first by the hash of their id.
+    """text and label of at most `per_class` documents of each class outside fold `held`.
 
-    Ids with a null label are left out; an id that is labelled twice counts with the larger label. Only
-    ids are chosen before the join, so what is broadcast has at most 2 * per_class rows of two numbers.
+    Labelled ids go by the hash of the id. Ids with a null label are left out; an id that is labelled twice counts with
+    the larger label; of the documents that repeat an id, the one with the smallest hash of its text counts. Only ids
+    are chosen before the join, so what is broadcast has at most 2 * per_class rows of two numbers, and as many rows
+    come out, however often an id is repeated. A null text counts as empty.
     """
     rows = labelled_ids(labels, label, folds, held)
     chosen = None
     for kind in (0, 1):
         part = rows.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "label")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label")

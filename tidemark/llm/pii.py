@@ -3,8 +3,8 @@
 Fixed patterns give base spans and further candidates. Five labelers (format, gazetteer, context, checksum and
 boundary) vote for, against or abstain on each candidate. How often each combination of votes occurs over all documents
 is counted; expectation-maximisation on these counts estimates how reliable each labeler is for each kind, and the
-resulting probabilities train the final span classifier, a logistic regression on the votes. Base spans always stay;
-the classifier adds candidates.
+resulting probabilities train the final span classifier, a logistic regression on the votes and on traits of the span
+that no labeler looks at. Base spans always stay; the classifier adds candidates.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "ssn", "iban")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 LABELERS, CHECKSUM = 5, 3
+#: Traits of a span, each one of three values (see traits).
+TRAITS, NO_TRAITS = 3, (1, 1, 1)
 ACCEPT = 0.5
 #: Characters before a candidate in which the context labeler looks for cues.
 CONTEXT = 40
@@ -182,36 +184,53 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     return shape, listed, context, sound, bounded
 
 
+def traits(text: str, start: int, end: int) -> tuple[int, ...]:
+    """How long a span is, how much of it is digits, and what stands before it: three values each."""
+    n = end - start
+    digits = sum("0" <= c <= "9" for c in text[start:end])
+    before = text[max(0, start - 4) : start].rstrip(" \t\"'")
+    return (n >= 12) + (n >= 24), (3 * digits >= n) + (3 * digits >= 2 * n), 2 if before.endswith((":", "=")) else 1 if not before or before[-1].isalnum() else 0
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
     """kind, start, end, whether it is a base span, votes of all base matches and further candidates.
 
     Further candidates that touch a base span, or an earlier further candidate whose check holds, are left out; what
     fails its check is never accepted, so it keeps nothing out. An IBAN whose check holds stays although some of its
-    digits happen to be a base span.
+    digits happen to be a base span. Two maps with a byte a character say what is taken, so the time is linear in the
+    text and its spans.
     """
     out = [(k, a, b, ok, votes(text, k, a, b)) for k, a, b, ok in base_matches(text)]
-    taken = [(a, b) for _, a, b, ok, _ in out if ok]
+    taken = inner = None
     for k, a, b in further_candidates(text):
+        if taken is None:
+            taken, inner = bytearray(len(text) + 1), bytearray(len(text) + 1)
+            for _, x, y, ok, _ in out:
+                if ok:
+                    taken[x:y], inner[x + 1 : y] = b"\1" * (y - x), b"\1" * (y - x - 1)
         v = votes(text, k, a, b)
-        holds = k == "iban" and v[CHECKSUM] > 0
-        if all(b <= x or a >= y or holds and a <= x and y <= b for x, y in taken):
+        free = taken.find(1, a, b) < 0
+        if free or k == "iban" and v[CHECKSUM] > 0 and not inner[a] and not inner[b]:
             out.append((k, a, b, False, v))
             if v[CHECKSUM] >= 0:
-                taken.append((a, b))
+                taken[a:b], inner[a + 1 : b] = b"\1" * (b - a), b"\1" * (b - a - 1)
     return out
 
 
 class SpanClassifier:
-    """Reliabilities by expectation-maximisation on counted votes, then a logistic regression on the votes."""
+    """Reliabilities by expectation-maximisation on counted votes, then a logistic regression on votes and traits.
+
+    `patterns` counts (kind, votes, traits); where traits are left out they count as NO_TRAITS.
+    """
 
-    def __init__(self, patterns: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> None:
+    def __init__(self, patterns: dict[tuple, int], rounds: int = 50) -> None:
         self.reliability: dict[str, np.ndarray] = {}
         self.weights: dict[str, np.ndarray] = {}
         for kind in KINDS:
-            seen = [(v, n) for (k, v), n in sorted(patterns.items()) if k == kind]
+            seen = [(k[1], k[2] if len(k) > 2 else NO_TRAITS, n) for k, n in sorted(patterns.items()) if k[0] == kind]
             if seen:
-                v, n = np.array([x for x, _ in seen]), np.array([c for _, c in seen], float)
-                self.weights[kind] = self._regression(v, n, self._expectation(kind, v, n, rounds))
+                v, t, n = np.array([x for x, _, _ in seen]), np.array([x for _, x, _ in seen]), np.array([c for *_, c in seen], float)
+                self.weights[kind] = self._regression(self.features(v, t), n, self._expectation(kind, v, n, rounds))
 
     def _expectation(self, kind: str, v: np.ndarray, n: np.ndarray, rounds: int) -> np.ndarray:
         """P(personal) of each vote pattern; table[c, l, x + 1] is how often labeler l says x on class c."""
@@ -231,38 +250,40 @@ class SpanClassifier:
         return p
 
     @staticmethod
-    def features(v: np.ndarray) -> np.ndarray:
-        return np.concatenate([v == 1, v == -1, np.ones((len(v), 1), bool)], axis=1).astype(float)
+    def features(v: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return np.concatenate([v == 1, v == -1, np.ones((len(v), 1), bool), t == 0, t == 2], axis=1).astype(float)
 
-    def _regression(self, v: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-        x, w, weight = self.features(v), np.zeros(2 * LABELERS + 1), n / n.sum() * min(n.sum(), 1e6)
+    def _regression(self, x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        w, weight = np.zeros(x.shape[1]), n / n.sum() * min(n.sum(), 1e6)
         for _ in range(40):
             q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             hess = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w))
             w = w + np.clip(np.linalg.solve(hess, x.T @ (weight * (p - q)) - 0.1 * w), -2, 2)
         return w
 
-    def accepts(self, kind: str, v: tuple[int, ...]) -> bool:
-        """Whether a candidate with these votes is personal data; never against the checksum's vote."""
+    def accepts(self, kind: str, v: tuple[int, ...], t: tuple[int, ...] = NO_TRAITS) -> bool:
+        """Whether a candidate with these votes and traits is personal data; never against the checksum's vote."""
         if kind not in self.weights or v[CHECKSUM] < 0:
             return False
-        score = float((self.features(np.array([v])) @ self.weights[kind])[0])
+        score = float((self.features(np.array([v]), np.array([t])) @ self.weights[kind])[0])
         return 1 / (1 + np.exp(-np.clip(score, -500, 500))) >= ACCEPT
 
 
 def fit_pii(docs: DataFrame) -> SpanClassifier:
-    """Counts the vote patterns of all candidates in all documents (at most 7 * 3^5 patterns reach the driver) and fits."""
+    """Counts the patterns of all candidates in all documents (at most 7 * 3^5 * 3^3 patterns reach the driver) and fits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in sliced(batches):
             for text in texts_of(batch):
-                counts.update((k, v) for k, _, _, _, v in candidates(text))
+                counts.update((k, v, traits(text, a, b)) for k, a, b, _, v in candidates(text))
         rows = list(counts.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], pa.string()), pa.array([list(v) for (_, v), _ in rows], pa.list_(pa.int32())), pa.array([n for _, n in rows], pa.int64())], names=["kind", "votes", "n"])
+        names = ["kind", "votes", "traits", "n"]
+        columns = [pa.array([k for (k, _, _), _ in rows], pa.string()), *(pa.array([list(k[i]) for k, _ in rows], pa.list_(pa.int32())) for i in (1, 2)), pa.array([n for _, n in rows], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    counted = docs.select("text").mapInArrow(run, "kind string, votes array<int>, n bigint").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
-    return SpanClassifier({(r["kind"], tuple(r["votes"])): r["n"] for r in counted.collect()})
+    counted = docs.select("text").mapInArrow(run, "kind string, votes array<int>, traits array<int>, n bigint").groupBy("kind", "votes", "traits").agg(F.sum("n").alias("n"))
+    return SpanClassifier({(r["kind"], tuple(r["votes"]), tuple(r["traits"])): r["n"] for r in counted.collect()})
 
 
 def spans_of(text: str, model: SpanClassifier) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -271,9 +292,12 @@ def spans_of(text: str, model: SpanClassifier) -> tuple[list[tuple[int, int, int
     for kind, a, b, ok, v in candidates(text):
         if ok:
             base.append((a, ORDER[kind], b))
-        if (kind, v) not in known:
-            known[kind, v] = model.accepts(kind, v)
-        if ok or known[kind, v]:
+            every.append((a, ORDER[kind], b))
+            continue
+        said = kind, v, traits(text, a, b)
+        if said not in known:
+            known[said] = model.accepts(*said)
+        if known[said]:
             every.append((a, ORDER[kind], b))
     return sorted(base), sorted(every)
 
@@ -313,7 +337,10 @@ def redacted(text: str, model: SpanClassifier) -> str:
 
 
 def redact_pii(docs: DataFrame, model: SpanClassifier) -> DataFrame:
-    """`docs` with the personal data of `text` replaced; null texts stay null and all other columns pass through."""
+    """`docs` with the personal data of `text` replaced by its kind in brackets; all other columns pass through.
+
+    Whole texts of any length; null texts stay null, empty ones empty; repeated rows stay; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.labelled import remainder, training_rows
+from tidemark.llm.labelled import remainder, sampling_weights, training_rows
 from tidemark.llm.shared import sliced, texts_of
 from tidemark.llm.trees import BoostedTrees
 
@@ -29,11 +29,16 @@ STATISTICS = (
 
 
 def statistics(text: str) -> list[float]:
-    """The STATISTICS of one text; all but the first three are shares, means or ratios. An empty text has zeros."""
+    """The STATISTICS of one text; all but the first three are shares, means or ratios.
+
+    A text without words has its bytes (as a logarithm, like any other) and its share of blanks, and zeros for the rest.
+    """
     raw = text.encode("utf-8", "surrogatepass")
     words = text.split()
     if not words:
-        return [float(len(raw)), *[0.0] * (len(STATISTICS) - 1)]
+        out = [0.0] * len(STATISTICS)
+        out[0], out[STATISTICS.index("blanks")] = np.log1p(len(raw)), sum(raw.count(bytes([c])) for c in (9, 10, 13, 32)) / max(len(raw), 1)
+        return out
     seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / len(raw)
     n, lines = len(words), [x for x in text.split("\n") if x.strip()]
     lengths = np.fromiter(map(len, words), np.float64, n)
@@ -73,15 +78,15 @@ def _statistics_in_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> BoostedTrees:
     """Trees fitted on at most `per_class` labelled rows of each class outside the held-out fold.
 
-    Each class is weighed to its share of all labelled rows outside the fold by shifting the base of the scores, so
-    that a score stays a probability although the sample takes the rarer class whole.
+    Each class is weighed to its share of all labelled ids outside the fold by shifting the base of the scores, so
+    that a score stays a probability although the sample takes the rarer class whole. Without labels every score is 0.5.
     """
     rows = training_rows(docs, labels, "quality", FOLDS, HELD, per_class).mapInArrow(_statistics_in_arrow, "x array<double>, label int").collect()
     y = np.array([r["label"] for r in rows], np.float64)
     model = BoostedTrees().fit(np.array([r["x"] for r in rows], np.float64).reshape(-1, len(STATISTICS)), y)
-    every = labels.where(F.col("quality").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD)).agg(F.count("*").alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("ones")).first()
     if len(y):
-        model.base += float(np.log((every["ones"] + 1.0) / (every["n"] - every["ones"] + 1.0)) - np.log((y.sum() + 1.0) / (len(y) - y.sum() + 1.0)))
+        weights = sampling_weights(labels, "quality", FOLDS, HELD, per_class)
+        model.base += float(np.log((y.sum() * weights[1] + 1.0) / ((len(y) - y.sum()) * weights[0] + 1.0)) - np.log((y.sum() + 1.0) / (len(y) - y.sum() + 1.0)))
     return model
 
 

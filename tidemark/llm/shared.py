@@ -1,60 +1,14 @@
-"""Tables, shared storage and Arrow helpers that the operators of this subpackage use."""
+"""Arrow helpers that the operators of this subpackage use."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import suppress
 
 import pyarrow as pa
-from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+from tidemark.tables import materialise, release, scratch, table
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` below `sf_dir`, by a path that only Spark needs to reach."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one on a single machine, an error on a cluster."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back: cuts the lineage and survives lost executors.
-
-    Later readers scan the files, so nothing upstream runs twice and values that depend on scan order stay fixed.
-    The files go with remove_tables, at the latest when the driver's interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(remove_tables, spark)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_tables(spark: SparkSession) -> None:
-    """Deletes the tables that this driver wrote; results that still read them must have been taken before."""
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    with suppress(Py4JError):  # at the interpreter's end the JVM may be gone first
-        while _written:
-            where = jvm.org.apache.hadoop.fs.Path(_written.pop())
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["materialise", "release", "scratch", "sliced", "table", "texts_of"]
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
