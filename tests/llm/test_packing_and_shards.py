@@ -98,6 +98,37 @@ def test_shards_are_near_equal_and_keep_equal_texts(spark):
     assert all(r["size"] == len(text[r["doc_id"]].encode()) + 8 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) for r in out)
 
 
+def test_equal_texts_share_a_shard_whatever_their_language(spark):
+    rows = [(i, f"text number {i // 4} " + "x" * (i // 4 % 37), ["en", "de", "fr", None][i % 4], "s", 0) for i in range(8000)]
+    where, total = defaultdict(set), defaultdict(int)
+    for r in shards_of(spark, rows):
+        where[rows[r["doc_id"]][1]].add(r["shard"])
+        total[r["shard"]] += r["size"]
+    assert len(where) == 2000 and all(len(x) == 1 for x in where.values())
+    assert len(total) == 24 and max(total.values()) < 1.06 * min(total.values())
+
+
+@pytest.mark.parametrize("shards", [1, 2, 5, 24])
+def test_tree_splits_as_a_plain_walk_does(spark, shards):
+    rnd = random.Random(shards)
+    docs = spark.createDataFrame([(i, "é" * rnd.randrange(9) + "y" * rnd.randrange(400) + str(rnd.random()),) for i in range(900)], "doc_id bigint, text string")
+    rows = sharding.row_sizes(docs)
+    tree, plain = sharding.kd_tree(rows, shards), [r.asDict() for r in rows.collect()]
+    placed = {r["row"]: r["shard"] for r in rows.select("row", tree.column().alias("shard")).collect()}
+
+    def walk(node, mine):
+        if node.left is None:
+            assert all(placed[r["row"]] == node.first for r in mine)
+            return
+        low = [r for r in mine if (r[node.key], r["salt"]) < (node.at, node.salt)]
+        want = sum(r["size"] for r in mine) * (node.leaves // 2) / node.leaves
+        assert abs(sum(r["size"] for r in low) - want) <= max((r["size"] for r in mine), default=0)
+        walk(node.left, low)
+        walk(node.right, [r for r in mine if (r[node.key], r["salt"]) >= (node.at, node.salt)])
+
+    walk(tree, plain)
+
+
 def test_a_hot_text_is_dealt_out(spark):
     rows = [(1, "same text", "en", "s", 0)] * 700 + [(i, f"text {i}", "en", "s", 0) for i in range(900)]
     total = defaultdict(int)
