@@ -1,4 +1,11 @@
-"""Mixing sources to target weights by repetition rates, in DataFrame operations alone."""
+"""Mixing sources to target weights by repetition rates, in DataFrame operations alone.
+
+Tokens are aggregated by source, targets give repetition rates, and each document goes out floor(rate) times and once
+more by a draw seeded by its hash. Draws are compared with a threshold that is the fraction as measured: the share of a
+source's draws, weighed by words, that comes nearest the words its fraction asks for. Over seeds that is the Bernoulli
+copy of the fraction's probability; in one mix it takes out the luck of independent draws, which matters in sources of a
+few documents.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +17,8 @@ from tidemark.llm.shared import materialise
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
+#: Steps of the draws: the resolution of a source's threshold, and rows a source of the table that sets it, at most.
+STEPS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -45,35 +54,56 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) from the MD5 of the id and the seed: the same in every run and engine."""
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}"))
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number from 0 to STEPS - 1 from the MD5 of id, seed and text: the same in every run and engine."""
+    said = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}:"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.pmod(F.conv(F.substring(F.md5(said), 1, 12), 16, 10).cast("bigint"), F.lit(STEPS)).cast("int")
 
 
-def mixing_plan(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """`docs` with size, source_size, target, rate and copies.
+def with_threshold(targets: DataFrame, draws: DataFrame) -> DataFrame:
+    """`targets` (source, source_size, target, rate) with `least`: documents that draw less get one copy more.
 
-    copies is floor(rate) and one more where a draw seeded by the document's id falls below the fraction; it depends on
-    the id, the seed and the source's totals only. Null text: size 0. Null ids share one draw, and so do repeated ids.
-    Sources without words have target 0. The counts of a source are pre-aggregated in each task. The targets are written
-    before the join, so Spark knows their size: while they are under its broadcast threshold the documents, and their
-    texts, stay where they are; beyond it both sides are dealt out by source and a hot one is split.
+    `draws` has source, draw, size: the words of each source by draw. The threshold is the one whose words come nearest
+    to what floor(rate) leaves of the target; the lower one of two that are equally near.
     """
-    sized = docs.select("*", word_count(F.col("text")).alias("__size"))
-    targets = materialise(source_targets(sized.select("source", F.col("__size").alias("size"))), "source_targets").select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
-    copies = F.floor("__rate") + (uniform(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("bigint")
-    return sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("__copies", copies)
+    wanted = targets.select(F.col("source").alias("__source"), (F.col("target") - F.floor("rate") * F.col("source_size")).alias("wanted"))
+    upto = W.partitionBy("source").orderBy("draw").rowsBetween(W.unboundedPreceding, W.currentRow)
+    steps = draws.join(wanted, F.col("source").eqNullSafe(F.col("__source"))).select("source", "wanted", (F.col("draw") + 1).alias("least"), F.sum("size").over(upto).cast("double").alias("words"))
+    best = steps.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("wanted")).alias("off"), "least")).alias("best"), F.first("wanted").alias("wanted"))
+    cut = best.select(F.col("source").alias("__source"), F.when(F.col("best.off") < F.abs("wanted"), F.col("best.least")).otherwise(F.lit(0)).alias("least"))
+    return targets.join(cut, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+
+
+def mixing_plan(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, source, the whole row, and its size, source_size, target, rate and copies, all but the first two begin with two underscores.
+
+    copies is floor(rate) and one more where the document's draw is below its source's threshold; it depends on the
+    id, the text, the seed and the source's totals only. Null text: size 0, drawn as empty. Rows that repeat both id and
+    text share a draw; null and repeated ids with other texts draw apart. Sources without words have target 0; an empty
+    table gives no rows. The counts of a source are pre-aggregated in each task, at most STEPS rows. The targets are
+    written before the join, so Spark knows their size: while they are under its broadcast threshold the documents, and
+    their texts, stay where they are; beyond it both sides are dealt out by source and a hot one is split.
+    """
+    sized = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), word_count(F.col("text")).alias("__size"), draw(F.col("doc_id"), F.col("text"), seed).alias("__draw"))
+    draws = materialise(sized.groupBy("source", F.col("__draw").alias("draw")).agg(F.sum("__size").alias("size")), "source_draws")
+    targets = materialise(with_threshold(source_targets(draws), draws), "source_targets")
+    targets = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"), F.col("least").alias("__least"))
+    copies = F.floor("__rate") + (F.col("__draw") < F.col("__least")).cast("bigint")
+    return sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("__copies", copies).drop("__draw", "__least")
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mixed corpus: every document as often as its plan says, with the columns of `docs`."""
-    return mixing_plan(docs, seed).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*docs.columns)
+    """The mixed corpus: every document as often as its plan says, with the columns of `docs` (see mixing_plan).
+
+    Rows travel whole beside the plan's columns, so `docs` may have columns of any name.
+    """
+    return mixing_plan(docs, seed).select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select("__row.*")
 
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':0:' || md5(coalesce(text, ''))), 1, 12)) AS BIGINT) % 4096 AS draw FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -91,8 +121,17 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, coalesce(least(cap, weight * l), 0.0::DOUBLE) AS target,
          CASE WHEN source_size > 0 THEN least(cap, weight * l) / source_size ELSE 0.0::DOUBLE END AS rate FROM found
+), wanted AS (
+  SELECT source, target, source_size, floor(rate) AS whole, target - floor(rate) * source_size AS wanted FROM targets
+), drawn AS (
+  SELECT source, draw, CAST(sum(size) AS BIGINT) AS size FROM sized GROUP BY source, draw
+), steps AS (
+  SELECT d.source, w.wanted, d.draw + 1 AS least, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw) AS DOUBLE) AS words
+  FROM drawn d JOIN wanted w ON d.source IS NOT DISTINCT FROM w.source
+), cuts AS (
+  SELECT source, CASE WHEN abs(words - wanted) < abs(wanted) THEN least ELSE 0 END AS least
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(words - wanted), least) AS r FROM steps) WHERE r = 1
 )
-SELECT s.doc_id, s.size, t.source_size, t.target,
-       CAST(s.size * (floor(t.rate) + CASE WHEN CAST(('0x' || substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), 'null') || ':0'), 1, 12)) AS BIGINT)::DOUBLE / 281474976710656.0::DOUBLE < t.rate - floor(t.rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+SELECT s.doc_id, s.size, w.source_size, w.target, CAST(s.size * (w.whole + CASE WHEN s.draw < c.least THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized s JOIN wanted w ON s.source IS NOT DISTINCT FROM w.source JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source
 """
