@@ -112,7 +112,14 @@ def patterns(text):
         ("you idiot!", (toxicity.INSULT, 0, 0, 1)),
         ("he is not an idiot.", (toxicity.INSULT, 1, 0, 1)),
         ("she said that was stupid.", (toxicity.INSULT, 0, 1, 1)),
-        ("I will kill you.", (toxicity.THREAT, 0, 0, 1)),
+        ("I will kill you.", (toxicity.THREAT, 0, 0, 2)),
+        ("kill you.", (toxicity.THREAT, 0, 0, 1)),
+        ("kill the process.", (toxicity.THREAT, 0, 0, 0)),
+        ("will this kill the process.", (toxicity.THREAT, 0, 0, 1)),
+        ("a disgusting trick.", (toxicity.INSULT, 0, 0, 0)),
+        ("an idiot, said they.", (toxicity.INSULT, 0, 0, 1)),
+        ("du bist kein dummkopf.", (toxicity.INSULT, 1, 0, 1)),
+        ("vous êtes stupides, imbécile.", (toxicity.INSULT, 0, 0, 1)),
         ("not here. an idiot", (toxicity.INSULT, 0, 0, 0)),
     ],
 )
@@ -126,6 +133,22 @@ def test_grammar_weighs_clauses():
     assert score["kill the process"] < 0.5 < score["I will kill you"] and score["nice weather"] < 0.1
 
 
+def test_insults_pile_up_only_with_others():
+    assert patterns("stupid clown.")[0] == {(toxicity.INSULT, 0, 0, 0): 1, (toxicity.INSULT, 0, 0, 1): 1}
+    assert patterns("the trash can and the trash lid.")[0] == {(toxicity.INSULT, 0, 0, 0): 1}
+    assert patterns("trash one two three four five six clown.")[0] == {(toxicity.INSULT, 0, 0, 0): 2}
+
+
+def test_an_insult_word_alone_is_no_match_whatever_labels_say(spark):
+    toxic = ["you stupid idiot", "an idiot here. and there a moron. such a loser."]
+    rows = [(i, f"{toxic[i % 2]} {i}" if i % 3 == 0 else f"plain words {i}", int(i % 3 == 0)) for i in range(900)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    score = {t: model.score(model.counts(t)[None, :])[0] for t in ("The film idiot is a novel", "Idiot, a film. Idiot, the book.", "trash can", "not an idiot", "she called him an idiot", "you idiot", "an idiot. and a moron. and a loser.")}
+    assert all(p < 0.5 for t, p in score.items() if t not in ("you idiot", "an idiot. and a moron. and a loser.")), score
+    assert score["you idiot"] > 0.5 and score["an idiot. and a moron. and a loser."] > 0.5
+
+
 def test_lexicon_is_learned_from_labels():
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
@@ -155,14 +178,17 @@ def test_lexicon_of_a_table_is_that_of_its_texts(spark, small):
 def test_long_texts_are_learned_from(spark):
     rnd = random.Random(3)
     long = lambda: " ".join("".join(rnd.choices("abcdefghij", k=7)) for _ in range(4000))
-    rows = [(i, f"{long()} {'zorkelix' if i % 2 else 'blossom'} {long()}", i % 2) for i in range(60)]
+    mark = lambda i: "zorkel" + "".join(rnd.choices("klmnop", k=3)) if i % 2 else "blossom"
+    rows = [(i, f"{long()} {mark(i)} {long()} {mark(i)} {mark(i)}", i % 2) for i in range(60)]
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
     model = toxicity.fit_toxicity(docs, labels)
-    score = [model.score(model.counts(f"{long()} {w} {long()}")[None, :])[0] for w in ("zorkelix", "blossom")]
-    assert score[0] > 0.5 > score[1]
+    score = [model.score(model.counts(f"{long()} {w} {long()}")[None, :])[0] for w in ("zorkelix zorkelum zorkelab", "zorkelix", "blossom")]
+    assert score[0] > 0.5 > score[1] >= score[2]
 
 
 def test_toxicity_edge_cases(spark):
+    with pytest.raises(ValueError):
+        toxicity.with_toxicity(odd(spark), toxicity.ToxicityModel(set(), set()), "score")
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (5, None)], "doc_id bigint, toxic int")
     docs = odd(spark)
     model = toxicity.fit_toxicity(docs, labels)

@@ -1,20 +1,26 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, report). Three transducers, composed into one machine, rewrite
-the insults and threats of a clause: one marks those in a negation's scope, one those that follow a verb of reporting
-or an opening quote, one those with a person as target. So each match comes out as one of sixteen patterns, and a
-document's score is a logistic sum over its counts of patterns: it is the matched clause that weighs, not the word.
-
-Words are not enough in languages of which no list is at hand, so the insult lexicon is widened from labelled
-documents: words and word beginnings that hardly any clean document has, chosen greedily by how many toxic documents
-they explain that are not explained yet.
+Words become symbols (insult, mark, threat, modal, target, negation, report). Five transducers, composed into one machine
+that reads a clause, rewrite its insults and threats: the insult transducer tells insults that pile up from single ones,
+the threat transducer verbs of harm that a modal announces from mere verbs, and three more mark what stands in the scope
+of a negation, what follows a verb of reporting or an opening quote, and what has a person as its target; the target
+transducer runs once more from the clause's end, for targets that follow. What is piled, announced or aimed is a matched
+clause and counts by its pattern. An insult word alone matches no clause: one of them counts nothing, and several count
+by how many different ones a document has beyond the first. A document's score is a logistic sum.
+
+Words are not enough in languages of which no list is at hand, so marks are learned from labelled documents: words and
+word beginnings that toxic documents have far more often than clean ones, chosen greedily by how many toxic documents
+they explain that are not explained yet. Clean documents may hold such a word now and then, so marks weigh on their own.
+Labels name documents and not words, so targets, modals, negations and verbs of reporting are lists, one a language.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +28,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import remainder, sampling_weights, training_rows
-from tidemark.llm.shared import materialise, sliced, texts_of
+from tidemark.llm.shared import materialise, release, sliced, texts_of
 
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.5
 #: Labelled rows of each class that are learned from, at most.
 TRAIN_PER_CLASS = 3000
-#: Words on either side of a match that its clause can reach, and unmarked words after which a scope ends.
-REACH, GAP_AFTER = 12, 5
+#: Unmarked words after which a scope ends.
+GAP_AFTER = 5
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, GAP = 1, 2, 3, 4, 5, 6
+INSULT, MARK, THREAT, MODAL, TARGET, NEGATION, REPORT, GAP = 1, 2, 3, 4, 5, 6, 7, 8
+MATCHES = (INSULT, MARK, THREAT)
 
 # The seed lexicon.
 SEEDS = {
     INSULT: "idiot idiots idiotic moron morons moronic stupid loser losers scum trash clown clowns pathetic disgusting worthless imbecile cretin scumbag dumbass bastard bastards asshole dimwit halfwit vermin subhuman degenerate "
     "dummkopf vollidiot arschloch abschaum connard imbécile crétin ordure salaud gilipollas imbécil cabrón estúpido estúpida",
     THREAT: "kill kills strangle murder slaughter butcher exterminate destroy umbringen töten abschlachten tuer égorger massacrer matar degollar asesinar",
+    MODAL: "will gonna going shall must should want i'll we'll werde werden wirst muss sollte vais va allons dois devrait voy vamos debo debería quiero",
     TARGET: "you your you're youre u ur he she him her they them du dich dir ihr euch sie tu toi vous vos ils elles tú usted ustedes ellos ellas vosotros",
     NEGATION: "not no never isn't aren't wasn't don't doesn't didn't nor neither nicht kein keine nie niemals pas jamais ni nunca jamás tampoco",
     REPORT: "said says called calls wrote writes quoted quotes reported reportedly allegedly claimed sagte nannte schrieb dit disait appelé écrit dijo llamó escribió",
@@ -46,11 +54,18 @@ EDGES = ".,;:!?\"'()[]{}«»„“”‚‘’…*_-"
 CLAUSE_END = (".", "!", "?", ";", ":", ".\"", "!\"", "?\"")
 PREFIXES = range(4, 8)
 
-#: The patterns: (insult or threat) x (not) negated x (not) reported x (not) aimed at a target.
-PATTERNS = [(kind, neg, rep, aim) for kind in (INSULT, THREAT) for neg in (0, 1) for rep in (0, 1) for aim in (0, 1)]
+#: The patterns: what matched x in a negation's scope x reported x how it is bound (0: not at all, 1: piled, announced or
+#: aimed at a target, 2: aimed and also piled or announced).
+PATTERNS = [(kind, neg, rep, bound) for kind in MATCHES for neg in (0, 1) for rep in (0, 1) for bound in (0, 1, 2)]
+NUMBER = {p: i for i, p in enumerate(PATTERNS)}
 #: What the weights are believed to be before labels are seen.
-PRIOR = np.array([{INSULT: (5.0, 6.5), THREAT: (0.5, 5.0)}[k][aim] * (0.3 if neg else 1.0) * (0.4 if rep else 1.0) for k, neg, rep, aim in PATTERNS])
-PRIOR_BIAS, PRIOR_STRENGTH = -3.0, 0.02
+BELIEFS = {INSULT: (4.0, 6.0, 7.0), MARK: (2.5, 3.0, 3.5), THREAT: (0.3, 4.6, 6.5)}
+PRIOR = np.array([BELIEFS[k][bound] * (0.3 if neg else 1.0) * (0.4 if rep else 1.0) for k, neg, rep, bound in PATTERNS])
+PRIOR_BIAS, PRIOR_STRENGTH, BIAS_STRENGTH = -3.0, 0.0005, 0.1
+#: The bias at most: a text without a matched clause is never toxic, whatever labels say.
+MOST_BIAS = -1.0
+#: How much more frequent a mark must be among toxic documents, and how sure that must be (likelihood ratio).
+LIFT, SURE = 4.0, 25.0
 
 
 class Transducer:
@@ -81,26 +96,28 @@ class Transducer:
         return {out for _, out in self.steps.values()} | symbols
 
 
-def _matches(place: int) -> list[tuple]:
-    """Every form a match can have when `place` of its marks are set."""
-    forms = [(k,) for k in (INSULT, THREAT)]
-    for _ in range(place):
-        forms = [(*f, m) for f in forms for m in (0, 1)]
-    return forms
+def _forms(kinds: tuple[int, ...], marks: int) -> list[tuple]:
+    """Every form that matches of `kinds` can have when so many marks are set."""
+    return [(k, *m) for k in kinds for m in product((0, 1), repeat=marks)]
 
 
-def _marker(place: int, trigger: int, ends: tuple[int, ...]) -> Transducer:
-    """Appends 1 to a match in the scope of `trigger`, else 0; a scope lasts until a symbol of `ends`."""
+def _insults() -> Transducer:
+    """Appends 1 to an insult or mark that follows another one in scope, else 0."""
+    return Transducer({(s, (k,)): (1, (k, s)) for s in (0, 1) for k in (INSULT, MARK)} | {(1, GAP): (0, GAP)})
+
+
+def _marker(trigger: int, ends: tuple[int, ...], forms: list[tuple]) -> Transducer:
+    """Appends 1 to the `forms` in the scope of `trigger`, else 0; a scope lasts until a symbol of `ends`."""
     steps: dict = {(s, trigger): (1, trigger) for s in (0, 1)} | {(1, e): (0, e) for e in ends}
-    return Transducer(steps | {(s, f): (s, (*f, s)) for s in (0, 1) for f in _matches(place)})
+    return Transducer(steps | {(s, f): (s, (*f, s)) for s in (0, 1) for f in forms})
 
 
 def grammar() -> Transducer:
-    """The composed machine; it reads (INSULT,) and (THREAT,) and the bare marks, and gives patterns."""
-    symbols = {TARGET, NEGATION, REPORT, GAP, (INSULT,), (THREAT,)}
-    machine = _marker(0, NEGATION, (GAP,))
-    for place, (trigger, ends) in enumerate(((REPORT, ()), (TARGET, (GAP,))), start=1):
-        machine = machine.compose(_marker(place, trigger, ends), symbols)
+    """The composed machine: it reads (INSULT,), (MARK,), (THREAT,) and bare symbols, and gives (kind, bound, neg, rep, aim)."""
+    symbols = {MODAL, TARGET, NEGATION, REPORT, GAP, *((k,) for k in MATCHES)}
+    machine = _insults().compose(_marker(MODAL, (GAP,), _forms((THREAT,), 0)), symbols)
+    for place, (trigger, ends) in enumerate(((NEGATION, (GAP,)), (REPORT, ()), (TARGET, (GAP,))), start=1):
+        machine = machine.compose(_marker(trigger, ends, _forms(MATCHES, place)), symbols)
     return machine
 
 
@@ -108,9 +125,9 @@ class ToxicityModel:
     """The lexicon (exact words and beginnings of words), the grammar and the weights of its patterns."""
 
     def __init__(self, words: set[str], beginnings: set[str]) -> None:
-        self.exact = {w: kind for kind, ws in SEEDS.items() for w in ws.split()} | dict.fromkeys(words, INSULT)
+        self.exact = dict.fromkeys(words, MARK) | {w: kind for kind, ws in SEEDS.items() for w in ws.split()}
         self.beginnings = beginnings
-        self.machine = grammar()
+        self.machine, self.backwards = grammar(), _marker(TARGET, (GAP,), _forms(MATCHES, 0))
         self.weights, self.bias = PRIOR.copy(), PRIOR_BIAS
         self._known: dict[str, int] = {}
 
@@ -121,67 +138,86 @@ class ToxicityModel:
         core = word.strip(EDGES)
         kind = self.exact.get(core, 0)
         if not kind and any(core[:n] in self.beginnings for n in PREFIXES):
-            kind = INSULT
+            kind = MARK
         if len(self._known) >= 300_000:
             self._known.clear()
         self._known[word] = kind
         return kind
 
     def counts(self, text: str) -> np.ndarray:
-        """How often each of PATTERNS matches in a whole text."""
-        words, found = text.lower().split(), np.zeros(len(PATTERNS))
+        """A whole text's count of each of PATTERNS: clauses where it is bound, different words where it isn't."""
+        words, found, alone = text.lower().split(), np.zeros(len(PATTERNS)), defaultdict(set)
         known, symbol = self._known.get, self.symbol
         kinds = [k if (k := known(w)) is not None else symbol(w) for w in words]
         done = 0
-        for at in [i for i, k in enumerate(kinds) if k == INSULT or k == THREAT]:
+        for at in [i for i, k in enumerate(kinds) if k in MATCHES]:
             if at < done:
                 continue
-            first = at
-            while first > max(done, at - REACH) and not words[first - 1].endswith(CLAUSE_END):
+            first, last = at, at
+            while first > done and not words[first - 1].endswith(CLAUSE_END):
                 first -= 1
-            last = reach = at
-            while last + 1 < len(words) and last < reach + REACH and not words[last].endswith(CLAUSE_END):
+            while last + 1 < len(words) and not words[last].endswith(CLAUSE_END):
                 last += 1
-                if kinds[last] in (INSULT, THREAT):
-                    reach = last
             done = last + 1
-            self._clause(words, kinds, first, done, found)
+            for i, pattern in self.clause(words[first:done], kinds[first:done]):
+                if pattern[-1]:
+                    found[NUMBER[pattern]] += 1
+                else:
+                    alone[pattern].add(words[first + i].strip(EDGES))
+        for pattern, different in alone.items():
+            found[NUMBER[pattern]] = len(different)
         return found
 
-    def _clause(self, words: list[str], kinds: list[int], first: int, end: int, found: np.ndarray) -> None:
-        state, bare = 0, 0
-        targets = any(k == TARGET for k in kinds[first:end])
-        for i in range(first, end):
-            kind = kinds[i]
+    def clause(self, words: list[str], kinds: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """Place and pattern of each match in the words of one clause."""
+        ahead, state, bare = set(), 0, 0
+        for i in range(len(words) - 1, -1, -1):
+            bare = 0 if kinds[i] else bare + 1
+            if kinds[i]:
+                state, out = self.backwards.step(state, (kinds[i],) if kinds[i] in MATCHES else kinds[i])
+                if kinds[i] in MATCHES and out[-1]:
+                    ahead.add(i)
+            elif bare == GAP_AFTER:
+                state, _ = self.backwards.step(state, GAP)
+        state, bare, last = 0, 0, ""
+        for i, kind in enumerate(kinds):
             if words[i][0] in "\"„“«":
                 state, _ = self.machine.step(state, REPORT)
-            if not kind:
-                bare += 1
-                if bare == GAP_AFTER:
-                    state, _ = self.machine.step(state, GAP)
-                continue
-            bare = 0
-            state, out = self.machine.step(state, (kind,) if kind in (INSULT, THREAT) else kind)
-            if kind in (INSULT, THREAT):
-                k, neg, rep, aim = out
-                near = targets and any(x == TARGET for x in kinds[i + 1 : min(end, i + GAP_AFTER)])
-                found[PATTERNS.index((k, neg, rep, int(aim or near)))] += 1
+            bare = 0 if kind else bare + 1
+            if kind:
+                state, out = self.machine.step(state, (kind,) if kind in MATCHES else kind)
+                if kind in MATCHES:
+                    _, bound, neg, rep, aim = out
+                    core = words[i].strip(EDGES)
+                    if kind != THREAT:  # the same word again piles nothing up
+                        bound, last = int(bound and core != last), core
+                    yield i, (kind, neg, rep, bound + int(aim or i in ahead))
+            elif bare == GAP_AFTER:
+                state, _ = self.machine.step(state, GAP)
+
+    @staticmethod
+    def evidence(counts: np.ndarray) -> np.ndarray:
+        """Logarithms of counts; what is not bound has none for the first word."""
+        return np.where(np.array([bool(p[-1]) for p in PATTERNS]), np.log1p(counts), np.log(np.maximum(counts, 1)))
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.bias + np.log1p(counts) @ self.weights, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + self.evidence(counts) @ self.weights, -500, 500)))
 
     def fit(self, counts: np.ndarray, y: np.ndarray, stands_for: np.ndarray | None = None, rounds: int = 30) -> None:
-        """Newton steps of a logistic regression whose weights are drawn to the prior; a row counts `stands_for` times."""
+        """Newton steps of a logistic regression whose weights are drawn to the prior; a row counts `stands_for` times.
+
+        The bias is drawn more strongly: it says what patterns that labels never show must weigh to reach the threshold.
+        """
         times = np.ones(len(y)) if stands_for is None else stands_for
-        x = np.concatenate([np.log1p(counts), np.ones((len(y), 1))], axis=1)
+        x = np.concatenate([self.evidence(counts), np.ones((len(y), 1))], axis=1)
         mean = np.concatenate([PRIOR, [PRIOR_BIAS]])
-        w, strength = mean.copy(), PRIOR_STRENGTH * max(times.sum(), 50)
+        w, strength = mean.copy(), np.append(np.full(len(PRIOR), PRIOR_STRENGTH), BIAS_STRENGTH) * max(times.sum(), 50)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            hess = (x * (times * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
+            hess = (x * (times * p * (1 - p))[:, None]).T @ x + np.diag(strength)
             step = np.linalg.solve(hess, x.T @ (times * (y - p)) - strength * (w - mean))
             w = w + np.clip(step, -2, 2)
-        self.weights, self.bias = w[:-1], float(w[-1])
+        self.weights, self.bias = w[:-1], min(float(w[-1]), MOST_BIAS)
 
 
 _WORD = re.compile(r"[^\W\d_]{4,}").findall
@@ -191,15 +227,27 @@ def _bag(text: str) -> set[str]:
     return set(_WORD(text.lower()))
 
 
+SEED_FEATURES = {f"={w}" for w in SEEDS[INSULT].split()}
+
+
 def _features(words: set[str]) -> set[str]:
     return {f"={w}" for w in words} | {w[:n] for w in words for n in PREFIXES if len(w) > n}
 
 
-def learn_lexicon(texts: list[str], labels: list[int], least: int = 5, most_clean: float = 0.01) -> tuple[set[str], set[str]]:
-    """(words, beginnings) that mark toxic texts: at most `most_clean` as frequent among the clean, each explaining at least `least` more.
+def is_mark(toxic: int, clean: int, n_toxic: int, n_clean: int) -> bool:
+    """Whether a feature of so many toxic and clean documents is LIFT times as frequent among the toxic, and surely so."""
+    if not toxic or toxic * n_clean < LIFT * (clean + 0.5) * n_toxic:
+        return False
+    total, every = toxic + clean, n_toxic + n_clean
+    parts = ((toxic, total * n_toxic / every), (clean, total * n_clean / every))
+    return 2 * sum(seen * math.log(seen / expected) for seen, expected in parts if seen) >= SURE
+
+
+def learn_lexicon(texts: list[str], labels: list[int], least: int = 5) -> tuple[set[str], set[str]]:
+    """(words, beginnings) that mark toxic texts (see is_mark), each explaining at least `least` more.
 
-    Equal texts count once. Of features that explain equally many, the most specific is taken: a word before a
-    beginning, a longer beginning before a shorter one.
+    A text that has two different insults of the seeds is explained by them. Equal texts count once. Of features that
+    explain equally many, the most specific is taken: a word before a beginning, a longer beginning before a shorter one.
     """
     every = dict(zip(texts, labels, strict=True))
     bags = {kind: [_bag(t) for t, k in every.items() if k == kind] for kind in (0, 1)}
@@ -208,16 +256,16 @@ def learn_lexicon(texts: list[str], labels: list[int], least: int = 5, most_clea
         for f in _features(bag):
             held[f].append(i)
     clean = Counter(f for bag in bags[0] for f in _features(bag) if f in held)
-    share = len(bags[0]) / max(len(bags[1]), 1)
-    holders = {f: ids for f, ids in held.items() if len(ids) >= least and clean[f] <= most_clean * len(ids) * share}
-    return _chosen(holders, {f for f in holders if not clean[f]}, len(bags[1]), least, lambda ids: {i: bags[1][i] for i in ids})
+    n_toxic, n_clean = len(bags[1]), len(bags[0])
+    holders = {f: ids for f, ids in held.items() if f in SEED_FEATURES or len(ids) >= least and is_mark(len(ids), clean[f], n_toxic, n_clean)}
+    return _chosen(holders, {f for f in holders if not clean[f]}, n_toxic, least, lambda ids: {i: bags[1][i] for i in ids})
 
 
-def learn_lexicon_of(rows: DataFrame, least: int = 5, most_clean: float = 0.01) -> tuple[set[str], set[str]]:
+def learn_lexicon_of(rows: DataFrame, least: int = 5) -> tuple[set[str], set[str]]:
     """learn_lexicon of `rows` (text, label), an equal text with its larger label.
 
-    Executors take whole texts apart. The driver gets the features of enough toxic and few enough clean texts with their
-    holders, and the hashed words of those texts alone that are compared with each other.
+    Executors take whole texts apart. The driver gets the features that may be marks with their holders, at most
+    TRAIN_PER_CLASS a feature, and the hashed words of those texts alone that are compared with each other.
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,30 +291,34 @@ def learn_lexicon_of(rows: DataFrame, least: int = 5, most_clean: float = 0.01)
     one = rows.groupBy(F.xxhash64("text").alias("doc")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
     bags = materialise(one.mapInArrow(words, "doc bigint, label int, words array<string>"), "toxicity_bags")
     n = {r["label"]: r["count"] for r in bags.groupBy("label").count().collect()}
-    share = n.get(0, 0) / max(n.get(1, 0), 1)
+    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     found = bags.mapInArrow(features, "feature string, clean bigint, docs array<bigint>")
     found = found.groupBy("feature").agg(F.sum("clean").alias("clean"), F.array_sort(F.flatten(F.collect_list("docs"))).alias("docs"))
-    kept = found.where((F.size("docs") >= least) & (F.col("clean") <= most_clean * F.size("docs") * F.lit(share))).collect()
+    a, c, every = F.size("docs"), F.col("clean"), n_toxic + n_clean
+    ratio = 2 * (a * F.log(F.lit(float(every)) / max(n_toxic, 1) * a / (a + c)) + F.when(c > 0, c * F.log(F.lit(float(every)) / max(n_clean, 1) * c / (a + c))).otherwise(0.0))
+    frequent = (a >= least) & (a * n_clean >= LIFT * (c + 0.5) * n_toxic) & (ratio >= SURE)
+    kept = found.where(F.col("feature").isin(*sorted(SEED_FEATURES)) & (a > 0) | frequent).collect()
 
     def hashed(ids: set[int]) -> dict[int, set[int]]:
         wanted = rows.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "doc bigint")
         return {r["doc"]: set(r["words"]) for r in bags.join(F.broadcast(wanted), "doc").select("doc", F.transform("words", lambda w: F.xxhash64(w)).alias("words")).collect()}
 
-    return _chosen({r["feature"]: r["docs"] for r in kept}, {r["feature"] for r in kept if not r["clean"]}, n.get(1, 0), least, hashed)
+    lexicon = _chosen({r["feature"]: r["docs"] for r in kept}, {r["feature"] for r in kept if not r["clean"]}, n_toxic, least, hashed)
+    release(bags)
+    return lexicon
 
 
 def _chosen(holders: dict[str, list[int]], unmixed: set[str], n_toxic: int, least: int, bags_of: Callable[[set[int]], dict[int, set]]) -> tuple[set[str], set[str]]:
     """(words, beginnings) of the features in `holders`; those in `unmixed` no clean text has, and `bags_of` gives the words of toxic texts."""
-    seeds = {w for w in SEEDS[INSULT].split()}
-    left = {f: set(ids) for f, ids in holders.items()}
+    seeds = set(SEEDS[INSULT].split())
+    insults = Counter(i for f in SEED_FEATURES & holders.keys() for i in holders[f])
+    known = {i for i, n in insults.items() if n > 1}
+    left = {f: rest for f, ids in holders.items() if f not in SEED_FEATURES and len(rest := set(ids) - known) >= least}
     words, beginnings = set(), set()
     while left:
         best = max(left, key=lambda f: (len(left[f]), f[0] == "=", len(f), f))
-        covered = left[best]
-        if len(covered) < least:
-            break
+        covered = set(left[best])
         (words if best[0] == "=" else beginnings).add(best.lstrip("="))
-        covered = set(covered)
         left = {f: rest for f, ids in left.items() if len(rest := ids - covered) >= least}
     # Marks that only ever come with others explain nothing more here, but may stand alone elsewhere: those that no
     # clean text has and many unlike toxic texts have (near copies of one text would share all their words).
@@ -285,17 +337,17 @@ def _chosen(holders: dict[str, list[int]], unmixed: set[str], n_toxic: int, leas
         alike = [len(bags[a] & bags[b]) / len(bags[a] | bags[b]) for a, b in zip(ids, ids[1:], strict=False)]
         if sum(alike) < 0.3 * len(alike):
             (words if f[0] == "=" else beginnings).add(core)
-    return words | seeds, beginnings
+    return words, beginnings
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> ToxicityModel:
     """Lexicon and weights from whole texts of at most `per_class` labelled rows of each class outside the held-out fold.
 
-    The texts stay in the shared folder and with the executors; the driver gets features and counts of patterns.
+    The texts stay in the shared folder and with the executors; the driver gets features and counts of patterns. An empty
+    table, and one without labels, leave the seed lexicon and the prior weights.
 
     Each row weighs as many labelled rows of its class outside the fold as it stands for, so that a score doesn't depend
-    on which class the sample cuts; a mere shift of the bias would leave out that the prior draws it as well. Without
-    labels the seed lexicon and the prior weights remain.
+    on which class the sample cuts; a mere shift of the bias would leave out that the prior draws it as well.
     """
     rows = materialise(training_rows(docs, labels, "toxic", FOLDS, HELD, per_class), "toxicity_sample")
     model = ToxicityModel(*learn_lexicon_of(rows))
@@ -309,11 +361,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_
         y = np.array([r["label"] for r in counted])
         weights = np.array(sampling_weights(labels, "toxic", FOLDS, HELD, per_class))
         model.fit(np.array([r["counts"] for r in counted]), y.astype(float), weights[y])
+    release(rows)
     return model
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "toxicity") -> DataFrame:
-    """`docs` with the score of its text in a further column; every other column passes through."""
+    """`docs` with the score of its text in a further column; every other column passes through.
+
+    Null and empty texts, however long ones, repeats and empty tables are as in score_toxicity. ValueError if `docs` has
+    a column of that name.
+    """
+    if column in docs.columns:
+        raise ValueError(f"there is a column {column!r} already")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{column}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,5 +394,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of `docs` that score below THRESHOLD, with the columns of `docs`."""
-    return with_toxicity(docs, model, "__toxicity").where(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
+    """The rows of `docs` that score below THRESHOLD, with the columns of `docs`, whatever their names.
+
+    Scored and dropped in the task that reads them. Null and empty texts stay, repeated rows stay or go together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            counts = np.array([model.counts(t) for t in texts_of(batch)]).reshape(-1, len(PATTERNS))
+            yield batch.filter(pa.array(model.score(counts) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
