@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
 import textwrap
 import zlib
@@ -218,6 +219,35 @@ def test_rewrapped_licences_keep_their_id(spark, width):
     assert len(got) == len(rows) and [r for r in got if r["license_id"] != licences.KNOWN[r["doc_id"]][0]] == []
 
 
+HOLDERS = ("Copyright (c) 2020 Jane Doe", "copyright © Jane Doe", "COPYRIGHT: The Authors", "(c) 2021", "All rights reserved.", "copyright\t2001-2020 x\ncopyright 2021 y")
+NEAR_MISSES = ["copyright", "copyright:", "copyrighted 2020", "copyright notice", "copyright noticeable 5", " copyright holders and", "copyright and", "licence sub licence per cent per cent per cent", "a\r\nCopyright x\x0by", "é Licence—licence ‘x’", "http http", "noncommercial favour_favour", "\n\n(c)\n\n©\n", " - - " * 20_000, "licence\n" * 20_000]
+
+
+def test_sql_agrees_on_planted_licences(spark, tmp_path):
+    texts = [t for _, t in licences.KNOWN]
+    rows = [*texts, *NEAR_MISSES, None, "", "..."]
+    rows += ["\n\n".join(textwrap.fill(p, w, break_on_hyphens=False) for p in t.split("\n\n")) for t in texts for w in (31, 55, 72)]
+    rows += [f"{h}\n{t}\n{h}" for t in texts[:3] for h in HOLDERS]
+    rows += [t.replace("license", "LICENCE").replace("sublicense", "sub-license").upper() for t in texts]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert compare(spark, contract.op4_license_digests, licences.sql(), str(tmp_path)) == len(rows)
+    found = contract.op4_license_digests(spark, str(tmp_path)).where("license_id is not null").count()
+    assert found >= 5 * len(texts)
+
+
+def test_digests_are_those_of_public_copies(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3"}
+    assert files.keys() == licences.DIGESTS.keys()
+    there = [(k, f) for k, f in files.items() if (folder / f).is_file()]
+    if not there:
+        pytest.skip("no copies on this machine")
+    rows = [(i, (folder / f).read_text("utf-8", "replace")) for i, (_, f) in enumerate(there)]
+    rows += [(i, f"Copyright (C) 1999 Somebody\n\n{t.upper()}\n") for i, t in rows]
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows) and all(r["license_id"] == there[r["doc_id"]][0] for r in got)
+
+
 def test_every_known_text_can_match(spark):
     rows = spark.createDataFrame(licences.KNOWN, "license_id string, text string")
     assert rows.where(F.length(licences.canonical(F.col("text"))) == 0).count() == 0

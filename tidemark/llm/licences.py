@@ -7,22 +7,17 @@ the digests of known licence texts. Whole texts match or don't; a licence inside
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that names a copyright holder, with the line break before it: a year, a sign or a name follows "copyright", not
-#: the rest of a wrapped sentence.
-HOLDER_LINE = (
-    r"(^|\n)[\x20\t]*(copyright(?=[^\n]*[a-z0-9©])(?![\x20\t]*(notices?|holders?|owners?|owned|licen[sc]es?|laws?|statements?|interests?|protection|acts?|claims?|rights?|information"
-    r"|and|or|in|is|as|of|to|on|for|under|from|with|that|this|shall|may)(?![a-z0-9]))(?![a-z0-9])|\(c\)|©|all rights reserved)[^\n]*"
-)
-#: What the SQL takes for such a line: any that begins like one. The two differ only on wrapped sentences.
-COPYRIGHT_LINE = r"(^|\n)[\x20\t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Words after "copyright" that carry on a wrapped sentence instead of naming a holder.
+SENTENCE = "notices?|holders?|owners?|owned|licen[sc]es?|laws?|statements?|interests?|protection|acts?|claims?|rights?|information|and|or|in|is|as|of|to|on|for|under|from|with|that|this|shall|may"
+#: A line that names a copyright holder: a year, a sign or a name follows "copyright", not the rest of a sentence.
+HOLDER_LINE = rf"^[\x20\t]*(?:copyright(?=[^\n]*[a-z0-9©])(?![\x20\t]*(?:{SENTENCE})(?![a-z0-9]))(?![a-z0-9])|\(c\)|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[!-/:-@\[-`{-~‘’“”–—]+"
-BLANKS = r"[\x20\x09-\x0D]+"
+#: All that stands between words, in one pattern; line breaks one by one, so that every line's start is seen.
+BETWEEN = rf"(?md){HOLDER_LINE}|{PUNCTUATION}|[\x20\x09\x0B-\x0D]+|\n"
 
 # Equivalent spellings that count as the same word in licence matching.
 SPELLINGS = {
@@ -86,17 +81,39 @@ KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
 )
-#: A notice that is empty in canonical form, so that nothing can match it; the SQL lists it and drops it.
-EMPTY_NOTICE = ("LicenseRef-All-Rights-Reserved", "All rights reserved.")
+# Digests, in the canonical form below, of longer licences as their stewards publish them.
+DIGESTS = {
+    "Apache-2.0": "62c23944e22c7e1579b00eab372c8062d04f03e360aaab08b4030b71d5eac153",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f",
+    "GFDL-1.3": "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7",
+    "GPL-1.0": "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a",
+    "GPL-2.0": "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6",
+    "GPL-3.0": "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354",
+    "MPL-2.0": "3dacd2c104719e7227969cbdcc7d581518827199e830b9379627eec0a32f8ab7",
+}
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a text; null is null."""
-    low = F.translate(text, UPPER, LOWER)
-    bare = F.regexp_replace(F.regexp_replace(low, HOLDER_LINE, "\n"), PUNCTUATION, " ")
-    spaced = F.concat(F.lit("  "), F.regexp_replace(bare, BLANKS, "  "), F.lit("  "))
-    same = reduce(lambda c, kv: F.replace(c, F.lit(f" {kv[0].replace(' ', '  ')} "), F.lit(f" {kv[1].replace(' ', '  ')} ")), SPELLINGS.items(), spaced)
-    return F.trim(F.regexp_replace(same, BLANKS, " "))
+    """The canonical form of a text; null is null.
+
+    One pass of a pattern takes the words apart, one lookup a word makes spellings of one word one, and plain
+    replacements those of two.
+    """
+    single = {a: b for a, b in SPELLINGS.items() if " " not in a}
+    words = F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN), lambda w: w != "")
+    table = F.create_map(*(F.lit(x) for kv in single.items() for x in kv))
+    spelt = F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
+    joined = F.concat(F.lit("  "), F.array_join(spelt, "  "), F.lit("  "))
+    for a, b in SPELLINGS.items():
+        if " " in a:
+            joined = F.replace(joined, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b} "))
+    return F.trim(F.replace(joined, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -106,19 +123,22 @@ def digest(text: Column) -> Column:
 def known_digests(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
     """digest and license_id of known texts: one row a digest (the smallest id where canonical forms coincide).
 
-    `texts` (license_id, text) adds the caller's own to KNOWN. A text whose canonical form is empty is kept in the
-    registry only if its raw text is, and nothing matches it.
+    `texts` (license_id, text) adds the caller's own to KNOWN and DIGESTS. A text whose canonical form is empty is left
+    out, as nothing matches it.
     """
     own = spark.createDataFrame(KNOWN, "license_id string, text string")
     every = own if texts is None else own.unionByName(texts.select("license_id", "text"))
-    return every.where(F.length(canonical(F.col("text"))) > 0).groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    made = every.where(F.length(canonical(F.col("text"))) > 0).select(digest(F.col("text")).alias("digest"), "license_id")
+    long = spark.createDataFrame([(d, k) for k, d in DIGESTS.items()], "digest string, license_id string")
+    return made.unionByName(long).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licences(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id for every row of `docs` (doc_id, text); license_id is null where no known text matches.
 
     Null texts have a null digest and match nothing; empty ones and such as are all punctuation share the digest of
-    the empty string and match nothing; repeated rows stay; other columns are ignored; an empty table gives no rows.
+    the empty string and match nothing; whole texts of any length; repeated rows stay; other columns are ignored; an
+    empty table gives no rows. Only whole texts that a digest is known of match: no excerpts, no edited texts.
     The registry's side of the join is as small as the registry; Spark broadcasts it by its measured size.
     """
     rows = docs.select("doc_id", digest(F.col("text")).alias("digest"))
@@ -131,21 +151,26 @@ def _quoted(text: str) -> str:
 
 
 def sql() -> str:
-    """The scan in DuckDB's dialect."""
+    """The scan in DuckDB's dialect, whose patterns look neither ahead nor back: sentences that begin with "copyright" are set apart first."""
 
     def form(c: str) -> str:
         out = f"translate({c}, '{UPPER}', '{LOWER}')"
-        out = f"regexp_replace(regexp_replace({out}, '{COPYRIGHT_LINE}', chr(10), 'g'), '{PUNCTUATION}', ' ', 'g')"
-        out = f"'  ' || regexp_replace({out}, '{BLANKS}', '  ', 'g') || '  '"
+        out = f"regexp_replace({out}, '(^|\\n)([\\x20\\t]*)copyright([\\x20\\t]*({SENTENCE})\\b)', '\\1\\2\x01copyright\\3', 'g')"
+        out = f"regexp_replace({out}, '(^|\\n)[\\x20\\t]*(copyright(©|[^a-z0-9\\n][^\\n]*?[a-z0-9©])|\\(c\\)|©|all rights reserved)[^\\n]*', chr(10), 'g')"
+        out = f"regexp_replace(replace({out}, '\x01', ''), '{PUNCTUATION}', ' ', 'g')"
+        out = f"'  ' || regexp_replace({out}, '[\\x20\\x09-\\x0D]+', '  ', 'g') || '  '"
         for a, b in SPELLINGS.items():
             out = f"replace({out}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
-        return f"trim(regexp_replace({out}, '{BLANKS}', ' ', 'g'), ' ')"
+        return f"trim(regexp_replace({out}, ' +', ' ', 'g'), ' ')"
 
-    values = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in (*KNOWN, EMPTY_NOTICE))
+    values = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)
+    long = ", ".join(f"({_quoted(d)}, {_quoted(k)})" for k, d in DIGESTS.items())
     return f"""
 WITH known AS (
-  SELECT sha256({form("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {values}) AS v(license_id, text)
-  WHERE length({form("text")}) > 0 GROUP BY 1
+  SELECT digest, min(license_id) AS license_id FROM (
+    SELECT sha256({form("text")}) AS digest, license_id FROM (VALUES {values}) AS v(license_id, text) WHERE length({form("text")}) > 0
+    UNION ALL SELECT * FROM (VALUES {long}) AS w(digest, license_id)
+  ) GROUP BY 1
 ), rows_ AS (SELECT doc_id, sha256({form("text")}) AS digest FROM documents)
 SELECT r.doc_id, r.digest, k.license_id FROM rows_ r LEFT JOIN known k ON r.digest = k.digest
 """
