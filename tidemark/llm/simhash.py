@@ -1,17 +1,18 @@
 """SimHash near-duplicates: fingerprints linked through Golay-code fuzzy hashing.
 
 A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, each a word of the perfect binary Golay code
-[23, 12, 7] with leading zeros; decoding gives the index of the only codeword within three bits. Fingerprints that
-differ in at most three bits have, by the pigeonhole principle, either a segment without errors or exactly one error
-in each segment:
+[23, 12, 7] with leading zeros; decoding gives the index of the only codeword within three bits. A word one bit away
+decodes to one of a few nearby indices: its own, or one of about five others. Fingerprints that differ in at most three
+bits spread their errors over the segments, by the pigeonhole principle, in one of three ways:
 
-* no error in a segment: its codeword index and error pattern are equal. The other 42 or 43 bits hold at most three
-  errors, so one of four parts of them is equal too: twelve keys a fingerprint.
-* one error in each: a segment's codeword index is then among the indices that a single flip of the other's segment
-  decodes to. One side files itself under its own two indices, the other looks under the few nearby ones, and the
-  parities of the segments (each flips) tell the sides apart and sharpen the key.
+* two segments have none: a key for each pair of segments, of both codeword indices and error patterns.
+* one has none and another exactly one: a key of the first segment's index and pattern and of the other's nearby indices.
+* each has exactly one: a key of the nearby indices of two segments.
 
-So no link is lost, and a key holds 26 to 38 bits.
+Where a segment has exactly one error the parities of its two words differ, so the even one files itself under its own
+index and the odd one looks under its nearby indices: the two meet, and each pair meets from one side alone.
+
+So no link is lost, and a key holds 27 to 43 bits.
 """
 
 from __future__ import annotations
@@ -108,47 +109,51 @@ def golay() -> Golay:
     return _golay
 
 
+def _nearby(segment: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The indices that the words decode to after a flip of any one bit, sorted, and which of them are new in their row."""
+    found = np.sort(golay().index(segment[:, None] ^ (1 << np.arange(bits))[None, :]), axis=1)
+    return found, np.concatenate([np.ones((len(segment), 1), bool), found[:, 1:] != found[:, :-1]], axis=1)
+
+
 def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All keys of an array of unsigned fingerprints: (position in the array, key). See the module's text."""
-    code, n = golay(), len(prints)
+    code, everyone = golay(), np.arange(len(prints))
     offsets = np.cumsum((0, *SEGMENTS))
     segment = [((prints >> np.uint64(offsets[s])) & np.uint64((1 << SEGMENTS[s]) - 1)).astype(np.int64) for s in range(3)]
+    index = [code.index(x) for x in segment]
+    exact = [(i << 11) | code.syndrome(x) for i, x in zip(index, segment, strict=True)]
+    odd = [np.bitwise_count(x) & 1 == 1 for x in segment]
+    near = [_nearby(x, n) for x, n in zip(segment, SEGMENTS, strict=True)]
     rows, keys = [], []
-    everyone = np.arange(n)
-    for s in range(3):
-        index = code.index(segment[s])
-        exact = (index << 11) | code.syndrome(segment[s])
-        others = [o for o in range(3) if o != s]
-        rest = segment[others[0]] | (segment[others[1]] << SEGMENTS[others[0]])
-        width = SEGMENTS[others[0]] + SEGMENTS[others[1]]
-        cuts = [round(width * i / 4) for i in range(5)]
-        for p in range(4):
-            part = (rest >> cuts[p]) & ((1 << (cuts[p + 1] - cuts[p])) - 1)
-            rows.append(everyone)
-            keys.append(((s * 4 + p) << 40) | (exact << 11) | part)
-    parity = [np.bitwise_count(x) & 1 for x in segment]
-    filed = np.flatnonzero(parity[0] == 0)
-    rows.append(filed)
-    keys.append((12 << 40) | (code.index(segment[0][filed]) << 14) | (code.index(segment[1][filed]) << 2) | (parity[1][filed] << 1) | parity[2][filed])
-    looking = np.flatnonzero(parity[0] == 1)
-    for at in range(0, len(looking), 4096):
-        who = looking[at : at + 4096]
-        near, fresh = [], []
-        for s in (0, 1):
-            found = np.sort(code.index(segment[s][who, None] ^ (1 << np.arange(SEGMENTS[s]))[None, :]), axis=1)
-            near.append(found)
-            fresh.append(np.concatenate([np.ones((len(who), 1), bool), found[:, 1:] != found[:, :-1]], axis=1))
-        i, a, b = np.nonzero(fresh[0][:, :, None] & fresh[1][:, None, :])
-        rows.append(who[i])
-        keys.append((12 << 40) | (near[0][i, a] << 14) | (near[1][i, b] << 2) | ((1 - parity[1][who[i]]) << 1) | (1 - parity[2][who[i]]))
+
+    def add(family: int, who: np.ndarray, key: np.ndarray) -> None:
+        rows.append(who)
+        keys.append((family << 58) | key)
+
+    pairs = [(s, t) for s in range(3) for t in range(3) if s != t]
+    for family, (s, t) in enumerate(p for p in pairs if p[0] < p[1]):
+        add(family, everyone, (exact[s] << 23) | exact[t])
+    for place, (s, t) in enumerate(pairs):
+        even = np.flatnonzero(~odd[t])
+        add(3, even, (place << 36) | (exact[s][even] << 12) | index[t][even])
+        who = np.flatnonzero(odd[t])
+        i, a = np.nonzero(near[t][1][who])
+        add(3, who[i], (place << 36) | (exact[s][who[i]] << 12) | near[t][0][who[i], a])
+    signs = (odd[1].astype(np.int64) << 1) | odd[2]
+    even = np.flatnonzero(~odd[0])
+    add(4, even, (index[0][even] << 14) | (index[1][even] << 2) | signs[even])
+    who = np.flatnonzero(odd[0])
+    i, a, b = np.nonzero(near[0][1][who][:, :, None] & near[1][1][who][:, None, :])
+    i = who[i]
+    add(4, i, (near[0][0][i, a] << 14) | (near[1][0][i, b] << 2) | (3 - signs[i]))
     return np.concatenate(rows), np.concatenate(keys).astype(np.int64)
 
 
 def _keys_in_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         signed = batch.column("fingerprint").to_numpy(zero_copy_only=False).astype(np.int64)
-        for at in range(0, len(signed), 20_000):
-            part = signed[at : at + 20_000]
+        for at in range(0, len(signed), 8_000):
+            part = signed[at : at + 8_000]
             rows, keys = fuzzy_keys(part.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fingerprint"])
 
