@@ -76,6 +76,11 @@ def prompt(instruction: Column, context: Column) -> Column:
     return F.concat(instruction, F.lit(": "), context)
 
 
+def block_text(blocks: Column) -> Column:
+    """The text of a reply in blocks, ARRAY<STRUCT<type, text>>: those of type text, joined."""
+    return F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "")
+
+
 def local_time(epoch: Column) -> Column:
     """Seconds since 1970 as text in the session's time zone."""
     return F.from_unixtime(epoch, "yyyy-MM-dd HH:mm:ss")

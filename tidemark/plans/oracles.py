@@ -7,6 +7,7 @@ from tidemark.operators.accounting import PRICES
 from tidemark.operators.locality import BACKENDS, ELSEWHERE, FETCH, HOSTED, IN_PROCESS, LOCAL, ON_THIS_HOST, PULL
 from tidemark.operators.projects import MISMATCH, NOTICE
 from tidemark.plans.offline import PER_PROMPT, PER_REPLY, PER_TEXT
+from tidemark.sources.providers import BASE_URLS
 from tidemark.plans.queries import CHAT_MODELS, CONTEXT_TEXTS, DEFAULTS, EMBEDDING_MODELS, INSTRUCTION, LIBRARY, URLS
 
 CORPUS = "c AS (SELECT e.vec_id AS id, d.text, d.source, CAST(e.embedding AS DOUBLE[]) AS v FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"
@@ -105,6 +106,14 @@ SELECT config, bool_and(is_local) AS is_local,
 FROM judged GROUP BY config"""
 
 
+def connected() -> str:
+    def url(provider: str, served: bool) -> str:
+        return text("http://box:1/v1" if served else BASE_URLS.get(provider))
+
+    rows = ", ".join(f"({text(role)}, {text(b[0])}, {url(b[0], b[4])}, {b[2] is None}, {text(b[5])})" for role, known in BACKENDS.items() for b in known)
+    return f"SELECT * FROM (VALUES {rows}) AS t(role, provider, base_url, keyless, model)"
+
+
 def oracle_sql() -> dict[str, str]:
     encodings = "CASE " + " ".join(f"WHEN starts_with(model, {text(p)}) THEN {text(e)}" for p, e in sorted(ENCODINGS.items(), key=lambda x: -len(x[0]))) + " ELSE 'o200k_base' END"
     asked = "asked(model) AS (VALUES " + ", ".join(f"({text(m)})" for m in (*CHAT_MODELS, *EMBEDDING_MODELS)) + ")"
@@ -155,6 +164,16 @@ def oracle_sql() -> dict[str, str]:
         "selection_notice": f"WITH {PROJECTS} SELECT CASE WHEN count(*) FILTER (NOT included) = 0 THEN '' ELSE printf({text(NOTICE)}, count(*) FILTER (NOT included), count(*), string_agg(slug || ' (' || embedding_model || ')', ', ' ORDER BY position) FILTER (NOT included)) END AS notice FROM chosen",
         "cross_project_merge": MERGED,
         "cross_project_query": f"WITH {HITS}, best AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, id) AS r FROM hits WHERE score IS NOT NULL) SELECT project, id, score FROM best WHERE r <= 10 AND project IN (SELECT slug FROM chosen WHERE included) ORDER BY score DESC, project, id LIMIT 25",
+        "unique_ids": "SELECT doc_id, 32 AS digits, true AS hex FROM documents",
+        "random_sample": "SELECT least(count(*), 50) AS n, least(count(DISTINCT doc_id), 50) AS different, least(count(*), 50) AS known FROM documents WHERE text IS NOT NULL",
+        "reply_blocks": "SELECT conv_id, turn, coalesce(text, '') || '.' AS reply FROM conversations",
+        "model_list": "SELECT 0::BIGINT AS place, 'offline-a' AS model UNION ALL SELECT 1::BIGINT, 'offline-b'",
+        "connections": connected(),
+        "text_load": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {text(u)})" for i, u in enumerate(URLS)) + ") AS t(position, text)",
+        "collection_store": "SELECT id::BIGINT AS id, x::DOUBLE AS x, y::DOUBLE AS y, text, 2::BIGINT AS size, 'kept' AS collections FROM (VALUES (0, 2, 0, 'd'), (1, 0, 1, 'b'), (2, 1, 1, 'c'), (3, 0, 5, NULL)) AS t(id, x, y, text)",
+        "conversation_store": """SELECT id::BIGINT AS id, role, message, created_at, id = 1 AS is_setup FROM (VALUES (1, 'system', 'be brief', '1970-01-01 00:00:00'), (2, 'user', 'hello', '1970-01-01 00:00:00'), (3, 'assistant', '5 characters', '1970-01-01 00:00:00'),
+  (4, 'user', 'what is it?', '1970-01-01 00:01:00'), (5, 'assistant', '11 characters', '1970-01-01 00:01:00'), (6, 'user', 'and then?', '1970-01-01 00:00:00'), (7, 'assistant', length('user: hello') + length('assistant: 5 characters') + length('user: and then?') + 2 || ' characters', '1970-01-01 00:00:00')) AS t(id, role, message, created_at)""",
+        "conversation_ids": "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id FROM conversations",
         "provider_embeddings": "SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS characters, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS DOUBLE) AS blanks FROM documents",
         "provider_usage": f"WITH {PRICE_TABLE}, n AS (SELECT count(*) AS n FROM documents) SELECT CAST(ceil(n / 100.0) AS BIGINT) AS calls, CAST({PER_TEXT} * n AS BIGINT) AS input_tokens, 0::BIGINT AS output_tokens, CAST({PER_TEXT} * n AS BIGINT) AS total_tokens, round({PER_TEXT} * n / 1000000.0::DOUBLE * input_price, 8) AS estimated_cost, 0::BIGINT AS unpriced_calls, 0::BIGINT AS uncounted_calls FROM n, prices WHERE model = 'text-embedding-3-small'",
         "provider_replies": "SELECT conv_id, turn, CAST(length(coalesce(text, '')) AS VARCHAR) || ' characters' AS reply FROM conversations WHERE role = 'user'",

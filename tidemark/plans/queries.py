@@ -18,9 +18,11 @@ from tidemark.operators import search as S
 from tidemark.operators.positions import with_position
 from tidemark.plans.offline import OfflineTransport
 from tidemark.sources import providers as V
-from tidemark.sources.collections import append_points, upsert_points
+from tidemark.operators.chat import Chat
+from tidemark.sources.collections import VectorStore, append_points, upsert_points
 from tidemark.sources.configuration import Settings
-from tidemark.sources.vectors_csv import embedding_frame, read_embeddings_csv
+from tidemark.sources.conversation_store import ConversationStore
+from tidemark.sources.vectors_csv import embedding_frame, load_text, read_embeddings_csv
 from tidemark.tables import new_path, table as read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,12 +388,75 @@ def completion_fields(spark: SparkSession, d: str) -> DataFrame:
     return V.replies(c.select("conv_id", "turn", raw.alias("reply"))).drop("reply")
 
 
+def reply_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The text of replies in blocks of several types, one a conversation's message."""
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    c = read(spark, d, "conversations")
+    blocks = F.array(block("thinking", F.col("role")), block("text", F.col("text")), block("text", F.lit(".")))
+    return c.select("conv_id", "turn", T.block_text(blocks).alias("reply"))
+
+
+def model_list(spark: SparkSession, d: str) -> DataFrame:
+    """The models that a backend offers."""
+    offered = V.make_provider("generation", "ollama", Settings(), "any", transport=OfflineTransport()).list_models()
+    return spark.createDataFrame(list(enumerate(offered)), "place bigint, model string")
+
+
+def connections(spark: SparkSession, d: str) -> DataFrame:
+    """Where each backend is reached, and its model where none is asked for."""
+    every = Settings(openai_api_key="k", gemini_api_key="k", voyage_api_key="k", anthropic_api_key="k", ollama_base_url="http://box:1/")
+    rows = [(role, b[0], V.connection(role, b[0], every)[0], V.connection(role, b[0], every)[1] == V.KEYLESS, b[5]) for role, known in L.BACKENDS.items() for b in known]
+    return spark.createDataFrame(rows, "role string, provider string, base_url string, keyless boolean, model string")
+
+
+def text_load(spark: SparkSession, d: str) -> DataFrame:
+    return load_text(spark, list(URLS))
+
+
+def collection_store(spark: SparkSession, d: str) -> DataFrame:
+    """A collection made, filled, written over from 0, added to, and read; one beside it made and deleted."""
+    store = VectorStore(spark, new_path(spark, "store"))
+    store.create("kept", 2)
+    store.create("gone", 3)
+    store.add("kept", [[1, 0], [0, 1], [1, 1]], [{"text": "a"}, {"text": "b"}, {"text": "c"}])
+    store.add("kept", [[2, 0]], [{"text": "d"}])
+    store.append("kept", [[0, 5]])
+    store.delete("gone")
+    info, names = store.info("kept"), ",".join(store.collections())
+    return store.points("kept").select("id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"), F.col("payload")["text"].alias("text"), F.lit(info["size"]).cast("bigint").alias("size"), F.lit(names).alias("collections"))
+
+
+def conversation_store(spark: SparkSession, d: str) -> DataFrame:
+    """A log made, two conversations written by a chat, one of them resumed, and read."""
+    store = ConversationStore(spark, new_path(spark, "log"))
+    provider = V.make_provider("generation", "ollama", Settings(), "llama3", transport=OfflineTransport())
+    first = Chat(provider, store, lambda: 0)
+    first.with_system_role([{"role": "system", "content": "be brief"}, {"role": "user", "content": "hello"}])
+    Chat(provider, store, lambda: 60).complete("what is it?")
+    Chat(provider, store, lambda: 90).complete("and then?", store.load(first.ref_id))
+    of_chat = store.messages.join(store.index.select(F.col("id").alias("ref_id"), "created_at"), "ref_id")
+    return of_chat.select("id", "role", "message", "created_at", (F.col("chat_id") == C.SYSTEM_ROW).alias("is_setup"))
+
+
+def conversation_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of an index made from the log."""
+    new = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("id"), F.lit(0).cast("bigint").alias("epoch"))
+    return C.append_index(spark.createDataFrame([], C.INDEX), new).select("id")
+
+
 def unique_ids(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", T.unique_id().alias("unique_id"))
+    """A fresh id for each document: its digits, and whether it is none of the ids of the log."""
+    made = read(spark, d, "documents").select("doc_id", T.unique_id().alias("unique_id"))
+    taken = conversation_ids(spark, d).select(F.col("id").alias("unique_id"))
+    return made.join(taken, "unique_id", "left_anti").select("doc_id", F.length("unique_id").alias("digits"), F.col("unique_id").rlike("^[0-9a-f]+$").alias("hex"))
 
 
 def random_sample(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").where("text is not null").orderBy(F.rand(7)).limit(50).select("doc_id")
+    """What is sure of a sample of fifty documents with a text: how many, how many different, how many of the table."""
+    texts = read(spark, d, "documents").where("text is not null")
+    sample = texts.orderBy(F.rand(7)).limit(50).select("doc_id")
+    known = sample.join(texts.select("doc_id").distinct().withColumn("known", F.lit(1)), "doc_id", "left")
+    return known.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("different"), F.count("known").alias("known"))
 
 
 def queries() -> dict[str, Query]:
@@ -400,6 +465,7 @@ def queries() -> dict[str, Query]:
         token_counts, corpus_tokens, embedding_cost, prompt_cost, price_lookup, priced_models, embed_batches, usage_totals, usage_by_model, usage_record_costs, usage_unpriced, usage_uncounted, usage_summary,
         conversation_messages, conversation_index, conversation_resume, conversation_append, conversation_orphans, distinct_refs, context_concat, retrieved_context, prompt_assembly, nonnull_text,
         settings_resolution, model_majority, project_exclusions, selection_notice, registry_register, registry_find, registry_unregister, locality_audit, loopback_hosts, base_url, unique_ids, random_sample, cross_project_query,
+        reply_blocks, model_list, connections, text_load, collection_store, conversation_store, conversation_ids,
         provider_embeddings, provider_usage, provider_replies, provider_replies_usage, completion_fields,
     )
     named = {"embedding_frame": embedding_frame_query, "slugify": slugs, "cross_project_merge": cross_project(None), "cross_project_limit": cross_project(25)}
