@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialise
+from tidemark.llm.shared import materialise, release
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     `edges` has two bigint columns, src and dst, in either direction, repeats allowed. Every round hangs neighbours on
     the smallest neighbour by a grouped minimum (partial aggregation) and a join that AQE may split where a hub is
     hot; it ends when no edge changes. Rounds grow with the logarithm of the longest path. Each round's edges are a
-    table in the shared folder; only their count and checksum reach the driver. Empty input: no rows. Null ends and
+    table in the shared folder, deleted with the next one; only their count and checksum reach the driver. Empty input: no rows. Null ends and
     self loops are ignored.
     """
     linked = edges.where("src is not null and dst is not null and src <> dst")
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, current = current, materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(last)
         after = _signature(current)
         if after == before:
             break

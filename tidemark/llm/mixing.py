@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialise
+from tidemark.llm.shared import materialise, release
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -87,6 +87,7 @@ def mixing_plan(docs: DataFrame, seed: int = 0) -> DataFrame:
     sized = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), word_count(F.col("text")).alias("__size"), draw(F.col("doc_id"), F.col("text"), seed).alias("__draw"))
     draws = materialise(sized.groupBy("source", F.col("__draw").alias("draw")).agg(F.sum("__size").alias("size")), "source_draws")
     targets = materialise(with_threshold(source_targets(draws), draws), "source_targets")
+    release(draws)
     targets = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"), F.col("least").alias("__least"))
     copies = F.floor("__rate") + (F.col("__draw") < F.col("__least")).cast("bigint")
     return sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("__copies", copies).drop("__draw", "__least")

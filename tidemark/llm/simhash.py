@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import materialise, sliced, texts_of
+from tidemark.llm.shared import join_classes, materialise, scratch, sliced, texts_of
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 #: Rows of one key that a task compares with each other at once; a larger bucket is cut into blocks, all pairs of which are compared.
 BLOCK = 1024
+#: Words of 64 rows, with a bit for each row that deduplicate drops, that are sent to all tasks at most: some 100 MB.
+DROPPED_WORDS = 2_000_000
 #: Bits of the segments, from the lowest.
 SEGMENTS = (22, 21, 21)
 
@@ -240,16 +242,16 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(prints: DataFrame) -> DataFrame:
-    """Rows (fingerprint, group, component_id) for the distinct fingerprints of `prints` (doc_id, fingerprint).
+    """Rows (fingerprint, group, component_id, size) for the distinct fingerprints of `prints` (doc_id, fingerprint).
 
-    group is the group's smallest fingerprint, component_id its smallest doc_id (null where it has null doc_ids only).
+    group is the group's smallest fingerprint, component_id its smallest doc_id (null where it has null doc_ids only), size the fingerprint's number of rows.
     Equal fingerprints are one node, so exact copies cost one row however many there are.
     """
-    nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
+    nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size")), "fingerprints")
     groups = connected_components(fingerprint_links(nodes)).withColumnRenamed("node", "fingerprint")
-    nodes = nodes.join(groups, "fingerprint", "left").select("fingerprint", "doc_id", F.coalesce("component", "fingerprint").alias("component"))
+    nodes = nodes.join(groups, "fingerprint", "left").select("fingerprint", "doc_id", "size", F.coalesce("component", "fingerprint").alias("component"))
     smallest = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return nodes.join(smallest, "component").select("fingerprint", F.col("component").alias("group"), "component_id")
+    return nodes.join(smallest, "component").select("fingerprint", F.col("component").alias("group"), "component_id", "size")
 
 
 def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -259,20 +261,29 @@ def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
     table gives an empty result; a null doc_id stays null and never names a group that has another id.
     """
     prints = materialise(with_fingerprints(docs.select("doc_id", "text")), "doc_fingerprints")
-    return prints.join(near_duplicate_groups(prints), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return join_classes(prints, near_duplicate_groups(prints), ["fingerprint"]).select("doc_id", "fingerprint", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of `docs` for each near-duplicate group, with all columns: the one with the smallest doc_id.
 
-    Rows are told apart by two 64-bit hashes of (doc_id, text); of rows equal in both, one stays, combined before the
-    shuffle so that a hot row does not gather anywhere.
+    Rows are numbered as they are written once to the shared folder; groups are decided on numbers, ids and fingerprints
+    alone. What goes is gathered as a bit for each row, 64 rows to a word; while those words are few (DROPPED_WORDS,
+    counted) they are sent to all tasks and no text is shuffled, beyond that rows and words meet by number. Null and
+    blank texts are one group; a null doc_id comes after all others; of rows that repeat a doc_id in a group the first
+    read stays; an empty table stays empty; columns may have any name.
     """
-    h1, h2 = F.xxhash64("doc_id", "text"), F.xxhash64("text", F.lit("second"), "doc_id")
-    prints = materialise(with_fingerprints(docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))), "doc_fingerprints")
-    groups = near_duplicate_groups(prints)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")
-    kept = prints.join(groups, "fingerprint").groupBy("group").agg(F.min(order).alias("kept")).select(F.col("kept.h1").alias("__kept1"), F.col("kept.h2").alias("__kept2"))
-    marked = docs.select(*docs.columns, h1.alias("__row1"), h2.alias("__row2"))
-    chosen = marked.join(kept, (F.col("__row1") == F.col("__kept1")) & (F.col("__row2") == F.col("__kept2")), "left_semi")
-    return chosen.dropDuplicates(["__row1", "__row2"]).drop("__row1", "__row2")
+    spark, columns = docs.sparkSession, [F.col(f"`{c}`") for c in docs.columns]
+    rows = materialise(docs.select(F.struct(*columns).alias("row"), F.monotonically_increasing_id().alias("at")), "numbered_docs")
+    with scratch(spark):
+        prints = materialise(with_fingerprints(rows.select("at", "row.doc_id", "row.text")), "doc_fingerprints")
+        groups = near_duplicate_groups(prints)
+        marked = materialise(join_classes(prints, groups.select("fingerprint", "group", "size"), ["fingerprint"]).select("at", "doc_id", "group"), "grouped_docs")
+        order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
+        kept = marked.groupBy("group").agg(F.min(order).alias("kept")).select(F.col("kept.at").alias("at"))
+        gone = marked.select("at").join(kept, "at", "left_anti")
+        words = materialise(gone.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")), "dropped_docs", outer=True)
+    small = F.broadcast(words) if words.count() <= DROPPED_WORDS else words
+    left = rows.withColumn("word", F.shiftright("at", 6)).join(small, "word", "left")
+    stays = F.expr("bits is null or (shiftrightunsigned(bits, cast(at & 63 as int)) & 1L) = 0")
+    return left.where(stays).select("row.*")
