@@ -284,6 +284,23 @@ def test_many_spans_take_linear_time():
     assert took[1] < 15 * took[0]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_candidates_match_a_plain_interval_check(seed):
+    rnd = random.Random(seed)
+    parts = ["a.b@c.de", "10.20.30.40", "+1 (319) 555-5132", "555-123-4567", "4111 1111 1111 1111", "password=abcd1234efgh", "078-05-1120", "DE89370400440532013000", "x (at) y (dot) com", "12345", " ", ", ", "secret: "]
+    for _ in range(400):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        base = pii.base_matches(text)
+        taken, want = [(a, b) for _, a, b, ok in base if ok], [(k, a, b, ok) for k, a, b, ok in base]
+        for k, a, b in pii.further_candidates(text):
+            sound = pii.votes(text, k, a, b)[pii.CHECKSUM]
+            if all(b <= x or a >= y or k == "iban" and sound > 0 and a <= x and y <= b for x, y in taken):
+                want.append((k, a, b, False))
+                if sound >= 0:
+                    taken.append((a, b))
+        assert [c[:4] for c in pii.candidates(text)] == want
+
+
 def test_traits_tell_what_votes_do_not():
     same = (1, 1, 0, 1, 1)
     seen = {("secret", same, (2, 1, 2)): 50, ("secret", (1, 1, 1, 1, 1), (2, 1, 2)): 50, ("secret", (-1, -1, -1, 1, -1), (0, 0, 0)): 200}
