@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from tidemark.operators import chat
 from tidemark.sources.conversation_store import ConversationStore
 from tidemark.sources.providers import GenerationProvider
@@ -37,6 +39,22 @@ def test_log_of_a_conversation(spark, tmp_path):
     assert store.load("nobody") == {"ref_id": "nobody", "messages": []}
 
 
+def test_interactive_chat(spark, tmp_path):
+    store = ConversationStore(spark, str(tmp_path / "log"))
+    lines, shown = iter(["hi", "more", "exit", "never"]), []
+    talk = chat.Chat(Echo(), store)
+    said = talk.interactive("be brief", read=lambda _: next(lines), write=shown.append)
+    assert [m["role"] for m in said] == ["system", "user", "assistant", "user", "assistant"] and shown == ["reply"] * 2
+    assert store.load(talk.ref_id)["messages"] == said and store.ids().count() == 1
+
+    def ended(_):
+        raise EOFError
+
+    assert chat.Chat(Echo(), store).interactive(loaded=store.load(talk.ref_id), read=ended) == said
+    with pytest.raises(ValueError):
+        talk.interactive()
+
+
 def test_prompts():
     echo = Echo()
     assert chat.summarise(echo, "Sum up", "text") == "reply" and echo.seen == [(chat.SUMMARY_PROMPT, "Sum up: text")]

@@ -54,6 +54,29 @@ class Chat:
             messages = [*messages["messages"], {"role": "user", "content": prompt}]
         return self._complete(messages or [{"role": "user", "content": prompt}], prompt)
 
+    def interactive(self, prompt: str | None = None, loaded: dict | None = None, read: Callable[[str], str] = input, write: Callable[[str], None] = print) -> list[Message]:
+        """Asks and answers line by line until `exit` or the end of input, and gives all messages.
+
+        Begins with `prompt` as the system's role, or resumes `loaded` messages; ValueError where there is neither.
+        """
+        if prompt is None and loaded is None:
+            raise ValueError("an interactive chat needs a prompt or loaded messages")
+        if loaded is not None:
+            self.ref_id, self._indexed, said = loaded["ref_id"], True, list(loaded["messages"])
+        else:
+            said = [{"role": "system", "content": prompt}]
+            self.store.insert_messages(self.ref_id, [(SYSTEM_ROW, "system", prompt)])
+        while True:
+            try:
+                asked = read("> ")
+            except EOFError:
+                return said
+            if asked == "exit":
+                return said
+            said.append({"role": "user", "content": asked})
+            said.append({"role": "assistant", "content": self._complete(said, asked)})
+            write(said[-1]["content"])
+
     def _complete(self, messages: list[Message], prompt: str) -> str:
         reply, chat_id = self.provider.generate(*_flat(messages)), uuid.uuid4().hex
         self.store.insert_messages(self.ref_id, [(chat_id, "user", prompt)])
