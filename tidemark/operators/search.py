@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import pickle
 from abc import ABC, abstractmethod
@@ -91,22 +92,26 @@ def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """src, rnk, dst, score: the k rows of `corpus` nearest to each row of `queries` (both: id, embedding).
 
-    Exact. Rows are filed under the nearest of at most CELLS sampled pivots, whose widest member angle is measured over
+    Exact. Rows are filed under the nearest of some sampled pivots, one for each BLOCK rows and CELLS at most, whose widest member angle is measured over
     all rows. Queries go in blocks of like vectors, each with the least of its members' k-th scores within a bounded
     sample; by the triangle inequality of angles a block asks only cells that can hold a score that high, and blocks and
     cells meet in an equi-join. What meets is one matrix product, of which k rows a query leave. Ties fall to the
     smaller dst. Zero, NULL or non-finite vectors have no score; vectors of different widths never meet.
     """
     spark = corpus.sparkSession
-    units = [materialise(df.select("id", unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null").select("id", "u", F.size("u").alias("width")), "unit_vectors") for df in (queries, corpus)]
-    held = units[1]
+
+    def units(df: DataFrame) -> DataFrame:
+        return materialise(df.select("id", unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null").select("id", "u", F.size("u").alias("width")), "unit_vectors")
+
+    held = units(corpus)
+    asking = held if queries is corpus else units(queries)
+    counted = held.count()
+    parts = max(1, -(-counted // BLOCK))
     sample: dict[int, list] = {}
     for r in held.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("width", "u").collect():
         sample.setdefault(r["width"], []).append(r["u"])
     first = {w: np.array(v) for w, v in sample.items()}
-    pivots = {w: _pivots(x, CELLS) for w, x in first.items()}
-    counted = held.count()
-    parts = max(1, -(-counted // BLOCK))
+    pivots = {w: _pivots(x, min(CELLS, parts)) for w, x in first.items()}
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +169,7 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5) -> Dat
 
     blocks, kinds = "width int, cell int, block binary", "width int, cell int, asked binary"
     corpus_blocks = by_cell.repartitionByRange(parts, "width", "cell", "id").mapInArrow(pack, blocks)
-    asked = filed(units[0]).repartitionByRange(parts, "width", "cell", "id").mapInArrow(pack, blocks).mapInArrow(ask, kinds)
+    asked = filed(asking).repartitionByRange(parts, "width", "cell", "id").mapInArrow(pack, blocks).mapInArrow(ask, kinds)
     found = asked.join(corpus_blocks, ["width", "cell"]).select("asked", "block").mapInArrow(meet, "src bigint, dst bigint, score double")
     rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
     return found.withColumn("rnk", rank).where(F.col("rnk") <= k).select("src", "rnk", "dst", "score")
@@ -199,8 +204,9 @@ def similarity_walk(corpus: DataFrame, vector: Sequence[float], top_k: int = 5,
     and reported are those against the first vector, while ranks stay those of the hop. Visits are told by text. Rows
     without a score take no part; a first vector without a length walks nowhere; too few rows end the walk.
 
-    Vectors are scaled to length one once and cached with the score of the first vector where that is asked for; a hop
-    is one dot product a row and a distributed top-k of which top_k rows come back. Hops depend on each other.
+    Vectors are scaled to length one once and cached with a digest of their text, and with the score of the first vector
+    where that is asked for; a hop is one dot product a row and a distributed top-k of which top_k rows come back. Hops
+    depend on each other. The texts themselves are read once, at the end, for the steps alone.
     """
     spark = corpus.sparkSession
     length = math.sqrt(sum(float(x) * x for x in vector))
@@ -209,10 +215,12 @@ def similarity_walk(corpus: DataFrame, vector: Sequence[float], top_k: int = 5,
         return spark.createDataFrame(steps, "step int, document string, score double")
 
     def score(v: Sequence[float]) -> Column:
-        return F.when(F.size("u") == len(v), F.round(clamped(dot(F.col("u"), literal(v))), PLACES))
+        # One constant from one string: a hop's plan is built and its code found again quickly.
+        product = f"aggregate(zip_with(u, from_json('{json.dumps(list(v))}', 'array<double>'), (x, y) -> x * y), 0D, (total, x) -> total + x)"
+        return F.expr(f"if(size(u) = {len(v)}, round(greatest(-1D, least(1D, {product})), {PLACES}), null)")
 
     current = [float(x) / length for x in vector]
-    rows = corpus.select("id", "text", unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null")
+    rows = corpus.select("id", F.md5("text").alias("digest"), unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null")
     said = "first" if score_based_on_initial_query else "score"
     rows = (rows.withColumn("first", score(current)) if score_based_on_initial_query else rows).persist()
     seen: set[str | None] = set()
@@ -222,15 +230,17 @@ def similarity_walk(corpus: DataFrame, vector: Sequence[float], top_k: int = 5,
             at = 0 if hop == 0 else 1
             if len(near) <= at or near[at][said] < score_threshold:
                 break
-            fresh = next((r for r in near[at:] if r["text"] not in seen), None)
+            fresh = next((r for r in near[at:] if r["digest"] not in seen), None)
             if fresh is None or fresh[said] < score_threshold:
                 break
-            seen.add(fresh["text"])
-            steps.append((hop + 1, fresh["text"], float(fresh[said])))
+            seen.add(fresh["digest"])
+            steps.append((hop + 1, fresh["id"], fresh["digest"], float(fresh[said])))
             current = fresh["u"]
     finally:
         rows.unpersist()
-    return spark.createDataFrame(steps, "step int, document string, score double")
+    walked = F.broadcast(spark.createDataFrame(steps, "step int, __id bigint, digest string, score double"))  # depth rows at most
+    found = corpus.join(walked, (F.col("id") == F.col("__id")) & F.md5("text").eqNullSafe(F.col("digest")))
+    return found.groupBy("step").agg(F.first("text").alias("document"), F.first("score").alias("score"))
 
 
 def merge_project_hits(hits: DataFrame, selected: DataFrame, limit: int | None = None) -> DataFrame:

@@ -1,5 +1,5 @@
 """Queries over the test tables: `embeddings` with `documents` stand for an embedded corpus, `conversations` for a log,
-`documents.source` for projects. Every key has its SQL in oracles.py unless its result is random."""
+`documents.source` for projects. Every key has its SQL in oracles.py."""
 
 from __future__ import annotations
 
@@ -15,15 +15,16 @@ from tidemark.operators import conversations as C
 from tidemark.operators import locality as L
 from tidemark.operators import projects as P
 from tidemark.operators import search as S
+from tidemark.operators.chat import Chat
 from tidemark.operators.positions import with_position
 from tidemark.plans.offline import OfflineTransport
 from tidemark.sources import providers as V
-from tidemark.operators.chat import Chat
 from tidemark.sources.collections import VectorStore, append_points, upsert_points
 from tidemark.sources.configuration import Settings
 from tidemark.sources.conversation_store import ConversationStore
 from tidemark.sources.vectors_csv import embedding_frame, load_text, read_embeddings_csv
-from tidemark.tables import new_path, table as read_table
+from tidemark.tables import new_path
+from tidemark.tables import table as read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CHAT_MODELS = ("gpt-4o", "gpt-4o-mini", "gpt-4.1", "gpt-99-unreleased")
