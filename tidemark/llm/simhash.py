@@ -17,7 +17,7 @@ So no link is lost, and a key holds 27 to 43 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,62 +183,89 @@ class Forest:
         return True
 
 
-def _verified_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares the fingerprints of each run of equal (key, first, second) and gives links that span what is linked."""
-    forest = Forest()
-    left = (np.empty((0, 3), np.int64), np.empty(0, np.int64))
-
-    def links(run: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        found = []
-        prints = value.view(np.uint64)
-        start = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]).any(axis=1)]))
-        length = np.diff(np.concatenate([start, [len(value)]]))
-        place = np.arange(len(value)) - np.repeat(start, length)
-        ahead = np.repeat(length, length) - place - 1
-        alive = np.flatnonzero(ahead > 0)
-        step = 1
-        while len(alive):
-            close = alive[np.bitwise_count(prints[alive] ^ prints[alive + step]) <= MAX_BITS]
-            if len(close):
-                found.append(np.stack([value[close], value[close + step]], axis=1))
-            step += 1
-            alive = alive[ahead[alive] >= step]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        kept = [(a, b) for a, b in pairs.tolist() if a != b and forest.joins(a, b)]
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in kept], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+def _links_within(run: np.ndarray, value: np.ndarray, forest: Forest) -> pa.RecordBatch:
+    """Links between the fingerprints of each stretch of equal rows of `run` that span what is linked."""
+    found, prints = [], value.view(np.uint64)
+    start = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]).any(axis=1)]))
+    length = np.diff(np.concatenate([start, [len(value)]]))
+    place = np.arange(len(value)) - np.repeat(start, length)
+    ahead = np.repeat(length, length) - place - 1
+    alive, step = np.flatnonzero(ahead > 0), 1
+    while len(alive):
+        close = alive[np.bitwise_count(prints[alive] ^ prints[alive + step]) <= MAX_BITS]
+        if len(close):
+            found.append(np.stack([value[close], value[close + step]], axis=1))
+        step += 1
+        alive = alive[ahead[alive] >= step]
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    kept = [(a, b) for a, b in pairs.tolist() if a != b and forest.joins(a, b)]
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in kept], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+
+
+def _verified_links(names: tuple[str, ...], most: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that compares the fingerprints of each run of equal `names` (sorted) and gives links that span what is linked.
+
+    With `most`, a run of more rows is not held: it comes out as one row whose src is null and whose dst is its first name.
+    """
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        run = np.concatenate([left[0], np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "first", "second")], axis=1)])
-        value = np.concatenate([left[1], batch.column("fingerprint").to_numpy(zero_copy_only=False).astype(np.int64)])
-        last = np.flatnonzero((run != run[-1]).any(axis=1))
-        cut = last[-1] + 1 if len(last) else 0
-        if cut:
-            yield links(run[:cut], value[:cut])
-        left = (run[cut:], value[cut:])
-    if len(left[1]):
-        yield links(*left)
+    def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        run, value = np.empty((0, len(names)), np.int64), np.empty(0, np.int64)
+
+        def closed(run: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if most is not None:
+                start = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]).any(axis=1)]))
+                length = np.diff(np.concatenate([start, [len(value)]]))
+                hot = length > most
+                if hot.any():
+                    yield pa.RecordBatch.from_arrays([pa.nulls(int(hot.sum()), pa.int64()), pa.array(run[start[hot], 0])], names=["src", "dst"])
+                    few = ~np.repeat(hot, length)
+                    run, value = run[few], value[few]
+            if len(value):
+                yield _links_within(run, value, forest)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            run = np.concatenate([run, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], axis=1)])
+            value = np.concatenate([value, batch.column("fingerprint").to_numpy(zero_copy_only=False).astype(np.int64)])
+            last = np.flatnonzero((run != run[-1]).any(axis=1))
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                yield from closed(run[:cut], value[:cut])
+            run, value = run[cut:], value[cut:]
+            if most is not None and len(value) > most + 1:  # it is hot already, whatever follows
+                run, value = run[: most + 1], value[: most + 1]
+        if len(value):
+            yield from closed(run, value)
+
+    return run_over
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links (src, dst) between the distinct fingerprints of `prints` that span each group within MAX_BITS bits.
 
-    Keys that a single fingerprint has are dropped after a count. A key of more than BLOCK fingerprints is cut into
-    blocks, and every pair of its blocks is a group of its own, so no task holds more than two blocks of one key.
-    Verified links leave a task only where they join two groups there.
+    Keys are made and dealt out once; a task reads its keys in order and compares what shares one. A key of more than
+    BLOCK fingerprints is not held: it is named, and a second round cuts such keys into blocks, every pair of which is a
+    group of its own, so no task holds more than two blocks of one key. Verified links leave a task only where they join
+    two groups there.
     """
     keys = prints.select("fingerprint").mapInArrow(_keys_in_arrow, "key bigint, fingerprint bigint")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    found = materialise(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_verified_links(("key",), BLOCK), "src bigint, dst bigint"), "links")
+    hot = found.where("src is null").select(F.col("dst").alias("key"))
+    links = found.where("src is not null")
+    if not hot.head(1):
+        return links
+    crowded = keys.join(hot, "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("fingerprint"), blocks.cast("bigint")).cast("int")
     pairs = (
-        keys.join(shared, "key")
+        crowded.join(crowded.groupBy("key").agg(F.count("*").alias("n")), "key")
         .select("key", "fingerprint", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select("key", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"), "fingerprint")
     )
     dealt = pairs.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
-    return dealt.mapInArrow(_verified_links, "src bigint, dst bigint")
+    return links.unionByName(dealt.mapInArrow(_verified_links(("key", "first", "second")), "src bigint, dst bigint"))
 
 
 def near_duplicate_groups(prints: DataFrame) -> DataFrame:
