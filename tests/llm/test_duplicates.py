@@ -124,7 +124,8 @@ VECTORS = "vec_id bigint, embedding array<double>, label int, cell string"
 
 
 def test_vectors_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(pq_dedup, "BLOCK", 16)
+    monkeypatch.setattr(pq_dedup, "HELD", 16)
+    monkeypatch.setattr(pq_dedup, "ASKING", 40)
     monkeypatch.setattr(pq_dedup, "PER_CELL", 20)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 12))
@@ -150,6 +151,22 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_probes_are_sufficient_and_few_on_clusters():
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(30, 16))[:, None, :] + rng.normal(size=(30, 20, 16)) * 0.05).reshape(-1, 16)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    quantiser, reach = pq_dedup.Quantiser(x, 30), float(np.sqrt(2 - 2 * 0.93))
+    cell, codes, error, far = quantiser.encode(x)
+    asks = quantiser.probes(cell, far, reach)
+    i, j = np.nonzero(x @ x.T >= 0.93)
+    low, high = np.where(cell[i] <= cell[j], i, j), np.where(cell[i] <= cell[j], j, i)
+    assert asks[low, cell[high]].all()
+    assert asks.sum() < 3 * len(x)
+    decoded = np.stack([np.concatenate([b[c] for b, c in zip(quantiser.books, row, strict=True)]) for row in codes]) + quantiser.coarse[cell]
+    assert np.allclose(np.linalg.norm(x - decoded, axis=1), error)
+    assert np.allclose(quantiser.lookups(x[:5], int(cell[0]), codes[cell == cell[0]]), np.linalg.norm(x[:5, None] - decoded[cell == cell[0]][None], axis=2))
+
+
 def test_vectors_empty(spark):
     assert pq_dedup.near_duplicate_vectors(spark.createDataFrame([], VECTORS)).count() == 0
     assert pq_dedup.near_duplicate_vectors(spark.createDataFrame([(1, None, 1, "")], VECTORS)).first()["kept"]

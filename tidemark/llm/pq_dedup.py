@@ -1,16 +1,19 @@
 """Near-duplicate vectors by product quantisation.
 
-Vectors are scaled to length one, filed under the nearest of some coarse centroids, and the residual is coded by
-subspace. Only vectors of one label (and width) are compared, in pairs of blocks of at most BLOCK vectors:
+Vectors are scaled to length one, filed in the inverted list of the nearest of some coarse centroids, and the residual is
+coded by subspace; list, codes and coding error are computed once and written. A vector then probes lists, by an
+equi-join on label and list:
 
-* probes: a vector x links with some y of cell c only if x is within reach of the cell, that is if
+* probes: a vector x links with some y of list c only if x is within reach of it, that is if
   |x-c|^2 - |x-c0|^2 <= 2 r |c-c0| for x's own centroid c0 (else the plane between the centroids is farther than the
-  linking distance r). That many probes are sufficient: none that could hold a link is left out.
-* table lookups: the distance of x to the decoded y is a sum over subspaces of table entries, and misses the true one
+  linking distance r). That many probes are sufficient: none that could hold a link is left out. The test holds for both
+  ends of a link, so a vector asks its own list and those after it only.
+* table lookups: the distance of x to the coded y is a sum over subspaces of table entries, and misses the true one
   by at most y's coding error, which is stored. Pairs beyond r plus that error are dropped.
 * rerank: what remains is decided by the exact cosine in double precision.
 
-So recall is 1 by construction; the quantisers, fitted on a bounded sample, only decide how much work is saved.
+So recall is 1 by construction; the quantisers, fitted on a bounded sample, only decide how much work is saved. A list
+that is too long, or asked too often, for one task is cut into parts that each meet all parts of the other side.
 """
 
 from __future__ import annotations
@@ -20,21 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import materialise
-from tidemark.llm.vectors import k_means, packed, squared_distances, unpacked, usable, wide
+from tidemark.llm.shared import join_classes, materialise, release
+from tidemark.llm.vectors import k_means, squared_distances, usable, wide
 
 THRESHOLD = 0.93
 #: Vectors that the quantisers are fitted on, at most.
 SAMPLE = 8192
-BLOCK = 2048
+#: Vectors of a list that a task holds at a time, and vectors that ask it there, at most on average.
+HELD, ASKING = 2048, 32_768
 SUBSPACES, CODES = 8, 64
-#: Vectors for one coarse centroid, and the least and largest number of centroids.
-PER_CELL, FEWEST_CELLS, MOST_CELLS = 2048, 4, 1024
+#: Vectors of the largest label for one coarse centroid, and centroids at most.
+PER_CELL, MOST_CELLS = 2048, 1024
 
 
 class Quantiser:
@@ -48,16 +51,23 @@ class Quantiser:
         self.books = [k_means(rest[:, a:b], CODES, seed=i) for i, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False))]
         self.between = np.sqrt(squared_distances(self.coarse, self.coarse))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """cell, code in each subspace and coding error of each row."""
-        cell = squared_distances(x, self.coarse).argmin(1)
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """list, code in each subspace, coding error and distances (squared) to all centroids of each row."""
+        far = squared_distances(x, self.coarse)
+        cell = far.argmin(1)
         rest = x - self.coarse[cell]
         codes, error = np.zeros((len(x), len(self.books)), np.uint8), np.zeros(len(x))
         for i, book in enumerate(self.books):
             part = rest[:, self.cuts[i] : self.cuts[i + 1]]
             codes[:, i] = squared_distances(part, book).argmin(1)
             error += ((part - book[codes[:, i]]) ** 2).sum(1)
-        return cell, codes, np.sqrt(error)
+        return cell, codes, np.sqrt(error), far
+
+    def probes(self, cell: np.ndarray, far: np.ndarray, reach: float) -> np.ndarray:
+        """Which lists each row must ask: its own, and those after it that the plane between cannot exclude."""
+        own = far[np.arange(len(far)), cell]
+        within = far - own[:, None] <= 2 * reach * self.between[cell] + 1e-9
+        return (within & (np.arange(far.shape[1])[None, :] > cell[:, None])) | (np.arange(far.shape[1])[None, :] == cell[:, None])
 
     def lookups(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Distances of the rows of x to coded vectors of a cell, summed from tables."""
@@ -68,10 +78,9 @@ class Quantiser:
         return np.sqrt(total)
 
 
-def _unit(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows scaled by their largest component (against overflow), and of length one."""
-    x = wide(vectors, width)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -92,36 +101,47 @@ def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def _compare(one: tuple, other: tuple, same: bool, quantiser: Quantiser, width: int, threshold: float) -> dict[str, np.ndarray]:
-    """Links between two blocks of a label: per node the number of rows it gains, and links that span the groups."""
-    (nodes_a, size_a, vec_a), (nodes_b, size_b, vec_b) = one, other
-    raw_a, unit_a = _unit(vec_a, width)
-    raw_b, unit_b = (raw_a, unit_a) if same else _unit(vec_b, width)
-    norm_a, norm_b = np.linalg.norm(raw_a, axis=1), np.linalg.norm(raw_b, axis=1)
-    reach = math.sqrt(2 - 2 * threshold) + 1e-7
-    far = squared_distances(unit_a, quantiser.coarse)
-    own = far.argmin(1)
-    cell, codes, error = quantiser.encode(unit_b)
-    left, right = [], []
-    for c in np.unique(cell):
-        there = np.flatnonzero(cell == c)
-        probing = np.flatnonzero(far[:, c] - far[np.arange(len(far)), own] <= 2 * reach * quantiser.between[own, c] + 1e-9)
-        for at in range(0, len(probing), 512):
-            who = probing[at : at + 512]
-            near = quantiser.lookups(unit_a[who], c, codes[there]) <= reach + error[there][None, :] + 1e-6
-            i, j = np.nonzero(near)
-            i, j = who[i], there[j]
-            if same:
-                i, j = i[i < j], j[i < j]
+class Held:
+    """The vectors of one part of a list that a task holds, and the links that others find among them."""
+
+    def __init__(self, cell: int, width: int, quantiser: Quantiser, threshold: float) -> None:
+        self.cell, self.width, self.quantiser, self.threshold = cell, width, quantiser, threshold
+        self.reach = math.sqrt(2 - 2 * threshold) + 1e-7
+        self.parts: list[tuple] = []
+
+    def add(self, *columns: np.ndarray) -> None:
+        """node, size, vectors, codes, error."""
+        self.parts.append(columns)
+
+    def ask(self, node: np.ndarray, size: np.ndarray, raw: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray] | None:
+        """Links of the asking vectors; those whose `own` list this is meet each other once."""
+        if not self.parts:
+            return None
+        if len(self.parts) > 1:
+            self.parts = [tuple(np.concatenate(c) for c in zip(*self.parts, strict=True))]
+        nodes, sizes, vectors, codes, error = self.parts[0]
+        x, unit_x = _unit(raw)
+        y, _ = _unit(vectors)
+        norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+        left, right = [], []
+        padded = np.zeros((len(unit_x), self.quantiser.width))
+        padded[:, : self.width] = unit_x
+        for at in range(0, len(x), 512):
+            near = self.quantiser.lookups(padded[at : at + 512], self.cell, codes) <= self.reach + error[None, :] + 1e-6
+            i, j = np.nonzero(near & (~own[at : at + 512, None] | (node[at : at + 512, None] < nodes[None, :])))
+            i += at
             for part in range(0, len(i), 1 << 16):
                 p, q = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-                close = (raw_a[p] * raw_b[q]).sum(1) / (norm_a[p] * norm_b[q]) >= threshold
+                close = (x[p] * y[q]).sum(1) / (norm_x[p] * norm_y[q]) >= self.threshold
                 left.append(p[close])
                 right.append(q[close])
-    i, j = np.concatenate(left or [np.empty(0, np.int64)]), np.concatenate(right or [np.empty(0, np.int64)])
-    gain_a, gain_b = np.bincount(i, size_b[j], len(nodes_a)), np.bincount(j, size_a[i], len(nodes_b))
-    src, dst = _star(nodes_a[i], nodes_b[j])
-    return {"node": np.concatenate([nodes_a[gain_a > 0], nodes_b[gain_b > 0], src]), "gain": np.concatenate([gain_a[gain_a > 0], gain_b[gain_b > 0], np.zeros(len(src))]).astype(np.int64), "other": np.concatenate([np.full((gain_a > 0).sum() + (gain_b > 0).sum(), -1), dst])}
+        if not any(map(len, left)):
+            return None
+        i, j = np.concatenate(left), np.concatenate(right)
+        gain_x, gain_y = np.bincount(i, sizes[j], len(node)), np.bincount(j, size[i], len(nodes))
+        src, dst = _star(node[i], nodes[j])
+        gained = (gain_x > 0).sum() + (gain_y > 0).sum()
+        return {"node": np.concatenate([node[gain_x > 0], nodes[gain_y > 0], src]), "gain": np.concatenate([gain_x[gain_x > 0], gain_y[gain_y > 0], np.zeros(len(src))]), "other": np.concatenate([np.full(gained, -1), dst])}
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -144,58 +164,72 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
     gains = links.groupBy("node").agg(F.sum("gain").alias("gain"))
     groups = connected_components(links.where("other >= 0").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     named = classes.select("node", "h1", "h2", "least", "size").join(groups, "node", "left").join(gains, "node", "left")
-    named = named.select("h1", "h2", "least", (F.col("size") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("group"))
+    named = named.select("h1", "h2", "least", "size", (F.col("size") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    found = keyed.select("vec_id", "h1", "h2").join(named.join(least, "group").select("h1", "h2", "n_links", "component_id"), ["h1", "h2"])
+    found = join_classes(keyed.select("vec_id", "h1", "h2"), named.join(least, "group").select("h1", "h2", "size", "n_links", "component_id"), ["h1", "h2"])
     alone = rows.where("not able").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.select("vec_id", "n_links", "component_id").unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _links(classes: DataFrame, threshold: float) -> DataFrame:
     """node, gain, other: rows that a node gains by links (other -1), and links that span groups (gain 0)."""
-    facts = classes.agg(F.count("*").alias("n"), F.max("width").alias("width")).first()
-    n, width = facts["n"], facts["width"] or 1
+    facts = classes.agg(F.max("width").alias("width")).first()
+    width = facts["width"] or 1
+    largest = classes.groupBy("label", "width").count().agg(F.max("count")).first()[0] or 0
     sample = classes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("embedding").collect()
-    cells = min(MOST_CELLS, max(FEWEST_CELLS, n // PER_CELL))
-    quantiser = Quantiser(_unit([r["embedding"] for r in sample], width)[1] if sample else np.ones((1, width)), cells)
-
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell = squared_distances(_unit(b.column("embedding").to_pylist(), width)[1], quantiser.coarse).argmin(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], names=[*b.schema.names, "cell"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[tuple, list] = {}
-        count, first = 0, TaskContext.get().partitionId() << 32
-
-        def out(key: tuple) -> pa.RecordBatch:
-            nonlocal count
-            node, size, vector = zip(*waiting.pop(key), strict=True)
-            count += 1
-            blob = packed(np.array(node, np.int64), np.array(size, np.int64), wide(vector, key[1]))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, first + count, blob), (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["label", "width", "block", "rows"])
+    fitted = _unit(wide([r["embedding"] for r in sample], width))[1] if sample else np.ones((1, width))
+    quantiser, reach = Quantiser(fitted, min(MOST_CELLS, max(1, largest // PER_CELL))), math.sqrt(2 - 2 * threshold) + 1e-7
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for label, w, node, size, vector in zip(*(b.column(c).to_pylist() for c in ("label", "width", "node", "size", "embedding")), strict=True):
-                waiting.setdefault((label, w), []).append((node, size, vector))
-                if len(waiting[label, w]) >= BLOCK:
-                    yield out((label, w))
-        for key in list(waiting):
-            yield out(key)
+            vectors = b.column("embedding").to_pylist()
+            cell, codes, error, far = quantiser.encode(_unit(wide(vectors, width))[1])
+            probes = quantiser.probes(cell, far, reach)
+            raw = [np.array(v, np.float64) for v in vectors]
+            # Most tables hold single precision: where that is all a vector has, half the bytes say the same.
+            blobs = [f.tobytes() if (f := v.astype(np.float32)).astype(np.float64).tobytes() == v.tobytes() else v.tobytes() for v in raw]
+            columns = [*(b.column(c) for c in ("label", "width", "node", "size")), pa.array(cell.astype(np.int32)), pa.array([np.flatnonzero(p).tolist() for p in probes], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["label", "width", "node", "size", "cell", "probes", "vector", "codes", "error"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
         for b in batches:
-            for one, other, same in zip(*(b.column(c).to_pylist() for c in ("one", "other", "same")), strict=True):
-                x = unpacked(one)
-                found = _compare(x, x if same else unpacked(other), same, quantiser, width, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(found[c].astype(np.int64)) for c in ("node", "gain", "other")], names=["node", "gain", "other"])
-
-    kinds = "label string, width int, node bigint, size bigint, embedding array<double>"
-    rows = classes.select(F.col("label").cast("string").alias("label"), "width", "node", "size", "embedding").mapInArrow(file, f"{kinds}, cell int")
-    blocks = rows.repartitionByRange(max(1, -(-n // BLOCK)), "label", "width", "cell", "node").mapInArrow(pack, "label string, width int, block bigint, rows binary")
-    blocks = materialise(blocks, "vector_blocks")
-    heads = blocks.select("label", "width", "block")
-    pairs = heads.join(heads.select("label", "width", F.col("block").alias("second")), ["label", "width"]).where("block <= second")
-    pairs = pairs.join(blocks.select("block", F.col("rows").alias("one")), "block")
-    pairs = pairs.join(blocks.select(F.col("block").alias("second"), F.col("rows").alias("other")), "second")
-    return materialise(pairs.select("one", "other", (F.col("block") == F.col("second")).alias("same")).mapInArrow(compare, "node bigint, gain bigint, other bigint"), "vector_links")
+            keys = list(zip(*(b.column(c).to_pylist() for c in (*group, "role")), strict=True))
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                *mine, role = keys[at]
+                if mine != key:
+                    key, held = mine, Held(mine[2], mine[1], quantiser, threshold)
+                rows = b.slice(at, end - at)
+                node, size = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "size"))
+                raw = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * mine[1] else np.float64).astype(np.float64) for v in rows.column("vector").to_pylist()])
+                if not role:
+                    codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(node), -1)
+                    held.add(node, size, raw, codes, rows.column("error").to_numpy(zero_copy_only=False))
+                elif found := held.ask(node, size, raw, rows.column("own").to_numpy(zero_copy_only=False).astype(bool)):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[c].astype(np.int64)) for c in ("node", "gain", "other")], names=["node", "gain", "other"])
+                at = end
+
+    group = ("label", "width", "cell", "sub", "part")
+    rows = classes.select(F.col("label").cast("string").alias("label"), "width", "node", "size", "embedding")
+    coded = materialise(rows.mapInArrow(code, "label string, width int, node bigint, size bigint, cell int, probes array<int>, vector binary, codes binary, error double"), "vector_codes")
+    lists = ["label", "width", "cell"]
+    asked = coded.select("label", "width", F.explode("probes").alias("cell"), (F.col("cell")).alias("home"), "node", "size", "vector")
+    counts = coded.groupBy(*lists).agg(F.count("*").alias("held")).join(asked.groupBy(*lists).agg(F.count("*").alias("asking")), lists)
+    # Only lists too long or asked too often: at most one for each HELD vectors or ASKING probes.
+    long = F.broadcast(counts.select(*lists, F.ceil(F.col("held") / HELD).cast("int").alias("subs"), F.ceil(F.col("asking") / ASKING).cast("int").alias("parts")).where("subs > 1 or parts > 1"))
+    subs, parts = F.coalesce("subs", F.lit(1)), F.coalesce("parts", F.lit(1))
+    holding = coded.join(long, lists, "left").select(
+        *lists, F.pmod(F.xxhash64("node"), subs).cast("int").alias("sub"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), "node", "size", "vector", "codes", "error", F.lit(True).alias("own")
+    )
+    asking = asked.join(long, lists, "left").select(
+        *lists, F.explode(F.sequence(F.lit(0), subs - 1)).alias("sub"), F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int").alias("part"), F.lit(1).alias("role"), "node", "size", "vector",
+        F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), (F.col("home") == F.col("cell")).alias("own"),
+    )
+    dealt = holding.unionByName(asking).repartition(*group).sortWithinPartitions(*group, "role")
+    found = materialise(dealt.mapInArrow(compare, "node bigint, gain bigint, other bigint"), "vector_links")
+    release(coded)
+    return found
