@@ -1,10 +1,11 @@
 """Exact top-k search by integer inner products, with norm-sorted blocks and pruning by Cauchy-Schwarz bounds.
 
 Candidates are range-partitioned by descending length, so a partition is a block of vectors of like length, longest
-first. Queries travel in blocks too, each with a lower bound of its k-th score from the longest vectors of all. A task
-meets one block of queries with one block of candidates: it stops where |q| |c| falls below every query's bound,
-computes the leading coordinates after a rotation by the singular vectors of a sample, and only where the partial sum
-plus the product of the residual lengths reaches the bound is the exact integer product taken.
+first. Queries travel in blocks too, each with a lower bound of its k-th score from the longest vectors of all, and go to
+no block whose longest vector is shorter than bound over length for all of them: that is known before anything is
+shuffled. A task meets one block of queries with one block of candidates: it stops where |q| |c| falls below every
+query's bound, computes the leading coordinates after a rotation by the singular vectors of a sample, and only where the
+partial sum plus the product of the residual lengths reaches the bound is the exact integer product taken.
 """
 
 from __future__ import annotations
@@ -75,46 +76,68 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
     head_rows, head_q = np.array([r["row"] for r in head], np.int64), _small(_matrix([r["q"] for r in head], width))
     parts, asked_parts = max(1, -(-facts["n"] // CANDIDATES)), max(1, -(-facts["asked"] // QUERIES))
 
-    def pack(batches: Iterator[pa.RecordBatch], first_bounds: bool) -> Iterator[pa.RecordBatch]:
+    def matrix_of(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids, rows and vectors of a partition, longest first; None where it has none."""
         ids, row, q = [], [], []
         for b in batches:
             ids += b.column("vec_id").to_pylist()
             row += b.column("row").to_pylist()
             q += b.column("q").to_pylist()
         if not ids:
-            return
+            return None
         order = np.lexsort((row, ids, -np.array([sum(float(x) * x for x in v) for v in q])))
-        ids, row, matrix = np.array(ids, np.int64)[order], np.array(row, np.int64)[order], _small(_matrix(q, width)[order])
-        bound = None
-        if first_bounds:
-            bound = np.full(len(ids), np.iinfo(np.int64).min)
-            for at in range(0, len(ids), 256):
-                scores = _products(matrix[at : at + 256].astype(np.int64), head_q.astype(np.int64))
-                others = head_rows[None, :] != row[at : at + 256, None]
-                for i in range(len(scores)):
-                    own = scores[i][others[i]]
-                    if len(own) >= k:
-                        bound[at + i] = np.partition(own, len(own) - k)[len(own) - k]
+        return np.array(ids, np.int64)[order], np.array(row, np.int64)[order], _small(_matrix(q, width)[order])
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := matrix_of(batches):
+            most = float(np.linalg.norm(found[2][0].astype(float)))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([most]), pa.array([packed(*found)], pa.binary())], names=["part", "most", "block"])
+
+    blocks = materialise(rows.repartitionByRange(parts, F.desc("norm"), "vec_id", "row").mapInArrow(hold, "part int, most double, block binary"), "topk_blocks")
+    longest = {r["part"]: r["most"] for r in blocks.select("part", "most").collect()}  # two numbers for each CANDIDATES rows
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The block of queries once for each block of candidates that can reach one of their bounds."""
+        if not (found := matrix_of(batches)):
+            return
+        ids, row, matrix = found
+        bound = np.full(len(ids), np.iinfo(np.int64).min)
+        for at in range(0, len(ids), 256):
+            scores = _products(matrix[at : at + 256].astype(np.int64), head_q.astype(np.int64))
+            others = head_rows[None, :] != row[at : at + 256, None]
+            for i in range(len(scores)):
+                own = scores[i][others[i]]
+                if len(own) >= k:
+                    bound[at + i] = np.partition(own, len(own) - k)[len(own) - k]
+        least = _least_length(np.linalg.norm(matrix.astype(float), axis=1), bound)
         blob = packed(ids, row, matrix, bound)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([blob], pa.binary())], names=["part", "block"])
+        for part, most in longest.items():
+            if most >= least:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "asked"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for asked, held in zip(b.column("asked").to_pylist(), b.column("block").to_pylist(), strict=True):
                 yield _meet(unpacked(asked), unpacked(held), rotation, k)
 
-    blocks = rows.repartitionByRange(parts, F.desc("norm"), "vec_id", "row").mapInArrow(lambda it: pack(it, False), "part int, block binary")
-    asked = queries.repartitionByRange(asked_parts, "vec_id", "row").mapInArrow(lambda it: pack(it, True), "part int, block binary")
-    dealt = asked.select(F.col("block").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    found = dealt.join(blocks, "part").select("asked", "block").mapInArrow(meet, "query_id bigint, query_row bigint, vec_id bigint, row bigint, score bigint")
+    asked = queries.repartitionByRange(asked_parts, F.desc("norm"), "vec_id", "row").mapInArrow(ask, "part int, asked binary")
+    found = asked.join(blocks.select("part", "block"), "part").select("asked", "block").mapInArrow(meet, "query_id bigint, query_row bigint, vec_id bigint, row bigint, score bigint")
     best = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _least_length(lengths: np.ndarray, bound: np.ndarray) -> float:
+    """The length that a candidate must have to reach the bound of any of some queries; slack covers rounding."""
+    known = (bound > 0) & (lengths > 0)
+    if not known.all():
+        return -np.inf
+    return float(((bound * (1 - 1e-9) - 1e-6) / lengths).min(initial=np.inf)) * (1 - 1e-9)
+
+
 def _meet(asked: tuple, held: tuple, rotation: np.ndarray, k: int) -> pa.RecordBatch:
     """The up to k best candidates of a block for each query of a block that reach the query's bound."""
     query_id, query_row, q, bound = asked
-    ids, row, c, _ = held
+    ids, row, c = held
     q, c, bound = q.astype(np.int64), c.astype(np.int64), bound.copy()
     lead = min(LEADING, q.shape[1])
     rq, rc = q.astype(float) @ rotation, c.astype(float) @ rotation
