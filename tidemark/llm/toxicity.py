@@ -59,7 +59,7 @@ PREFIXES = range(4, 8)
 PATTERNS = [(kind, neg, rep, bound) for kind in MATCHES for neg in (0, 1) for rep in (0, 1) for bound in (0, 1, 2)]
 NUMBER = {p: i for i, p in enumerate(PATTERNS)}
 #: What the weights are believed to be before labels are seen.
-BELIEFS = {INSULT: (4.0, 6.0, 7.0), MARK: (2.5, 3.0, 3.5), THREAT: (0.3, 4.6, 6.5)}
+BELIEFS = {INSULT: (4.0, 6.0, 7.0), MARK: (4.0, 5.0, 5.5), THREAT: (0.3, 4.6, 6.5)}
 PRIOR = np.array([BELIEFS[k][bound] * (0.3 if neg else 1.0) * (0.4 if rep else 1.0) for k, neg, rep, bound in PATTERNS])
 PRIOR_BIAS, PRIOR_STRENGTH, BIAS_STRENGTH = -3.0, 0.0005, 0.1
 #: The bias at most: a text without a matched clause is never toxic, whatever labels say.
