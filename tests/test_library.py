@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import tables
 from tidemark.functions import text as T
 from tidemark.operators import accounting, conversations, locality, projects
 from tidemark.operators.positions import with_position
@@ -52,6 +54,23 @@ def test_positions_of_a_million_wide_rows(spark, tmp_path):
     assert sorted(r["position"] for r in tied) == list(range(1000))
 
 
+def test_tables_go_with_their_scope(spark):
+    def there(df):
+        return os.path.isdir(df._tidemark_path)
+
+    kept = tables.materialise(spark.range(3), "kept")
+    with tables.scratch(spark):
+        inner, outer = tables.materialise(spark.range(3), "inner"), tables.materialise(spark.range(4), "outer", outer=True)
+        assert there(inner) and there(outer)
+    assert there(kept) and not there(inner) and outer.count() == 4
+    tables.release(kept, outer, spark.range(1))
+    assert not there(kept) and not there(outer)
+    with pytest.raises(RuntimeError), tables.scratch(spark):
+        inner = tables.materialise(spark.range(3), "inner")
+        raise RuntimeError
+    assert not there(inner)
+
+
 @pytest.mark.parametrize("name, slug", [("  Case   #42  ", "case-42"), ("!!!", "project"), ("Ünïcode Name", "n-code-name"), ("a--b", "a-b"), ("", "project")])
 def test_slugs(spark, name, slug):
     assert one(spark.createDataFrame([(name,)], "n string").select(T.slugify(F.col("n")))) == slug == conf.slug_of(name)
