@@ -16,7 +16,11 @@ def stream_into(points: DataFrame, store: VectorStore, name: str, checkpoint: st
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        if batch.head(1):
-            store.upsert(name, batch, newest=True)
+        batch.persist()  # its width is checked and its ids are joined before it is written
+        try:
+            if batch.head(1):
+                store.upsert(name, batch, newest=True)
+        finally:
+            batch.unpersist()
 
     return points.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
