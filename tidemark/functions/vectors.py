@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -12,9 +14,9 @@ def as_doubles(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double"))
 
 
-def literal(vector: Sequence[float]) -> Column:
-    """A query vector as a constant, so that a search needs no join."""
-    return F.array(*(F.lit(float(x)) for x in vector))
+def constant(vector: Sequence[float]) -> Column:
+    """A finite vector as one constant, folded before the plan runs, so that a search needs no join."""
+    return F.from_json(F.lit(json.dumps([float(x) for x in vector])), "array<double>")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,6 +43,14 @@ def unit(vector: Column) -> Column:
     return F.when((length > 0) & (length < float("inf")), F.transform(vector, lambda x: x / length))
 
 
-def rounded_cosine(a: Column, b: Column, places: int = 6) -> Column:
+def cosine_to(a: Column, vector: Sequence[float]) -> Column:
+    """`cosine` to a vector that is known when the plan is made: scaled once, so that a row costs one product and one norm."""
+    length = math.sqrt(sum(float(x) * x for x in vector))
+    if not 0 < length < math.inf:
+        return F.lit(None).cast("double")
+    return F.when(F.size(a) == len(vector), clamped(F.try_divide(dot(a, constant([x / length for x in vector])), norm(a))))
+
+
+def rounded_cosine_to(a: Column, vector: Sequence[float], places: int = 6) -> Column:
     """The score that rankings use: rounded before ranking, so that ties fall to the id whatever the summation order."""
-    return F.round(cosine(a, b), places)
+    return F.round(cosine_to(a, vector), places)

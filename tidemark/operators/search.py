@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 import pickle
 from abc import ABC, abstractmethod
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.vectors import as_doubles, clamped, cosine, dot, literal, rounded_cosine, unit
+from tidemark.functions.vectors import as_doubles, clamped, constant, cosine, dot, rounded_cosine_to, unit
 from tidemark.operators.projects import DEFAULT_EMBEDDING_MODEL, chosen, select_projects
 from tidemark.tables import materialise
 
@@ -62,7 +61,7 @@ def cosine_top_k(corpus: DataFrame, vector: Sequence[float], k: int = 10, id_col
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    scored = corpus.withColumn("score", rounded_cosine(as_doubles(F.col("embedding")), literal(vector)))
+    scored = corpus.withColumn("score", rounded_cosine_to(as_doubles(F.col("embedding")), vector))
     return scored.where(F.col("score").isNotNull()).orderBy(F.desc("score"), id_column).limit(k)
 
 
@@ -72,7 +71,7 @@ def relatedness(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def above(corpus: DataFrame, vector: Sequence[float], threshold: float) -> DataFrame:
     """All rows whose score reaches the threshold."""
-    scored = corpus.withColumn("score", rounded_cosine(as_doubles(F.col("embedding")), literal(vector)))
+    scored = corpus.withColumn("score", rounded_cosine_to(as_doubles(F.col("embedding")), vector))
     return scored.where(F.col("score") >= threshold)
 
 
@@ -215,9 +214,7 @@ def similarity_walk(corpus: DataFrame, vector: Sequence[float], top_k: int = 5,
         return spark.createDataFrame(steps, "step int, document string, score double")
 
     def score(v: Sequence[float]) -> Column:
-        # One constant from one string: a hop's plan is built and its code found again quickly.
-        product = f"aggregate(zip_with(u, from_json('{json.dumps(list(v))}', 'array<double>'), (x, y) -> x * y), 0D, (total, x) -> total + x)"
-        return F.expr(f"if(size(u) = {len(v)}, round(greatest(-1D, least(1D, {product})), {PLACES}), null)")
+        return F.when(F.size("u") == len(v), F.round(clamped(dot(F.col("u"), constant(v))), PLACES))
 
     current = [float(x) / length for x in vector]
     rows = corpus.select("id", F.md5("text").alias("digest"), unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions.vectors import as_doubles, literal, norm, rounded_cosine
+from tidemark.functions.vectors import as_doubles, norm, rounded_cosine_to
 from tidemark.operators import accounting as A
 from tidemark.operators import conversations as C
 from tidemark.operators import locality as L
@@ -89,7 +89,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def relatedness_scores(spark: SparkSession, d: str) -> DataFrame:
     seed, e = seed_vector(spark, d), read(spark, d, "embeddings")
-    return (e if seed else e.limit(0)).select("vec_id", rounded_cosine(as_doubles(F.col("embedding")), literal(seed)).alias("relatedness"))
+    return (e if seed else e.limit(0)).select("vec_id", rounded_cosine_to(as_doubles(F.col("embedding")), seed).alias("relatedness"))
 
 
 def topk_threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -296,7 +296,7 @@ def selection_notice(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(rows: DataFrame, seed: list[float]) -> DataFrame:
     """project, id, score of the rows (source, id, embedding) that have a score."""
-    return rows.withColumn("score", rounded_cosine(F.col("embedding"), literal(seed))).where("score is not null").select("project", "id", "score")
+    return rows.withColumn("score", rounded_cosine_to(F.col("embedding"), seed)).where("score is not null").select("project", "id", "score")
 
 
 def cross_project(limit: int | None) -> Query:
