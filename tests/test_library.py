@@ -15,7 +15,7 @@ from tidemark.operators.positions import with_position
 from tidemark.plans.offline import OfflineTransport
 from tidemark.sources import configuration as conf
 from tidemark.sources import providers, vectors_csv
-from tidemark.sources.collections import VectorStore
+from tidemark.sources.collections import VectorStore, positional_points
 from tidemark.streaming.upserts import stream_into
 
 
@@ -158,6 +158,16 @@ def test_store_keeps_what_readers_opened_and_one_row_an_id(spark, tmp_path):
         store.upsert("c", spark.createDataFrame([(1, [5.0], None)], "id bigint, embedding array<double>, payload map<string,string>"))
 
 
+def test_payloads_meet_vectors_by_position(spark):
+    vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "position bigint, embedding array<double>")
+    payload = spark.createDataFrame([(1, "b", None), (0, "a", 3)], "position bigint, text string, n int")
+    got = {r["id"]: (r["embedding"], r["payload"]) for r in positional_points(vectors, payload).collect()}
+    assert got == {0: ([1.0], {"text": "a", "n": "3"}), 1: ([2.0], {"text": "b", "n": None})}
+    assert [r["payload"] for r in positional_points(vectors, payload.limit(0)).collect()] == [None, None]
+    with pytest.raises(ValueError):
+        positional_points(vectors, payload.limit(1))
+
+
 def test_stream_into_store(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "s"))
     store.create("c", 2)

@@ -164,6 +164,7 @@ def oracle_sql() -> dict[str, str]:
         "selection_notice": f"WITH {PROJECTS} SELECT CASE WHEN count(*) FILTER (NOT included) = 0 THEN '' ELSE printf({text(NOTICE)}, count(*) FILTER (NOT included), count(*), string_agg(slug || ' (' || embedding_model || ')', ', ' ORDER BY position) FILTER (NOT included)) END AS notice FROM chosen",
         "cross_project_merge": MERGED,
         "cross_project_query": f"WITH {HITS}, best AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, id) AS r FROM hits WHERE score IS NOT NULL) SELECT project, id, score FROM best WHERE r <= 10 AND project IN (SELECT slug FROM chosen WHERE included) ORDER BY score DESC, project, id LIMIT 25",
+        "payload_join": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, CAST(label AS VARCHAR) AS label, CAST(len(embedding) AS BIGINT) AS width FROM embeddings",
         "unique_ids": "SELECT doc_id, 32 AS digits, true AS hex FROM documents",
         "random_sample": "SELECT least(count(*), 50) AS n, least(count(DISTINCT doc_id), 50) AS different, least(count(*), 50) AS known FROM documents WHERE text IS NOT NULL",
         "reply_blocks": "SELECT conv_id, turn, coalesce(text, '') || '.' AS reply FROM conversations",

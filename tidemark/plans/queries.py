@@ -19,7 +19,7 @@ from tidemark.operators.chat import Chat
 from tidemark.operators.positions import with_position
 from tidemark.plans.offline import OfflineTransport
 from tidemark.sources import providers as V
-from tidemark.sources.collections import VectorStore, append_points, upsert_points
+from tidemark.sources.collections import VectorStore, append_points, positional_points, upsert_points
 from tidemark.sources.configuration import Settings
 from tidemark.sources.conversation_store import ConversationStore
 from tidemark.sources.vectors_csv import embedding_frame, load_text, read_embeddings_csv
@@ -129,6 +129,15 @@ def collection_append(spark: SparkSession, d: str) -> DataFrame:
     return append_points(old, new, old.count())
 
 
+def payload_join(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors and their labels, each numbered on its own, as points with a payload."""
+    e = read(spark, d, "embeddings")
+    vectors = with_position(e.select("vec_id", as_doubles(F.col("embedding")).alias("embedding")), "vec_id")
+    labels = with_position(e.select("vec_id", "label"), "vec_id")
+    points = positional_points(vectors, labels.select("position", "label"))
+    return points.select("id", F.col("payload")["label"].alias("label"), F.size("embedding").cast("bigint").alias("width"))
+
+
 def collection_count(spark: SparkSession, d: str) -> DataFrame:
     return _points(spark, d).agg(F.count("*").alias("points"))
 
@@ -466,7 +475,7 @@ def queries() -> dict[str, Query]:
         token_counts, corpus_tokens, embedding_cost, prompt_cost, price_lookup, priced_models, embed_batches, usage_totals, usage_by_model, usage_record_costs, usage_unpriced, usage_uncounted, usage_summary,
         conversation_messages, conversation_index, conversation_resume, conversation_append, conversation_orphans, distinct_refs, context_concat, retrieved_context, prompt_assembly, nonnull_text,
         settings_resolution, model_majority, project_exclusions, selection_notice, registry_register, registry_find, registry_unregister, locality_audit, loopback_hosts, base_url, unique_ids, random_sample, cross_project_query,
-        reply_blocks, model_list, connections, text_load, collection_store, conversation_store, conversation_ids,
+        payload_join, reply_blocks, model_list, connections, text_load, collection_store, conversation_store, conversation_ids,
         provider_embeddings, provider_usage, provider_replies, provider_replies_usage, completion_fields,
     )
     named = {"embedding_frame": embedding_frame_query, "slugify": slugs, "cross_project_merge": cross_project(None), "cross_project_limit": cross_project(25)}

@@ -41,6 +41,22 @@ def append_points(old: DataFrame, new: DataFrame, count: int) -> DataFrame:
     return old.unionByName(new.withColumn("id", F.col("id") + count))
 
 
+def positional_points(vectors: DataFrame, payload: DataFrame | None = None) -> DataFrame:
+    """Points (id, embedding, payload) from `vectors` (position, embedding) and the `payload` of the same positions.
+
+    The other columns of `payload` become its map, as text. None and an empty payload are none; ValueError where it has
+    another number of rows than there are vectors.
+    """
+    plain = vectors.select(F.col("position").alias("id"), "embedding")
+    n = payload.count() if payload is not None else 0
+    if not n:
+        return plain.withColumn("payload", F.lit(None).cast("map<string,string>"))
+    if n != vectors.count():
+        raise ValueError(f"{vectors.count()} vectors, but {n} payloads")
+    said = [x for c in payload.columns if c != "position" for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
+    return plain.join(payload.select(F.col("position").alias("id"), F.create_map(*said).alias("payload")), "id")
+
+
 class VectorStore(SearchEngine):
     """Collections below `root`, any folder that Spark's file systems reach."""
 
