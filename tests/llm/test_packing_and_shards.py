@@ -196,7 +196,7 @@ def test_sql(spark, tiny, name):
     compare(spark, contract.queries()[name], contract.oracle_sql()[name], tiny)
 
 
-def test_licences(spark):
+def test_licences(spark, monkeypatch):
     mit = dict(licences.KNOWN)["MIT"]
     body = next(t for k, t in licences.KNOWN if k == "MIT" and t.startswith("Permission"))
     variants = [f"MIT License\n\nCopyright (c) 2020 A. Person\nCopyright 2021 B\n\n{body}".upper(), body.replace("software", "software  ").replace(",", " ,"), body.replace("sublicense", "sublicence"), "“Released under the MIT Licence”", body + " And more."]
@@ -206,6 +206,8 @@ def test_licences(spark):
     own = spark.createDataFrame([("own", "Plain!"), ("void", "...")], "license_id string, text string")
     assert {r["doc_id"]: r["license_id"] for r in licences.scan_licences(spark.createDataFrame(rows, DOCS), own).collect()}[8] == "own"
     assert licences.scan_licences(spark.createDataFrame([], DOCS)).count() == 0
+    monkeypatch.setattr(licences, "MOST_SENT", 1)
+    assert {r["doc_id"]: r["license_id"] for r in licences.scan_licences(spark.createDataFrame(rows, DOCS), own).collect()}[8] == "own"
 
 
 @pytest.mark.parametrize("width", [*range(20, 72, 4), 72, 80])

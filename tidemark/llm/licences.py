@@ -19,6 +19,9 @@ PUNCTUATION = r"[!-/:-@\[-`{-~‘’“”–—]+"
 #: All that stands between words, in one pattern; line breaks one by one, so that every line's start is seen.
 BETWEEN = rf"(?md){HOLDER_LINE}|{PUNCTUATION}|[\x20\x09\x0B-\x0D]+|\n"
 
+#: Texts of a caller's own whose digests are sent to all tasks, at most.
+MOST_SENT = 100_000
+
 # Equivalent spellings that count as the same word in licence matching.
 SPELLINGS = {
     "licence": "license",
@@ -139,10 +142,13 @@ def scan_licences(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     Null texts have a null digest and match nothing; empty ones and such as are all punctuation share the digest of
     the empty string and match nothing; whole texts of any length; repeated rows stay; other columns are ignored; an
     empty table gives no rows. Only whole texts that a digest is known of match: no excerpts, no edited texts.
-    The registry's side of the join is as small as the registry; Spark broadcasts it by its measured size.
+    The registry is sent to the tasks while it has at most MOST_SENT further texts, so that no row is shuffled; a larger
+    one meets the rows by digest.
     """
     rows = docs.select("doc_id", digest(F.col("text")).alias("digest"))
     known = known_digests(docs.sparkSession, texts).select(F.col("digest").alias("known"), "license_id")
+    if texts is None or texts.select("license_id").limit(MOST_SENT + 1).count() <= MOST_SENT:
+        known = F.broadcast(known)
     return rows.join(known, F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "license_id")
 
 
