@@ -23,7 +23,7 @@ from tidemark.sources.collections import VectorStore, append_points, positional_
 from tidemark.sources.configuration import Settings
 from tidemark.sources.conversation_store import ConversationStore
 from tidemark.sources.vectors_csv import embedding_frame, load_text, read_embeddings_csv
-from tidemark.tables import new_path
+from tidemark.tables import materialise, new_path
 from tidemark.tables import table as read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,15 +250,19 @@ def distinct_refs(spark: SparkSession, d: str) -> DataFrame:
 def context_concat(spark: SparkSession, d: str) -> DataFrame:
     """The first fifth of the texts of each source, whole and in order, joined by spaces in parts of CONTEXT_TEXTS texts.
 
-    Places within a source come from places in the whole table, so a source with a third of all rows is never one
-    task's. Only places are numbered and cut; whole texts are moved once, to their part.
+    Ids are numbered first, without texts, to find the last of each fifth; then only texts up to it are moved. Places
+    within a source come from places in a whole table, so a source with a third of all rows is never one task's.
     """
     docs = read(spark, d, "documents").where("text is not null and source is not null")
-    placed = with_position(docs.select("source", "doc_id", "text"), "source", "doc_id")
-    sources = placed.groupBy("source").agg(F.min("position").alias("first"), F.count("*").alias("n"))
+    ids = with_position(docs.select("source", "doc_id"), "source", "doc_id")
+    sources = ids.groupBy("source").agg(F.min("position").alias("first"), F.count("*").alias("n"))
+    fifth = F.floor(F.col("n") / 5)
+    last = materialise(ids.join(sources, "source").where(F.col("position") - F.col("first") == fifth - 1).select("source", F.col("doc_id").alias("last"), fifth.alias("fifth")), "context_ends")
+    head = with_position(docs.join(last, "source").where("doc_id <= last").select("source", "doc_id", "text", "fifth"), "source", "doc_id")
+    firsts = materialise(head.groupBy("source").agg(F.min("position").alias("first")), "context_starts")
     place = F.col("position") - F.col("first")
-    head = placed.join(sources, "source").where(place < F.floor(F.col("n") / 5)).withColumn("part", F.floor(place / CONTEXT_TEXTS))
-    rows = head.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("rows"))
+    parts = head.join(firsts, "source").where(place < F.col("fifth")).withColumn("part", F.floor(place / CONTEXT_TEXTS))
+    rows = parts.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("rows"))
     return rows.select("source", "part", F.array_join(F.transform("rows", lambda x: x["text"]), " ").alias("context"))
 
 
