@@ -264,8 +264,8 @@ def learn_lexicon(texts: list[str], labels: list[int], least: int = 5) -> tuple[
 def learn_lexicon_of(rows: DataFrame, least: int = 5) -> tuple[set[str], set[str]]:
     """learn_lexicon of `rows` (text, label), an equal text with its larger label.
 
-    Executors take whole texts apart. The driver gets the features that may be marks with their holders, at most
-    TRAIN_PER_CLASS a feature, and the hashed words of those texts alone that are compared with each other.
+    Executors take whole texts apart and count their features. The driver gets the features that may be marks with their
+    holders, at most TRAIN_PER_CLASS a feature, and the hashed words of those texts alone that are compared.
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,35 +275,39 @@ def learn_lexicon_of(rows: DataFrame, least: int = 5) -> tuple[set[str], set[str
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 100):
-            clean: Counter = Counter()
-            held: dict[str, list[int]] = defaultdict(list)
-            for doc, label, bag in zip(*(batch.column(c).to_pylist() for c in ("doc", "label", "words")), strict=True):
-                if label:
-                    for f in _features(set(bag)):
-                        held[f].append(doc)
-                else:
-                    clean.update(_features(set(bag)))
-            every = list(held.keys() | clean.keys())
+            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for label, bag in zip(*(batch.column(c).to_pylist() for c in ("label", "words")), strict=True):
+                seen[label].update(_features(set(bag)))
+            every = list(seen[0].keys() | seen[1].keys())
             for at in range(0, len(every), 100_000):
                 part = every[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([clean[f] for f in part], pa.int64()), pa.array([held.get(f, []) for f in part], pa.list_(pa.int64()))], names=["feature", "clean", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([seen[k][f] for f in part], pa.int64()) for k in (1, 0))], names=["feature", "toxic", "clean"])
 
     one = rows.groupBy(F.xxhash64("text").alias("doc")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
     bags = materialise(one.mapInArrow(words, "doc bigint, label int, words array<string>"), "toxicity_bags")
     n = {r["label"]: r["count"] for r in bags.groupBy("label").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    found = bags.mapInArrow(features, "feature string, clean bigint, docs array<bigint>")
-    found = found.groupBy("feature").agg(F.sum("clean").alias("clean"), F.array_sort(F.flatten(F.collect_list("docs"))).alias("docs"))
-    a, c, every = F.size("docs"), F.col("clean"), n_toxic + n_clean
+    counted = bags.mapInArrow(features, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    a, c, every = F.col("toxic"), F.col("clean"), n_toxic + n_clean
     ratio = 2 * (a * F.log(F.lit(float(every)) / max(n_toxic, 1) * a / (a + c)) + F.when(c > 0, c * F.log(F.lit(float(every)) / max(n_clean, 1) * c / (a + c))).otherwise(0.0))
     frequent = (a >= least) & (a * n_clean >= LIFT * (c + 0.5) * n_toxic) & (ratio >= SURE)
-    kept = found.where(F.col("feature").isin(*sorted(SEED_FEATURES)) & (a > 0) | frequent).collect()
+    kept = {r["feature"]: r["clean"] for r in counted.where(F.col("feature").isin(*sorted(SEED_FEATURES)) & (a > 0) | frequent).collect()}
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which toxic documents hold the features that may be marks."""
+        for batch in sliced(batches, 100):
+            pairs = [(f, doc) for doc, bag in zip(*(batch.column(c).to_pylist() for c in ("doc", "words")), strict=True) for f in _features(set(bag)) if f in kept]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in pairs], pa.string()), pa.array([d for _, d in pairs], pa.int64())], names=["feature", "doc"])
+
+    holders: dict[str, list[int]] = defaultdict(list)
+    for f, doc in sorted(tuple(r) for r in bags.where("label = 1").mapInArrow(holding, "feature string, doc bigint").collect()):
+        holders[f].append(doc)
 
     def hashed(ids: set[int]) -> dict[int, set[int]]:
         wanted = rows.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "doc bigint")
         return {r["doc"]: set(r["words"]) for r in bags.join(F.broadcast(wanted), "doc").select("doc", F.transform("words", lambda w: F.xxhash64(w)).alias("words")).collect()}
 
-    lexicon = _chosen({r["feature"]: r["docs"] for r in kept}, {r["feature"] for r in kept if not r["clean"]}, n_toxic, least, hashed)
+    lexicon = _chosen(dict(holders), {f for f, n in kept.items() if not n}, n_toxic, least, hashed)
     release(bags)
     return lexicon
 
