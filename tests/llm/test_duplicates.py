@@ -10,7 +10,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import pq_dedup, simhash
+from oracle import compare
+from tidemark.llm import contract, pq_dedup, simhash
 from tidemark.llm.components import connected_components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -151,6 +152,16 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_sql_agrees_where_there_are_links(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(20, 8))
+    vectors = [v + rng.normal(size=8) * 0.2 for v in base for _ in range(6)] + [base[0], base[0]]
+    rows = [(i, [float(np.float32(x)) for x in v], i % 2) for i, v in enumerate(vectors)] + [(500, None, 1), (501, [0.0] * 8, 1), (502, [float("nan")] * 8, 0), (503, vectors[0].tolist(), None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert compare(spark, contract.op3_product_quantisation_dedup, pq_dedup.SQL, str(tmp_path)) == len(rows)
+    assert contract.op3_product_quantisation_dedup(spark, str(tmp_path)).where("n_links > 0").count() > 30
+
+
 def test_probes_are_sufficient_and_few_on_clusters():
     rng = np.random.default_rng(4)
     x = (rng.normal(size=(30, 16))[:, None, :] + rng.normal(size=(30, 20, 16)) * 0.05).reshape(-1, 16)
@@ -164,7 +175,7 @@ def test_probes_are_sufficient_and_few_on_clusters():
     assert asks.sum() < 3 * len(x)
     decoded = np.stack([np.concatenate([b[c] for b, c in zip(quantiser.books, row, strict=True)]) for row in codes]) + quantiser.coarse[cell]
     assert np.allclose(np.linalg.norm(x - decoded, axis=1), error)
-    assert np.allclose(quantiser.lookups(x[:5], int(cell[0]), codes[cell == cell[0]]), np.linalg.norm(x[:5, None] - decoded[cell == cell[0]][None], axis=2))
+    assert np.allclose(quantiser.lookups(x[:5], int(cell[0]), codes[cell == cell[0]]), (np.linalg.norm(x[:5, None] - decoded[cell == cell[0]][None], axis=2)) ** 2, atol=pq_dedup.SLACK / 10)
 
 
 def test_vectors_empty(spark):

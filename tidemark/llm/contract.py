@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_digests": licences.sql(), "op9_norm_sorted_top_k": topk.SQL, "op10_source_mixing": mixing.SQL}
+    return {"op3_product_quantisation_dedup": pq_dedup.SQL, "op4_license_digests": licences.sql(), "op9_norm_sorted_top_k": topk.SQL, "op10_source_mixing": mixing.SQL}

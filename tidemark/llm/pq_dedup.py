@@ -34,7 +34,9 @@ THRESHOLD = 0.93
 #: Vectors that the quantisers are fitted on, at most.
 SAMPLE = 8192
 #: Vectors of a list that a task holds at a time, and vectors that ask it there, at most on average.
-HELD, ASKING = 2048, 32_768
+HELD, ASKING = 8192, 32_768
+#: What sums of table entries in single precision may miss, with room to spare: they are at most some tens.
+SLACK = 1e-4
 SUBSPACES, CODES = 8, 64
 #: Vectors of the largest label for one coarse centroid, and centroids at most.
 PER_CELL, MOST_CELLS = 2048, 1024
@@ -70,12 +72,16 @@ class Quantiser:
         return (within & (np.arange(far.shape[1])[None, :] > cell[:, None])) | (np.arange(far.shape[1])[None, :] == cell[:, None])
 
     def lookups(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Distances of the rows of x to coded vectors of a cell, summed from tables."""
+        """Squared distances of the rows of x to the coded vectors of a list, summed from tables in single precision.
+
+        A table has a row for each code, so that a coded vector's entries for all rows of x lie side by side.
+        """
         rest = x - self.coarse[cell]
-        total = np.zeros((len(x), len(codes)))
+        total = np.zeros((len(codes), len(x)), np.float32)
         for i, book in enumerate(self.books):
-            total += squared_distances(rest[:, self.cuts[i] : self.cuts[i + 1]], book)[:, codes[:, i]]
-        return np.sqrt(total)
+            table = squared_distances(book, rest[:, self.cuts[i] : self.cuts[i + 1]]).astype(np.float32)
+            total += table[codes[:, i]]
+        return total.T
 
 
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +90,14 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _vectors(blobs: list[bytes], width: int) -> np.ndarray:
+    """Rows of a matrix from their bytes, in single or double precision each."""
+    kinds = {4 * width: np.float32, 8 * width: np.float64}
+    if len({len(b) for b in blobs}) == 1:
+        return np.frombuffer(b"".join(blobs), kinds[len(blobs[0])]).reshape(-1, width).astype(np.float64)
+    return np.stack([np.frombuffer(b, kinds[len(b)]).astype(np.float64) for b in blobs])
+
+
 def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, smallest node of its group) that join what the links a-b join."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -126,9 +140,14 @@ class Held:
         left, right = [], []
         padded = np.zeros((len(unit_x), self.quantiser.width))
         padded[:, : self.width] = unit_x
+        unit_y, most = y / norm_y[:, None], ((self.reach + error + 1e-6) ** 2 + SLACK).astype(np.float32)[None, :]
         for at in range(0, len(x), 512):
-            near = self.quantiser.lookups(padded[at : at + 512], self.cell, codes) <= self.reach + error[None, :] + 1e-6
-            i, j = np.nonzero(near & (~own[at : at + 512, None] | (node[at : at + 512, None] < nodes[None, :])))
+            near = self.quantiser.lookups(padded[at : at + 512], self.cell, codes) <= most
+            if own[at : at + 512].any():
+                near &= ~own[at : at + 512, None] | (node[at : at + 512, None] < nodes[None, :])
+            if np.count_nonzero(near) > len(near):  # many are left: a product of the block leaves those that may reach it
+                near &= unit_x[at : at + 512] @ unit_y.T >= self.threshold - 1e-9
+            i, j = np.nonzero(near)
             i += at
             for part in range(0, len(i), 1 << 16):
                 p, q = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
@@ -205,7 +224,7 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
                     key, held = mine, Held(mine[2], mine[1], quantiser, threshold)
                 rows = b.slice(at, end - at)
                 node, size = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "size"))
-                raw = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * mine[1] else np.float64).astype(np.float64) for v in rows.column("vector").to_pylist()])
+                raw = _vectors(rows.column("vector").to_pylist(), mine[1])
                 if not role:
                     codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(node), -1)
                     held.add(node, size, raw, codes, rows.column("error").to_numpy(zero_copy_only=False))
@@ -233,3 +252,19 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
     found = materialise(dealt.mapInArrow(compare, "node bigint, gain bigint, other bigint"), "vector_links")
     release(coded)
     return found
+
+
+#: The same in DuckDB's dialect by comparing all pairs, for tables whose vec_ids are unique and that it can hold.
+SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= {THRESHOLD}
+), reached AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a), least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
+"""
