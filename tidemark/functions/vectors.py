@@ -33,8 +33,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def clamped(value: Column) -> Column:
-    """`value` held within [-1, 1]; NULL and NaN stay without a value (least and greatest alone would skip NULL)."""
-    return F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    """`value` held within [-1, 1]; NULL and NaN stay without a value (least and greatest alone would skip NULL).
+
+    The value is bound to a lambda's variable, so that it is worked out once however often it is named here.
+    """
+    held = F.transform(F.array(value), lambda v: F.when(v.isNotNull() & ~F.isnan(v), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))))
+    return F.get(held, 0)
 
 
 def unit(vector: Column) -> Column:

@@ -62,7 +62,8 @@ def cosine_top_k(corpus: DataFrame, vector: Sequence[float], k: int = 10, id_col
     if k < 0:
         raise ValueError("k must not be negative")
     scored = corpus.withColumn("score", rounded_cosine_to(as_doubles(F.col("embedding")), vector))
-    return scored.where(F.col("score").isNotNull()).orderBy(F.desc("score"), id_column).limit(k)
+    # Rows without a score come last, so they are told by the k rows alone: a filter below would work scores out twice.
+    return scored.orderBy(F.desc_nulls_last("score"), id_column).limit(k).where(F.col("score").isNotNull())
 
 
 def relatedness(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -223,7 +224,7 @@ def similarity_walk(corpus: DataFrame, vector: Sequence[float], top_k: int = 5,
     seen: set[str | None] = set()
     try:
         for hop in range(depth):
-            near = rows.withColumn("score", score(current)).where("score is not null").orderBy(F.desc("score"), "id").limit(top_k).collect()
+            near = [r for r in rows.withColumn("score", score(current)).orderBy(F.desc_nulls_last("score"), "id").limit(top_k).collect() if r["score"] is not None]
             at = 0 if hop == 0 else 1
             if len(near) <= at or near[at][said] < score_threshold:
                 break
