@@ -136,6 +136,8 @@ def test_grammar_weighs_clauses():
 def test_insults_pile_up_only_with_others():
     assert patterns("stupid clown.")[0] == {(toxicity.INSULT, 0, 0, 0): 1, (toxicity.INSULT, 0, 0, 1): 1}
     assert patterns("the trash can and the trash lid.")[0] == {(toxicity.INSULT, 0, 0, 0): 1}
+    assert patterns("idiot idiot idiot idiot")[0] == {(toxicity.INSULT, 0, 0, 0): 1, (toxicity.INSULT, 0, 0, 1): 2}
+    assert patterns("scum*** of the clown###")[0] == {(toxicity.INSULT, 0, 0, 0): 1, (toxicity.INSULT, 0, 0, 1): 1}
     assert patterns("trash one two three four five six clown.")[0] == {(toxicity.INSULT, 0, 0, 0): 2}
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import product
@@ -50,7 +51,8 @@ SEEDS = {
     NEGATION: "not no never isn't aren't wasn't don't doesn't didn't nor neither nicht kein keine nie niemals pas jamais ni nunca jamás tampoco",
     REPORT: "said says called calls wrote writes quoted quotes reported reportedly allegedly claimed sagte nannte schrieb dit disait appelé écrit dijo llamó escribió",
 }
-EDGES = ".,;:!?\"'()[]{}«»„“”‚‘’…*_-"
+#: What is no part of a word at its ends.
+EDGES = string.punctuation + "«»„“”‚‘’…–—¿¡"
 CLAUSE_END = (".", "!", "?", ";", ":", ".\"", "!\"", "?\"")
 PREFIXES = range(4, 8)
 
@@ -179,7 +181,7 @@ class ToxicityModel:
                     ahead.add(i)
             elif bare == GAP_AFTER:
                 state, _ = self.backwards.step(state, GAP)
-        state, bare, last = 0, 0, ""
+        state, bare, last, again = 0, 0, "", 0
         for i, kind in enumerate(kinds):
             if words[i][0] in "\"„“«":
                 state, _ = self.machine.step(state, REPORT)
@@ -189,8 +191,9 @@ class ToxicityModel:
                 if kind in MATCHES:
                     _, bound, neg, rep, aim = out
                     core = words[i].strip(EDGES)
-                    if kind != THREAT:  # the same word again piles nothing up
-                        bound, last = int(bound and core != last), core
+                    if kind != THREAT:  # the same word again piles nothing up, before it comes a third time
+                        again = again + 1 if bound and core == last else 0
+                        bound, last = int(bound and again != 1), core
                     yield i, (kind, neg, rep, bound + int(aim or i in ahead))
             elif bare == GAP_AFTER:
                 state, _ = self.machine.step(state, GAP)
