@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licences, mixing, packing, pii, pq_dedup, quality, sharding, simhash, topk, toxicity
+from tidemark.llm import exact_dedup, licences, mixing, packing, pii, pq_dedup, quality, sharding, simhash, spelling, topk, toxicity
 from tidemark.llm.shared import table
 
 
@@ -56,6 +56,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_tree_quality,
@@ -68,9 +76,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_kd_tree_sharding,
         op9_norm_sorted_top_k,
         op10_source_mixing,
+        op11_spelling_variants,
+        op12_tree_merge_dedup,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_product_quantisation_dedup": pq_dedup.SQL, "op4_license_digests": licences.sql(), "op9_norm_sorted_top_k": topk.SQL, "op10_source_mixing": mixing.SQL}
+    return {"op3_product_quantisation_dedup": pq_dedup.SQL, "op4_license_digests": licences.sql(), "op9_norm_sorted_top_k": topk.SQL, "op10_source_mixing": mixing.SQL, "op11_spelling_variants": spelling.SQL, "op12_tree_merge_dedup": exact_dedup.SQL}
