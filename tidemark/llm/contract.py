@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, licences, mixing, packing, pii, pq_dedup, quality, sharding, simhash, spelling, topk, toxicity
+from tidemark.llm import exact_dedup, lexical, licences, mixing, packing, pii, pq_dedup, quality, sharding, simhash, spelling, topk, toxicity
 from tidemark.llm.shared import table
 
 
@@ -64,6 +64,10 @@ def op12_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_bisected_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_tree_quality,
@@ -78,9 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_source_mixing,
         op11_spelling_variants,
         op12_tree_merge_dedup,
+        op13_bisected_lexical_search,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_product_quantisation_dedup": pq_dedup.SQL, "op4_license_digests": licences.sql(), "op9_norm_sorted_top_k": topk.SQL, "op10_source_mixing": mixing.SQL, "op11_spelling_variants": spelling.SQL, "op12_tree_merge_dedup": exact_dedup.SQL}
+    return {"op3_product_quantisation_dedup": pq_dedup.SQL, "op4_license_digests": licences.sql(), "op9_norm_sorted_top_k": topk.SQL, "op10_source_mixing": mixing.SQL, "op11_spelling_variants": spelling.SQL, "op12_tree_merge_dedup": exact_dedup.SQL, "op13_bisected_lexical_search": lexical.SQL}
