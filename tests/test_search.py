@@ -112,19 +112,63 @@ def test_no_first_vector_gives_no_hits(spark, tmp_path):
         assert queries.queries()[name](spark, str(tmp_path)).count() == 0, name
 
 
-def test_nearest_neighbours_skip_cells_that_cannot_hold_any(spark, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", 16)
-    monkeypatch.setattr(search, "CELLS", 12)
-    rng = np.random.default_rng(3)
-    x = (rng.normal(size=(12, 6))[:, None, :] * 4 + rng.normal(size=(12, 25, 6)) * 0.2).reshape(-1, 6)
-    df = make(spark, [(i, "", v.tolist()) for i, v in enumerate(x)])
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    scores = np.round(u @ u.T, 6)
+def plain_neighbours(queries, corpus, k):
+    """{id: [(dst, score), ...]} by numpy, over (id, vector) rows of any widths."""
+    out = {}
+    for i, v in queries:
+        scored = [(-round(float(np.clip(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w)), -1, 1)), 6), j) for j, w in corpus if len(w) == len(v)]
+        out[i] = [j for _, j in sorted(scored)[:k]]
+    return {i: x for i, x in out.items() if x}
+
+
+def found_neighbours(df):
     got = {}
-    for r in search.nearest_neighbours(df, df, 3).collect():
+    for r in df.collect():
         got.setdefault(r["src"], []).append((r["rnk"], r["dst"]))
-    for i in range(len(x)):
-        assert [d for _, d in sorted(got[i])] == np.lexsort((np.arange(len(x)), -scores[i]))[:3].tolist()
+    return {i: [d for _, d in sorted(x)] for i, x in got.items()}
+
+
+def test_nearest_neighbours_over_blocks_and_rare_widths(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_VALUES", 64 * 6)
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(12, 6))[:, None, :] * 4 + rng.normal(size=(12, 70, 6)) * 0.2).reshape(-1, 6)
+    rows = [(i, v) for i, v in enumerate(x)] + [(2000 + i, v) for i, v in enumerate(rng.normal(size=(150, 3)))] + [(3000, np.array([1.0, 2.0])), (3001, np.array([2.0, 1.0]))]
+    df = make(spark, [(i, "", v.tolist()) for i, v in rows] + [(4000, "", [0.0] * 6), (4001, "", None), (None, "", [1.0] * 6)])
+    assert found_neighbours(search.nearest_neighbours(df, df, 3)) == plain_neighbours(rows, rows, 3)
+    asking = [(10 + i, v) for i, v in enumerate(rng.normal(size=(90, 6)))] + [(7, np.ones(2)), (8, np.ones(5))]
+    other = make(spark, [(i, "", v.tolist()) for i, v in asking])
+    assert found_neighbours(search.nearest_neighbours(other, df, 4)) == plain_neighbours(asking, rows, 4)
+
+
+def test_a_width_that_no_sample_has(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(12_000, 8)))] + [(20_000, np.arange(5.0)), (20_001, np.ones(5)), (20_002, np.ones(9))]
+    df = make(spark, [(i, "", v.tolist()) for i, v in rows])
+    asked = df.where("id < 40 or id >= 20000")
+    assert found_neighbours(search.nearest_neighbours(asked, df, 2)) == plain_neighbours([r for r in rows if r[0] < 40 or r[0] >= 20_000], rows, 2)
+
+
+def test_neighbours_of_nothing(spark):
+    df = make(spark, [(1, "", [1.0, 0.0])])
+    assert search.nearest_neighbours(df.limit(0), df, 3).count() == 0
+    assert search.nearest_neighbours(df, df.limit(0), 3).count() == 0
+
+
+def test_blocks_follow_rows_and_few_of_them_meet(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_VALUES", 64 * 6)
+    met = spark.sparkContext.accumulator(0)
+    plain = search._nearest
+
+    def counting(*args):
+        met.add(1)
+        return plain(*args)
+
+    monkeypatch.setattr(search, "_nearest", counting)
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(20, 6))[:, None, :] * 4 + rng.normal(size=(20, 100, 6)) * 0.1).reshape(-1, 6)
+    df = make(spark, [(i, "", v.tolist()) for i, v in enumerate(x)])
+    assert search.nearest_neighbours(df, df, 3).count() == 6000
+    assert 30 <= met.value < 32 * 32 / 2
 
 
 def test_excluded_projects_are_never_asked(spark):

@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,11 +19,14 @@ from tidemark.functions.vectors import as_doubles, clamped, constant, cosine, do
 from tidemark.operators.projects import DEFAULT_EMBEDDING_MODEL, chosen, select_projects
 from tidemark.tables import materialise
 
-#: Vectors in one block of a batch search.
-BLOCK = 4096
-#: Sampled vectors that give a batch search its cells and first bounds, and cells at most: what all tasks get.
-SAMPLE, CELLS = 2048, 256
+#: Numbers in one block of a batch search.
+BLOCK_VALUES = 1 << 18
+#: Sampled vectors of a width that give a batch search its pivots and first bounds, pivots at most, and numbers in all
+#: samples: what all tasks get.
+SAMPLE, PIVOTS, SAMPLE_VALUES = 2048, 512, 1 << 22
 PLACES = 6
+ASKED = "number bigint, width int, cell int, least double, most double"
+BLOCKS = "number bigint, width int, cell int, low double, high double, block binary"
 
 
 class SearchEngine(ABC):
@@ -92,89 +96,122 @@ def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """src, rnk, dst, score: the k rows of `corpus` nearest to each row of `queries` (both: id, embedding).
 
-    Exact. Rows are filed under the nearest of some sampled pivots, one for each BLOCK rows and CELLS at most, whose widest member angle is measured over
-    all rows. Queries go in blocks of like vectors, each with the least of its members' k-th scores within a bounded
-    sample; by the triangle inequality of angles a block asks only cells that can hold a score that high, and blocks and
-    cells meet in an equi-join. What meets is one matrix product, of which k rows a query leave. Ties fall to the
-    smaller dst. Zero, NULL or non-finite vectors have no score; vectors of different widths never meet.
+    Exact. Rows of one width are cut into blocks; where there are several, a row is filed under the nearest of some
+    sampled pivots and blocks are stretches of one pivot's rows by their angle to it, so blocks follow the number of rows
+    and each knows the angles it holds. A block of queries has the least of its members' k-th scores within the sample;
+    by the triangle inequality of angles it asks only the blocks that can hold a score that high. Which blocks meet is a
+    join of a few numbers a block; what meets is one matrix product, of which k rows a query leave. Ties fall to the
+    smaller dst. Rows without an id and zero, NULL or non-finite vectors take no part; vectors of different widths never
+    meet, however rare a width is.
     """
     spark = corpus.sparkSession
 
     def units(df: DataFrame) -> DataFrame:
-        return materialise(df.select("id", unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null").select("id", "u", F.size("u").alias("width")), "unit_vectors")
+        return materialise(df.select("id", unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null and id is not null").select("id", "u", F.size("u").alias("width")), "unit_vectors")
 
     held = units(corpus)
-    asking = held if queries is corpus else units(queries)
-    counted = held.count()
-    parts = max(1, -(-counted // BLOCK))
-    sample: dict[int, list] = {}
-    for r in held.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("width", "u").collect():
-        sample.setdefault(r["width"], []).append(r["u"])
-    first = {w: np.array(v) for w, v in sample.items()}
-    pivots = {w: _pivots(x, min(CELLS, parts)) for w, x in first.items()}
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            width, rows = b.column("width").to_numpy(), b.column("u").to_pylist()
-            cell, angle = np.full(len(rows), -1, np.int32), np.full(len(rows), math.pi)
-            for w in set(width.tolist()) & pivots.keys():
-                at = np.flatnonzero(width == w)
-                apart = _angles(np.array([rows[i] for i in at]), pivots[w])
-                cell[at], angle[at] = apart.argmin(1), apart.min(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(angle)], names=[*b.schema.names, "cell", "angle"])
-
-    def filed(df: DataFrame) -> DataFrame:
-        return df.mapInArrow(cells, "id bigint, u array<double>, width int, cell int, angle double")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of one width and cell: width, cell, block."""
-        waiting: dict[tuple[int, int], list] = {}
-
-        def out(key: tuple[int, int]) -> pa.RecordBatch:
-            ids, rows = zip(*waiting.pop(key), strict=True)
-            blob = pickle.dumps((np.array(ids, np.int64), np.array(rows)), protocol=5)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([blob], pa.binary())], names=["width", "cell", "block"])
-
-        for b in batches:
-            for i, u, w, c in zip(*(b.column(n).to_pylist() for n in ("id", "u", "width", "cell")), strict=True):
-                waiting.setdefault((w, c), []).append((i, u))
-                if len(waiting[w, c]) == BLOCK:
-                    yield out((w, c))
-        for key in list(waiting):
-            yield out(key)
-
-    by_cell = materialise(filed(held), "cells")
-    reach = {(r["width"], r["cell"]): r["angle"] for r in by_cell.groupBy("width", "cell").agg(F.max("angle").alias("angle")).collect()}
+    counts = {r["width"]: r["count"] for r in held.groupBy("width").count().collect()}
+    parts = {w: -(-n // block_rows(w)) for w, n in counts.items()}
+    first = _samples(held, [w for w, n in parts.items() if n > 1])
+    pivots = {w: _pivots(x, max(1, min(PIVOTS, parts[w] // 4))) for w, x in first.items()}
+    blocks = materialise(_blocks(held, pivots, sum(parts.values())), "blocks")
+    asking = blocks
+    if queries is not corpus:
+        other = units(queries)
+        n = other.agg(F.count("*"), F.max("width")).first()
+        asking = materialise(_blocks(other, pivots, max(1, -(-n[0] // block_rows(n[1] or 1)))), "query_blocks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block of queries for each cell that can hold one of their k nearest."""
+        """For each block of queries and each pivot: the angles of what can be among the k nearest of one of its rows."""
         for b in batches:
-            for w, blob in zip(b.column("width").to_pylist(), b.column("block").to_pylist(), strict=True):
-                there = [c for v, c in reach if v == w]
-                if not there:
+            for number, w, blob in zip(*(b.column(c).to_pylist() for c in ("number", "width", "block")), strict=True):
+                if w not in counts:
                     continue
                 x = pickle.loads(blob)[1]
-                centre = x.mean(0) / max(np.linalg.norm(x.mean(0)), 1e-300)
-                own = float(_angles(x, centre[None, :]).max())
+                if w not in pivots:
+                    yield _rows(ASKED, [(number, w, 0, -1.0, 4.0)])
+                    continue
+                mean = x.mean(0)
+                centre = mean / max(float(np.linalg.norm(mean)), 1e-300)
+                own = float(_angles(x, centre[None, :]).max()) if np.linalg.norm(mean) > 1e-9 else math.pi
                 scores, enough = x @ first[w].T, len(first[w]) >= k > 0
-                bound = float(np.partition(scores, len(first[w]) - k, axis=1)[:, len(first[w]) - k].min()) if enough else -1.0
-                apart = _angles(centre[None, :], pivots[w][there])[0] - own - np.array([reach[w, c] for c in there])
-                live = [c for c, a in zip(there, apart.tolist(), strict=True) if math.cos(max(a, 0.0)) >= bound - 2 * 10.0**-PLACES]
-                yield pa.RecordBatch.from_arrays([pa.array([w] * len(live), pa.int32()), pa.array(live, pa.int32()), pa.array([blob] * len(live), pa.binary())], names=["width", "cell", "asked"])
+                least = float(np.partition(scores, len(first[w]) - k, axis=1)[:, len(first[w]) - k].min()) if enough else -1.0
+                far = math.acos(max(least - 2 * 10.0**-PLACES, -1.0)) + own + 1e-7  # from the centre, of what may be found
+                apart = _angles(centre[None, :], pivots[w])[0]
+                yield _rows(ASKED, [(number, w, c, a - far, a + far) for c, a in enumerate(apart.tolist())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for asked, block in zip(b.column("asked").to_pylist(), b.column("block").to_pylist(), strict=True):
                 yield _nearest(*pickle.loads(asked), *pickle.loads(block), k)
 
-    blocks, kinds = "width int, cell int, block binary", "width int, cell int, asked binary"
-    corpus_blocks = by_cell.repartitionByRange(parts, "width", "cell", "id").mapInArrow(pack, blocks)
-    asked = filed(asking).repartitionByRange(parts, "width", "cell", "id").mapInArrow(pack, blocks).mapInArrow(ask, kinds)
-    found = asked.join(corpus_blocks, ["width", "cell"]).select("asked", "block").mapInArrow(meet, "src bigint, dst bigint, score double")
+    asks = asking.select("number", "width", "block").mapInArrow(ask, ASKED)
+    ends = blocks.select("width", "cell", F.col("number").alias("held"), "low", "high")
+    pairs = asks.join(ends, ["width", "cell"]).where("low <= most and high >= least").select("number", "held")
+    met = pairs.join(asking.select("number", F.col("block").alias("asked")), "number").join(blocks.select(F.col("number").alias("held"), "block"), "held")
+    found = met.select("asked", "block").mapInArrow(meet, "src bigint, dst bigint, score double")
     rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
     return found.withColumn("rnk", rank).where(F.col("rnk") <= k).select("src", "rnk", "dst", "score")
 
 
+def block_rows(width: int) -> int:
+    """Rows of a block: some two megabytes of vectors."""
+    return max(BLOCK_VALUES // max(width, 1), 64)
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def _samples(held: DataFrame, widths: list[int]) -> dict[int, np.ndarray]:
+    """At most SAMPLE vectors of each of `widths`, and SAMPLE_VALUES numbers in all."""
+    most = max(1, min(SAMPLE, SAMPLE_VALUES // max(sum(widths), 1)))
+    by_hash = F.row_number().over(W.partitionBy("width").orderBy(F.xxhash64("id"), "id"))
+    sample: dict[int, list] = {}
+    if widths:
+        for r in held.where(F.col("width").isin(*widths)).withColumn("at", by_hash).where(F.col("at") <= most).select("width", "u").collect():
+            sample.setdefault(r["width"], []).append(r["u"])
+    return {w: np.array(v) for w, v in sample.items()}
+
+
+def _blocks(rows: DataFrame, pivots: dict[int, np.ndarray], parts: int) -> DataFrame:
+    """number, width, cell, low, high, block: stretches of the `rows` (id, u, width) of one cell by their angle to its pivot."""
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            width, vectors = b.column("width").to_numpy(), b.column("u").to_pylist()
+            cell, angle = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+            for w in set(width.tolist()) & pivots.keys():
+                at = np.flatnonzero(width == w)
+                apart = _angles(np.array([vectors[i] for i in at]), pivots[w])
+                cell[at], angle[at] = apart.argmin(1), apart.min(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(angle)], names=[*b.schema.names, "cell", "angle"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come in order, so that one block is filled at a time."""
+        made, key, waiting = 0, None, []
+
+        def out() -> pa.RecordBatch:
+            ids, vectors, angles = zip(*waiting, strict=True)
+            blob = pickle.dumps((np.array(ids, np.int64), np.array(vectors)), protocol=5)
+            return _rows(BLOCKS, [((TaskContext.get().partitionId() << 32) + made, *key, min(angles), max(angles), blob)])
+
+        for b in batches:
+            for i, u, w, c, a in zip(*(b.column(n).to_pylist() for n in ("id", "u", "width", "cell", "angle")), strict=True):
+                if waiting and ((w, c) != key or len(waiting) == block_rows(w)):
+                    yield out()
+                    made, waiting = made + 1, []
+                key = (w, c)
+                waiting.append((i, u, a))
+        if waiting:
+            yield out()
+
+    order = ("width", "cell", "angle", "id")
+    return rows.mapInArrow(filed, "id bigint, u array<double>, width int, cell int, angle double").repartitionByRange(max(parts, 1), *order).sortWithinPartitions(*order).mapInArrow(pack, BLOCKS)
+
+
 def _nearest(src: np.ndarray, x: np.ndarray, dst: np.ndarray, y: np.ndarray, k: int) -> pa.RecordBatch:
     """The k best of a block for each query of a block, by matrix product and partition."""
     out: list[list[np.ndarray]] = [[], [], []]
