@@ -220,9 +220,10 @@ def _search(docs: DataFrame, items: Items, k: int) -> DataFrame:
     for r in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
         weights[r["term"]] = weight(n_docs, r["count"])
     items.weigh(weights)
-    sample = counted.where(F.size("terms") > 0).orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("terms").collect()
+    every = max(n_docs, SAMPLE)
+    sample = counted.where((F.size("terms") > 0) & (F.pmod(F.xxhash64("row"), F.lit(every)) < SAMPLE)).select("terms").collect()  # some SAMPLE rows
     tree = Bisection()
-    if len(sample) > SHARD // 64:
+    if sample:
         tree.fit(np.concatenate([r["terms"] for r in sample]), np.array([len(r["terms"]) for r in sample]))
     index = materialise(shard_index(counted, tree, n_docs, max(n_terms, 1)), "lexical_index")
     bounds = materialise(shard_bounds(index, items), "shard_bounds")
