@@ -95,6 +95,18 @@ def test_walk_matches_model(spark, initial, threshold):
     assert np.allclose([r["score"] for r in got], [w[2] for w in want])
 
 
+@pytest.mark.parametrize("initial", [False, True])
+@pytest.mark.parametrize(("every", "depth"), [(2, 9), (14, 2)])
+def test_many_walks_match_the_model_of_each(spark, initial, every, depth):
+    rnd = random.Random(6)
+    rows = [(i, f"t{i % 11}", [rnd.uniform(-1, 1) for _ in range(3)]) for i in range(28)]
+    df = make(spark, [*rows, (90, None, [0.0] * 3), (None, "x", [1.0] * 3)])
+    starts = df.where(f"id % {every} = 0").select(F.col("id").alias("walk"), "embedding")
+    got = sorted((r["walk"], r["step"], r["document"], round(r["score"], 6)) for r in search.similarity_walks(df, starts, 4, depth, 0.3, initial).collect())
+    want = [(r[0], *w) for r in rows if r[0] % every == 0 for w in model(rows, r[2], 4, depth, 0.3, initial)]
+    assert got == sorted((i, step, text, round(s, 6)) for i, step, text, s in want)
+
+
 def test_zero_vectors_match_sql(spark, tmp_path):
     rnd = random.Random(8)
     vectors = [(i, [0.0] * 4 if i % 5 == 3 else [rnd.uniform(-1, 1) for _ in range(4)], i % 4) for i in range(60)]

@@ -42,9 +42,16 @@ def clamped(value: Column) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    """The vector scaled to length one; NULL for a zero vector or one without a finite length."""
-    length = norm(vector)
-    return F.when((length > 0) & (length < float("inf")), F.transform(vector, lambda x: x / length))
+    """The vector scaled to length one; NULL for a zero vector or one without a finite length.
+
+    Vector and length are bound to variables: within the lambda over the components they would be worked out for each.
+    """
+
+    def scaled(v: Column) -> Column:
+        bound = F.transform(F.array(norm(v)), lambda n: F.when((n > 0) & (n < float("inf")), F.transform(v, lambda x: x / n)))
+        return F.get(bound, 0)
+
+    return F.get(F.transform(F.array(vector), scaled), 0)
 
 
 def cosine_to(a: Column, vector: Sequence[float]) -> Column:

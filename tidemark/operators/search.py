@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 import pickle
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
@@ -15,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.vectors import as_doubles, clamped, constant, cosine, dot, rounded_cosine_to, unit
+from tidemark.functions.vectors import as_doubles, clamped, cosine, dot, rounded_cosine_to, unit
 from tidemark.operators.projects import DEFAULT_EMBEDDING_MODEL, chosen, select_projects
-from tidemark.tables import materialise
+from tidemark.tables import materialise, release
 
 #: Numbers in one block of a batch search.
 BLOCK_VALUES = 1 << 18
@@ -25,6 +27,8 @@ BLOCK_VALUES = 1 << 18
 #: samples: what all tasks get.
 SAMPLE, PIVOTS, SAMPLE_VALUES = 2048, 512, 1 << 22
 PLACES = 6
+#: Hops of many walks that are one plan.
+HOPS = 5
 ASKED = "number bigint, width int, cell int, least double, most double"
 BLOCKS = "number bigint, width int, cell int, low double, high double, block binary"
 
@@ -243,7 +247,8 @@ def similarity_walk(corpus: DataFrame, vector: Sequence[float], top_k: int = 5,
 
     Vectors are scaled to length one once and cached with a digest of their text, and with the score of the first vector
     where that is asked for; a hop is one dot product a row and a distributed top-k of which top_k rows come back. Hops
-    depend on each other. The texts themselves are read once, at the end, for the steps alone.
+    depend on each other. The texts themselves are read once, at the end, for the steps alone. Many walks at once:
+    similarity_walks.
     """
     spark = corpus.sparkSession
     length = math.sqrt(sum(float(x) * x for x in vector))
@@ -251,17 +256,21 @@ def similarity_walk(corpus: DataFrame, vector: Sequence[float], top_k: int = 5,
     if not 0 < length < math.inf:
         return spark.createDataFrame(steps, "step int, document string, score double")
 
-    def score(v: Sequence[float]) -> Column:
-        return F.when(F.size("u") == len(v), F.round(clamped(dot(F.col("u"), constant(v))), PLACES))
+    def score(v: Sequence[float]) -> str:
+        product = f"aggregate(zip_with(u, from_json('{json.dumps(v)}', 'array<double>'), (x, y) -> x * y), 0D, (total, x) -> total + x)"
+        return f"CASE WHEN size(u) = {len(v)} THEN round(greatest(-1D, least(1D, {product})), {PLACES}) END"
 
     current = [float(x) / length for x in vector]
     rows = corpus.select("id", F.md5("text").alias("digest"), unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null")
     said = "first" if score_based_on_initial_query else "score"
-    rows = (rows.withColumn("first", score(current)) if score_based_on_initial_query else rows).persist()
+    rows = (rows.withColumn("first", F.expr(score(current))) if score_based_on_initial_query else rows).persist()
+    view = f"walk_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
     seen: set[str | None] = set()
     try:
         for hop in range(depth):
-            near = [r for r in rows.withColumn("score", score(current)).orderBy(F.desc_nulls_last("score"), "id").limit(top_k).collect() if r["score"] is not None]
+            ranked = spark.sql(f"SELECT *, {score(current)} AS score FROM {view} ORDER BY score DESC NULLS LAST, id LIMIT {top_k}")
+            near = [r for r in ranked.collect() if r["score"] is not None]
             at = 0 if hop == 0 else 1
             if len(near) <= at or near[at][said] < score_threshold:
                 break
@@ -272,12 +281,69 @@ def similarity_walk(corpus: DataFrame, vector: Sequence[float], top_k: int = 5,
             steps.append((hop + 1, fresh["id"], fresh["digest"], float(fresh[said])))
             current = fresh["u"]
     finally:
+        spark.catalog.dropTempView(view)
         rows.unpersist()
     walked = F.broadcast(spark.createDataFrame(steps, "step int, __id bigint, digest string, score double"))  # depth rows at most
     found = corpus.join(walked, (F.col("id") == F.col("__id")) & F.md5("text").eqNullSafe(F.col("digest")))
     return found.groupBy("step").agg(F.first("text").alias("document"), F.first("score").alias("score"))
 
 
+def similarity_walks(corpus: DataFrame, starts: DataFrame, top_k: int = 5, depth: int = 50, score_threshold: float = 0.85, score_based_on_initial_query: bool = False) -> DataFrame:
+    """walk, step, document, score: similarity_walk from every row of `starts` (walk, embedding) at once.
+
+    The walks are a table: where each is, the texts it has visited (at most `depth`) and its steps. A hop joins it with
+    the neighbours of the rows where walks are; HOPS of them are one plan. Where there may be more hops than rows, the
+    neighbours of all rows are found beforehand in one batch search; else each hop finds those of the rows that no walk
+    has been at, in blocks. Walks that meet at one row are split by Spark's skew join. Starts without an id or a length
+    walk nowhere; ids must be unique.
+    """
+    spark = corpus.sparkSession
+    rows = materialise(corpus.select("id", F.coalesce(F.md5("text"), F.lit("")).alias("digest"), unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null and id is not null"), "walk_rows")
+    first = materialise(starts.select("walk", unit(as_doubles(F.col("embedding"))).alias("q")).where("q is not null and walk is not null"), "walk_starts")
+
+    def neighbours(asked: DataFrame) -> DataFrame:
+        """src and near (rnk, dst, digest, score, and the vector where it is needed), best first."""
+        found = nearest_neighbours(asked, rows.select("id", F.col("u").alias("embedding")), top_k)
+        told = found.join(rows.select(F.col("id").alias("dst"), "digest", *(["u"] if score_based_on_initial_query else [])), "dst")
+        return told.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rnk", "dst", "digest", "score", *(["u"] if score_based_on_initial_query else [])))).alias("near"))
+
+    def said(x: Column) -> Column:
+        return F.round(clamped(dot(F.col("q"), x["u"])), PLACES) if score_based_on_initial_query else x["score"]
+
+    def hop(state: DataFrame, near: DataFrame, least_rank: int) -> DataFrame:
+        head = F.get(F.col("near"), least_rank - 1)
+        fresh = F.get(F.filter("near", lambda x: (x["rnk"] >= least_rank) & ~F.array_contains("seen", x["digest"])), 0)
+        met = state.join(near, state["at"] == near["src"], "left").withColumn("head", head).withColumn("fresh", fresh)
+        goes = F.coalesce((said(F.col("head")) >= score_threshold) & (said(F.col("fresh")) >= score_threshold), F.lit(False))
+        step = F.struct((F.size("steps") + 1).alias("step"), F.col("fresh.dst").alias("id"), said(F.col("fresh")).alias("score"))
+        return met.withColumn("goes", goes).select(
+            "walk", "q", F.when(F.col("goes"), F.col("fresh.dst")).alias("at"),
+            F.when(F.col("goes"), F.array_append("seen", F.col("fresh.digest"))).otherwise(F.col("seen")).alias("seen"),
+            F.when(F.col("goes"), F.array_append("steps", step)).otherwise(F.col("steps")).alias("steps"),
+        )
+
+    empty = first.select("walk", "q", F.col("walk").alias("at"), F.expr("cast(array() as array<string>)").alias("seen"), F.expr("cast(array() as array<struct<step: int, id: bigint, score: double>>)").alias("steps"))
+    state = materialise(hop(empty, neighbours(first.select(F.col("walk").alias("id"), F.col("q").alias("embedding"))), 1), "walks") if depth > 0 else empty
+    every = first.count() * depth >= rows.count()
+    vectors = rows.select("id", F.col("u").alias("embedding"))
+    known = materialise(neighbours(vectors), "neighbours") if every else None
+    done = 1
+    while done < depth and state.where("at is not null").head(1):
+        if not every:
+            new = state.where("at is not null").select(F.col("at").alias("id")).distinct()
+            new = new if known is None else new.join(known.select(F.col("src").alias("id")), "id", "left_anti")
+            found = neighbours(vectors.join(new, "id"))
+            known = materialise(found if known is None else known.unionByName(found), "neighbours")
+        hops = min(HOPS if every else 1, depth - done)
+        last, moved = state, state
+        for _ in range(hops):
+            moved = hop(moved, known, 2)
+        state, done = materialise(moved, "walks"), done + hops
+        release(last)
+    steps = state.select("walk", F.inline("steps"))
+    return steps.join(corpus.select("id", F.col("text").alias("document")), "id").select("walk", "step", "document", "score")
+
+
 def merge_project_hits(hits: DataFrame, selected: DataFrame, limit: int | None = None) -> DataFrame:
     """Hits (project, id, score, ...) of the projects in `selected` (slug), best first.
 

@@ -82,6 +82,21 @@ walk(step, cur, seen, document, score) AS (
 SELECT step, document, score FROM walk"""
 
 
+def walks(threshold: float, depth: int = 50) -> str:
+    """similarity_walk from every twentieth row at once."""
+    return f"""
+WITH RECURSIVE {CORPUS}, s AS (SELECT a.id AS src, b.id AS dst, b.text, {score("a.v", "b.v")} AS score FROM c a, c b WHERE {score("a.v", "b.v")} IS NOT NULL),
+n AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rnk FROM s) WHERE rnk <= 5),
+walk(walk, step, cur, seen, document, score) AS (
+  SELECT src, 1, dst, [text], text, score FROM n WHERE rnk = 1 AND src % 20 = 0 AND score >= {threshold}
+  UNION ALL
+  SELECT w.walk, w.step + 1, arg_min(n.dst, n.rnk), list_append(any_value(w.seen), arg_min(n.text, n.rnk)), arg_min(n.text, n.rnk), arg_min(n.score, n.rnk)
+  FROM walk w JOIN n ON n.src = w.cur AND n.rnk >= 2 AND NOT list_contains(w.seen, n.text) JOIN n h ON h.src = w.cur AND h.rnk = 2 AND h.score >= {threshold}
+  WHERE w.step < {depth} GROUP BY w.walk, w.step HAVING arg_min(n.score, n.rnk) >= {threshold}
+)
+SELECT walk, step, document, score FROM walk"""
+
+
 def resolved(field: str) -> str:
     default = f"nullif({text(DEFAULTS[field])}, '')" if DEFAULTS.get(field) else "NULL"
     return f"coalesce(nullif({field}, ''), {default}, {text(LIBRARY[field])}) AS {field}"
@@ -133,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "similarity_walk": walk(0.25, False),
         "similarity_walk_initial": walk(0.0, True),
         "similarity_walk_threshold": walk(0.33, False),
+        "similarity_walks": walks(0.25),
         "token_counts": f"SELECT doc_id, {tokens('text')} AS tokens FROM documents",
         "corpus_tokens": f"SELECT count(*) AS documents, CAST(sum({tokens('text')}) AS BIGINT) AS tokens FROM documents",
         "embedding_cost": f"WITH {PRICE_TABLE}, t AS (SELECT CAST(sum({tokens('text')}) AS BIGINT) AS tokens FROM documents) SELECT model, tokens, round(tokens / 1000000.0::DOUBLE * input_price, 10) AS cost FROM t, prices WHERE output_price IS NULL",

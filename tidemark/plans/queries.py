@@ -162,6 +162,12 @@ def walk(threshold: float, initial: bool, depth: int = 50) -> Query:
     return query
 
 
+def similarity_walks(spark: SparkSession, d: str) -> DataFrame:
+    """A walk from every twentieth document that has a vector, all at once."""
+    c = corpus(spark, d)
+    return S.similarity_walks(c, c.where("id % 20 = 0").select(F.col("id").alias("walk"), "embedding"), score_threshold=0.25)
+
+
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.approximate_tokens(F.col("text")).alias("tokens"))
 
@@ -475,7 +481,7 @@ def random_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = (
-        cosine_topk, relatedness_scores, topk_threshold, csv_embedding_parse, collection_upsert, collection_append, collection_count, collection_info, collection_search, batch_knn,
+        cosine_topk, relatedness_scores, topk_threshold, csv_embedding_parse, collection_upsert, collection_append, collection_count, collection_info, collection_search, batch_knn, similarity_walks,
         token_counts, corpus_tokens, embedding_cost, prompt_cost, price_lookup, priced_models, embed_batches, usage_totals, usage_by_model, usage_record_costs, usage_unpriced, usage_uncounted, usage_summary,
         conversation_messages, conversation_index, conversation_resume, conversation_append, conversation_orphans, distinct_refs, context_concat, retrieved_context, prompt_assembly, nonnull_text,
         settings_resolution, model_majority, project_exclusions, selection_notice, registry_register, registry_find, registry_unregister, locality_audit, loopback_hosts, base_url, unique_ids, random_sample, cross_project_query,
