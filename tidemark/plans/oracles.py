@@ -7,7 +7,7 @@ from tidemark.operators.accounting import PRICES
 from tidemark.operators.locality import BACKENDS, ELSEWHERE, FETCH, HOSTED, IN_PROCESS, LOCAL, ON_THIS_HOST, PULL
 from tidemark.operators.projects import MISMATCH, NOTICE
 from tidemark.plans.offline import PER_PROMPT, PER_REPLY, PER_TEXT
-from tidemark.plans.queries import CHAT_MODELS, CONTEXT_TEXTS, DEFAULTS, EMBEDDING_MODELS, INSTRUCTION, LIBRARY, URLS
+from tidemark.plans.queries import CHAT_MODELS, CONTEXT_TEXTS, DEFAULTS, EMBEDDING_MODELS, INSTRUCTION, LIBRARY, URLS, vocabulary_path
 from tidemark.sources.providers import BASE_URLS
 
 CORPUS = "c AS (SELECT e.vec_id AS id, d.text, d.source, CAST(e.embedding AS DOUBLE[]) AS v FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"
@@ -97,6 +97,38 @@ walk(walk, step, cur, seen, document, score) AS (
 SELECT walk, step, document, score FROM walk"""
 
 
+#: White space as Unicode has it, and the pieces of a stretch of text within which white space is never parted.
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+PIECE = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+"
+
+
+def exact(select: str) -> str:
+    """Exact counts: each different piece merged by a recursive query over the rank file, its bytes as hex."""
+    # The last white space before anything else begins a stretch of its own.
+    parted = rf"unnest(string_split(regexp_replace(text, '([{SPACE}])([{SPACE}])([^{SPACE}])', '\1' || chr(57344) || '\2\3', 'g'), chr(57344)))"
+    return rf"""
+WITH RECURSIVE ranks AS (
+  SELECT hex(from_base64(token)) AS token, rank FROM read_csv('{vocabulary_path()}', delim = ' ', header = false, quote = '', escape = '', auto_detect = false, columns = {{'token': 'VARCHAR', 'rank': 'INTEGER'}})
+), stretches AS (
+  SELECT doc_id, {parted} AS stretch FROM documents
+), pieces AS (
+  SELECT doc_id, piece, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(stretch, '{PIECE}')) AS piece FROM stretches) GROUP BY ALL
+), merging(piece, parts, step) AS (
+  SELECT piece, list_transform(range(strlen(piece)), lambda i: substr(hex(encode(piece)), CAST(2 * i + 1 AS INTEGER), 2)), 0 FROM (SELECT DISTINCT piece FROM pieces)
+  UNION ALL
+  SELECT piece, parts[: best - 1] || [parts[best] || parts[best + 1]] || parts[best + 2 :], step + 1 FROM (
+    SELECT p.piece, any_value(p.parts) AS parts, p.step, arg_min(p.i, r.rank * 1000000::BIGINT + p.i) AS best
+    FROM (SELECT piece, parts, step, unnest(range(1, len(parts))) AS i FROM merging) p JOIN ranks r ON r.token = p.parts[p.i] || p.parts[p.i + 1] GROUP BY p.piece, p.step
+  )
+), lengths AS (
+  SELECT piece, CAST(min(len(parts)) AS BIGINT) AS tokens FROM merging GROUP BY piece
+), counts AS (
+  SELECT d.doc_id, CAST(coalesce(sum(n * l.tokens), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(n), 0) AS BIGINT) AS pieces FROM documents d LEFT JOIN pieces USING (doc_id) LEFT JOIN lengths l USING (piece) GROUP BY d.doc_id
+), totals AS (
+  SELECT count(*) AS documents, CAST(sum(pieces) AS BIGINT) AS pieces, (SELECT count(*) FROM lengths) AS different_pieces, CAST(sum(tokens) AS BIGINT) AS tokens FROM counts
+) {select}"""
+
+
 def resolved(field: str) -> str:
     default = f"nullif({text(DEFAULTS[field])}, '')" if DEFAULTS.get(field) else "NULL"
     return f"coalesce(nullif({field}, ''), {default}, {text(LIBRARY[field])}) AS {field}"
@@ -155,6 +187,9 @@ def oracle_sql() -> dict[str, str]:
         "prompt_cost": f"WITH {PRICE_TABLE}, t AS (SELECT conv_id, turn, {case('conv_id % 4', CHAT_MODELS)} AS model, {tokens('text')} AS tokens FROM conversations WHERE role = 'user') SELECT conv_id, turn, model, tokens, round(tokens / 1000000.0::DOUBLE * input_price, 10) AS cost FROM t LEFT JOIN prices USING (model)",
         "price_lookup": f"WITH {PRICE_TABLE}, {asked} SELECT model, input_price, output_price, {encodings} AS encoding FROM asked LEFT JOIN prices USING (model)",
         "priced_models": f"WITH {PRICE_TABLE} SELECT model FROM prices",
+        "exact_token_counts": exact("SELECT doc_id, tokens FROM counts"),
+        "exact_corpus_tokens": exact("SELECT * FROM totals"),
+        "exact_embedding_cost": exact(f", {PRICE_TABLE} SELECT model, tokens, round(tokens / 1000000.0::DOUBLE * input_price, 10) AS cost FROM totals, prices WHERE output_price IS NULL"),
         "embed_batches": f"WITH t AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, {tokens('text')} AS tokens FROM documents) SELECT CAST(position // 100 AS BIGINT) AS batch, count(*) AS n_texts, CAST(sum(tokens) AS BIGINT) AS tokens FROM t GROUP BY 1",
         "usage_totals": f"{TOTALS} SELECT * FROM totals",
         "usage_by_model": f"WITH {PRICE_TABLE}, {LEDGER} SELECT model, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM costs GROUP BY model",

@@ -15,6 +15,7 @@ from tidemark.operators import conversations as C
 from tidemark.operators import locality as L
 from tidemark.operators import projects as P
 from tidemark.operators import search as S
+from tidemark.operators import tokens as K
 from tidemark.operators.chat import Chat
 from tidemark.operators.positions import with_position
 from tidemark.plans.offline import OfflineTransport
@@ -196,6 +197,27 @@ def priced_models(spark: SparkSession, d: str) -> DataFrame:
     return A.priced_models(spark)
 
 
+def vocabulary_path() -> str:
+    """The rank file of a public byte-level vocabulary on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def exact_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return K.exact_token_counts(read(spark, d, "documents").select("doc_id", "text"), K.read_ranks(vocabulary_path())).select("doc_id", "tokens")
+
+
+def exact_corpus_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return K.exact_corpus_tokens(read(spark, d, "documents").select("text"), K.read_ranks(vocabulary_path()))
+
+
+def exact_embedding_cost(spark: SparkSession, d: str) -> DataFrame:
+    """What embedding all documents costs with each model, by exact counts."""
+    models = A.prices(spark).where("output_price is null").select("model", "input_price")
+    return models.crossJoin(exact_corpus_tokens(spark, d).select("tokens")).select("model", "tokens", F.round(A.cost(F.col("tokens"), F.col("input_price")), 10).alias("cost"))
+
+
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
     return A.embedding_batches(with_position(token_counts(spark, d), "doc_id"))
 
@@ -482,7 +504,7 @@ def random_sample(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     plain = (
         cosine_topk, relatedness_scores, topk_threshold, csv_embedding_parse, collection_upsert, collection_append, collection_count, collection_info, collection_search, batch_knn, similarity_walks,
-        token_counts, corpus_tokens, embedding_cost, prompt_cost, price_lookup, priced_models, embed_batches, usage_totals, usage_by_model, usage_record_costs, usage_unpriced, usage_uncounted, usage_summary,
+        token_counts, corpus_tokens, embedding_cost, exact_token_counts, exact_corpus_tokens, exact_embedding_cost, prompt_cost, price_lookup, priced_models, embed_batches, usage_totals, usage_by_model, usage_record_costs, usage_unpriced, usage_uncounted, usage_summary,
         conversation_messages, conversation_index, conversation_resume, conversation_append, conversation_orphans, distinct_refs, context_concat, retrieved_context, prompt_assembly, nonnull_text,
         settings_resolution, model_majority, project_exclusions, selection_notice, registry_register, registry_find, registry_unregister, locality_audit, loopback_hosts, base_url, unique_ids, random_sample, cross_project_query,
         payload_join, reply_blocks, model_list, connections, text_load, collection_store, conversation_store, conversation_ids,
