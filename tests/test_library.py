@@ -340,9 +340,3 @@ def test_tokens_and_encodings(spark):
     df = spark.createDataFrame([("Hello, wörld 12345", "gpt-4o-mini"), (None, "gpt-4"), ("日本 語!", "new-model")], "t string, m string")
     got = df.select(T.approximate_tokens(F.col("t")).alias("n"), T.encoding_for_model(F.col("m")).alias("e")).collect()
     assert [tuple(r) for r in got] == [(5, "o200k_base"), (0, "cl100k_base"), (3, "o200k_base")]
-
-
-def test_exact_tokens(spark):
-    vocabularies = pytest.importorskip("public_tokenizers")
-    df = spark.createDataFrame([("hello world",), (None,)], "t string")
-    assert [r[0] for r in df.select(T.exact_tokens(F.col("t"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)).collect()] == [2, 0]

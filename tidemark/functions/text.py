@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,24 +34,6 @@ def approximate_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(PIECES)), F.lit(0)).cast("bigint")
 
 
-def exact_tokens(text: Column, ranks_path: str, pattern: str) -> Column:
-    """Token counts by a BPE vocabulary file (base64 token and rank a line) that every executor can read, in Arrow batches."""
-
-    @F.pandas_udf("bigint")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import base64
-
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-        coder = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        for batch in batches:
-            yield batch.map(lambda t: len(coder.encode_ordinary(t)) if t else 0)
-
-    return count(text)
-
-
 def url_host(url: Column) -> Column:
     """The host of a URL, with or without a scheme, in lower case; an IPv6 host comes without its brackets."""
     rest = F.regexp_replace(F.regexp_replace(url, "^[^/]*//", ""), "[/?#].*$", "")

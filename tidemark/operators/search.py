@@ -84,7 +84,7 @@ def above(corpus: DataFrame, vector: Sequence[float], threshold: float) -> DataF
     return scored.where(F.col("score") >= threshold)
 
 
-def _pivots(sample: np.ndarray, most: int) -> np.ndarray:
+def spread(sample: np.ndarray, most: int) -> np.ndarray:
     """Rows of `sample` (of length one) spread out: each is the one least like those before it."""
     chosen_rows, nearest = [0], sample @ sample[0]
     while len(chosen_rows) < min(most, len(sample)) and nearest.min() < 1 - 1e-9:
@@ -93,7 +93,7 @@ def _pivots(sample: np.ndarray, most: int) -> np.ndarray:
     return sample[chosen_rows]
 
 
-def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ y.T, -1, 1))
 
 
@@ -117,7 +117,7 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5) -> Dat
     counts = {r["width"]: r["count"] for r in held.groupBy("width").count().collect()}
     parts = {w: -(-n // block_rows(w)) for w, n in counts.items()}
     first = _samples(held, [w for w, n in parts.items() if n > 1])
-    pivots = {w: _pivots(x, max(1, min(PIVOTS, parts[w] // 4))) for w, x in first.items()}
+    pivots = {w: spread(x, max(1, min(PIVOTS, parts[w] // 4))) for w, x in first.items()}
     blocks = materialise(_blocks(held, pivots, sum(parts.values())), "blocks")
     asking = blocks
     if queries is not corpus:
@@ -137,11 +137,11 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5) -> Dat
                     continue
                 mean = x.mean(0)
                 centre = mean / max(float(np.linalg.norm(mean)), 1e-300)
-                own = float(_angles(x, centre[None, :]).max()) if np.linalg.norm(mean) > 1e-9 else math.pi
+                own = float(angles(x, centre[None, :]).max()) if np.linalg.norm(mean) > 1e-9 else math.pi
                 scores, enough = x @ first[w].T, len(first[w]) >= k > 0
                 least = float(np.partition(scores, len(first[w]) - k, axis=1)[:, len(first[w]) - k].min()) if enough else -1.0
                 far = math.acos(max(least - 2 * 10.0**-PLACES, -1.0)) + own + 1e-7  # from the centre, of what may be found
-                apart = _angles(centre[None, :], pivots[w])[0]
+                apart = angles(centre[None, :], pivots[w])[0]
                 yield _rows(ASKED, [(number, w, c, a - far, a + far) for c, a in enumerate(apart.tolist())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def _blocks(rows: DataFrame, pivots: dict[int, np.ndarray], parts: int) -> DataF
             cell, angle = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
             for w in set(width.tolist()) & pivots.keys():
                 at = np.flatnonzero(width == w)
-                apart = _angles(np.array([vectors[i] for i in at]), pivots[w])
+                apart = angles(np.array([vectors[i] for i in at]), pivots[w])
                 cell[at], angle[at] = apart.argmin(1), apart.min(1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(angle)], names=[*b.schema.names, "cell", "angle"])
 

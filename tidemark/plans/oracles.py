@@ -222,7 +222,12 @@ def oracle_sql() -> dict[str, str]:
         "model_list": "SELECT 0::BIGINT AS place, 'offline-a' AS model UNION ALL SELECT 1::BIGINT, 'offline-b'",
         "connections": connected(),
         "text_load": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {text(u)})" for i, u in enumerate(URLS)) + ") AS t(position, text)",
-        "collection_store": "SELECT id::BIGINT AS id, x::DOUBLE AS x, y::DOUBLE AS y, text, 2::BIGINT AS size, 'kept' AS collections FROM (VALUES (0, 2, 0, 'd'), (1, 0, 1, 'b'), (2, 1, 1, 'c'), (3, 0, 5, NULL)) AS t(id, x, y, text)",
+        "collection_store": f"""WITH {POINTS}, more AS (SELECT row_number() OVER (ORDER BY id) - 1 + (SELECT count(*) FROM p) AS id, v FROM p WHERE label = 4),
+  held AS (SELECT id, v FROM fresh UNION ALL SELECT id, v FROM p WHERE id NOT IN (SELECT id FROM fresh) UNION ALL SELECT id, v FROM more)
+  SELECT id, {norm} AS norm, (SELECT CAST(max(len(v)) AS BIGINT) FROM p) AS size, (SELECT count(*) FROM held) AS points, 'kept' AS collections FROM held""",
+        "collection_indexed_search": f"WITH {POINTS}, {SEED} SELECT id, {score('v', 'w')} AS score, CAST(label AS VARCHAR) AS label FROM p, q WHERE {score('v', 'w')} IS NOT NULL ORDER BY score DESC, id LIMIT 10",
+        "collection_named_search": f"""WITH {POINTS}, {SEED}, fused AS (SELECT id, round(0.75::DOUBLE * list_cosine_similarity(v, w) + 0.25::DOUBLE * list_cosine_similarity(list_reverse(v), w), 6) AS score FROM p, q)
+  SELECT id, score FROM fused WHERE NOT isnan(score) ORDER BY score DESC, id LIMIT 10""",
         "conversation_store": """SELECT id::BIGINT AS id, role, message, created_at, id = 1 AS is_setup FROM (VALUES (1, 'system', 'be brief', '1970-01-01 00:00:00'), (2, 'user', 'hello', '1970-01-01 00:00:00'), (3, 'assistant', '5 characters', '1970-01-01 00:00:00'),
   (4, 'user', 'what is it?', '1970-01-01 00:01:00'), (5, 'assistant', '11 characters', '1970-01-01 00:01:00'), (6, 'user', 'and then?', '1970-01-01 00:00:00'), (7, 'assistant', length('user: hello') + length('assistant: 5 characters') + length('user: and then?') + 2 || ' characters', '1970-01-01 00:00:00')) AS t(id, role, message, created_at)""",
         "conversation_ids": "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id FROM conversations",

@@ -455,17 +455,46 @@ def text_load(spark: SparkSession, d: str) -> DataFrame:
     return load_text(spark, list(URLS))
 
 
+def _named_points(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector twice over: as it is, and with its components in reverse order."""
+    p = _points(spark, d)
+    return p.select("id", F.col("embedding").alias("main"), F.reverse("embedding").alias("turned"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("payload"))
+
+
+def _width(spark: SparkSession, d: str) -> int:
+    row = read(spark, d, "embeddings").select(F.size("embedding")).first()
+    return row[0] if row else 1
+
+
 def collection_store(spark: SparkSession, d: str) -> DataFrame:
-    """A collection made, filled, written over from 0, added to, and read; one beside it made and deleted."""
-    store = VectorStore(spark, new_path(spark, "store"))
-    store.create("kept", 2)
+    """A collection of all vectors, into which those of one label go again from 0 and those of another after the last; one beside it made and deleted."""
+    p, store = _points(spark, d), VectorStore(spark, new_path(spark, "store"))
+    store.create("kept", _width(spark, d))
     store.create("gone", 3)
-    store.add("kept", [[1, 0], [0, 1], [1, 1]], [{"text": "a"}, {"text": "b"}, {"text": "c"}])
-    store.add("kept", [[2, 0]], [{"text": "d"}])
-    store.append("kept", [[0, 5]])
+    store.upsert("kept", p)
+    for label, put in ((3, store.upsert), (4, store.append)):
+        put("kept", with_position(p.where(F.col("label") == label).select(F.col("id").alias("origin"), "embedding"), "origin", name="id").select("id", "embedding"))
     store.delete("gone")
     info, names = store.info("kept"), ",".join(store.collections())
-    return store.points("kept").select("id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"), F.col("payload")["text"].alias("text"), F.lit(info["size"]).cast("bigint").alias("size"), F.lit(names).alias("collections"))
+    return store.points("kept").select("id", F.round(norm(F.col("embedding")), 6).alias("norm"), F.lit(info["size"]).cast("bigint").alias("size"), F.lit(store.count("kept")).cast("bigint").alias("points"), F.lit(names).alias("collections"))
+
+
+def collection_indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest points by an index of cells, with their payload."""
+    store = VectorStore(spark, new_path(spark, "store"))
+    store.create("c", _width(spark, d))
+    store.upsert("c", _named_points(spark, d).select("id", F.col("main").alias("embedding"), "payload"))
+    store.build_index("c")
+    return store.search(seed_vector(spark, d), 10, "c").select("id", "score", F.col("payload")["label"].alias("label"))
+
+
+def collection_named_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best points by a weighted sum over two named vectors."""
+    store, seed = VectorStore(spark, new_path(spark, "store")), seed_vector(spark, d)
+    store.create("c", {"main": _width(spark, d), "turned": _width(spark, d)})
+    store.upsert("c", _named_points(spark, d))
+    store.build_index("c")
+    return store.indexed_search("c", {"main": seed, "turned": seed}, 10, {"main": 0.75, "turned": 0.25})[0].select("id", "score")
 
 
 def conversation_store(spark: SparkSession, d: str) -> DataFrame:
@@ -503,7 +532,7 @@ def random_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = (
-        cosine_topk, relatedness_scores, topk_threshold, csv_embedding_parse, collection_upsert, collection_append, collection_count, collection_info, collection_search, batch_knn, similarity_walks,
+        cosine_topk, relatedness_scores, topk_threshold, csv_embedding_parse, collection_upsert, collection_append, collection_count, collection_info, collection_search, collection_indexed_search, collection_named_search, batch_knn, similarity_walks,
         token_counts, corpus_tokens, embedding_cost, exact_token_counts, exact_corpus_tokens, exact_embedding_cost, prompt_cost, price_lookup, priced_models, embed_batches, usage_totals, usage_by_model, usage_record_costs, usage_unpriced, usage_uncounted, usage_summary,
         conversation_messages, conversation_index, conversation_resume, conversation_append, conversation_orphans, distinct_refs, context_concat, retrieved_context, prompt_assembly, nonnull_text,
         settings_resolution, model_majority, project_exclusions, selection_notice, registry_register, registry_find, registry_unregister, locality_audit, loopback_hosts, base_url, unique_ids, random_sample, cross_project_query,
