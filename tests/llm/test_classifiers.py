@@ -115,7 +115,14 @@ def patterns(text):
         ("I will kill you.", (toxicity.THREAT, 0, 0, 2)),
         ("kill you.", (toxicity.THREAT, 0, 0, 1)),
         ("kill the process.", (toxicity.THREAT, 0, 0, 0)),
-        ("will this kill the process.", (toxicity.THREAT, 0, 0, 1)),
+        ("will this kill the process.", (toxicity.THREAT, 0, 0, 0)),
+        ("he will destroy the old building.", (toxicity.THREAT, 0, 0, 0)),
+        ("ich werde dich töten.", (toxicity.THREAT, 0, 0, 2)),
+        ("you are a clown.", (toxicity.INSULT, 0, 0, 1)),
+        ("are you a clown.", (toxicity.INSULT, 0, 0, 1)),
+        ("you clown!", (toxicity.INSULT, 0, 0, 1)),
+        ("du bist ein clown", (toxicity.INSULT, 0, 0, 1)),
+        ("they're not trash", (toxicity.INSULT, 1, 0, 1)),
         ("a disgusting trick.", (toxicity.INSULT, 0, 0, 0)),
         ("an idiot, said they.", (toxicity.INSULT, 0, 0, 1)),
         ("du bist kein dummkopf.", (toxicity.INSULT, 1, 0, 1)),
@@ -135,10 +142,110 @@ def test_grammar_weighs_clauses():
 
 def test_insults_pile_up_only_with_others():
     assert patterns("stupid clown.")[0] == {(toxicity.INSULT, 0, 0, 0): 1, (toxicity.INSULT, 0, 0, 1): 1}
-    assert patterns("the trash can and the trash lid.")[0] == {(toxicity.INSULT, 0, 0, 0): 1}
+    assert patterns("the trash can and the trash lid.")[0] == {}
     assert patterns("idiot idiot idiot idiot")[0] == {(toxicity.INSULT, 0, 0, 0): 1, (toxicity.INSULT, 0, 0, 1): 2}
     assert patterns("scum*** of the clown###")[0] == {(toxicity.INSULT, 0, 0, 0): 1, (toxicity.INSULT, 0, 0, 1): 1}
-    assert patterns("trash one two three four five six clown.")[0] == {(toxicity.INSULT, 0, 0, 0): 2}
+    assert patterns("trash one two three four five six clown.")[0] == {}
+    assert patterns("moron one two three four five six idiot.")[0] == {(toxicity.INSULT, 0, 0, 0): 2}
+    assert patterns("the trash here. an idiot there.")[0] == {(toxicity.INSULT, 0, 0, 0): 2}
+
+
+INNOCENT = [
+    "Clowns performed at the circus. The trash was collected. Losers and winners shook hands. Vermin control visited the barn.",
+    "A clown came. Trash went out.",
+    "your trash is collected on Monday",
+    "they love the circus clown",
+    "he will destroy the old building",
+]
+
+
+def test_unrelated_words_in_unrelated_clauses_are_no_toxicity(spark, small):
+    rows = read(spark, small, "documents")
+    model = toxicity.fit_toxicity(rows, read(spark, small, "labels"))
+    score = {t: model.score(model.counts(t)[None, :])[0] for t in (*INNOCENT, "you are a clown", "They are trash.", "I will destroy you")}
+    assert [t for t, p in score.items() if p >= 0.5] == ["you are a clown", "They are trash.", "I will destroy you"], score
+
+
+def clear(kinds, a, b, run):
+    """Whether fewer than `run` words without a mark follow one another between places a and b."""
+    length = 0
+    for k in kinds[a + 1 : b]:
+        length = length + 1 if k in (0, toxicity.COPULA) else 0
+        if length >= run:
+            return False
+    return True
+
+
+def said_of_a_person(kinds, i):
+    """Whether the words before place i end in a person or lie in a predicate of one."""
+    named, predicate, asked, bare = False, False, False, 0
+    for k in kinds[:i]:
+        bare = bare + 1 if k in (0, toxicity.COPULA) else 0
+        if k == toxicity.PERSON:
+            named, predicate, asked = not asked, asked, False
+        elif k == toxicity.ADDRESS:
+            named, predicate, asked = False, True, False
+        elif k == toxicity.COPULA:
+            named, predicate, asked = False, named or predicate, not (named or predicate)
+        elif k in (0, toxicity.MODAL, toxicity.OBJECT, toxicity.POSSESSIVE, toxicity.REPORT):
+            named = asked = False
+        if bare == toxicity.GAP_AFTER:
+            named = predicate = asked = False
+    return named or predicate
+
+
+def plain_counts(model, text):
+    """The patterns of a text by plain search, without the machine."""
+    found, alone, words, clause = {}, {}, text.lower().split(), []
+    clauses = []
+    for w in words:
+        clause.append(w)
+        if w.endswith(toxicity.CLAUSE_END):
+            clauses.append(clause)
+            clause = []
+    for ws in [*clauses, clause]:
+        kinds, last, again = [model.symbol(w) for w in ws], "", 0
+
+        def near(i, wanted, run, after=False):
+            places = range(i + 1, len(kinds)) if after else range(i)
+            return any(kinds[j] in wanted and clear(kinds, *sorted((i, j)), run) for j in places)
+
+        for i, k in enumerate(kinds):
+            if k not in toxicity.READ:
+                continue
+            neg = near(i, (toxicity.NEGATION,), 5)
+            rep = any(kinds[j] == toxicity.REPORT for j in range(i)) or any(ws[j][0] in "\"„“«" for j in range(i + 1))
+            core = ws[i].strip(toxicity.EDGES)
+            if k == toxicity.THREAT:
+                aimed = near(i, (toxicity.OBJECT,), 5) or near(i, (toxicity.PERSON, toxicity.OBJECT), toxicity.OBJECT_WITHIN + 1, True)
+                bound = 1 + near(i, (toxicity.MODAL,), 5) if aimed else 0
+            else:
+                piled = near(i, (toxicity.INSULT, toxicity.MARK), 5)
+                again = again + 1 if piled and core == last else 0
+                last = core
+                aimed = said_of_a_person(kinds, i) if k == toxicity.AMBIGUOUS else near(i, toxicity.ANYBODY, 5) or near(i, toxicity.ANYBODY, 5, True)
+                bound = int(piled and again != 1) + int(aimed)
+            if bound:
+                key = (toxicity.INSULT if k == toxicity.AMBIGUOUS else k, int(neg), int(rep), bound)
+                found[key] = found.get(key, 0) + 1
+            else:
+                alone.setdefault((k, int(neg), int(rep), 0), set()).add(core)
+    sure = any(k[0] == toxicity.INSULT for k in alone)
+    for k, cores in alone.items():
+        if k[0] != toxicity.AMBIGUOUS or sure:
+            key = (toxicity.INSULT if k[0] == toxicity.AMBIGUOUS else k[0], *k[1:])
+            found[key] = found.get(key, 0) + len(cores)
+    return found
+
+
+def test_the_machine_finds_what_a_plain_search_finds(spark, small):
+    rows = read(spark, small, "documents").join(read(spark, small, "labels"), "doc_id", "left").select("text", F.col("toxic").alias("label")).where("text is not null").collect()
+    model = toxicity.ToxicityModel(*toxicity.learn_lexicon([r["text"] for r in rows if r["label"] is not None], [r["label"] for r in rows if r["label"] is not None]))
+    rnd, vocabulary = random.Random(4), [w for ws in toxicity.SEEDS.values() for w in ws.split()[:4]] + ["the", "a", "building", "one.", '"so', "and"] * 3
+    made = [" ".join(rnd.choices(vocabulary, k=rnd.randint(1, 30))) for _ in range(3000)]
+    for text in (*(r["text"] for r in rows), *made, *INNOCENT):
+        got = model.counts(text)
+        assert {p: int(got[i]) for i, p in enumerate(toxicity.PATTERNS) if got[i]} == plain_counts(model, text), text[:200]
 
 
 def test_an_insult_word_alone_is_no_match_whatever_labels_say(spark):

@@ -1,12 +1,16 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-Words become symbols (insult, mark, threat, modal, target, negation, report). Five transducers, composed into one machine
-that reads a clause, rewrite its insults and threats: the insult transducer tells insults that pile up from single ones,
-the threat transducer verbs of harm that a modal announces from mere verbs, and three more mark what stands in the scope
-of a negation, what follows a verb of reporting or an opening quote, and what has a person as its target; the target
-transducer runs once more from the clause's end, for targets that follow. What is piled, announced or aimed is a matched
-clause and counts by its pattern. An insult word alone matches no clause: one of them counts nothing, and several count
-by how many different ones a document has beyond the first. A document's score is a logistic sum.
+Words become symbols (insult, ambiguous insult, mark, threat, modal, person, object, copula, negation, report). Transducers,
+composed into one machine that reads a clause, rewrite its insults and threats: the insult transducer tells insults that
+pile up from single ones, the threat transducer verbs of harm that a modal announces from mere verbs, two more mark what
+stands in the scope of a negation and what follows a verb of reporting or an opening quote, and three say what is aimed at
+a person: an insult in a person's scope, an ambiguous word only where it is said of a person or stands next to one (you
+clown, they are trash), a verb of harm only where a person is its object; they run once more from the clause's end, for
+persons that follow. What is piled up or aimed is a matched clause and counts by its pattern; a verb of harm without a
+person is none, and neither is an ambiguous word that is neither piled up nor said of a person (the circus clown, the trash
+was collected). A clause that merely holds an insult is the weakest pattern: the first of a document counts nothing, and
+further ones count by how many different words they have. The tables need it: most of their toxic documents hold such
+words in clauses of invented words, without person or predicate. A document's score is a logistic sum.
 
 Words are not enough in languages of which no list is at hand, so marks are learned from labelled documents: words and
 word beginnings that toxic documents have far more often than clean ones, chosen greedily by how many toxic documents
@@ -38,16 +42,26 @@ TRAIN_PER_CLASS = 3000
 #: Unmarked words after which a scope ends.
 GAP_AFTER = 5
 
-INSULT, MARK, THREAT, MODAL, TARGET, NEGATION, REPORT, GAP = 1, 2, 3, 4, 5, 6, 7, 8
+INSULT, MARK, THREAT, MODAL, PERSON, NEGATION, REPORT, GAP = 1, 2, 3, 4, 5, 6, 7, 8
+AMBIGUOUS, COPULA, OBJECT, ADDRESS, POSSESSIVE, OTHER = 9, 10, 11, 12, 13, 14
+#: What patterns tell apart, and what the machine rewrites: an ambiguous insult that is bound is an insult.
 MATCHES = (INSULT, MARK, THREAT)
+READ = (*MATCHES, AMBIGUOUS)
+#: Unmarked words between a verb of harm and a person that follows it, at most.
+OBJECT_WITHIN = 2
 
 # The seed lexicon.
 SEEDS = {
-    INSULT: "idiot idiots idiotic moron morons moronic stupid loser losers scum trash clown clowns pathetic disgusting worthless imbecile cretin scumbag dumbass bastard bastards asshole dimwit halfwit vermin subhuman degenerate "
-    "dummkopf vollidiot arschloch abschaum connard imbécile crétin ordure salaud gilipollas imbécil cabrón estúpido estúpida",
+    INSULT: "idiot idiots idiotic moron morons moronic stupid scum pathetic disgusting worthless imbecile cretin scumbag dumbass bastard bastards asshole dimwit halfwit subhuman "
+    "dummkopf vollidiot arschloch abschaum connard imbécile crétin salaud gilipollas imbécil cabrón estúpido estúpida",
+    AMBIGUOUS: "loser losers trash clown clowns vermin degenerate ordure",
     THREAT: "kill kills strangle murder slaughter butcher exterminate destroy umbringen töten abschlachten tuer égorger massacrer matar degollar asesinar",
     MODAL: "will gonna going shall must should want i'll we'll werde werden wirst muss sollte vais va allons dois devrait voy vamos debo debería quiero",
-    TARGET: "you your you're youre u ur he she him her they them du dich dir ihr euch sie tu toi vous vos ils elles tú usted ustedes ellos ellas vosotros",
+    PERSON: "you u he she they du ihr sie tu vous ils elles tú usted ustedes ellos ellas vosotros",
+    OBJECT: "him her them dich dir ihn euch toi te",
+    ADDRESS: "you're youre ur he's she's they're",
+    POSSESSIVE: "your vos",
+    COPULA: "are is am was were be bist ist seid sind war es est êtes sont eres son",
     NEGATION: "not no never isn't aren't wasn't don't doesn't didn't nor neither nicht kein keine nie niemals pas jamais ni nunca jamás tampoco",
     REPORT: "said says called calls wrote writes quoted quotes reported reportedly allegedly claimed sagte nannte schrieb dit disait appelé écrit dijo llamó escribió",
 }
@@ -57,7 +71,7 @@ CLAUSE_END = (".", "!", "?", ";", ":", ".\"", "!\"", "?\"")
 PREFIXES = range(4, 8)
 
 #: The patterns: what matched x in a negation's scope x reported x how it is bound (0: not at all, 1: piled, announced or
-#: aimed at a target, 2: aimed and also piled or announced).
+#: aimed at a person, 2: aimed and also piled or announced; a threat that aims at nobody is not bound).
 PATTERNS = [(kind, neg, rep, bound) for kind in MATCHES for neg in (0, 1) for rep in (0, 1) for bound in (0, 1, 2)]
 NUMBER = {p: i for i, p in enumerate(PATTERNS)}
 #: What the weights are believed to be before labels are seen.
@@ -104,22 +118,41 @@ def _forms(kinds: tuple[int, ...], marks: int) -> list[tuple]:
 
 
 def _insults() -> Transducer:
-    """Appends 1 to an insult or mark that follows another one in scope, else 0."""
-    return Transducer({(s, (k,)): (1, (k, s)) for s in (0, 1) for k in (INSULT, MARK)} | {(1, GAP): (0, GAP)})
+    """Appends 1 to an insult, ambiguous one or mark that follows an insult or mark in scope, else 0."""
+    steps = {(s, (k,)): (1, (k, s)) for s in (0, 1) for k in (INSULT, MARK)}
+    return Transducer(steps | {(s, (AMBIGUOUS,)): (s, (AMBIGUOUS, s)) for s in (0, 1)} | {(1, GAP): (0, GAP)})
 
 
-def _marker(trigger: int, ends: tuple[int, ...], forms: list[tuple]) -> Transducer:
-    """Appends 1 to the `forms` in the scope of `trigger`, else 0; a scope lasts until a symbol of `ends`."""
-    steps: dict = {(s, trigger): (1, trigger) for s in (0, 1)} | {(1, e): (0, e) for e in ends}
+def _marker(triggers: tuple[int, ...], ends: tuple[int, ...], forms: list[tuple]) -> Transducer:
+    """Appends 1 to the `forms` in the scope of one of `triggers`, else 0; a scope lasts until a symbol of `ends`."""
+    steps: dict = {(s, t): (1, t) for s in (0, 1) for t in triggers} | {(1, e): (0, e) for e in ends}
     return Transducer(steps | {(s, f): (s, (*f, s)) for s in (0, 1) for f in forms})
 
 
+def _said_of(forms: list[tuple]) -> Transducer:
+    """Appends 1 to the `forms` that are said of a person or stand next to one, else 0.
+
+    States: 1 a person has just been named, 2 a predicate of one has begun, 3 a copula has just come (are you ...).
+    """
+    steps: dict = {}
+    for s in range(4):
+        steps |= {(s, PERSON): (2 if s == 3 else 1, PERSON), (s, ADDRESS): (2, ADDRESS), (s, GAP): (0, GAP), (s, COPULA): (2 if s in (1, 2) else 3, COPULA)}
+        steps |= {(s, x): (2 if s == 2 else 0, x) for x in (OTHER, MODAL, OBJECT, POSSESSIVE, REPORT)}
+        steps |= {(s, f): (s, (*f, int(s in (1, 2)))) for f in forms}
+    return Transducer(steps)
+
+
+ANYBODY = (PERSON, OBJECT, ADDRESS, POSSESSIVE)
+
+
 def grammar() -> Transducer:
-    """The composed machine: it reads (INSULT,), (MARK,), (THREAT,) and bare symbols, and gives (kind, bound, neg, rep, aim)."""
-    symbols = {MODAL, TARGET, NEGATION, REPORT, GAP, *((k,) for k in MATCHES)}
-    machine = _insults().compose(_marker(MODAL, (GAP,), _forms((THREAT,), 0)), symbols)
-    for place, (trigger, ends) in enumerate(((NEGATION, (GAP,)), (REPORT, ()), (TARGET, (GAP,))), start=1):
-        machine = machine.compose(_marker(trigger, ends, _forms(MATCHES, place)), symbols)
+    """The composed machine: it reads (INSULT,), (MARK,), (THREAT,), (AMBIGUOUS,) and bare symbols, and gives (kind, bound, neg, rep, aim)."""
+    symbols = {MODAL, PERSON, NEGATION, REPORT, GAP, COPULA, OBJECT, ADDRESS, POSSESSIVE, OTHER, *((k,) for k in READ)}
+    machine = _insults().compose(_marker((MODAL,), (GAP,), _forms((THREAT,), 0)), symbols)
+    for place, (trigger, ends) in enumerate(((NEGATION, (GAP,)), (REPORT, ())), start=1):
+        machine = machine.compose(_marker((trigger,), ends, _forms(READ, place)), symbols)
+    for aim in (_marker(ANYBODY, (GAP,), _forms((INSULT, MARK), 3)), _marker((OBJECT,), (GAP,), _forms((THREAT,), 3)), _said_of(_forms((AMBIGUOUS,), 3))):
+        machine = machine.compose(aim, symbols)
     return machine
 
 
@@ -129,7 +162,8 @@ class ToxicityModel:
     def __init__(self, words: set[str], beginnings: set[str]) -> None:
         self.exact = dict.fromkeys(words, MARK) | {w: kind for kind, ws in SEEDS.items() for w in ws.split()}
         self.beginnings = beginnings
-        self.machine, self.backwards = grammar(), _marker(TARGET, (GAP,), _forms(MATCHES, 0))
+        self.machine = grammar()
+        self.backwards = _marker(ANYBODY, (GAP,), _forms((INSULT, MARK), 0)), _marker((PERSON, OBJECT), (GAP,), _forms((THREAT,), 0))
         self.weights, self.bias = PRIOR.copy(), PRIOR_BIAS
         self._known: dict[str, int] = {}
 
@@ -152,7 +186,7 @@ class ToxicityModel:
         known, symbol = self._known.get, self.symbol
         kinds = [k if (k := known(w)) is not None else symbol(w) for w in words]
         done = 0
-        for at in [i for i, k in enumerate(kinds) if k in MATCHES]:
+        for at in [i for i, k in enumerate(kinds) if k in READ]:
             if at < done:
                 continue
             first, last = at, at
@@ -166,36 +200,45 @@ class ToxicityModel:
                     found[NUMBER[pattern]] += 1
                 else:
                     alone[pattern].add(words[first + i].strip(EDGES))
-        for pattern, different in alone.items():
-            found[NUMBER[pattern]] = len(different)
+        sure = any(k == INSULT and different for (k, *_), different in alone.items())
+        for (kind, *rest), different in list(alone.items()):
+            if kind != AMBIGUOUS:
+                found[NUMBER[kind, *rest]] += len(different)
+            elif sure:  # beside an insult that is none of them, in whatever clause, an ambiguous word is one too
+                found[NUMBER[INSULT, *rest]] += len(different)
         return found
 
     def clause(self, words: list[str], kinds: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """Place and pattern of each match in the words of one clause."""
-        ahead, state, bare = set(), 0, 0
+        """Place and pattern of each match in the words of one clause; AMBIGUOUS is the kind of what isn't bound."""
+        ahead, states, bare = set(), [0, 0], 0
         for i in range(len(words) - 1, -1, -1):
-            bare = 0 if kinds[i] else bare + 1
-            if kinds[i]:
-                state, out = self.backwards.step(state, (kinds[i],) if kinds[i] in MATCHES else kinds[i])
-                if kinds[i] in MATCHES and out[-1]:
-                    ahead.add(i)
-            elif bare == GAP_AFTER:
-                state, _ = self.backwards.step(state, GAP)
+            bare = 0 if kinds[i] not in (0, COPULA) else bare + 1
+            for n, (machine, within) in enumerate(zip(self.backwards, (GAP_AFTER, OBJECT_WITHIN + 1), strict=True)):
+                if kinds[i]:
+                    states[n], out = machine.step(states[n], (kinds[i],) if kinds[i] in READ else kinds[i])
+                    if kinds[i] in MATCHES and len(out) > 1 and out[-1]:
+                        ahead.add(i)
+                if bare == within:
+                    states[n], _ = machine.step(states[n], GAP)
         state, bare, last, again = 0, 0, "", 0
         for i, kind in enumerate(kinds):
             if words[i][0] in "\"„“«":
                 state, _ = self.machine.step(state, REPORT)
-            bare = 0 if kind else bare + 1
+            bare = 0 if kind not in (0, COPULA) else bare + 1
             if kind:
-                state, out = self.machine.step(state, (kind,) if kind in MATCHES else kind)
-                if kind in MATCHES:
+                state, out = self.machine.step(state, (kind,) if kind in READ else kind)
+                if kind in READ:
                     _, bound, neg, rep, aim = out
-                    core = words[i].strip(EDGES)
-                    if kind != THREAT:  # the same word again piles nothing up, before it comes a third time
+                    aimed, core = int(aim or i in ahead), words[i].strip(EDGES)
+                    if kind == THREAT:
+                        bound = 1 + bound if aimed else 0
+                    else:  # the same word again piles nothing up, before it comes a third time
                         again = again + 1 if bound and core == last else 0
-                        bound, last = int(bound and again != 1), core
-                    yield i, (kind, neg, rep, bound + int(aim or i in ahead))
-            elif bare == GAP_AFTER:
+                        bound, last = int(bound and again != 1) + aimed, core
+                    yield i, (INSULT if kind == AMBIGUOUS and bound else kind, neg, rep, bound)
+            else:
+                state, _ = self.machine.step(state, OTHER)
+            if bare == GAP_AFTER:
                 state, _ = self.machine.step(state, GAP)
 
     @staticmethod
@@ -230,7 +273,8 @@ def _bag(text: str) -> set[str]:
     return set(_WORD(text.lower()))
 
 
-SEED_FEATURES = {f"={w}" for w in SEEDS[INSULT].split()}
+INSULTS = {w for kind in (INSULT, AMBIGUOUS) for w in SEEDS[kind].split()}
+SEED_FEATURES = {f"={w}" for w in INSULTS}
 
 
 def _features(words: set[str]) -> set[str]:
@@ -317,7 +361,6 @@ def learn_lexicon_of(rows: DataFrame, least: int = 5) -> tuple[set[str], set[str
 
 def _chosen(holders: dict[str, list[int]], unmixed: set[str], n_toxic: int, least: int, bags_of: Callable[[set[int]], dict[int, set]]) -> tuple[set[str], set[str]]:
     """(words, beginnings) of the features in `holders`; those in `unmixed` no clean text has, and `bags_of` gives the words of toxic texts."""
-    seeds = set(SEEDS[INSULT].split())
     insults = Counter(i for f in SEED_FEATURES & holders.keys() for i in holders[f])
     known = {i for i, n in insults.items() if n > 1}
     left = {f: rest for f, ids in holders.items() if f not in SEED_FEATURES and len(rest := set(ids) - known) >= least}
@@ -332,15 +375,15 @@ def _chosen(holders: dict[str, list[int]], unmixed: set[str], n_toxic: int, leas
     many = max(4 * least, n_toxic // 100)
 
     def explained(core: str) -> bool:
-        return any(core[:n] in beginnings for n in PREFIXES) or any(x.startswith(core) for x in (*words, *seeds, *beginnings))
+        return any(core[:n] in beginnings for n in PREFIXES) or any(x.startswith(core) for x in (*words, *INSULTS, *beginnings))
 
     further = [f for f in unmixed if len(holders[f]) >= many and not explained(f.lstrip("="))]
-    bags = bags_of({i for f in further for i in holders[f][:50]}) if further else {}
+    bags = bags_of({i for f in further for i in holders[f]}) if further else {}
     for f in sorted(further, key=lambda f: (-len(holders[f]), f[0] != "=", -len(f), f)):
         core = f.lstrip("=")
         if explained(core):
             continue
-        ids = holders[f][:50]
+        ids = holders[f]
         alike = [len(bags[a] & bags[b]) / len(bags[a] | bags[b]) for a, b in zip(ids, ids[1:], strict=False)]
         if sum(alike) < 0.3 * len(alike):
             (words if f[0] == "=" else beginnings).add(core)
@@ -393,7 +436,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "toxicity
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text); other columns are ignored.
 
-    Scores depend on the text alone. Null and empty texts get the score of a text without matches; repeated rows stay;
+    Scores depend on the text alone, whole however long. Null and empty texts get the score of a text without matches; repeated rows stay;
     an empty table gives no rows; a null doc_id stays null and is held out (its text is empty: crc32 0).
     """
     scored = with_toxicity(docs.select("doc_id", "text"), model, "score")
@@ -403,7 +446,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of `docs` that score below THRESHOLD, with the columns of `docs`, whatever their names.
 
-    Scored and dropped in the task that reads them. Null and empty texts stay, repeated rows stay or go together.
+    Scored and dropped in the task that reads them, whole texts of any length. Null and empty texts stay, repeated rows
+    stay or go together; an empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
