@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import contract, licences, mixing, packing, sharding
@@ -191,6 +192,26 @@ def test_over_seeds_a_copy_has_the_probability_of_the_fraction(spark):
     assert sum(times.values()) == pytest.approx(12 * 40 * rate, rel=0.03) and min(times.values()) >= 1 and max(times.values()) <= 12 and len(set(times.values())) > 3
 
 
+def test_copies_of_small_sources_have_the_probability_of_the_fraction(spark):
+    rows = [(i, f"x{i}" + " d" * ((30 if source % 3 == 0 else 20) // n - 1), f"s{source:04}") for source in range(1800) for n in [(1, 2, 5)[source // 3 % 3]] for i in range(n)]
+    plan = mixing.mixing_plan(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    by_kind = plan.withColumn("n", F.count("*").over(W.partitionBy("source"))).groupBy("n", F.round("__rate", 6).alias("rate")).agg(F.avg("__copies").alias("copies"), F.count_distinct("source").alias("sources"), F.min("__copies").alias("least"), F.max("__copies").alias("most"))
+    found = by_kind.collect()
+    assert len(found) == 9 and all(r["sources"] == 200 for r in found)
+    for r in found:
+        assert abs(r["copies"] - r["rate"]) < 0.1 and int(r["rate"]) <= r["least"] and r["most"] <= int(r["rate"]) + 1, r
+
+
+def test_a_source_of_one_document_over_seeds(spark):
+    sizes = spark.createDataFrame([("a", 0.389), ("b", 1.556)], "source string, rate double").select("source", F.lit(1000).cast("bigint").alias("source_size"), (F.col("rate") * 1000).alias("target"), "rate")
+    draws = spark.createDataFrame([("a", 7, 1000), ("b", 4095, 1000)], "source string, draw int, size bigint")
+    taken = defaultdict(int)
+    for seed in range(60):
+        for r in mixing.with_threshold(sizes, draws, seed).collect():
+            taken[r["source"]] += r["least"] > {"a": 7, "b": 4095}[r["source"]]
+    assert 13 <= taken["a"] <= 34 and 23 <= taken["b"] <= 44
+
+
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_sql(spark, tiny, name):
     compare(spark, contract.queries()[name], contract.oracle_sql()[name], tiny)

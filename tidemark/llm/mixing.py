@@ -1,10 +1,11 @@
 """Mixing sources to target weights by repetition rates, in DataFrame operations alone.
 
 Tokens are aggregated by source, targets give repetition rates, and each document goes out floor(rate) times and once
-more by a draw seeded by its hash. Draws are compared with a threshold that is the fraction as measured: the share of a
-source's draws, weighed by words, that comes nearest the words its fraction asks for. Over seeds that is the Bernoulli
-copy of the fraction's probability; in one mix it takes out the luck of independent draws, which matters in sources of a
-few documents.
+more by a draw seeded by its hash. Draws are compared with a threshold that is the fraction as measured: of the draws of a
+source in order, weighed by words, the two thresholds whose words lie next below and above what the fraction asks for, the
+upper one with the probability that makes the expected words exactly those. That probability falls to a coin seeded by the
+source. So a copy has the fraction's probability over seeds, in sources of one document as well, and in one mix the luck of
+independent draws is taken out: a source is never further from its target than the documents of one draw.
 """
 
 from __future__ import annotations
@@ -60,17 +61,27 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(said), 1, 12), 16, 10).cast("bigint"), F.lit(STEPS)).cast("int")
 
 
-def with_threshold(targets: DataFrame, draws: DataFrame) -> DataFrame:
+def coin(source: Column, seed: int) -> Column:
+    """A number from 0 to below 1 from the MD5 of a source and the seed."""
+    said = F.concat(F.coalesce(source.cast("string"), F.lit("null")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(said), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+
+
+def with_threshold(targets: DataFrame, draws: DataFrame, seed: int = 0) -> DataFrame:
     """`targets` (source, source_size, target, rate) with `least`: documents that draw less get one copy more.
 
-    `draws` has source, draw, size: the words of each source by draw. The threshold is the one whose words come nearest
-    to what floor(rate) leaves of the target; the lower one of two that are equally near.
+    `draws` has source, draw, size: the words of each source by draw. Of the thresholds whose words lie next below and
+    above what floor(rate) leaves of the target, the source's coin takes one, the upper one as often as makes the mean
+    exactly that.
     """
     wanted = targets.select(F.col("source").alias("__source"), (F.col("target") - F.floor("rate") * F.col("source_size")).alias("wanted"))
     upto = W.partitionBy("source").orderBy("draw").rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = draws.join(wanted, F.col("source").eqNullSafe(F.col("__source"))).select("source", "wanted", (F.col("draw") + 1).alias("least"), F.sum("size").over(upto).cast("double").alias("words"))
-    best = steps.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("wanted")).alias("off"), "least")).alias("best"), F.first("wanted").alias("wanted"))
-    cut = best.select(F.col("source").alias("__source"), F.when(F.col("best.off") < F.abs("wanted"), F.col("best.least")).otherwise(F.lit(0)).alias("least"))
+    steps = draws.join(wanted, F.col("source").eqNullSafe(F.col("__source"))).select("source", "wanted", F.struct(F.sum("size").over(upto).cast("double").alias("words"), (F.col("draw") + 1).alias("least")).alias("step"))
+    nothing = F.struct(F.lit(0.0).alias("words"), F.lit(0).alias("least"))
+    below, above = F.col("step.words") <= F.col("wanted"), F.col("step.words") > F.col("wanted")
+    ends = steps.groupBy("source").agg(F.coalesce(F.max(F.when(below, F.col("step"))), nothing).alias("low"), F.min(F.when(above, F.col("step"))).alias("high"), F.first("wanted").alias("wanted"))
+    share = (F.col("wanted") - F.col("low.words")) / (F.col("high.words") - F.col("low.words"))
+    cut = ends.select(F.col("source").alias("__source"), F.when(coin(F.col("source"), seed) < share, F.col("high.least")).otherwise(F.col("low.least")).alias("least"))
     return targets.join(cut, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
@@ -78,7 +89,7 @@ def mixing_plan(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, source, the whole row, and its size, source_size, target, rate and copies, all but the first two begin with two underscores.
 
     copies is floor(rate) and one more where the document's draw is below its source's threshold; it depends on the
-    id, the text, the seed and the source's totals only. Null text: size 0, drawn as empty. Rows that repeat both id and
+    id, the text, the seed and the source's totals only. Whole texts of any length count. Null text: size 0, drawn as empty. Rows that repeat both id and
     text share a draw; null and repeated ids with other texts draw apart. Sources without words have target 0; an empty
     table gives no rows. The counts of a source are pre-aggregated in each task, at most STEPS rows. The targets are
     written before the join, so Spark knows their size: while they are under its broadcast threshold the documents, and
@@ -86,7 +97,7 @@ def mixing_plan(docs: DataFrame, seed: int = 0) -> DataFrame:
     """
     sized = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), word_count(F.col("text")).alias("__size"), draw(F.col("doc_id"), F.col("text"), seed).alias("__draw"))
     draws = materialise(sized.groupBy("source", F.col("__draw").alias("draw")).agg(F.sum("__size").alias("size")), "source_draws")
-    targets = materialise(with_threshold(source_targets(draws), draws), "source_targets")
+    targets = materialise(with_threshold(source_targets(draws), draws, seed), "source_targets")
     release(draws)
     targets = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"), F.col("least").alias("__least"))
     copies = F.floor("__rate") + (F.col("__draw") < F.col("__least")).cast("bigint")
@@ -129,9 +140,16 @@ WITH sized AS (
 ), steps AS (
   SELECT d.source, w.wanted, d.draw + 1 AS least, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw) AS DOUBLE) AS words
   FROM drawn d JOIN wanted w ON d.source IS NOT DISTINCT FROM w.source
+), low AS (
+  SELECT source, max(words) AS low, arg_max(least, (words, least)) AS low_least FROM steps WHERE words <= wanted GROUP BY source
+), high AS (
+  SELECT source, min(words) AS high, arg_min(least, (words, least)) AS high_least FROM steps WHERE words > wanted GROUP BY source
+), ends AS (
+  SELECT w.source, w.wanted, coalesce(l.low, 0.0::DOUBLE) AS low, coalesce(l.low_least, 0) AS low_least, h.high, h.high_least,
+         CAST(('0x' || substr(md5(coalesce(w.source, 'null') || ':0'), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS coin
+  FROM wanted w LEFT JOIN low l ON w.source IS NOT DISTINCT FROM l.source LEFT JOIN high h ON w.source IS NOT DISTINCT FROM h.source
 ), cuts AS (
-  SELECT source, CASE WHEN abs(words - wanted) < abs(wanted) THEN least ELSE 0 END AS least
-  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(words - wanted), least) AS r FROM steps) WHERE r = 1
+  SELECT source, CASE WHEN coin < (wanted - low) / (high - low) THEN high_least ELSE low_least END AS least FROM ends
 )
 SELECT s.doc_id, s.size, w.source_size, w.target, CAST(s.size * (w.whole + CASE WHEN s.draw < c.least THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sized s JOIN wanted w ON s.source IS NOT DISTINCT FROM w.source JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source
