@@ -1,0 +1,113 @@
+"""What keeps working as tables grow: the cache of embeddings, parts of transcripts, quarantine, samples, the usage stream."""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import accounting, conversations
+from tidemark.operators.sampling import weighted_sample
+from tidemark.plans.offline import OfflineTransport
+from tidemark.sources import embedding_cache as caches
+from tidemark.sources import providers
+from tidemark.sources.configuration import Settings
+from tidemark.sources.conversation_store import ConversationStore
+from tidemark.sources.vectors_csv import checked_embeddings
+from tidemark.streaming.usage import read_usage, stream_usage
+
+
+def test_no_text_is_asked_for_twice(spark, tmp_path):
+    cache = caches.EmbeddingCache(spark, str(tmp_path), "m", bits=1 << 10)
+    make = lambda log: providers.make_provider("embedding", "openai", Settings(openai_api_key="k"), log=log, transport=OfflineTransport())
+    first = spark.createDataFrame([(i, f"text {i % 130}") for i in range(400)] + [(900, None), (901, "")], "id bigint, text string")
+    vectors, uses = cache.embedded(first, make)
+    assert {r["id"]: r["embedding"] for r in vectors.collect()} == {r["id"]: [float(len(r["text"] or "")), float((r["text"] or "").count(" "))] for r in first.collect()}
+    assert accounting.usage_totals(uses).first()["calls"] == 2  # 131 different texts
+    more = first.unionByName(spark.createDataFrame([(i, f"new {i}") for i in range(1000, 1005)], "id bigint, text string"))
+    vectors, uses = cache.embedded(more, make)
+    assert vectors.count() == 407 and accounting.usage_totals(uses).first()["input_tokens"] == 5 * 5
+    assert cache.missing(more).count() == 0 and cache.held().count() == 136
+    cache.held().write.mode("append").parquet(cache.path)  # as another writer of the same texts would
+    assert cache.embedded(more, make)[0].count() == 407
+    assert cache.embedded(first.limit(0), make)[0].count() == 0
+
+
+def test_the_filter_never_rules_out_what_is_held(spark):
+    keys = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    for bits, most in ((1 << 16, 100), (1 << 8, 5000)):
+        words = caches.bloom_filter(keys, bits)
+        assert len(words.first()["words"]) == bits // 64
+        assert caches.may_hold(keys, words, bits).where("not maybe").count() == 0
+        others = spark.range(10_000, 15_000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+        assert caches.may_hold(others, words, bits).where("maybe").count() <= most
+
+
+def test_parts_of_a_conversation_of_a_million_messages(spark):
+    long = spark.range(1_000_000).select(F.col("id"), F.lit("long").alias("ref_id"), F.lit("user").alias("role"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("message"))
+    short = spark.createDataFrame([(2_000_000 + i, r, "user", m) for i, (r, m) in enumerate([("a", "x"), ("b", "y"), ("a", None), ("a", "z"), (None, "n")])], "id bigint, ref_id string, role string, message string")
+    parts = conversations.transcript_parts(long.repartition(13).unionByName(short), 1000).cache()
+    assert parts.where("ref_id = 'long'").count() == 1000
+    sizes = parts.where("ref_id = 'long'").select(F.size(F.split("transcript", "\n")).alias("n"), "part", "first_id").agg(F.min("n"), F.max("n"), F.count_if(F.col("first_id") != F.col("part") * 1000)).first()
+    assert tuple(sizes) == (1000, 1000, 0)
+    last = parts.where("ref_id = 'long' and part = 999").first()["transcript"].split("\n")
+    assert (last[0], last[-1]) == ("user: m999000", "user: m999999")
+    assert {(r["ref_id"], r["transcript"]) for r in parts.where("ref_id is null or ref_id <> 'long'").collect()} == {("a", "user: x\nuser: z"), ("b", "user: y"), (None, "user: n")}
+    parts.unpersist()
+
+
+def test_a_store_takes_tables(spark, tmp_path):
+    store = ConversationStore(spark, str(tmp_path))
+    new = spark.createDataFrame([("r", "c", "user", f"m{i}", i) for i in range(50)], "ref_id string, chat_id string, role string, message string, at int").repartition(5)
+    store.append_messages(new, "at")
+    store.append_messages(new.limit(0), "at")
+    store.append_messages(new, "at")
+    assert [(r["id"], r["message"]) for r in store.messages.orderBy("id").collect()] == [(i + 1, f"m{i % 50}") for i in range(100)]
+    for _ in range(2):
+        store.append_index(spark.createDataFrame([("r", 0), ("r", 60), ("s", 0)], "id string, epoch bigint"))
+    assert sorted(r["id"] for r in store.index.collect()) == ["r", "s"]
+
+
+def test_malformed_literals_are_set_aside(spark):
+    rows = [(1, "[1, 2.5]", "a"), (2, "[1, 2", "b"), (3, None, "c"), (4, "[]", "d"), (5, "nonsense", "e"), (6, "[1, null]", "f"), (7, '["x"]', "g"), (8, "", "h"), (9, "[-2e-3]", None)]
+    df = spark.createDataFrame(rows, "id bigint, v string, malformed string").withColumn("w", F.lit("[1]"))
+    good, bad, seen = checked_embeddings(df.withColumnRenamed("malformed", "note"), ["v", "w"])
+    assert {r["id"]: r["v"] for r in good.collect()} == {1: [1.0, 2.5], 3: None, 4: [], 9: [-0.002]}
+    assert {r["id"]: (r["v"], r["malformed"]) for r in bad.collect()} == {i: (v, ["v"]) for i, v, _ in rows if i in (2, 5, 6, 7, 8)}
+    assert seen == {"rows": 9, "malformed": 5, "malformed_v": 5, "malformed_w": 0}
+    assert good.columns == ["id", "v", "note", "w"]
+
+
+def test_a_weighted_sample(spark):
+    df = spark.range(4000).select("id", (F.col("id") % 2).alias("group"), F.when(F.col("id") % 4 < 2, 1).otherwise(3).alias("weight"), F.lit("x").alias("task"))
+    df = df.unionByName(spark.createDataFrame([(9000, 5, 0, ""), (9001, 5, None, ""), (9002, 5, -1, ""), (None, 5, 2, ""), (9003, None, 1, "")], "id bigint, group bigint, weight int, task string"))
+    got = weighted_sample(df.repartition(7), "group", "id", "weight", 400, 1).cache()
+    assert {r["group"]: r["count"] for r in got.groupBy("group").count().collect()} == {0: 400, 1: 400, None: 1}
+    assert got.columns == df.columns
+    heavy = got.where("weight = 3").count()
+    assert 520 < heavy < 680  # three in four, less what a pool of a thousand heavy rows a group runs dry
+    again = weighted_sample(df.repartition(3), "group", "id", "weight", 400, 1)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+    assert Counter(r["id"] for r in weighted_sample(df, "group", "id", "weight", 400, 2).collect()) != Counter(r["id"] for r in got.collect())
+    assert weighted_sample(df, "group", "id", "weight", 0).count() == 0 and weighted_sample(df.limit(0), "group", "id", "weight", 5).count() == 0
+    with pytest.raises(ValueError):
+        weighted_sample(df, "group", "id", "weight", -1)
+
+
+@pytest.mark.parametrize("cuts", [1, 2, 5])
+def test_usage_is_the_same_in_any_cut_of_batches(spark, tmp_path, cuts):
+    rows = [(i, 1_700_000_000 + i * 400, "openai", "gpt-4o" if i % 3 else "gpt-99-unreleased", 100 + i, i % 5, True, i % 7 != 0) for i in range(60)]
+    schema = "call_id bigint, second bigint, provider string, model string, input_tokens bigint, output_tokens bigint, billable boolean, counted boolean"
+    calls = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("second")).drop("second")
+    for at in range(cuts):  # each batch tells some of the calls before again
+        calls.where((F.col("call_id") % cuts == at) | ((F.col("call_id") % cuts < at) & (F.col("call_id") % 2 == 0))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream_usage(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = {(r["hour"], r["model"]): r for r in read_usage(spark, str(tmp_path / "out")).collect()}
+    want = accounting.with_record_cost(calls).groupBy(F.date_trunc("hour", "at").alias("hour"), "model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("tokens"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost")).collect()
+    assert len(got) == len(want)
+    for r in want:
+        mine = got[r["hour"], r["model"]]
+        assert (mine["calls"], mine["input_tokens"]) == (r["calls"], r["tokens"]) and math.isclose(mine["estimated_cost"], r["cost"], abs_tol=1e-9)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # List prices in USD for a million tokens, and their date.
@@ -74,6 +75,12 @@ def usage_by_model(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("model").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
 
 
+def models_by_provider(ledger: DataFrame) -> DataFrame:
+    """provider, place, model: the different models of each provider, numbered from 0 by name; NULL models are left out."""
+    place = F.row_number().over(W.partitionBy("provider").orderBy("model")) - 1
+    return ledger.where("model is not null").groupBy("provider", "model").count().select("provider", place.cast("bigint").alias("place"), "model")
+
+
 def usage_summary(ledger: DataFrame) -> DataFrame:
     """One row with a line for people: calls, tokens, money with what is unpriced, and what wasn't counted."""
     t = usage_totals(ledger)

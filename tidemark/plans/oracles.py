@@ -7,7 +7,7 @@ from tidemark.operators.accounting import PRICES
 from tidemark.operators.locality import BACKENDS, ELSEWHERE, FETCH, HOSTED, IN_PROCESS, LOCAL, ON_THIS_HOST, PULL
 from tidemark.operators.projects import MISMATCH, NOTICE
 from tidemark.plans.offline import PER_PROMPT, PER_REPLY, PER_TEXT
-from tidemark.plans.queries import CHAT_MODELS, CONTEXT_TEXTS, DEFAULTS, EMBEDDING_MODELS, INSTRUCTION, LIBRARY, URLS, vocabulary_path
+from tidemark.plans.queries import CHAT_MODELS, CONTEXT_TEXTS, DEFAULTS, EMBEDDING_MODELS, INSTRUCTION, LIBRARY, vocabulary_path
 from tidemark.sources.providers import BASE_URLS
 
 CORPUS = "c AS (SELECT e.vec_id AS id, d.text, d.source, CAST(e.embedding AS DOUBLE[]) AS v FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"
@@ -53,7 +53,9 @@ MERGED = f"WITH {HITS} SELECT project, id, score FROM hits WHERE score IS NOT NU
 TOP = f"WITH {CORPUS}, {SEED}, hits AS (SELECT id, text, {score('v', 'w')} AS score FROM c, q WHERE {score('v', 'w')} IS NOT NULL ORDER BY score DESC, id LIMIT %d)"
 CONTEXT = "(SELECT string_agg(text, chr(10) ORDER BY score DESC, id) || chr(10) FROM hits)"
 POINTS = "p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), fresh AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, id AS origin, v FROM p WHERE label = 3)"
-URL_TABLE = "u(url) AS (VALUES " + ", ".join(f"({text(x)})" for x in URLS) + ")"
+URL_TABLE = """u AS (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'http://localhost:11434' || regexp_replace(url, '^[a-z]*://[^/]*', '') WHEN page_id % 6 = 1 THEN '127.0.0.1:' || CAST(page_id AS VARCHAR)
+  WHEN page_id % 6 = 2 THEN 'http://[::1]/' || CAST(page_id AS VARCHAR) || '//' WHEN page_id % 6 = 3 THEN upper(url) WHEN page_id % 30 = 4 THEN '' ELSE url END AS url FROM pages)"""
+PROVIDER = case("conv_id % 4", ("openai", "ollama", "openai", "gemini"))
 
 
 def host(c: str) -> str:
@@ -136,10 +138,9 @@ def resolved(field: str) -> str:
 
 def audit() -> str:
     spec = "b(role, provider, local, served, default_model) AS (VALUES " + ", ".join(f"({text(r)}, {text(b[0])}, {b[3]}, {b[4]}, {text(b[5])})" for r, bs in BACKENDS.items() for b in bs) + ")"
-    urls = "urls(i, url) AS (VALUES " + ", ".join(f"({i}, {text(u)})" for i, u in enumerate(URLS[:6])) + ")"
+    named = f"{case('page_id % 5', ('openai', 'gemini', 'voyage', 'ollama', 'sentence-transformers'))} AS ep, {case('page_id % 4', ('openai', 'gemini', 'ollama', 'anthropic'))} AS gp"
     return f"""
-WITH {spec}, {urls}, pairs AS (SELECT e.provider || '+' || g.provider || '+' || CAST(i AS VARCHAR) AS config, e.provider AS ep, g.provider AS gp, i, coalesce(nullif(url, ''), '{DEFAULT_OLLAMA_URL}') AS url
-  FROM b e, b g, urls WHERE e.role = 'embedding' AND g.role = 'generation'),
+WITH {spec}, {URL_TABLE}, pairs AS (SELECT CAST(page_id AS VARCHAR) AS config, {named}, page_id % 7 AS i, coalesce(nullif(url, ''), '{DEFAULT_OLLAMA_URL}') AS url FROM u),
 roles AS (SELECT config, 'embedding' AS role, ep AS provider, CASE WHEN i = 1 THEN 'models/bge' END AS model, url FROM pairs
   UNION ALL SELECT config, 'generation', gp, CASE WHEN i = 2 THEN 'llama3' END, url FROM pairs),
 judged AS (SELECT r.*, b.local AND (NOT b.served OR {loopback("url")}) AS is_local,
@@ -158,12 +159,13 @@ def connected() -> str:
         return text("http://box:1/v1" if served else BASE_URLS.get(provider))
 
     rows = ", ".join(f"({text(role)}, {text(b[0])}, {url(b[0], b[4])}, {b[2] is None}, {text(b[5])})" for role, known in BACKENDS.items() for b in known)
-    return f"SELECT * FROM (VALUES {rows}) AS t(role, provider, base_url, keyless, model)"
+    return f"""WITH known(role, provider, base_url, keyless, model) AS (VALUES {rows}), used AS (SELECT {PROVIDER} AS provider, count(*) AS calls FROM conversations GROUP BY 1)
+SELECT known.*, CASE WHEN role = 'generation' THEN coalesce(calls, 0) END AS calls FROM known LEFT JOIN used USING (provider)"""
 
 
 def oracle_sql() -> dict[str, str]:
     encodings = "CASE " + " ".join(f"WHEN starts_with(model, {text(p)}) THEN {text(e)}" for p, e in sorted(ENCODINGS.items(), key=lambda x: -len(x[0]))) + " ELSE 'o200k_base' END"
-    asked = "asked(model) AS (VALUES " + ", ".join(f"({text(m)})" for m in (*CHAT_MODELS, *EMBEDDING_MODELS)) + ")"
+    asked = f"{PROJECTS}, asked AS (SELECT {case('conv_id % 4', CHAT_MODELS)} AS model FROM conversations UNION SELECT embedding_model FROM p)"
     norm = "round(sqrt(list_dot_product(v, v)), 6)"
     return {
         "cosine_topk": TOP % 10 + " SELECT id, text, score FROM hits",
@@ -186,7 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "embedding_cost": f"WITH {PRICE_TABLE}, t AS (SELECT CAST(sum({tokens('text')}) AS BIGINT) AS tokens FROM documents) SELECT model, tokens, round(tokens / 1000000.0::DOUBLE * input_price, 10) AS cost FROM t, prices WHERE output_price IS NULL",
         "prompt_cost": f"WITH {PRICE_TABLE}, t AS (SELECT conv_id, turn, {case('conv_id % 4', CHAT_MODELS)} AS model, {tokens('text')} AS tokens FROM conversations WHERE role = 'user') SELECT conv_id, turn, model, tokens, round(tokens / 1000000.0::DOUBLE * input_price, 10) AS cost FROM t LEFT JOIN prices USING (model)",
         "price_lookup": f"WITH {PRICE_TABLE}, {asked} SELECT model, input_price, output_price, {encodings} AS encoding FROM asked LEFT JOIN prices USING (model)",
-        "priced_models": f"WITH {PRICE_TABLE} SELECT model FROM prices",
+        "priced_models": f"WITH {PRICE_TABLE}, {asked} SELECT model FROM prices WHERE model IN (SELECT model FROM asked)",
         "exact_token_counts": exact("SELECT doc_id, tokens FROM counts"),
         "exact_corpus_tokens": exact("SELECT * FROM totals"),
         "exact_embedding_cost": exact(f", {PRICE_TABLE} SELECT model, tokens, round(tokens / 1000000.0::DOUBLE * input_price, 10) AS cost FROM totals, prices WHERE output_price IS NULL"),
@@ -219,17 +221,24 @@ def oracle_sql() -> dict[str, str]:
         "unique_ids": "SELECT doc_id, 32 AS digits, true AS hex FROM documents",
         "random_sample": "SELECT least(count(*), 50) AS n, least(count(DISTINCT doc_id), 50) AS different, least(count(*), 50) AS known FROM documents WHERE text IS NOT NULL",
         "reply_blocks": "SELECT conv_id, turn, coalesce(text, '') || '.' AS reply FROM conversations",
-        "model_list": "SELECT 0::BIGINT AS place, 'offline-a' AS model UNION ALL SELECT 1::BIGINT, 'offline-b'",
+        "model_list": f"WITH m AS (SELECT DISTINCT {PROVIDER} AS provider, {case('conv_id % 4', CHAT_MODELS)} AS model FROM conversations) SELECT provider, row_number() OVER (PARTITION BY provider ORDER BY model) - 1 AS place, model FROM m",
         "connections": connected(),
-        "text_load": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {text(u)})" for i, u in enumerate(URLS)) + ") AS t(position, text)",
+        "text_load": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, text FROM documents",
         "collection_store": f"""WITH {POINTS}, more AS (SELECT row_number() OVER (ORDER BY id) - 1 + (SELECT count(*) FROM p) AS id, v FROM p WHERE label = 4),
   held AS (SELECT id, v FROM fresh UNION ALL SELECT id, v FROM p WHERE id NOT IN (SELECT id FROM fresh) UNION ALL SELECT id, v FROM more)
   SELECT id, {norm} AS norm, (SELECT CAST(max(len(v)) AS BIGINT) FROM p) AS size, (SELECT count(*) FROM held) AS points, 'kept' AS collections FROM held""",
         "collection_indexed_search": f"WITH {POINTS}, {SEED} SELECT id, {score('v', 'w')} AS score, CAST(label AS VARCHAR) AS label FROM p, q WHERE {score('v', 'w')} IS NOT NULL ORDER BY score DESC, id LIMIT 10",
         "collection_named_search": f"""WITH {POINTS}, {SEED}, fused AS (SELECT id, round(0.75::DOUBLE * list_cosine_similarity(v, w) + 0.25::DOUBLE * list_cosine_similarity(list_reverse(v), w), 6) AS score FROM p, q)
   SELECT id, score FROM fused WHERE NOT isnan(score) ORDER BY score DESC, id LIMIT 10""",
-        "conversation_store": """SELECT id::BIGINT AS id, role, message, created_at, id = 1 AS is_setup FROM (VALUES (1, 'system', 'be brief', '1970-01-01 00:00:00'), (2, 'user', 'hello', '1970-01-01 00:00:00'), (3, 'assistant', '5 characters', '1970-01-01 00:00:00'),
-  (4, 'user', 'what is it?', '1970-01-01 00:01:00'), (5, 'assistant', '11 characters', '1970-01-01 00:01:00'), (6, 'user', 'and then?', '1970-01-01 00:00:00'), (7, 'assistant', length('user: hello') + length('assistant: 5 characters') + length('user: and then?') + 2 || ' characters', '1970-01-01 00:00:00')) AS t(id, role, message, created_at)""",
+        "conversation_store": f"WITH {MESSAGES} SELECT row_number() OVER (ORDER BY CAST(ref_id AS BIGINT) % 2, id) AS id, ref_id, role, message, strftime(make_timestamp(CAST(ref_id AS BIGINT) * 60000000), '%Y-%m-%d %H:%M:%S') AS created_at, chat_id = 'system-init' AS is_setup FROM m",
+        "conversation_parts": f"WITH {MESSAGES}, r AS (SELECT *, (row_number() OVER (PARTITION BY ref_id ORDER BY id) - 1) // 3 AS part FROM m) SELECT ref_id, CAST(part AS BIGINT) AS part, min(id) AS first_id, string_agg(role || ': ' || message, chr(10) ORDER BY id) AS transcript FROM r GROUP BY ref_id, part",
+        "literal_quarantine": """WITH r AS (SELECT vec_id, len(embedding) AS width, vec_id % 7 = 0 AS cut, vec_id % 11 = 0 AS led, vec_id % 13 = 0 AS holed, vec_id % 17 = 0 AS none FROM embeddings)
+  SELECT vec_id, NOT (cut OR led OR holed) AS good, CASE WHEN NOT (cut OR led OR holed OR none) THEN CAST(width AS BIGINT) ELSE NULL END AS width, CASE WHEN cut THEN '[' WHEN led THEN 'x' WHEN holed THEN '[' END AS begins, (SELECT count(*) FROM r WHERE cut OR led OR holed) AS malformed FROM r""",
+        "weighted_sample": "WITH r AS (SELECT source, doc_id, -ln((CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':7'), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / length(text)::DOUBLE AS p FROM documents WHERE length(text) > 0), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p) AS r FROM r) SELECT source, doc_id FROM k WHERE r <= 20",
+        "embedding_cache": "SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS characters, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS DOUBLE) AS blanks FROM documents",
+        "embedding_cache_usage": f"WITH n AS (SELECT count(DISTINCT coalesce(text, '')) AS n FROM documents) SELECT 1 AS run, CAST(ceil(n / 100.0) AS BIGINT) AS calls, CAST({PER_TEXT} * n AS BIGINT) AS input_tokens FROM n UNION ALL SELECT 2, 0::BIGINT, 0::BIGINT",
+        "usage_stream": f"""WITH {PRICE_TABLE}, {LEDGER.replace("AS counted FROM", "AS counted, conv_id, turn FROM")} SELECT strftime(make_timestamp(CAST((conv_id * 60 + turn + 1700000000) // 3600 * 3600000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS hour, model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(coalesce(sum(cost), 0), 8) AS estimated_cost, count(*) FILTER (billable AND cost IS NULL) AS unpriced_calls, count(*) FILTER (NOT counted) AS uncounted_calls FROM costs GROUP BY 1, 2""",
         "conversation_ids": "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id FROM conversations",
         "provider_embeddings": "SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS characters, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS DOUBLE) AS blanks FROM documents",
         "provider_usage": f"WITH {PRICE_TABLE}, n AS (SELECT count(*) AS n FROM documents) SELECT CAST(ceil(n / 100.0) AS BIGINT) AS calls, CAST({PER_TEXT} * n AS BIGINT) AS input_tokens, 0::BIGINT AS output_tokens, CAST({PER_TEXT} * n AS BIGINT) AS total_tokens, round({PER_TEXT} * n / 1000000.0::DOUBLE * input_price, 8) AS estimated_cost, 0::BIGINT AS unpriced_calls, 0::BIGINT AS uncounted_calls FROM n, prices WHERE model = 'text-embedding-3-small'",
@@ -241,6 +250,6 @@ def oracle_sql() -> dict[str, str]:
         "registry_find": f"WITH {PROJECTS} SELECT id, slug, embedding_model FROM p WHERE id = 'src3' OR slug = 'src3' ORDER BY position LIMIT 1",
         "registry_unregister": f"WITH {PROJECTS} SELECT id, slug FROM p WHERE NOT (id = 'src3' OR slug = 'src3')",
         "locality_audit": audit(),
-        "loopback_hosts": f"WITH {URL_TABLE} SELECT url, {loopback('url')} AS is_loopback FROM u",
-        "base_url": f"WITH {URL_TABLE} SELECT url, regexp_replace(coalesce(nullif(url, ''), '{DEFAULT_OLLAMA_URL}'), '/+$', '') || '/v1' AS base_url FROM u",
+        "loopback_hosts": f"WITH {URL_TABLE} SELECT page_id, {loopback('url')} AS is_loopback FROM u",
+        "base_url": f"WITH {URL_TABLE} SELECT page_id, regexp_replace(coalesce(nullif(url, ''), '{DEFAULT_OLLAMA_URL}'), '/+$', '') || '/v1' AS base_url FROM u",
     }

@@ -16,14 +16,16 @@ from tidemark.operators import locality as L
 from tidemark.operators import projects as P
 from tidemark.operators import search as S
 from tidemark.operators import tokens as K
-from tidemark.operators.chat import Chat
 from tidemark.operators.positions import with_position
+from tidemark.operators.sampling import weighted_sample as weighted
 from tidemark.plans.offline import OfflineTransport
 from tidemark.sources import providers as V
 from tidemark.sources.collections import VectorStore, append_points, positional_points, upsert_points
 from tidemark.sources.configuration import Settings
 from tidemark.sources.conversation_store import ConversationStore
-from tidemark.sources.vectors_csv import embedding_frame, load_text, read_embeddings_csv
+from tidemark.sources.embedding_cache import EmbeddingCache
+from tidemark.sources.vectors_csv import checked_embeddings, embedding_frame, numbered_texts, read_embeddings_csv
+from tidemark.streaming.usage import read_usage, stream_usage
 from tidemark.tables import materialise, new_path
 from tidemark.tables import table as read_table
 
@@ -35,7 +37,6 @@ CONTEXT_TEXTS = 20
 INSTRUCTION = "Summarise the following passages"
 DEFAULTS = {"embedding_model": "text-embedding-3-large", "generation_model": "", "storage_backend": "parquet"}
 LIBRARY = {"embedding_model": "text-embedding-3-small", "generation_model": "", "storage_backend": "sqlite"}
-URLS = ("http://localhost:11434", "127.0.0.1:11434", "http://[::1]:11434/", "http://0.0.0.0", "", "http://gpu-box:11434", "https://api.example.com/v1", "10.0.0.5:11434", "http://LOCALHOST/v1")
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -58,8 +59,8 @@ def picked(values: tuple, index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
-def ledger(spark: SparkSession, d: str) -> DataFrame:
-    """A usage ledger from the log: a call a message, its provider and model by the conversation."""
+def ledger(spark: SparkSession, d: str, *more: Column) -> DataFrame:
+    """A usage ledger from the log: a call a message, its provider and model by the conversation, and `more` columns of the log."""
     c = read(spark, d, "conversations")
     n = T.approximate_tokens(F.col("text"))
     return c.select(
@@ -69,6 +70,7 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("role") == "assistant", n).otherwise(F.lit(0)).cast("bigint").alias("output_tokens"),
         (F.col("conv_id") % 4 != 1).alias("billable"),
         (F.col("conv_id") % 7 != 0).alias("counted"),
+        *more,
     )
 
 
@@ -188,13 +190,18 @@ def prompt_cost(spark: SparkSession, d: str) -> DataFrame:
     return A.with_prices(c).select("conv_id", "turn", "model", "tokens", F.round(A.cost(F.col("tokens"), F.col("input_price")), 10).alias("cost"))
 
 
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    """The models that the log's calls and the projects use."""
+    return ledger(spark, d).select("model").union(projects(spark, d).select("embedding_model")).distinct()
+
+
 def price_lookup(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(m,) for m in (*CHAT_MODELS, *EMBEDDING_MODELS)], "model string")
-    return A.with_prices(asked).select("model", "input_price", "output_price", T.encoding_for_model(F.col("model")).alias("encoding"))
+    return A.with_prices(_models(spark, d)).select("model", "input_price", "output_price", T.encoding_for_model(F.col("model")).alias("encoding"))
 
 
 def priced_models(spark: SparkSession, d: str) -> DataFrame:
-    return A.priced_models(spark)
+    """The priced ones of the models in use, by name."""
+    return A.priced_models(spark).join(_models(spark, d), "model", "left_semi").orderBy("model")
 
 
 def vocabulary_path() -> str:
@@ -373,21 +380,38 @@ def registry_unregister(spark: SparkSession, d: str) -> DataFrame:
     return P.unregister(projects(spark, d), "src3").select("id", "slug")
 
 
+def urls(spark: SparkSession, d: str) -> DataFrame:
+    """page_id and url: the addresses of the pages, some of them moved to this host or bare of a scheme."""
+    path = F.regexp_replace("url", "^[a-z]*://[^/]*", "")
+    return read(spark, d, "pages").select(
+        "page_id",
+        F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("http://localhost:11434"), path))
+        .when(F.col("page_id") % 6 == 1, F.concat(F.lit("127.0.0.1:"), F.col("page_id").cast("string")))
+        .when(F.col("page_id") % 6 == 2, F.concat(F.lit("http://[::1]/"), F.col("page_id").cast("string"), F.lit("//")))
+        .when(F.col("page_id") % 6 == 3, F.upper("url"))
+        .when(F.col("page_id") % 30 == 4, F.lit(""))
+        .otherwise(F.col("url"))
+        .alias("url"),
+    )
+
+
 def locality_audit(spark: SparkSession, d: str) -> DataFrame:
-    rows = []
-    for e in ("openai", "gemini", "voyage", "ollama", "sentence-transformers"):
-        for g in ("openai", "gemini", "ollama", "anthropic"):
-            for i, url in enumerate(URLS[:6]):
-                rows += [(f"{e}+{g}+{i}", "embedding", e, "models/bge" if i == 1 else None, url), (f"{e}+{g}+{i}", "generation", g, "llama3" if i == 2 else None, url)]
-    return L.audit(spark.createDataFrame(rows, "config string, role string, provider string, model string, base_url string"))
+    """A configuration a page: its providers by the page's number, its server at the page's address."""
+    u, i = urls(spark, d), F.col("page_id")
+    roles = (
+        ("embedding", picked(("openai", "gemini", "voyage", "ollama", "sentence-transformers"), i % 5), F.when(i % 7 == 1, "models/bge")),
+        ("generation", picked(("openai", "gemini", "ollama", "anthropic"), i % 4), F.when(i % 7 == 2, "llama3")),
+    )
+    rows = [u.select(i.cast("string").alias("config"), F.lit(role).alias("role"), provider.alias("provider"), model.alias("model"), F.col("url").alias("base_url")) for role, provider, model in roles]
+    return L.audit(rows[0].unionByName(rows[1]))
 
 
 def loopback_hosts(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(u,) for u in URLS], "url string").select("url", T.is_loopback(F.col("url")).alias("is_loopback"))
+    return urls(spark, d).select("page_id", T.is_loopback(F.col("url")).alias("is_loopback"))
 
 
 def base_url(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(u,) for u in URLS], "url string").select("url", T.compatible_base_url(F.col("url")).alias("base_url"))
+    return urls(spark, d).select("page_id", T.compatible_base_url(F.col("url")).alias("base_url"))
 
 
 def _embedded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -439,20 +463,22 @@ def reply_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_list(spark: SparkSession, d: str) -> DataFrame:
-    """The models that a backend offers."""
-    offered = V.make_provider("generation", "ollama", Settings(), "any", transport=OfflineTransport()).list_models()
-    return spark.createDataFrame(list(enumerate(offered)), "place bigint, model string")
+    """The models that each provider of the log has answered with, in the order of their names."""
+    return A.models_by_provider(ledger(spark, d))
 
 
 def connections(spark: SparkSession, d: str) -> DataFrame:
-    """Where each backend is reached, and its model where none is asked for."""
+    """Where each backend is reached, its model where none is asked for, and how many calls of the log went there."""
     every = Settings(openai_api_key="k", gemini_api_key="k", voyage_api_key="k", anthropic_api_key="k", ollama_base_url="http://box:1/")
     rows = [(role, b[0], V.connection(role, b[0], every)[0], V.connection(role, b[0], every)[1] == V.KEYLESS, b[5]) for role, known in L.BACKENDS.items() for b in known]
-    return spark.createDataFrame(rows, "role string, provider string, base_url string, keyless boolean, model string")
+    calls = ledger(spark, d).groupBy("provider").agg(F.count("*").alias("calls"))
+    known = spark.createDataFrame(rows, "role string, provider string, base_url string, keyless boolean, model string")
+    return known.join(calls, "provider", "left").withColumn("calls", F.when(F.col("role") == "generation", F.coalesce("calls", F.lit(0))))
 
 
 def text_load(spark: SparkSession, d: str) -> DataFrame:
-    return load_text(spark, list(URLS))
+    """All texts, numbered as an embedding run would number them."""
+    return numbered_texts(read(spark, d, "documents"), "text", "doc_id")
 
 
 def _named_points(spark: SparkSession, d: str) -> DataFrame:
@@ -498,15 +524,69 @@ def collection_named_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conversation_store(spark: SparkSession, d: str) -> DataFrame:
-    """A log made, two conversations written by a chat, one of them resumed, and read."""
-    store = ConversationStore(spark, new_path(spark, "log"))
-    provider = V.make_provider("generation", "ollama", Settings(), "llama3", transport=OfflineTransport())
-    first = Chat(provider, store, lambda: 0)
-    first.with_system_role([{"role": "system", "content": "be brief"}, {"role": "user", "content": "hello"}])
-    Chat(provider, store, lambda: 60).complete("what is it?")
-    Chat(provider, store, lambda: 90).complete("and then?", store.load(first.ref_id))
+    """The log written to a store in two goes, its index too, one conversation told twice, and read."""
+    store, c = ConversationStore(spark, new_path(spark, "log")), messages(spark, d).withColumn("conv", F.col("ref_id").cast("bigint"))
+    for odd in (0, 1):
+        part = c.where(F.col("conv") % 2 == odd).select("ref_id", "chat_id", "role", "message", F.col("id").alias("at"))
+        store.append_messages(part, "at")
+        store.append_index(c.where((F.col("conv") % 2 == odd) | (F.col("conv") == 0)).select(F.col("ref_id").alias("id"), (F.col("conv") * 60).alias("epoch")))
     of_chat = store.messages.join(store.index.select(F.col("id").alias("ref_id"), "created_at"), "ref_id")
-    return of_chat.select("id", "role", "message", "created_at", (F.col("chat_id") == C.SYSTEM_ROW).alias("is_setup"))
+    return of_chat.select("id", "ref_id", "role", "message", "created_at", (F.col("chat_id") == C.SYSTEM_ROW).alias("is_setup"))
+
+
+def conversation_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts in parts of three messages."""
+    return C.transcript_parts(messages(spark, d), 3)
+
+
+def literal_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors as list literals, some of them spoilt: what parses, and what is set aside as it came."""
+    i, said = F.col("vec_id"), F.to_json(as_doubles(F.col("embedding")))
+    spoilt = F.when(i % 7 == 0, F.expr("substring(said, 1, char_length(said) - 1)")).when(i % 11 == 0, F.concat(F.lit("x"), F.col("said"))).when(i % 13 == 0, F.lit("[1.0, null]")).when(i % 17 == 0, F.lit(None)).otherwise(F.col("said"))
+    rows = read(spark, d, "embeddings").select("vec_id", said.alias("said")).select("vec_id", spoilt.alias("literal"))
+    good, bad, seen = checked_embeddings(rows, ["literal"])
+    told = good.select("vec_id", F.lit(True).alias("good"), F.size("literal").cast("bigint").alias("width"), F.lit(None).cast("string").alias("begins"))
+    told = told.unionByName(bad.select("vec_id", F.lit(False).alias("good"), F.lit(None).cast("bigint").alias("width"), F.substring("literal", 1, 1).alias("begins")))
+    return told.withColumn("malformed", F.lit(seen["malformed"]).cast("bigint"))
+
+
+def weighted_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty texts a source, drawn by their length."""
+    docs = read(spark, d, "documents").where("text is not null")
+    return weighted(docs, "source", "doc_id", F.char_length("text"), 20, seed=7).select("source", "doc_id")
+
+
+def _cached(spark: SparkSession, d: str, goes: int) -> tuple[DataFrame, list[DataFrame]]:
+    cache = EmbeddingCache(spark, new_path(spark, "cache"), "small")
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    make = lambda log: V.make_provider("embedding", "openai", Settings(openai_api_key="offline"), log=log, transport=OfflineTransport())
+    runs = [cache.embedded(texts, make) for _ in range(goes)]
+    return runs[-1][0], [uses for _, uses in runs]
+
+
+def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
+    """All documents embedded through a cache: their vectors as a second run finds them."""
+    return _cached(spark, d, 2)[0].select(F.col("id").alias("doc_id"), F.col("embedding")[0].alias("characters"), F.col("embedding")[1].alias("blanks"))
+
+
+def embedding_cache_usage(spark: SparkSession, d: str) -> DataFrame:
+    """What the first run and the second cost: a text is asked for once."""
+    first, second = (A.usage_totals(uses).withColumn("run", F.lit(i)) for i, uses in enumerate(_cached(spark, d, 2)[1], 1))
+    return first.unionByName(second).select("run", "calls", "input_tokens")
+
+
+def usage_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger replayed as a stream, every call told twice over, summed by hour and model."""
+    calls = new_path(spark, "calls")
+    when = F.col("conv_id") * 60 + F.col("turn") + 1_700_000_000
+    said = ledger(spark, d, (F.col("conv_id") * 1000 + F.col("turn")).alias("call_id"), F.timestamp_seconds(when).alias("at"))
+    for at in range(3):  # three files of a stream, each with a third of the calls and half of those before
+        said.where((F.col("call_id") % 3 == at) | ((F.col("call_id") % 3 < at) & (F.col("call_id") % 2 == 0))).coalesce(1).write.mode("append").parquet(calls)
+    stream = spark.readStream.schema(said.schema).option("maxFilesPerTrigger", 1).parquet(calls)
+    path = new_path(spark, "usage")
+    stream_usage(stream, path, new_path(spark, "usage_checkpoint"), "3650 days").awaitTermination()
+    totals = read_usage(spark, path)
+    return totals.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "model", "calls", "input_tokens", "output_tokens", F.round("estimated_cost", 8).alias("estimated_cost"), "unpriced_calls", "uncounted_calls")
 
 
 def conversation_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -536,7 +616,7 @@ def queries() -> dict[str, Query]:
         token_counts, corpus_tokens, embedding_cost, exact_token_counts, exact_corpus_tokens, exact_embedding_cost, prompt_cost, price_lookup, priced_models, embed_batches, usage_totals, usage_by_model, usage_record_costs, usage_unpriced, usage_uncounted, usage_summary,
         conversation_messages, conversation_index, conversation_resume, conversation_append, conversation_orphans, distinct_refs, context_concat, retrieved_context, prompt_assembly, nonnull_text,
         settings_resolution, model_majority, project_exclusions, selection_notice, registry_register, registry_find, registry_unregister, locality_audit, loopback_hosts, base_url, unique_ids, random_sample, cross_project_query,
-        payload_join, reply_blocks, model_list, connections, text_load, collection_store, conversation_store, conversation_ids,
+        payload_join, reply_blocks, model_list, connections, text_load, collection_store, conversation_store, conversation_ids, conversation_parts, literal_quarantine, weighted_sample, embedding_cache, embedding_cache_usage, usage_stream,
         provider_embeddings, provider_usage, provider_replies, provider_replies_usage, completion_fields,
     )
     named = {"embedding_frame": embedding_frame_query, "slugify": slugs, "cross_project_merge": cross_project(None), "cross_project_limit": cross_project(25)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import unique_id
 from tidemark.operators import conversations as C
+from tidemark.operators.positions import with_position
 
 
 class ConversationStore:
@@ -50,6 +51,16 @@ class ConversationStore:
         new = [(last + 1 + i, ref_id, *row) for i, row in enumerate(rows)]
         self.spark.createDataFrame(new, C.MESSAGES).coalesce(1).write.mode("append").parquet(f"{self.root}/messages")
 
+    def append_index(self, new: DataFrame) -> None:
+        """Adds the conversations of a table (id, epoch) that the index doesn't hold yet."""
+        C.append_index(self.index, new).join(self.ids(), "id", "left_anti").write.mode("append").parquet(f"{self.root}/index")
+
+    def append_messages(self, new: DataFrame, *order: str) -> None:
+        """Adds a table of messages (ref_id, chat_id, role, message), numbered on from the log's last id in the given order."""
+        last = self.messages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        numbered = with_position(new, *order, name="id", start=last + 1)
+        numbered.select("id", "ref_id", "chat_id", "role", "message").write.mode("append").parquet(f"{self.root}/messages")
+
     def load(self, ref_id: str) -> dict:
         """{ref_id, messages: [{role, content}]}, to resume a conversation with."""
         row = C.load_messages(self.messages, ref_id).first()
