@@ -50,7 +50,26 @@ def test_short_candidates_are_never_shipped(spark, monkeypatch, tmp_path):
     rows = [(i, [abs(rnd.gauss(0, 1)) * (30 if i < 60 else 0.5) for _ in range(4)]) for i in range(400)]
     df = spark.createDataFrame([(v, e, 0, "x") for v, e in rows], VECTORS)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df).collect()) == brute(rows)
-    assert topk._least_length(np.array([2.0, 4.0]), np.array([10, 40])) == pytest.approx(5) and topk._least_length(np.array([2.0]), np.array([-1])) == -np.inf
+    held = [{"low": [1.0], "high": [2.0], "rest": 1.0, "most": 2.3}, {"low": [-2.0], "high": [-1.0], "rest": 0.0, "most": 2.0}]
+    assert topk._reach(np.array([[3.0, 0.5], [-1.0, 0.0]]), np.array([6, 2]), held, 1).tolist() == [[True, False], [False, True]]
+
+
+def test_blocks_that_cannot_hold_a_score_are_not_met(spark, monkeypatch):
+    for name, value in {"CANDIDATES": 64, "QUERIES": 16, "HEAD": 1000, "LEAST_BLOCK": 16}.items():
+        monkeypatch.setattr(topk, name, value)
+    met, plain = spark.sparkContext.accumulator(0), topk._meet
+
+    def counting(asked, *rest):
+        met.add(len(asked[0]))
+        return plain(asked, *rest)
+
+    monkeypatch.setattr(topk, "_meet", counting)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(25, 24))[rng.integers(0, 25, 2000)] + rng.normal(size=(2000, 24)) * 0.05
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]  # all of one length
+    df = spark.createDataFrame([(i, v, 0, "") for i, v in rows], VECTORS)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df).collect()) == brute(rows)
+    assert 100 <= met.value < 100 * (2000 // 64) / 3  # of queries and blocks, under a third meet
 
 
 def test_top_k_empty_and_huge(spark):

@@ -1,15 +1,18 @@
 """Exact top-k search by integer inner products, with norm-sorted blocks and pruning by Cauchy-Schwarz bounds.
 
-Candidates are range-partitioned by descending length, so a partition is a block of vectors of like length, longest
-first. Queries travel in blocks too, each with a lower bound of its k-th score from the longest vectors of all, and go to
-no block whose longest vector is shorter than bound over length for all of them: that is known before anything is
-shuffled. A task meets one block of queries with one block of candidates: it stops where |q| |c| falls below every
-query's bound, computes the leading coordinates after a rotation by the singular vectors of a sample, and only where the
-partial sum plus the product of the residual lengths reaches the bound is the exact integer product taken.
+Candidates are put in order by bands of length, the longest first, within a band by the nearest centroid of their leading
+coordinates after a rotation by the singular vectors of a sample, and cut into blocks. A block knows its longest vector, the
+box of its leading coordinates and the longest rest. What a query can score in a block is at most its best corner of the
+box plus the product of the lengths of the rests, and at most the product of the lengths. Queries travel in blocks with a
+lower bound of each one's k-th score from the longest vectors of all; they first meet a directory of what blocks know, a
+row for each DIRECTORY blocks, and then go only to the blocks that they can find something in. A task meets queries with
+one block of candidates: it stops where |q| |c| falls below every query's bound, computes the leading coordinates, and
+only where the partial sum plus the product of the residual lengths reaches the bound is the exact integer product taken.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +23,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import materialise
-from tidemark.llm.vectors import packed, unpacked, usable
+from tidemark.llm.vectors import k_means, packed, unpacked, usable
 
 SCALE, EVERY, K = 64, 20, 20
 #: Vectors in a block of candidates and of queries, and candidates that are bounded at once within a block.
 CANDIDATES, QUERIES, STEP = 4096, 1024, 512
-#: Longest vectors that give the first bounds, and sampled vectors that give the rotation: what is sent to all tasks.
+#: Longest vectors that give the first bounds, and sampled vectors that give rotation and centroids: what is sent to all tasks.
 HEAD, SAMPLE, LEADING = 2048, 2048, 16
+#: Centroids at most, the factor between the lengths of a band, and vectors from which on a block ends with its centroid's.
+CENTROIDS, BAND, LEAST_BLOCK = 256, 1.1, 256
+#: Blocks in one row of the directory.
+DIRECTORY = 1024
 EXACT = float(1 << 53)
 
 
@@ -67,71 +74,125 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
     )
     rows = rows.select("vec_id", "q", "row", F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm"))
     rows = materialise(rows, "topk_vectors")
-    queries = rows.where(F.col("vec_id") % every == 0)
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("width"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("asked")).first()
-    width = facts["width"] or 1
-    head = rows.orderBy(F.desc("norm"), "vec_id", "row").limit(max(HEAD, k + 1)).select("row", "q").collect()
-    sample = _matrix([r["q"] for r in rows.orderBy(F.xxhash64("row")).limit(SAMPLE).select("q").collect()], width).astype(float)
-    rotation = np.linalg.svd(sample, full_matrices=True)[2].T if len(sample) else np.eye(width)
-    head_rows, head_q = np.array([r["row"] for r in head], np.int64), _small(_matrix([r["q"] for r in head], width))
-    parts, asked_parts = max(1, -(-facts["n"] // CANDIDATES)), max(1, -(-facts["asked"] // QUERIES))
-
-    def matrix_of(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids, rows and vectors of a partition, longest first; None where it has none."""
-        ids, row, q = [], [], []
+    n, width, asked_rows, longest = rows.agg(F.count("*"), F.max(F.size("q")), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max("norm")).first()
+    width = width or 1
+    sample = _matrix([r["q"] for r in rows.where(F.pmod(F.xxhash64("row"), F.lit(max(n, SAMPLE))) < SAMPLE).select("q").collect()], width).astype(float)  # some SAMPLE rows
+    rotation = np.linalg.svd(sample.T @ sample)[2].T if len(sample) else np.eye(width)  # the sample's right singular vectors
+    lead = min(LEADING, width)
+    centroids = k_means(sample @ rotation[:, :lead], min(CENTROIDS, max(1, n // CANDIDATES))) if len(sample) else np.zeros((1, lead))
+    head_rows, head_q = _head(rows, n, max(HEAD, k + 1), width)
+    parts, asked_parts = max(1, -(-n // CANDIDATES)), max(1, -(-asked_rows // QUERIES))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The band of a vector's length and its centroid."""
         for b in batches:
-            ids += b.column("vec_id").to_pylist()
-            row += b.column("row").to_pylist()
-            q += b.column("q").to_pylist()
-        if not ids:
-            return None
+            x = _matrix(b.column("q").to_pylist(), width).astype(float) @ rotation[:, :lead]
+            near = np.concatenate([((x[at : at + 1024, None, :] - centroids) ** 2).sum(2).argmin(1) for at in range(0, len(x), 1024)]) if len(x) else np.empty(0)
+            with np.errstate(divide="ignore"):
+                band = np.minimum(np.log(longest / b.column("norm").to_numpy()) / math.log(BAND), 1e6)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(band.astype(np.int32)), pa.array(near.astype(np.int32))], names=[*b.schema.names, "band", "near"])
+
+    def arrays_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, rows and vectors, longest first."""
+        ids, row, q = zip(*rows, strict=True)
         order = np.lexsort((row, ids, -np.array([sum(float(x) * x for x in v) for v in q])))
-        return np.array(ids, np.int64)[order], np.array(row, np.int64)[order], _small(_matrix(q, width)[order])
+        return np.array(ids, np.int64)[order], np.array(row, np.int64)[order], _small(_matrix(list(q), width)[order])
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if found := matrix_of(batches):
-            most = float(np.linalg.norm(found[2][0].astype(float)))
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([most]), pa.array([packed(*found)], pa.binary())], names=["part", "most", "block"])
+        made, key, waiting = 0, None, []
 
-    blocks = materialise(rows.repartitionByRange(parts, F.desc("norm"), "vec_id", "row").mapInArrow(hold, "part int, most double, block binary"), "topk_blocks")
-    longest = {r["part"]: r["most"] for r in blocks.select("part", "most").collect()}  # two numbers for each CANDIDATES rows
+        def out() -> pa.RecordBatch:
+            found = arrays_of(waiting)
+            turned = found[2].astype(float) @ rotation
+            told = [float(np.linalg.norm(turned, axis=1).max()), turned[:, :lead].min(0).tolist(), turned[:, :lead].max(0).tolist(), float(np.linalg.norm(turned[:, lead:], axis=1).max())]
+            kinds = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.binary())
+            values = [(TaskContext.get().partitionId() << 32) + made, *told, packed(*found)]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["part", "most", "low", "high", "rest", "block"])
+
+        for b in batches:
+            for i, r, q, *new in zip(*(b.column(c).to_pylist() for c in ("vec_id", "row", "q", "band", "near")), strict=True):
+                if waiting and (len(waiting) == CANDIDATES or (new != key and len(waiting) >= LEAST_BLOCK)):
+                    yield out()
+                    made, waiting = made + 1, []
+                key = new
+                waiting.append((i, r, q))
+        if waiting:
+            yield out()
+
+    kinds = "vec_id bigint, q array<bigint>, row bigint, norm double, band int, near int"
+    order = (F.col("band"), F.col("near"), F.desc("norm"), F.col("vec_id"), F.col("row"))
+    blocks = materialise(rows.mapInArrow(place, kinds).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(hold, "part bigint, most double, low array<double>, high array<double>, rest double, block binary"), "topk_blocks")
+    groups = max(1, -(-blocks.count() // DIRECTORY))
+    directory = blocks.groupBy(F.pmod(F.xxhash64("part"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("part", "most", "low", "high", "rest")).alias("held"))  # some DIRECTORY blocks
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The block of queries once for each block of candidates that can reach one of their bounds."""
-        if not (found := matrix_of(batches)):
-            return
-        ids, row, matrix = found
-        bound = np.full(len(ids), np.iinfo(np.int64).min)
-        for at in range(0, len(ids), 256):
-            scores = _products(matrix[at : at + 256].astype(np.int64), head_q.astype(np.int64))
-            others = head_rows[None, :] != row[at : at + 256, None]
-            for i in range(len(scores)):
-                own = scores[i][others[i]]
-                if len(own) >= k:
-                    bound[at + i] = np.partition(own, len(own) - k)[len(own) - k]
-        least = _least_length(np.linalg.norm(matrix.astype(float), axis=1), bound)
-        blob = packed(ids, row, matrix, bound)
-        for part, most in longest.items():
-            if most >= least:
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "asked"])
+        """Queries in blocks, each with its bound."""
+        waiting: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            ids, row, matrix = arrays_of(waiting)
+            bound = np.full(len(ids), np.iinfo(np.int64).min)
+            for at in range(0, len(ids), 256):
+                scores = _products(matrix[at : at + 256].astype(np.int64), head_q.astype(np.int64))
+                others = head_rows[None, :] != row[at : at + 256, None]
+                for i in range(len(scores)):
+                    own = scores[i][others[i]]
+                    if len(own) >= k:
+                        bound[at + i] = np.partition(own, len(own) - k)[len(own) - k]
+            return pa.RecordBatch.from_arrays([pa.array([packed(ids, row, matrix, bound)], pa.binary())], names=["asking"])
+
+        for b in batches:
+            for q in zip(*(b.column(c).to_pylist() for c in ("vec_id", "row", "q")), strict=True):
+                waiting.append(q)
+                if len(waiting) == QUERIES:
+                    yield out()
+                    waiting.clear()
+        if waiting:
+            yield out()
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block of the directory, those of some queries that can find something in it."""
+        for b in batches:
+            for asking, held in zip(b.column("asking").to_pylist(), b.column("held").to_pylist(), strict=True):
+                ids, row, matrix, bound = unpacked(asking)
+                can = _reach(matrix.astype(float) @ rotation, bound, held, lead)
+                for j in np.flatnonzero(can.any(0)).tolist():
+                    who = np.flatnonzero(can[:, j])
+                    yield pa.RecordBatch.from_arrays([pa.array([held[j]["part"]], pa.int64()), pa.array([packed(ids[who], row[who], matrix[who], bound[who])], pa.binary())], names=["part", "asked"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for asked, held in zip(b.column("asked").to_pylist(), b.column("block").to_pylist(), strict=True):
                 yield _meet(unpacked(asked), unpacked(held), rotation, k)
 
-    asked = queries.repartitionByRange(asked_parts, F.desc("norm"), "vec_id", "row").mapInArrow(ask, "part int, asked binary")
+    queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(place, kinds).repartitionByRange(asked_parts, *order).sortWithinPartitions(*order)
+    asking = queries.mapInArrow(ask, "asking binary").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = asking.withColumn("group", F.col("group").cast("bigint")).join(directory, "group").select("asking", "held").mapInArrow(reach, "part bigint, asked binary")
     found = asked.join(blocks.select("part", "block"), "part").select("asked", "block").mapInArrow(meet, "query_id bigint, query_row bigint, vec_id bigint, row bigint, score bigint")
     best = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _least_length(lengths: np.ndarray, bound: np.ndarray) -> float:
-    """The length that a candidate must have to reach the bound of any of some queries; slack covers rounding."""
-    known = (bound > 0) & (lengths > 0)
-    if not known.all():
-        return -np.inf
-    return float(((bound * (1 - 1e-9) - 1e-6) / lengths).min(initial=np.inf)) * (1 - 1e-9)
+def _head(rows: DataFrame, n: int, most: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and vectors of some `most` of the longest rows; of many rows of one length, some by hash."""
+    if n > most:
+        least = rows.agg(F.percentile_approx("norm", 1 - most / n, 10_000)).first()[0]
+        long = rows.where(F.col("norm") >= least)
+        among = max(long.count(), most)
+        rows = long.where(F.pmod(F.xxhash64("row"), F.lit(among)) < most)
+    head = rows.select("row", "q").collect()
+    return np.array([r["row"] for r in head], np.int64), _small(_matrix([r["q"] for r in head], width))
+
+
+def _reach(turned: np.ndarray, bound: np.ndarray, held: list, lead: int) -> np.ndarray:
+    """Which queries, after the rotation, can score their bound in which of the blocks; slack covers rounding."""
+    low, high = (np.array([h[c] for h in held]) for c in ("low", "high"))
+    most, rest = (np.array([h[c] for h in held]) for c in ("most", "rest"))
+    lengths, own_rest = np.linalg.norm(turned, axis=1), np.linalg.norm(turned[:, lead:], axis=1)
+    box = np.maximum(turned[:, :lead], 0) @ high.T + np.minimum(turned[:, :lead], 0) @ low.T + np.outer(own_rest, rest)
+    whole = np.outer(lengths, most)
+    least = np.where(bound == np.iinfo(np.int64).min, -np.inf, bound.astype(float))
+    return np.minimum(box, whole) + 1e-9 * whole + 1e-6 >= least[:, None]
 
 
 def _meet(asked: tuple, held: tuple, rotation: np.ndarray, k: int) -> pa.RecordBatch:
