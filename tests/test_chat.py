@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from tidemark.operators import chat
+from tidemark.operators import chat, search
 from tidemark.sources.conversation_store import ConversationStore
-from tidemark.sources.providers import GenerationProvider
+from tidemark.plans.offline import PER_PROMPT, OfflineTransport
+from tidemark.sources import providers
+from tidemark.sources.configuration import Settings
+from tidemark.sources.providers import GenerationProvider, HashEmbedder
 
 
 class Echo(GenerationProvider):
@@ -60,3 +63,24 @@ def test_prompts():
     assert chat.summarise(echo, "Sum up", "text") == "reply" and echo.seen == [(chat.SUMMARY_PROMPT, "Sum up: text")]
     assert chat.search_phrase(Echo('```json\n{"Subject or topics": "solar"}\n```'), "What about solar?") == "solar"
     assert chat.search_phrase(Echo("no json"), "What about solar?") == "What about solar?"
+
+
+def test_a_question_is_rewritten_and_searched(spark):
+    texts = ["river boats", "mountain paths", "river fish", None]
+    rows = [(i, t, HashEmbedder(16).embed([t or ""])[0]) for i, t in enumerate(texts)]
+    corpus = spark.createDataFrame(rows, "id bigint, text string, embedding array<double>")
+    phrase, hits = chat.rewritten_search(search.FrameEngine(corpus), Echo('{"Subject or topics": "river boats"}'), HashEmbedder(16).embed, "Which boats go on the river?", 1)
+    assert phrase == "river boats" and [r["id"] for r in hits.collect()] == [0]
+    questions = spark.createDataFrame([(7, "mountain paths"), (8, "river fish"), (9, None)], "id bigint, question string")
+    make = lambda log: providers.make_provider("generation", "ollama", Settings(), "llama3", log, OfflineTransport())
+    found = chat.rewritten_searches(questions, corpus, make, lambda log: HashEmbedder(16, log=log), 1).collect()
+    assert {(r["id"], r["phrase"], r["dst"]) for r in found} == {(7, "mountain paths", 1), (8, "river fish", 2)}
+
+
+def test_a_corpus_is_summarised(spark):
+    make = lambda log: providers.make_provider("generation", "ollama", Settings(), "llama3", log, OfflineTransport())
+    df = spark.createDataFrame([(1, "abc", "x"), (2, None, "y"), (2, None, "y")], "id bigint, text string, prompt_id string")
+    rows, uses = chat.summaries(df, make, "Sum")
+    assert sorted((r["id"], r["summary"]) for r in rows.collect()) == [(1, "8 characters"), (2, "5 characters"), (2, "5 characters")] and rows.columns == ["id", "text", "prompt_id", "summary"]
+    assert sorted(r["input_tokens"] for r in uses.collect()) == [PER_PROMPT] * 3
+    assert chat.summaries(df.limit(0), make, "Sum")[0].count() == 0

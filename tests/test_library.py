@@ -235,6 +235,9 @@ def test_projects_and_registry(spark, tmp_path):
     assert store.unregister("case-a", files=True) and not store.unregister("case-a") and not store.paths("case-a")["root"].exists()
     with pytest.raises(KeyError):
         store.open("case-a")
+    (elsewhere := tmp_path / "elsewhere").mkdir()
+    conf.write_toml(store.home / conf.REGISTRY_FILE, {"projects": [{"id": "x", "slug": "x", "name": "x", "path": str(elsewhere)}]})
+    assert store.unregister("x", files=True) and elsewhere.is_dir()  # a registry file can't have other folders deleted
 
 
 class Stub:

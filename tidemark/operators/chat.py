@@ -5,11 +5,18 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators.conversations import SYSTEM_ROW
+from tidemark.operators.positions import with_position
+from tidemark.operators.search import SearchEngine, nearest_neighbours, query_vector
 from tidemark.sources.conversation_store import ConversationStore
-from tidemark.sources.providers import GenerationProvider
+from tidemark.sources.providers import EmbeddingProvider, GenerationProvider, UsageLog, embedded, generated
+from tidemark.tables import materialise
 
 SUMMARY_PROMPT = (
     "You summarise the text that the user gives. Recognise its structure, find its topics, events and key phrases, and tell "
@@ -91,15 +98,60 @@ def summarise(provider: GenerationProvider, instruction: str, context: str, syst
     return provider.generate(system, f"{instruction}: {context}")
 
 
-def sentence_details(provider: GenerationProvider, sentence: str) -> dict:
-    """Language, request and topics of a sentence; an answer that isn't a JSON object leaves the sentence as its topic."""
+def details(reply: str, sentence: str) -> dict:
+    """What a reply says of a sentence; one that isn't a JSON object leaves the sentence as its topic."""
     try:
-        found = json.loads(provider.generate(SENTENCE_PROMPT, sentence).strip().removeprefix("```json").strip("`\n "))
+        found = json.loads(reply.strip().removeprefix("```json").strip("`\n "))
     except ValueError:
         found = None
     return found if isinstance(found, dict) else {"Subject or topics": sentence}
 
 
+def topics(reply: str, sentence: str) -> str:
+    return str(details(reply, sentence).get("Subject or topics") or sentence)
+
+
+def sentence_details(provider: GenerationProvider, sentence: str) -> dict:
+    """Language, request and topics of a sentence."""
+    return details(provider.generate(SENTENCE_PROMPT, sentence), sentence)
+
+
 def search_phrase(provider: GenerationProvider, sentence: str) -> str:
     """What to embed for a question: its topics."""
-    return str(sentence_details(provider, sentence).get("Subject or topics") or sentence)
+    return topics(provider.generate(SENTENCE_PROMPT, sentence), sentence)
+
+
+def rewritten_search(engine: SearchEngine, generator: GenerationProvider, embed: Callable[[list[str]], list], question: str, top_k: int = 10, **options: object) -> tuple[str, DataFrame]:
+    """The phrase that a question comes down to, and the engine's hits for it: one call to each provider, then one search."""
+    phrase = search_phrase(generator, question)
+    return phrase, engine.search_query(query_vector(phrase, None, embed), top_k, **options)
+
+
+def rewritten_searches(questions: DataFrame, corpus: DataFrame, make_generator: Callable[[UsageLog], GenerationProvider], make_embedder: Callable[[UsageLog], EmbeddingProvider], top_k: int = 10) -> DataFrame:
+    """id, phrase, rnk, dst, score: for each row of `questions` (id, question) its phrase and the `top_k` nearest rows of `corpus`.
+
+    Phrases are asked for and embedded on the executors; all of them meet the corpus in one batch search. A question
+    whose answer is no JSON object is its own phrase, a NULL one is empty; ids must be unique. Questions whose phrase has
+    no vector have no hits.
+    """
+
+    def phrased(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [topics(r, q or "") for r, q in zip(b.column("reply").to_pylist(), b.column("question").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(said, pa.string())], names=["id", "phrase"])
+
+    said = generated(questions.select("id", "question", F.col("question").alias("prompt")), make_generator, SENTENCE_PROMPT)[0]
+    phrases = materialise(said.select("id", "reply", "question").mapInArrow(phrased, "id bigint, phrase string"), "phrases")
+    vectors = embedded(with_position(phrases.select("id", F.col("phrase").alias("text")), "id"), make_embedder)[0]
+    hits = nearest_neighbours(vectors.select("id", "embedding"), corpus.select("id", "embedding"), top_k)
+    return phrases.join(hits, phrases["id"] == hits["src"]).select("id", "phrase", "rnk", "dst", "score")
+
+
+def summaries(texts: DataFrame, make: Callable[[UsageLog], GenerationProvider], instruction: str, system: str = SUMMARY_PROMPT) -> tuple[DataFrame, DataFrame]:
+    """`texts` (with a column text) and the `summary` of each, and the ledger of the requests; asked for on the executors.
+
+    NULL counts as empty text; repeated rows are asked for each; an empty table asks for nothing.
+    """
+    prompts = texts.withColumn("prompt", F.concat(F.lit(f"{instruction}: "), F.coalesce("text", F.lit(""))))
+    rows, uses = generated(prompts, make, system)
+    return rows.drop("prompt").withColumnRenamed("reply", "summary"), uses

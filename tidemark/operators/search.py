@@ -365,6 +365,20 @@ def of_projects(rows: DataFrame, selected: DataFrame) -> DataFrame:
 ProjectQuery = Callable[[str], DataFrame]
 
 
+def top_k_by_project(rows: DataFrame, selected: DataFrame, vector: Sequence[float], k: int = 10, limit: int | None = None) -> DataFrame:
+    """project, id, score: the `k` best rows of each project in `selected` (slug), merged best first, in one pass over `rows`.
+
+    `rows` has project, id, embedding. One scan scores the rows of all selected projects and each task keeps k of a
+    project before anything is shuffled, however many projects there are: what search_projects does with a plan for each.
+    Rows without a score are left out; ties fall to the smaller id. ValueError for a negative k or limit.
+    """
+    if k < 0:
+        raise ValueError("k must not be negative")
+    scored = of_projects(rows, selected).select("project", "id", rounded_cosine_to(as_doubles(F.col("embedding")), vector).alias("score")).where("score is not null")
+    place = F.row_number().over(W.partitionBy("project").orderBy(F.desc("score"), "id"))
+    return merge_project_hits(scored.withColumn("place", place).where(F.col("place") <= k).drop("place"), selected, limit)
+
+
 def search_projects(projects: DataFrame, query: ProjectQuery, embedding_model: str | None = None, default_model: str | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Merged hits of all projects that may be searched together, and the selection behind them.
 

@@ -50,6 +50,7 @@ target AS (SELECT embedding_model FROM p GROUP BY 1 ORDER BY count(*) DESC, min(
 chosen AS (SELECT *, embedding_model = (SELECT embedding_model FROM target) AS included FROM p)"""
 HITS = f"{CORPUS}, {SEED}, hits AS (SELECT {slug('source')} AS project, id, {score('v', 'w')} AS score FROM c, q), {PROJECTS}"
 MERGED = f"WITH {HITS} SELECT project, id, score FROM hits WHERE score IS NOT NULL AND project IN (SELECT slug FROM chosen WHERE included) ORDER BY score DESC, project, id"
+BEST_BY_PROJECT = f"WITH {HITS}, best AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, id) AS r FROM hits WHERE score IS NOT NULL) SELECT project, id, score FROM best WHERE r <= 10 AND project IN (SELECT slug FROM chosen WHERE included) ORDER BY score DESC, project, id LIMIT 25"
 TOP = f"WITH {CORPUS}, {SEED}, hits AS (SELECT id, text, {score('v', 'w')} AS score FROM c, q WHERE {score('v', 'w')} IS NOT NULL ORDER BY score DESC, id LIMIT %d)"
 CONTEXT = "(SELECT string_agg(text, chr(10) ORDER BY score DESC, id) || chr(10) FROM hits)"
 POINTS = "p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), fresh AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, id AS origin, v FROM p WHERE label = 3)"
@@ -216,7 +217,8 @@ def oracle_sql() -> dict[str, str]:
         "project_exclusions": f"WITH {PROJECTS} SELECT slug, {text(MISMATCH)} AS reason, embedding_model AS detail FROM chosen WHERE NOT included",
         "selection_notice": f"WITH {PROJECTS} SELECT CASE WHEN count(*) FILTER (NOT included) = 0 THEN '' ELSE printf({text(NOTICE)}, count(*) FILTER (NOT included), count(*), string_agg(slug || ' (' || embedding_model || ')', ', ' ORDER BY position) FILTER (NOT included)) END AS notice FROM chosen",
         "cross_project_merge": MERGED,
-        "cross_project_query": f"WITH {HITS}, best AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, id) AS r FROM hits WHERE score IS NOT NULL) SELECT project, id, score FROM best WHERE r <= 10 AND project IN (SELECT slug FROM chosen WHERE included) ORDER BY score DESC, project, id LIMIT 25",
+        "cross_project_query": BEST_BY_PROJECT,
+        "cross_project_top_k": BEST_BY_PROJECT,
         "payload_join": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, CAST(label AS VARCHAR) AS label, CAST(len(embedding) AS BIGINT) AS width FROM embeddings",
         "unique_ids": "SELECT doc_id, 32 AS digits, true AS hex FROM documents",
         "random_sample": "SELECT least(count(*), 50) AS n, least(count(DISTINCT doc_id), 50) AS different, least(count(*), 50) AS known FROM documents WHERE text IS NOT NULL",

@@ -367,6 +367,12 @@ def cross_project_query(spark: SparkSession, d: str) -> DataFrame:
     return S.search_projects(projects(spark, d), best, limit=25)[0].select("project", "id", "score")
 
 
+def cross_project_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """The same for all projects in one pass."""
+    rows = corpus(spark, d).withColumn("project", T.slugify(F.col("source")))
+    return S.top_k_by_project(rows, P.select_projects(projects(spark, d)).where("included"), seed_vector(spark, d), 10, 25)
+
+
 def registry_register(spark: SparkSession, d: str) -> DataFrame:
     p = projects(spark, d)
     return P.register(p, p.where("position % 4 = 0").withColumn("embedding_model", F.lit("changed"))).select("id", "slug", "embedding_model")
@@ -615,7 +621,7 @@ def queries() -> dict[str, Query]:
         cosine_topk, relatedness_scores, topk_threshold, csv_embedding_parse, collection_upsert, collection_append, collection_count, collection_info, collection_search, collection_indexed_search, collection_named_search, batch_knn, similarity_walks,
         token_counts, corpus_tokens, embedding_cost, exact_token_counts, exact_corpus_tokens, exact_embedding_cost, prompt_cost, price_lookup, priced_models, embed_batches, usage_totals, usage_by_model, usage_record_costs, usage_unpriced, usage_uncounted, usage_summary,
         conversation_messages, conversation_index, conversation_resume, conversation_append, conversation_orphans, distinct_refs, context_concat, retrieved_context, prompt_assembly, nonnull_text,
-        settings_resolution, model_majority, project_exclusions, selection_notice, registry_register, registry_find, registry_unregister, locality_audit, loopback_hosts, base_url, unique_ids, random_sample, cross_project_query,
+        settings_resolution, model_majority, project_exclusions, selection_notice, registry_register, registry_find, registry_unregister, locality_audit, loopback_hosts, base_url, unique_ids, random_sample, cross_project_query, cross_project_top_k,
         payload_join, reply_blocks, model_list, connections, text_load, collection_store, conversation_store, conversation_ids, conversation_parts, literal_quarantine, weighted_sample, embedding_cache, embedding_cache_usage, usage_stream,
         provider_embeddings, provider_usage, provider_replies, provider_replies_usage, completion_fields,
     )
