@@ -217,6 +217,13 @@ def test_sql(spark, tiny, name):
     compare(spark, contract.queries()[name], contract.oracle_sql()[name], tiny)
 
 
+def test_licence_lines(spark):
+    rows = [(1, "some text\nReleased under the MIT license!\n\nmore"), (1, "LICENSED UNDER CC BY-NC 4.0"), (2, None), (3, ""), (None, "Licenced under the Apache Licence, version 2.0\nand own terms"), (4, "own terms"), (5, "x\n" * 50_000 + "Released under the MIT License.")]
+    own = spark.createDataFrame([("Own", "Own terms.")], "license_id string, text string")
+    found = licences.licence_lines(spark.createDataFrame([(i, t, 0, "d") for i, t in rows], "doc_id bigint, text string, line int, digest string"), own)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted([(1, 1, "MIT"), (1, 0, "CC-BY-NC-4.0"), (None, 0, "Apache-2.0"), (4, 0, "Own"), (5, 50_000, "MIT")], key=repr)
+
+
 def test_licences(spark, monkeypatch):
     mit = dict(licences.KNOWN)["MIT"]
     body = next(t for k, t in licences.KNOWN if k == "MIT" and t.startswith("Permission"))

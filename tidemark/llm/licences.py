@@ -84,6 +84,11 @@ KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
 )
+# Further notices of one line, which stand in longer texts.
+NOTICES = (
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+)
 # Digests, in the canonical form below, of longer licences as their stewards publish them.
 DIGESTS = {
     "Apache-2.0": "62c23944e22c7e1579b00eab372c8062d04f03e360aaab08b4030b71d5eac153",
@@ -152,12 +157,27 @@ def scan_licences(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     return rows.join(known, F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "license_id")
 
 
+def licence_lines(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """doc_id, line (from 0), license_id for every line of `docs` (doc_id, text) whose digest is that of a known text.
+
+    Notices of one line stand in longer texts; here each line is a text of its own, by the same canonical form, digests
+    and join, with NOTICES and the caller's `texts` beside the known ones. Null and empty texts have no such line,
+    whole texts of any length are taken apart, repeated rows and lines each count, other columns are ignored.
+    """
+    spark = docs.sparkSession
+    notices = spark.createDataFrame(NOTICES, "license_id string, text string")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    keyed = lines.select(F.struct("doc_id", "line").alias("doc_id"), "text")
+    found = scan_licences(keyed, notices if texts is None else notices.unionByName(texts.select("license_id", "text")))
+    return found.where("license_id is not null").select("doc_id.doc_id", "doc_id.line", "license_id")
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def sql() -> str:
-    """The scan in DuckDB's dialect, whose patterns look neither ahead nor back: sentences that begin with "copyright" are set apart first."""
+def sql(lines: bool = False) -> str:
+    """The scan, or with `lines` that of every line, in DuckDB's dialect, whose patterns look neither ahead nor back: sentences that begin with "copyright" are set apart first."""
 
     def form(c: str) -> str:
         out = f"translate({c}, '{UPPER}', '{LOWER}')"
@@ -169,7 +189,8 @@ def sql() -> str:
             out = f"replace({out}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
         return f"trim(regexp_replace({out}, ' +', ' ', 'g'), ' ')"
 
-    values = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)
+    values = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in (*KNOWN, *NOTICES * lines))
+    rows = "SELECT doc_id, line, t AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents)"
     long = ", ".join(f"({_quoted(d)}, {_quoted(k)})" for k, d in DIGESTS.items())
     return f"""
 WITH known AS (
@@ -177,6 +198,6 @@ WITH known AS (
     SELECT sha256({form("text")}) AS digest, license_id FROM (VALUES {values}) AS v(license_id, text) WHERE length({form("text")}) > 0
     UNION ALL SELECT * FROM (VALUES {long}) AS w(digest, license_id)
   ) GROUP BY 1
-), rows_ AS (SELECT doc_id, sha256({form("text")}) AS digest FROM documents)
-SELECT r.doc_id, r.digest, k.license_id FROM rows_ r LEFT JOIN known k ON r.digest = k.digest
+), rows_ AS ({f"SELECT doc_id, CAST(line AS INTEGER) AS line, sha256({form('text')}) AS digest FROM ({rows})" if lines else f"SELECT doc_id, sha256({form('text')}) AS digest FROM documents"})
+{"SELECT r.doc_id, r.line, k.license_id FROM rows_ r JOIN known k ON r.digest = k.digest" if lines else "SELECT r.doc_id, r.digest, k.license_id FROM rows_ r LEFT JOIN known k ON r.digest = k.digest"}
 """
