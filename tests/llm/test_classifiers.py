@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import zlib
 import re
 import time
 
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii, quality, toxicity
+from tidemark.llm import contract, pii, quality, toxicity
 from tidemark.llm.labelled import training_rows
 from tidemark.llm.trees import BoostedTrees
 
@@ -68,6 +70,72 @@ def test_quality_on_held_out_rows(spark, small):
     assert auc(score, y) > 0.95 and (predicted == y).mean() > 0.9 and ((score >= 0) & (score <= 1)).all()
 
 
+def plain_statistics(text):
+    """The statistics of a text, one character, word and line at a time."""
+    data, words = list(text.encode()), text.split()
+    out = dict.fromkeys(quality.STATISTICS, 0.0)
+    out["bytes"], out["blanks"] = math.log(1 + len(data)), sum(c in b"\t\n\r " for c in data) / max(len(data), 1)
+    if not words:
+        return out
+    lines = [x for x in text.split("\n") if x.strip()]
+    upper, lower = sum(65 <= c <= 90 for c in data), sum(97 <= c <= 122 for c in data)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / len(words)
+    out |= {"words": math.log(1 + len(words)), "lines": math.log(1 + len(lines)), "upper": upper / max(upper + lower, 1e-9), "beyond_ascii": sum(c > 127 for c in data) / len(data)}
+    for name, group in {"digits": b"0123456789", "stops": b".,;:?", "shouts": b"!", "bars": b"|", "marks": b"#$%&*@^~_=+<>\\/", "brackets": b"()[]{}\"'`-"}.items():
+        out[name] = sum(c in group for c in data) / len(data)
+    out |= {"word_length": mean, "word_spread": math.sqrt(sum((n - mean) ** 2 for n in lengths) / len(words)), "longest_word": math.log(1 + max(lengths))}
+    out |= {"distinct_words": len(set(words)) / len(words), "top_word": max(words.count(w) for w in set(words)) / len(words)}
+    out["repeated_next"] = sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / len(words)
+    out["distinct_pairs"] = len({(words[i], words[i + 1]) for i in range(len(words) - 1)}) / len(words)
+    out["capitalised"], out["single_letters"] = sum(w[0].isupper() for w in words) / len(words), sum(n == 1 for n in lengths) / len(words)
+    out["ends_in_stop"], out["ends_in_mark"] = sum(w[-1] in ".,;:!?" for w in words) / len(words), sum(w[-1] in "#$%&*@^~_=+<>\\/" for w in words) / len(words)
+    out["distinct_lines"], out["line_words"] = len(set(lines)) / len(lines), len(words) / len(lines)
+    return out
+
+
+def test_quality_scores_match_a_plain_walk_down_the_trees(spark, small, tmp_path):
+    docs, labels = read(spark, small, "documents").where("length(text) < 3000").limit(150), read(spark, small, "labels")
+    odd_texts = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(["", None, " \n\t", "a", "É! É! 3", "x\n\nx\ny|z #"])], "doc_id bigint, text string")
+    docs.select("doc_id", "text").unionByName(odd_texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    model = quality.fit_quality(read(spark, str(tmp_path), "documents"), read(spark, str(tmp_path), "labels"))
+
+    def plain_score(text):
+        x, total = list(plain_statistics(text).values()), model.base
+        for t in range(model.trees):
+            node = 0
+            while node < len(model.feature[t]):
+                node = 2 * node + (2 if x[model.feature[t][node]] > model.threshold[t][node] else 1)
+            total += model.value[t][node - len(model.feature[t])]
+        return 1 / (1 + math.exp(-total))
+
+    found = contract.op1_tree_quality(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(texts)
+    for r in found:
+        score = plain_score(texts[r["doc_id"]])
+        assert r["score"] == pytest.approx(score, abs=1e-9) and r["predicted"] == int(score >= 0.7), r
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_toxicity_scores_match_a_plain_search(spark, small, tmp_path):
+    docs = read(spark, small, "documents").where("length(text) < 3000").limit(200)
+    odd_texts = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(["", None, "you are trash", *INNOCENT])], "doc_id bigint, text string")
+    docs.select("doc_id", "text").unionByName(odd_texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    read(spark, small, "labels").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    rows = read(spark, str(tmp_path), "documents")
+    model = toxicity.fit_toxicity(rows, read(spark, str(tmp_path), "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    for r in contract.op7_pattern_grammar_toxicity(spark, str(tmp_path)).collect():
+        total = model.bias
+        for pattern, n in plain_counts(model, texts[r["doc_id"]]).items():
+            total += model.weights[toxicity.NUMBER[pattern]] * (math.log(1 + n) if pattern[-1] else math.log(max(n, 1)))
+        score = 1 / (1 + math.exp(-total))
+        assert r["score"] == pytest.approx(score, abs=1e-9) and r["predicted"] == int(score >= 0.5), r
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_quality_edge_cases(spark):
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (None, 1), (5, None), (99, 1)], "doc_id bigint, quality int")
     docs = odd(spark)
