@@ -29,7 +29,9 @@ SAMPLE, PIVOTS, SAMPLE_VALUES = 2048, 512, 1 << 22
 PLACES = 6
 #: Hops of many walks that are one plan.
 HOPS = 5
-ASKED = "number bigint, width int, cell int, least double, most double"
+#: Numbers in the queries that are sent to all tasks at a time, some 32 megabytes, and such chunks in one plan.
+CHUNK_VALUES, CHUNKS_AT_ONCE = 1 << 22, 8
+ASKED = "width int, least array<double>, most array<double>, asked binary"
 BLOCKS = "number bigint, width int, cell int, low double, high double, block binary"
 
 
@@ -103,18 +105,25 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5) -> Dat
     Exact. Rows of one width are cut into blocks; where there are several, a row is filed under the nearest of some
     sampled pivots and blocks are stretches of one pivot's rows by their angle to it, so blocks follow the number of rows
     and each knows the angles it holds. A block of queries has the least of its members' k-th scores within the sample;
-    by the triangle inequality of angles it asks only the blocks that can hold a score that high. Which blocks meet is a
-    join of a few numbers a block; what meets is one matrix product, of which k rows a query leave. Ties fall to the
-    smaller dst. Rows without an id and zero, NULL or non-finite vectors take no part; vectors of different widths never
-    meet, however rare a width is.
+    by the triangle inequality of angles it meets only the blocks that can hold a score that high.
+
+    Queries are a stated set against all rows, in blocks: they go to the tasks in chunks of CHUNK_VALUES numbers, by a
+    broadcast of that bounded size, and a task reads its blocks of the corpus past one chunk after another. So no vector
+    of the corpus is shuffled, whatever the number of queries, and of a query a task hands on only the k best of all
+    that it has read. Ties fall to the smaller dst. Rows without an id and zero, NULL or non-finite vectors take no part;
+    vectors of different widths never meet, however rare a width is.
     """
     spark = corpus.sparkSession
 
     def units(df: DataFrame) -> DataFrame:
         return materialise(df.select("id", unit(as_doubles(F.col("embedding"))).alias("u")).where("u is not null and id is not null").select("id", "u", F.size("u").alias("width")), "unit_vectors")
 
+    def values(df: DataFrame) -> tuple[dict[int, int], int]:
+        counts = {r["width"]: r["count"] for r in df.groupBy("width").count().collect()}
+        return counts, sum(w * n for w, n in counts.items())
+
     held = units(corpus)
-    counts = {r["width"]: r["count"] for r in held.groupBy("width").count().collect()}
+    counts, total = values(held)
     parts = {w: -(-n // block_rows(w)) for w, n in counts.items()}
     first = _samples(held, [w for w, n in parts.items() if n > 1])
     pivots = {w: spread(x, max(1, min(PIVOTS, parts[w] // 4))) for w, x in first.items()}
@@ -122,49 +131,71 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5) -> Dat
     asking = blocks
     if queries is not corpus:
         other = units(queries)
-        n = other.agg(F.count("*"), F.max("width")).first()
-        asking = materialise(_blocks(other, pivots, max(1, -(-n[0] // block_rows(n[1] or 1)))), "query_blocks")
+        asked, total = values(other)
+        asking = materialise(_blocks(other, pivots, sum(-(-n // block_rows(w)) for w, n in asked.items())), "query_blocks")
+    chunks = max(1, -(-total // CHUNK_VALUES))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block of queries and each pivot: the angles of what can be among the k nearest of one of its rows."""
+        """For each block of queries, by pivot: the angles of what can be among the k nearest of one of its rows."""
         for b in batches:
-            for number, w, blob in zip(*(b.column(c).to_pylist() for c in ("number", "width", "block")), strict=True):
+            for w, blob in zip(b.column("width").to_pylist(), b.column("block").to_pylist(), strict=True):
                 if w not in counts:
                     continue
-                x = pickle.loads(blob)[1]
                 if w not in pivots:
-                    yield _rows(ASKED, [(number, w, 0, -1.0, 4.0)])
+                    yield _rows(ASKED, [(w, [-1.0], [4.0], blob)])
                     continue
+                x = pickle.loads(blob)[1]
                 mean = x.mean(0)
-                centre = mean / max(float(np.linalg.norm(mean)), 1e-300)
-                own = float(angles(x, centre[None, :]).max()) if np.linalg.norm(mean) > 1e-9 else math.pi
+                length = float(np.linalg.norm(mean))
+                centre = mean / max(length, 1e-300)
+                own = float(angles(x, centre[None, :]).max()) if length > 1e-9 else math.pi
                 scores, enough = x @ first[w].T, len(first[w]) >= k > 0
                 least = float(np.partition(scores, len(first[w]) - k, axis=1)[:, len(first[w]) - k].min()) if enough else -1.0
                 far = math.acos(max(least - 2 * 10.0**-PLACES, -1.0)) + own + 1e-7  # from the centre, of what may be found
                 apart = angles(centre[None, :], pivots[w])[0]
-                yield _rows(ASKED, [(number, w, c, a - far, a + far) for c, a in enumerate(apart.tolist())])
+                yield _rows(ASKED, [(w, (apart - far).tolist(), (apart + far).tolist(), blob)])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pa.RecordBatch] = {}
         for b in batches:
-            for asked, block in zip(b.column("asked").to_pylist(), b.column("block").to_pylist(), strict=True):
-                yield _nearest(*pickle.loads(asked), *pickle.loads(block), k)
-
-    asks = asking.select("number", "width", "block").mapInArrow(ask, ASKED)
-    ends = blocks.select("width", "cell", F.col("number").alias("held"), "low", "high")
-    pairs = asks.join(ends, ["width", "cell"]).where("low <= most and high >= least").select("number", "held")
-    met = pairs.join(asking.select("number", F.col("block").alias("asked")), "number").join(blocks.select(F.col("number").alias("held"), "block"), "held")
-    found = met.select("asked", "block").mapInArrow(meet, "src bigint, dst bigint, score double")
+            for number, asked, block in zip(*(b.column(c).to_pylist() for c in ("number", "asked", "block")), strict=True):
+                found = _nearest(*pickle.loads(asked), *pickle.loads(block), k)
+                best[number] = _best(best[number], found, k) if number in best else found
+        yield from best.values()
+
+    asks = asking.select("width", "block").mapInArrow(ask, ASKED).withColumn("number", F.monotonically_increasing_id())
+    asks = materialise(asks.withColumn("chunk", F.pmod(F.xxhash64("number"), F.lit(chunks))), "asks")
+    corpus_blocks = blocks.select("width", "cell", "low", "high", "block").coalesce(2 * spark.sparkContext.defaultParallelism)
+    reaches = (F.get("least", F.col("cell")) <= F.col("high")) & (F.get("most", F.col("cell")) >= F.col("low"))
+    found, waiting = None, []
+    for c in range(chunks):
+        chunk = F.broadcast(asks.where(F.col("chunk") == c).select("number", F.col("width").alias("asked_width"), "least", "most", "asked"))  # some CHUNK_VALUES numbers
+        met = corpus_blocks.join(chunk, (F.col("width") == F.col("asked_width")) & reaches).select("number", "asked", "block")
+        waiting.append(met.mapInArrow(meet, "src bigint, dst bigint, score double"))
+        if c + 1 == chunks or len(waiting) == CHUNKS_AT_ONCE:
+            some = reduce(DataFrame.unionByName, waiting)
+            some = some if chunks <= CHUNKS_AT_ONCE else materialise(some, "neighbours_found")
+            found, waiting = some if found is None else found.unionByName(some), []
     rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
     return found.withColumn("rnk", rank).where(F.col("rnk") <= k).select("src", "rnk", "dst", "score")
 
 
+def _best(a: pa.RecordBatch, b: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """The k best rows a query of two lots of (src, dst, score)."""
+    src, dst, score = (np.concatenate([x.column(c).to_numpy() for x in (a, b)]) for c in ("src", "dst", "score"))
+    order = np.lexsort((dst, -score, src))
+    src = src[order]
+    keep = order[np.arange(len(src)) - np.searchsorted(src, src) < k]
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (np.concatenate([a.column("src").to_numpy(), b.column("src").to_numpy()]), dst, score)], names=["src", "dst", "score"])
+
+
 def block_rows(width: int) -> int:
     """Rows of a block: some two megabytes of vectors."""
     return max(BLOCK_VALUES // max(width, 1), 64)
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
     fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
 
