@@ -4,7 +4,8 @@ All bigrams are put in one order, the rarest first. One edit touches at most two
 edit apart each keeps one of its three first bigrams in that order, and the first one that both keep is among the three of
 either: at the same position, or one further on behind an inserted letter. Words therefore meet by length and by their
 three rarest bigrams only, within those positions. An edit also leaves one half of a word as it is, whole, so the half is
-part of the key: a bigram that many words hold doesn't bring all of them together. What meets is verified.
+part of the key: a bigram that many words hold doesn't bring all of them together. The half with the edit keeps one of its
+own halves in turn, which is compared by a checksum before what meets is verified by its edit distance.
 """
 
 from __future__ import annotations
@@ -80,6 +81,13 @@ def _key(side: str, length: Column, half: Column) -> Column:
     return F.xxhash64("gram", length, F.lit(side), half)
 
 
+def _quarters(start: Column, size: Column, extra: int) -> Column:
+    """Checksums of the two halves of the `size` code points from `start` on, in one number; `extra` of them between are left out."""
+    first = F.floor(size / 2).cast("int")
+    head, tail = F.substring("word", start, first), F.substring("word", start + first + extra, size - first)
+    return F.shiftleft(F.hash(head).cast("bigint"), 32).bitwiseOR(F.hash(tail).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def keyed(words: DataFrame, order: dict[str, int]) -> DataFrame:
     """word, n, gram, at: the three rarest bigrams of each word with their positions; `order` ranks all bigrams."""
 
@@ -111,15 +119,22 @@ def near_words(words: DataFrame) -> DataFrame:
     shorter = length - 1
     cut = F.floor(shorter / 2).cast("int")
 
-    def side(name: str, size: Column, half: Column, longer: bool) -> DataFrame:
-        return rows.select(_key(name, size, half).alias("key"), "word", "n", "at", F.lit(longer).alias("longer"))
-
-    asking = side("left", length, F.substring("word", F.lit(1), middle), False).unionByName(side("right", length, F.substring("word", middle + 1, length), False))
-    longer = side("left", shorter, F.substring("word", F.lit(1), cut), True).unionByName(side("right", shorter, F.substring("word", cut + 2, length), True))
-    held = asking.unionByName(longer).select("key", *(F.col(c).alias(f"other_{c}") for c in ("word", "n", "at", "longer")))
+    def side(name: str, size: Column, half: Column, quarters: Column, longer: bool) -> DataFrame:
+        return rows.select(_key(name, size, half).alias("key"), "word", "n", "at", quarters.alias("quarters"), F.lit(longer).alias("longer"))
+
+    one = F.lit(1)
+    asking = side("left", length, F.substring("word", one, middle), _quarters(middle + 1, length - middle, 0), False).unionByName(
+        side("right", length, F.substring("word", middle + 1, length), _quarters(one, middle, 0), False)
+    )
+    longer = side("left", shorter, F.substring("word", one, cut), _quarters(cut + 1, shorter - cut, 1), True).unionByName(
+        side("right", shorter, F.substring("word", cut + 2, length), _quarters(one, cut, 1), True)
+    )
+    held = asking.unionByName(longer).select("key", *(F.col(c).alias(f"other_{c}") for c in ("word", "n", "at", "quarters", "longer")))
     apart = F.col("other_at") - F.col("at")
     place = F.when(F.col("other_longer"), apart.isin(0, 1)).otherwise((apart == 0) & (F.col("word") < F.col("other_word")))
-    near = (asking["key"] == held["key"]) & place & (F.levenshtein("word", "other_word", 1) == 1)
+    unlike = F.col("quarters").bitwiseXOR(F.col("other_quarters"))
+    kept = (unlike.bitwiseAND(F.lit(0xFFFFFFFF)) == 0) | (F.shiftright(unlike, 32) == 0)
+    near = (asking["key"] == held["key"]) & place & kept & (F.levenshtein("word", "other_word", 1) == 1)
     met = asking.join(held, near).select("word", F.col("other_word").alias("near"), "n", F.col("other_n").alias("near_n"))
     back = met.select(F.col("near").alias("word"), F.col("word").alias("near"), F.col("near_n").alias("n"), F.col("n").alias("near_n"))
     return met.unionByName(back).repartition("word").distinct()
