@@ -141,7 +141,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None =
 
     `ids` (array<int>, left out unless `with_ids`) are the piece's token ids; start counts its document's ids before
     it; offset its place in the sequence. A document's ids are those of its text and END_ID, so null and empty texts
-    give one id. Pieces of a document never overlap or miss an id; repeated rows are packed one by one; null doc_ids
+    give one id; texts of any length are cut. Pieces of a document never overlap or miss an id; repeated rows are packed one by one; null doc_ids
     stay null; an empty table gives no rows; further columns are ignored. A sequence_id is the reading task's number
     and a count, so a task that runs again on the same input gives the same rows. A task holds at most GROUP rests.
     """

@@ -93,7 +93,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_C
 def score_quality(docs: DataFrame, model: BoostedTrees) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text); other columns are ignored.
 
-    Scores depend on the text alone. Null and empty texts get the score of all-zero statistics; repeated rows stay;
+    Scores depend on the text alone, whole however long. Null and empty texts get the score of all-zero statistics; repeated rows stay;
     an empty table gives no rows; a null doc_id stays null and is not held out. Without labels every score is 0.5.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

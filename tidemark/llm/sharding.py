@@ -219,7 +219,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     The law is `bytes`: the shards' sums of size are near equal (within TOLERANCE of all bytes a split and one group).
     Equal texts have equal keys in every dimension, so they share a shard, whatever their other columns say; only a
     group that weighs more than HEAVY of a shard, and lies where a split must fall, is dealt out by a salt. slot
-    counts from 0 in each shard, in the order of reading. Null texts weigh OVERHEAD, as empty ones do, and are equal to
+    counts from 0 in each shard, in the order of reading. Whole texts of any length are weighed. Null texts weigh OVERHEAD, as empty ones do, and are equal to
     them; repeated rows are rows; an empty table gives no rows; further columns are ignored. grown_shard is null.
     """
     rows = row_sizes(docs)

@@ -284,8 +284,8 @@ def near_duplicate_groups(prints: DataFrame) -> DataFrame:
 def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (bigint) and component_id for every row of `docs` (doc_id, text; other columns are ignored).
 
-    Null and blank texts have fingerprint 0 and are linked like any other; repeated rows each get a row; an empty
-    table gives an empty result; a null doc_id stays null and never names a group that has another id.
+    Whole texts of any length are read. Null and blank texts have fingerprint 0 and are linked like any other; repeated
+    rows each get a row; an empty table gives an empty result; a null doc_id stays null and never names a group that has another id.
     """
     prints = materialise(with_fingerprints(docs.select("doc_id", "text")), "doc_fingerprints")
     return join_classes(prints, near_duplicate_groups(prints), ["fingerprint"]).select("doc_id", "fingerprint", "component_id")
@@ -296,7 +296,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows are numbered as they are written once to the shared folder; groups are decided on numbers, ids and fingerprints
     alone. What goes is gathered as a bit for each row, 64 rows to a word; while those words are few (DROPPED_WORDS,
-    counted) they are sent to all tasks and no text is shuffled, beyond that rows and words meet by number. Null and
+    counted) they are sent to all tasks and no text is shuffled, beyond that rows and words meet by number. Whole texts of
+    any length are read. Null and
     blank texts are one group; a null doc_id comes after all others; of rows that repeat a doc_id in a group the first
     read stays; an empty table stays empty; columns may have any name.
     """
