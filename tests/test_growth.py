@@ -70,6 +70,24 @@ def test_a_store_takes_tables(spark, tmp_path):
     assert sorted(r["id"] for r in store.index.collect()) == ["r", "s"]
 
 
+def test_writers_never_share_ids(spark, tmp_path, monkeypatch):
+    from tidemark.sources import conversation_store
+
+    one, other = ConversationStore(spark, str(tmp_path)), ConversationStore(spark, str(tmp_path))
+    plain, raced = conversation_store.write_once, []
+
+    def late(session, path, text):
+        if not raced:
+            raced.append(True)
+            other.insert_messages("b", [("c", "user", "first")])
+        plain(session, path, text)
+
+    monkeypatch.setattr(conversation_store, "write_once", late)
+    one.insert_messages("a", [("c", "user", "x"), ("c", "assistant", "y")])
+    other.insert_messages("b", [("c", "user", "last")])
+    assert [(r["id"], r["message"]) for r in one.messages.orderBy("id").collect()] == [(1, "first"), (2, "x"), (3, "y"), (4, "last")]
+
+
 def test_malformed_literals_are_set_aside(spark):
     rows = [(1, "[1, 2.5]", "a"), (2, "[1, 2", "b"), (3, None, "c"), (4, "[]", "d"), (5, "nonsense", "e"), (6, "[1, null]", "f"), (7, '["x"]', "g"), (8, "", "h"), (9, "[-2e-3]", None)]
     df = spark.createDataFrame(rows, "id bigint, v string, malformed string").withColumn("w", F.lit("[1]"))

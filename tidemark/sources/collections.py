@@ -19,13 +19,12 @@ from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import clamped, constant, dot, unit
 from tidemark.operators.search import PLACES, SearchEngine, angles, cosine_top_k, spread
-from tidemark.tables import materialise, release
+from tidemark.tables import file_names, materialise, release, write_once
 
 #: A point; `at` is when its source said it, where the source says so.
 POINTS = "id bigint, embedding array<double>, payload map<string,string>, at bigint"
@@ -83,39 +82,21 @@ class VectorStore(SearchEngine):
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(self._conf)
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # Files
 
     def _file(self, *parts: str) -> str:
         return "/".join([self.root, *parts])
 
-    def _write_new(self, path: str, text: str) -> None:
-        """Writes a file aside and gives it its name; FileExistsError if there is one of that name."""
-        aside, target = self._path(f"{path}.{uuid.uuid4().hex}"), self._path(path)
-        stream = self._fs.create(aside, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
-        qualified = self._fs.makeQualified(target)
-        try:
-            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self._conf).rename(self._fs.makeQualified(aside), qualified, options)
-        except Py4JJavaError as e:
-            self._fs.delete(aside, False)
-            raise FileExistsError(path) from e
-
     def _read(self, path: str) -> str:
         return "\n".join(r.value for r in self.spark.read.text(path, wholetext=True).collect())
 
     def _numbers(self, name: str) -> list[int]:
         """The numbers of the commits that are there, in order."""
-        folder = self._path(self._file(name, "commits"))
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+        names = [n.removesuffix(".json") for n in file_names(self.spark, self._file(name, "commits"))]
+        return sorted(int(n) for n in names if n.isdigit())
 
     def _commit_at(self, name: str, number: int) -> dict:
         return json.loads(self._read(self._file(name, "commits", f"{number}.json")))
@@ -130,7 +111,7 @@ class VectorStore(SearchEngine):
         """`config` as the commit after the one it was read from; ConcurrentWriteError if that one has a successor."""
         told = {k: v for k, v in config.items() if k != "number"}
         try:
-            self._write_new(self._file(name, "commits", f"{config['number'] + 1}.json"), json.dumps(told))
+            write_once(self.spark, self._file(name, "commits", f"{config['number'] + 1}.json"), json.dumps(told))
         except FileExistsError as e:
             raise ConcurrentWriteError(f"collection {name!r} has changed since commit {config['number']}") from e
         self._forget(name, config["number"] + 1 - KEEP, told)
@@ -314,7 +295,7 @@ class VectorStore(SearchEngine):
         for s in self._fs.listStatus(self._path(self._file(name))):
             if s.getPath().getName().startswith("index-") and s.getPath().getName() != f"index-{config['number']}":
                 self._fs.delete(s.getPath(), True)
-        self._write_new(f"{folder}/built", "")
+        write_once(self.spark, f"{folder}/built", "")
 
     def indexed(self, name: str) -> bool:
         """Whether there is an index of the last commit."""

@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import unique_id
 from tidemark.operators import conversations as C
 from tidemark.operators.positions import with_position
+from tidemark.tables import file_names, write_once
+
+
+#: Times that a writer tries to claim ids before it gives up.
+ATTEMPTS = 20
 
 
 class ConversationStore:
-    """Index and messages below `root`; both exist, empty, from the start. Failed writes raise."""
+    """Index and messages below `root`; both exist, empty, from the start. Failed writes raise.
+
+    Writers claim the ids of their messages before they write them, so that none are given twice; the ids of a write that
+    failed stay unused.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -45,10 +54,26 @@ class ConversationStore:
         C.append_index(self.spark.createDataFrame([], C.INDEX), new).coalesce(1).write.mode("append").parquet(f"{self.root}/index")
         return True
 
+    def _claim(self, n: int) -> int:
+        """The first of n ids that no other writer has: the next claim after the last, whose file only one writer can make."""
+        folder = f"{self.root}/claims"
+        for _ in range(ATTEMPTS):
+            made = [int(x) for x in file_names(self.spark, folder) if x.isdigit()]
+            if made:
+                first = int(self.spark.read.text(f"{folder}/{max(made)}").first()["value"]) + 1
+            else:
+                first = self.messages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+            try:
+                write_once(self.spark, f"{folder}/{max(made, default=0) + 1}", str(first + n - 1))
+            except FileExistsError:
+                continue
+            return first
+        raise RuntimeError(f"no claim in {ATTEMPTS} attempts: too many writers at once")
+
     def insert_messages(self, ref_id: str, rows: Sequence[tuple[str, str, str]]) -> None:
         """Adds (chat_id, role, message) rows of a conversation, numbered on from the log's last id."""
-        last = self.messages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        new = [(last + 1 + i, ref_id, *row) for i, row in enumerate(rows)]
+        first = self._claim(len(rows))
+        new = [(first + i, ref_id, *row) for i, row in enumerate(rows)]
         self.spark.createDataFrame(new, C.MESSAGES).coalesce(1).write.mode("append").parquet(f"{self.root}/messages")
 
     def append_index(self, new: DataFrame) -> None:
@@ -57,8 +82,7 @@ class ConversationStore:
 
     def append_messages(self, new: DataFrame, *order: str) -> None:
         """Adds a table of messages (ref_id, chat_id, role, message), numbered on from the log's last id in the given order."""
-        last = self.messages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        numbered = with_position(new, *order, name="id", start=last + 1)
+        numbered = with_position(new, *order, name="id", start=self._claim(new.count()))
         numbered.select("id", "ref_id", "chat_id", "role", "message").write.mode("append").parquet(f"{self.root}/messages")
 
     def load(self, ref_id: str) -> dict:

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
-from py4j.protocol import Py4JError
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Paths that this driver wrote, by the scope they belong to; the last scope is the innermost.
@@ -53,6 +53,33 @@ def materialise(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     return made
 
 
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a file aside and gives it its name by a rename that never replaces; FileExistsError if there is one of that name.
+
+    Of several writers that want one name one succeeds, and readers see the file whole or not at all.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    aside, target = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    stream = fs.create(aside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    options = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+    qualified = fs.makeQualified(target)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), conf).rename(fs.makeQualified(aside), qualified, options)
+    except Py4JJavaError as e:
+        fs.delete(aside, False)
+        raise FileExistsError(path) from e
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     if spark.sparkContext._jsc is None:
         return
