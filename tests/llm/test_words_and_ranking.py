@@ -61,6 +61,16 @@ def test_exact_duplicates_of_nothing_and_beside_clashing_columns(spark):
     assert [(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_duplicates(clashing).orderBy("doc_id").collect()] == [(1, 2, False), (2, 2, True)]
 
 
+def test_dropping_exact_duplicates_keeps_whole_rows(spark):
+    rows = [(1, "A b", "x", 1), (5, "a B", "y", 2), (5, "a b", "z", 3), (None, "a b", "w", 4), (None, None, "v", 5), (7, "other", "u", 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kept_row string, number int").repartition(3)
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    found = sorted(kept.collect(), key=repr)
+    assert len(found) == 3 and {(r["doc_id"], ascii_lower(r["text"] or "")) for r in found} == {(5, "a b"), (None, ""), (7, "other")}
+    assert exact_dedup.drop_exact_duplicates(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("bits", [0, 1, 5, 12])
 def test_every_number_of_rounds_merges_all(spark, bits):
     rows = exact_dedup.digest_rows(spark.range(0, 400, 1, 9).select(F.col("id").alias("doc_id"), (F.col("id") % 50).cast("string").alias("text")))

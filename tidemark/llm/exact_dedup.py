@@ -29,10 +29,11 @@ def normalised(text: Column) -> Column:
     return F.when(F.octet_length(whole) == F.char_length(whole), F.lower(whole)).otherwise(F.translate(whole, UPPER, LOWER))
 
 
-def digest_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of its own), digest, check and bytes of every row of `docs`."""
-    text = docs.select("doc_id", normalised(F.col("text")).alias("t"))
-    return text.select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2("t", 256)).alias("digest"), F.xxhash64("t").alias("check"), F.octet_length("t").alias("bytes"))
+def digest_rows(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, row (a number of its own, or the given one), digest, check and bytes of every row of `docs`."""
+    number = F.monotonically_increasing_id() if row is None else row
+    text = docs.select("doc_id", number.alias("row"), normalised(F.col("text")).alias("t"))
+    return text.select("doc_id", "row", F.unhex(F.sha2("t", 256)).alias("digest"), F.xxhash64("t").alias("check"), F.octet_length("t").alias("bytes"))
 
 
 def merged(rows: DataFrame, bits: int) -> DataFrame:
@@ -74,6 +75,19 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that exact_duplicates keeps, with all columns, whatever their names; an empty table stays empty.
+
+    Rows are written once with a number; digests decide on numbers, and the numbers that go are taken out by an
+    anti-join, for which Spark sends them to the rows while they are few.
+    """
+    rows = materialise(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept_row"), F.monotonically_increasing_id().alias("number")), "numbered_docs")
+    digests = materialise(digest_rows(rows.select("kept_row.doc_id", "kept_row.text", "number"), F.col("number")), "digest_rows")
+    groups = materialise(merged(digests, run_bits(docs)), "digest_groups")
+    gone = join_classes(digests, groups, KEYS).where(F.col("row") != F.col("keep.row")).select(F.col("row").alias("number"))
+    return rows.join(gone, "number", "left_anti").select("kept_row.*")
+
+
 #: The same in DuckDB's dialect, where no doc_id is null or repeated.
 SQL = f"""
 WITH t AS (
