@@ -449,6 +449,45 @@ def test_failed_matches_keep_no_candidate_out():
     assert pii.redacted(text, model) == "card [CARD] call [PHONE]" and len(pii.spans_of(text, model)[1]) == 2
 
 
+def test_added_spans_of_a_labelled_sample(spark):
+    """Recall of spans beyond the base kinds, and precision beside look-alikes, over made sentences."""
+    rnd = random.Random(3)
+
+    def digits(n):
+        return "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def iban(sound):
+        body = digits(18)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+        whole = f"DE{check if sound else check - 1:02}{body}"
+        return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))
+
+    made = {
+        "email": ("please write to", "", lambda: f"ann{rnd.randint(1, 99)} (at) mail{rnd.randint(1, 99)} (dot) org"),
+        "phone": ("call me at", "", lambda: f"({rnd.randint(201, 989)}) {digits(3)}-{digits(4)}"),
+        "ssn": ("social security number", "", lambda: f"{rnd.randint(100, 665)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}"),
+        "iban": ("pay to the account", "", lambda: iban(True)),
+        "secret": ("use", "password: ", lambda: "".join(rnd.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(12))),
+    }
+    decoys = [lambda: f"release code {iban(False)}", lambda: "the token: overview of chapter", lambda: "mail at noon (at) the door", lambda: f"in {rnd.randint(1900, 2030)}-10-{rnd.randint(10, 28)} and page 12-34"]
+    rows, truth = [], []
+    for i in range(800):
+        words = " ".join(rnd.choice("lorem ipsum dolor sit amet tempor magna aliqua".split()) for _ in range(rnd.randint(3, 12)))
+        if i % 2:
+            rows.append((i, f"{words} {rnd.choice(decoys)()} {words}."))
+            truth.append(set())
+        else:
+            kind = rnd.choice(list(made))
+            cue, before, span = made[kind]
+            said, start = span(), len(f"{words} {cue} {before}")
+            rows.append((i, f"{words} {cue} {before}{said} {words}."))
+            truth.append({(kind, start, start + len(said))})
+    model = pii.fit_pii(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = [{(pii.KINDS[k], a, b) for a, k, b in pii.spans_of(t, model)[1]} for _, t in rows]
+    right = sum(len(f & t) for f, t in zip(found, truth, strict=True))
+    assert right / sum(map(len, truth)) > 0.95 and right / sum(map(len, found)) > 0.95
+
+
 def test_many_spans_take_linear_time():
     model = pii.SpanClassifier(SOUND)
     record = "call 555-123-4567 or password=b7db7aa4a5fcc78305; mail a.b@c.de from 10.20.30.40, "
