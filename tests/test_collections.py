@@ -48,6 +48,7 @@ def test_two_writers_lose_nothing(spark, tmp_path):
     one._put = late
     one.append("c", [[1, 1], [2, 2]])
     assert {(r["id"], r["embedding"][0]) for r in one.points("c").collect()} == {(0, 3.0), (1, 1.0), (2, 2.0)}
+    assert len(os.listdir(tmp_path / "c" / "points")) == 2  # what the refused attempt wrote is gone
     stale = one._config("c")
     other.append("c", [[4, 4]])
     with pytest.raises(ConcurrentWriteError):

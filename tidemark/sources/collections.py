@@ -114,9 +114,9 @@ class VectorStore(SearchEngine):
             write_once(self.spark, self._file(name, "commits", f"{config['number'] + 1}.json"), json.dumps(told))
         except FileExistsError as e:
             raise ConcurrentWriteError(f"collection {name!r} has changed since commit {config['number']}") from e
-        self._forget(name, config["number"] + 1 - KEEP, told)
+        self._forget(name, config["number"] + 1 - KEEP)
 
-    def _forget(self, name: str, last: int, config: dict) -> None:
+    def _forget(self, name: str, last: int) -> None:
         """Deletes commit `last` and the files of buckets that no commit after it has."""
         if last not in self._numbers(name):
             return
@@ -132,9 +132,13 @@ class VectorStore(SearchEngine):
     def _retried(self, name: str, change: Callable[[dict], dict]) -> None:
         """Commits what `change` makes of the last commit, again from the newest where another writer came between."""
         for left in reversed(range(ATTEMPTS)):
+            config = self._config(name)
+            made = change(config)
             try:
-                return self._commit(name, change(self._config(name)))
+                return self._commit(name, made)
             except ConcurrentWriteError:
+                for version in {v for v, _ in made["held"].values()} - {v for v, _ in config["held"].values()}:
+                    self._fs.delete(self._path(self._file(name, "points", version)), True)
                 if not left:
                     raise
         return None
