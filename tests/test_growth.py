@@ -45,6 +45,21 @@ def test_the_filter_never_rules_out_what_is_held(spark):
         assert caches.may_hold(others, words, bits).where("maybe").count() <= most
 
 
+def test_no_row_carries_the_filter_and_no_text_is_written(spark, tmp_path, monkeypatch):
+    keys = spark.range(50).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    plan = caches.may_hold(keys, caches.bloom_filter(keys, 1 << 10), 1 << 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "scalar-subquery" in plan
+    written, plain = [], caches.materialise
+    monkeypatch.setattr(caches, "materialise", lambda df, name: written.extend(df.columns) or plain(df, name))
+    cache = caches.EmbeddingCache(spark, str(tmp_path), "m")
+    texts = spark.createDataFrame([(i, f"text {i % 30}" if i % 7 else None) for i in range(90)], "id bigint, text string")
+    few = {(r["digest"], r["text"]) for r in cache.missing(texts).collect()}
+    monkeypatch.setattr(caches, "FEW", 0)  # as where many are missing
+    assert {(r["digest"], r["text"]) for r in cache.missing(texts).collect()} == few
+    assert {t for _, t in few} == {r["text"] or "" for r in texts.collect()} and len(few) == cache.missing(texts).count()
+    assert "digest" in written and "text" not in written
+
+
 def test_parts_of_a_conversation_of_a_million_messages(spark):
     long = spark.range(1_000_000).select(F.col("id"), F.lit("long").alias("ref_id"), F.lit("user").alias("role"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("message"))
     short = spark.createDataFrame([(2_000_000 + i, r, "user", m) for i, (r, m) in enumerate([("a", "x"), ("b", "y"), ("a", None), ("a", "z"), (None, "n")])], "id bigint, ref_id string, role string, message string")

@@ -1,13 +1,15 @@
 """A cache of embeddings by the digest of their text, so that no text is asked for twice.
 
-The table grows by appended files. What a run asks for is found in two steps: a Bloom filter of the digests that are held,
-a table of its bits of bounded size, tells most new texts at once, and only the texts that it may hold meet the digests
-themselves in an anti-join. The filter never rules out what is held, so the answer is exact however full it is.
+The table grows by appended files. What a run asks for is found among digests, in two steps: a Bloom filter of the digests
+that are held, a table of its bits of bounded size, tells most new ones at once, and only those that it may hold meet the
+digests themselves in an anti-join. The filter never rules out what is held, so the answer is exact however full it is.
+Only then do the texts of the missing digests move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ HELD = "digest string, embedding array<double>"
 #: Bits of the filter, a power of two, and positions that a digest sets: two megabytes go to the tasks.
 BITS, POSITIONS = 1 << 24, 4
 WORD = 64
+#: Digests that are sent to all tasks at most, some ten megabytes.
+FEW = 1 << 16
 
 
 def digest(text: Column) -> Column:
@@ -43,10 +47,29 @@ def bloom_filter(keys: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def may_hold(df: DataFrame, words: DataFrame, bits: int = BITS) -> DataFrame:
-    """`df` (digest, ...) with `maybe`: whether the filter may hold the digest; False is sure."""
-    held = df.withColumn("__places", _places(F.col("digest"), bits)).crossJoin(F.broadcast(words))  # one row of bits / 64 numbers
-    seen = F.forall("__places", lambda p: F.get(F.col("words"), F.shiftright(p, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(F.lit(63)).cast("int"))) != 0)
-    return held.withColumn("maybe", seen).drop("__places", "words")
+    """`df` (digest, ...) with `maybe`: whether the filter may hold the digest; False is sure.
+
+    The filter is one value of the plan that tasks look into; joined to the rows, its two megabytes would be copied for each.
+    """
+    filled = words.scalar()
+
+    def set_at(place: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(WORD - 1)).cast("int"))
+        return F.get(filled, F.shiftright(place, 6).cast("int")).bitwiseAND(bit) != 0
+
+    placed = df.withColumn("__places", _places(F.col("digest"), bits))
+    return placed.withColumn("maybe", reduce(Column.__and__, (set_at(F.get("__places", i)) for i in range(POSITIONS)))).drop("__places")
+
+
+def _texts_of(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """`chosen` (digest, ...) with the `text` of each digest, from `texts` (text). Equal texts are one before they are shuffled.
+
+    A few digests go to the tasks, so that only their texts are shuffled; else every different text is, once.
+    """
+    said = texts.select(digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    if chosen.count() <= FEW:
+        said = said.join(F.broadcast(chosen.select("digest")), "digest", "left_semi")  # FEW digests at most
+    return said.groupBy("digest").agg(F.first("text").alias("text")).join(chosen, "digest")
 
 
 class EmbeddingCache:
@@ -62,10 +85,14 @@ class EmbeddingCache:
 
     def missing(self, texts: DataFrame) -> DataFrame:
         """digest, text: the different texts of `texts` (text) that the cache doesn't hold."""
-        asked = texts.select(digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+        return _texts_of(texts, materialise(self._missing_digests(texts), "missing_digests"))
+
+    def _missing_digests(self, texts: DataFrame) -> DataFrame:
+        """The digests of `missing`: no text is shuffled or written to find them."""
+        asked = texts.select(digest(F.col("text")).alias("digest")).distinct()
         held = self.spark.read.schema(HELD).parquet(self.path).select("digest")
-        told = materialise(may_hold(asked, bloom_filter(held, self.bits), self.bits), "asked_texts")
-        return told.where("not maybe").unionByName(told.where("maybe").join(held, "digest", "left_anti")).select("digest", "text")
+        told = materialise(may_hold(asked, bloom_filter(held, self.bits), self.bits), "asked_digests")
+        return told.where("not maybe").unionByName(told.where("maybe").join(held, "digest", "left_anti")).select("digest")
 
     def embedded(self, texts: DataFrame, make: Callable[[UsageLog], EmbeddingProvider]) -> tuple[DataFrame, DataFrame]:
         """`texts` (id, text) as id and embedding, and the ledger of the requests that were needed.
@@ -73,9 +100,9 @@ class EmbeddingCache:
         Equal texts are asked for once, and none that the cache holds. NULL counts as empty text; repeated ids each get
         their vector. The new vectors are in the cache before this returns.
         """
-        wanted = with_position(self.missing(texts), "digest")
-        names = wanted.select(F.col("position").alias("id"), "digest")
-        vectors, uses = embedded(wanted.select("position", F.col("position").alias("id"), "text"), make)
+        names = materialise(with_position(self._missing_digests(texts), "digest").select(F.col("position").alias("id"), "digest"), "names")
+        wanted = _texts_of(texts, names).withColumn("position", F.col("id"))
+        vectors, uses = embedded(wanted.select("position", "id", "text"), make)
         vectors.join(names, "id").select("digest", "embedding").write.mode("append").parquet(self.path)
         keyed = texts.select("id", digest(F.col("text")).alias("digest"))
         return keyed.join(self.held(), "digest").select("id", "embedding"), uses
