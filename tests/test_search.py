@@ -61,6 +61,15 @@ def test_nearest_neighbours_match_numpy(spark):
         assert [d for _, d in sorted(got[i])] == order
 
 
+def test_blocks_go_to_python_a_few_at_a_time(spark, monkeypatch):
+    key, rows, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, search.materialise
+    monkeypatch.setattr(search, "materialise", lambda df, name: rows.update({name: int(spark.conf.get(key))}) or plain(df, name))
+    before = spark.conf.get(key)
+    df = make(spark, [(i, f"t{i}", [float(i), 1.0]) for i in range(20)])
+    assert search.nearest_neighbours(df, df, 3).count() == 60
+    assert rows["asks"] == rows["neighbours_found"] == search.BATCH_BLOCKS < 10 and spark.conf.get(key) == before
+
+
 def model(rows, vector, top_k, depth, threshold, initial):
     """The walk on lists."""
     def cos(a, b):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import as_doubles, clamped, cosine, dot, rounded_cosine_to, unit
 from tidemark.operators.projects import DEFAULT_EMBEDDING_MODEL, chosen, select_projects
-from tidemark.tables import materialise, release
+from tidemark.tables import batches_of, materialise, release
 
 #: Numbers in one block of a batch search.
 BLOCK_VALUES = 1 << 18
@@ -31,6 +31,8 @@ PLACES = 6
 HOPS = 5
 #: Numbers in the queries that are sent to all tasks at a time, some 32 megabytes, and such chunks in one plan.
 CHUNK_VALUES, CHUNKS_AT_ONCE = 1 << 22, 8
+#: Rows of an Arrow batch whose rows are blocks, or pairs of blocks of some four megabytes; and queries scored at a time.
+BATCH_BLOCKS, SCORED = 4, 512
 ASKED = "width int, least array<double>, most array<double>, asked binary"
 BLOCKS = "number bigint, width int, cell int, low double, high double, block binary"
 
@@ -110,7 +112,7 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5) -> Dat
     Queries are a stated set against all rows, in blocks: they go to the tasks in chunks of CHUNK_VALUES numbers, by a
     broadcast of that bounded size, and a task reads its blocks of the corpus past one chunk after another. So no vector
     of the corpus is shuffled, whatever the number of queries, and of a query a task hands on only the k best of all
-    that it has read. Ties fall to the smaller dst. Rows without an id and zero, NULL or non-finite vectors take no part;
+    that it has read. A worker holds BATCH_BLOCKS pairs of blocks at a time, whatever its task reads. Ties fall to the smaller dst. Rows without an id and zero, NULL or non-finite vectors take no part;
     vectors of different widths never meet, however rare a width is.
     """
     spark = corpus.sparkSession
@@ -149,8 +151,8 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5) -> Dat
                 length = float(np.linalg.norm(mean))
                 centre = mean / max(length, 1e-300)
                 own = float(angles(x, centre[None, :]).max()) if length > 1e-9 else math.pi
-                scores, enough = x @ first[w].T, len(first[w]) >= k > 0
-                least = float(np.partition(scores, len(first[w]) - k, axis=1)[:, len(first[w]) - k].min()) if enough else -1.0
+                place, enough = len(first[w]) - k, len(first[w]) >= k > 0
+                least = min(float(np.partition(x[i : i + SCORED] @ first[w].T, place, axis=1)[:, place].min()) for i in range(0, len(x), SCORED)) if enough else -1.0
                 far = math.acos(max(least - 2 * 10.0**-PLACES, -1.0)) + own + 1e-7  # from the centre, of what may be found
                 apart = angles(centre[None, :], pivots[w])[0]
                 yield _rows(ASKED, [(w, (apart - far).tolist(), (apart + far).tolist(), blob)])
@@ -158,26 +160,31 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 5) -> Dat
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, pa.RecordBatch] = {}
         for b in batches:
-            for number, asked, block in zip(*(b.column(c).to_pylist() for c in ("number", "asked", "block")), strict=True):
-                found = _nearest(*pickle.loads(asked), *pickle.loads(block), k)
+            for number, asked, block in zip(*(b.column(c) for c in ("number", "asked", "block")), strict=True):
+                number, found = number.as_py(), _nearest(*pickle.loads(asked.as_buffer()), *pickle.loads(block.as_buffer()), k)
                 best[number] = _best(best[number], found, k) if number in best else found
+            del b, asked, block  # before the next batch is read
         yield from best.values()
 
+    def ranked(met: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
+        return met.select("src", "dst", "score").withColumn("rnk", rank).where(F.col("rnk") <= k).select("src", "rnk", "dst", "score")
+
     asks = asking.select("width", "block").mapInArrow(ask, ASKED).withColumn("number", F.monotonically_increasing_id())
-    asks = materialise(asks.withColumn("chunk", F.pmod(F.xxhash64("number"), F.lit(chunks))), "asks")
+    with batches_of(spark, BATCH_BLOCKS):
+        asks = materialise(asks.withColumn("chunk", F.pmod(F.xxhash64("number"), F.lit(chunks))), "asks")
     corpus_blocks = blocks.select("width", "cell", "low", "high", "block").coalesce(2 * spark.sparkContext.defaultParallelism)
     reaches = (F.get("least", F.col("cell")) <= F.col("high")) & (F.get("most", F.col("cell")) >= F.col("low"))
-    found, waiting = None, []
+    found, waiting = [], []
     for c in range(chunks):
         chunk = F.broadcast(asks.where(F.col("chunk") == c).select("number", F.col("width").alias("asked_width"), "least", "most", "asked"))  # some CHUNK_VALUES numbers
         met = corpus_blocks.join(chunk, (F.col("width") == F.col("asked_width")) & reaches).select("number", "asked", "block")
         waiting.append(met.mapInArrow(meet, "src bigint, dst bigint, score double"))
         if c + 1 == chunks or len(waiting) == CHUNKS_AT_ONCE:
-            some = reduce(DataFrame.unionByName, waiting)
-            some = some if chunks <= CHUNKS_AT_ONCE else materialise(some, "neighbours_found")
-            found, waiting = some if found is None else found.unionByName(some), []
-    rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
-    return found.withColumn("rnk", rank).where(F.col("rnk") <= k).select("src", "rnk", "dst", "score")
+            with batches_of(spark, BATCH_BLOCKS):
+                found.append(materialise(ranked(reduce(DataFrame.unionByName, waiting)), "neighbours_found"))
+            waiting = []
+    return found[0] if len(found) == 1 else ranked(reduce(DataFrame.unionByName, found))  # again, for ids that are asked for in several lots
 
 
 def _best(a: pa.RecordBatch, b: pa.RecordBatch, k: int) -> pa.RecordBatch:
@@ -250,8 +257,9 @@ def _blocks(rows: DataFrame, pivots: dict[int, np.ndarray], parts: int) -> DataF
 def _nearest(src: np.ndarray, x: np.ndarray, dst: np.ndarray, y: np.ndarray, k: int) -> pa.RecordBatch:
     """The k best of a block for each query of a block, by matrix product and partition."""
     out: list[list[np.ndarray]] = [[], [], []]
-    for at in range(0, len(src), 512):
-        scores = np.round(np.clip(x[at : at + 512] @ y.T, -1, 1), PLACES)
+    for at in range(0, len(src), SCORED):
+        scores = x[at : at + SCORED] @ y.T
+        np.round(np.clip(scores, -1, 1, out=scores), PLACES, out=scores)
         most = min(k, len(dst))
         if not most:
             continue

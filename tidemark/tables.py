@@ -53,6 +53,18 @@ def materialise(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     return made
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written within it goes to Python in Arrow batches of at most so many rows: for rows that hold megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_once(spark: SparkSession, path: str, text: str) -> None:
     """Writes a file aside and gives it its name by a rename that never replaces; FileExistsError if there is one of that name.
 
